@@ -90,7 +90,9 @@ def mix_plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: st
     draw = F.pmod(F.xxhash64("source", "pass", F.lit(seed)), n)
     tries = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.pmod(draw + k, n))
     runs = runs.withColumn("a", F.coalesce(F.filter(tries, lambda x: _gcd(x, n) == 1)[0], F.lit(1).cast("long"))).withColumn("b", F.pmod(F.xxhash64("source", "pass", F.lit(seed + 1)), n))
-    chunks = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1) / block), F.lit(CHUNK).cast("long"))).alias("first")).repartition("source", "pass", "first")
+    chunks = runs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("want") - 1) / block), F.lit(CHUNK).cast("long"))).alias("first"))
+    # A given number of partitions: the chunks are few bytes now and many rows a step later.
+    chunks = chunks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "pass", "first")
     each = chunks.select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK - 1, F.floor((F.col("want") - 1) / block)))).alias("i"))
     wide = "decimal(19,0)"
     permuted = ((F.col("a").cast(wide) * F.col("i").cast(wide) + F.col("b").cast(wide)) % n.cast(wide)).cast("long")
@@ -109,8 +111,9 @@ def shard_counts(slots: DataFrame) -> DataFrame:
 
 def mixed_words(pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """(rid, taken): the join of blocks and slots by index, summed for each row."""
+    # Spark takes the slots for as small as the table of sources that they come from; the hint keeps them from a broadcast.
     uses = slots.groupBy("source", "block").agg(F.collect_list("take").alias("takes"))
-    met = pieces.join(uses.select(F.col("source").alias("s"), F.col("block").alias("x"), "takes"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("x")))
+    met = pieces.join(uses.select(F.col("source").alias("s"), F.col("block").alias("x"), "takes").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("x")))
     zero = F.lit(0).cast("long")
     got = F.aggregate("takes", zero, lambda sum_, take: sum_ + F.greatest(zero, F.least(F.col("end"), take) - F.col("start")))
     return met.groupBy("rid").agg(F.sum(got).alias("taken"))
@@ -125,7 +128,7 @@ def mix(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     sized, pieces, slots = mix_plan(docs, id, **options)
     # Rows that share an rid agree in every column and in position, so they hold no words.
     taken = mixed_words(pieces, slots)
-    done = sized.join(taken, "rid", "left")
+    done = sized.join(taken.hint("merge"), "rid", "left")
     return done.select(F.col("id").alias(id), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan, sharding, simhash
+from . import media, mixing, packing, quality, secret_scan, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
         "op5_mixing": mixing.op5_mixing,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op9_media": media.op9_media,
+        "op10_packing": packing.op10_packing,
     }
 
 

@@ -193,7 +193,7 @@ def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0)
         near = [(*d, c) for d in near for c in (-1, 0, 1) if any(d) or c >= 0]
     offsets = F.array(*(F.array(*map(F.lit, d)) for d in near))
     reach = names.select("tile", "block", F.explode(offsets).alias("d")).select(F.zip_with("tile", "d", lambda x, y: x + y).alias("tile2"), "tile", "block")
-    pairs = reach.join(names.select(F.col("tile").alias("tile2"), F.col("block").alias("block2")), "tile2")
+    pairs = reach.join(names.select(F.col("tile").alias("tile2"), F.col("block").alias("block2")).hint("merge"), "tile2")
     pairs = pairs.where((F.col("tile") != F.col("tile2")) | (F.col("block") <= F.col("block2")))
     work = pairs.join(blocks.select("tile", "block", F.col("rows").alias("left_rows")), ["tile", "block"])
     work = work.join(blocks.select(F.col("tile").alias("tile2"), F.col("block").alias("block2"), F.col("rows").alias("right_rows")), ["tile2", "block2"])
