@@ -55,9 +55,9 @@ def _gcd(a: Column, b: Column) -> Column:
 def mix_plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, passes: float = 2.0, block: int = BLOCK, shards: int = 64, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized rows, pieces, slots) of the mix.
 
-    sized: rid, id, source, size, source_size, target. pieces: rid, source, block, start, end, where
-    [start, end) of the block are words of row rid. slots: source, shard, ordinal, block, take, where the
-    first `take` words of the block go into the mix; only the last slot of a source takes less than a block.
+    sized: rid, id, mark (a hash of the text), source, size, source_size, target. pieces: rid, source, block,
+    start, end, from, where [start, end) of the block are words of row rid, `from` on. slots: source, pass,
+    shard, ordinal, block, take, where the first `take` words of the block go into the mix; only the last slot of a source takes less than a block.
     Every block is used at most `passes` times. Reruns agree: all draws hash values of the rows.
     """
     plain = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text), F.lit(seed)).alias("mark"))
@@ -76,11 +76,11 @@ def mix_plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: st
     placed = sliced.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("c"))).drop("s", "c")
     sized = placed.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    sized = sized.select(F.xxhash64("id", "mark", "source", F.col("offset") + F.col("before")).alias("rid"), "id", "source", "size", "source_size", "target", (F.col("offset") + F.col("before")).alias("at"))
+    sized = sized.select(F.xxhash64("id", "mark", "source", F.col("offset") + F.col("before")).alias("rid"), "id", "mark", "source", "size", "source_size", "target", (F.col("offset") + F.col("before")).alias("at"))
     sized = stash(sized, "mix-streams")
     held = sized.where("size > 0").select("rid", "source", "at", F.col("size"), F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     edge = F.col("block") * block
-    pieces = held.select("rid", "source", "block", F.greatest(F.lit(0).cast("long"), F.col("at") - edge).alias("start"), F.least(F.lit(block).cast("long"), F.col("at") + F.col("size") - edge).alias("end"))
+    pieces = held.select("rid", "source", "block", F.greatest(F.lit(0).cast("long"), F.col("at") - edge).alias("start"), F.least(F.lit(block).cast("long"), F.col("at") + F.col("size") - edge).alias("end"), F.greatest(F.lit(0).cast("long"), edge - F.col("at")).alias("from"))
 
     # A pass: full blocks permuted by i -> (a i + b) mod n with a coprime to n, then the short block if there is one.
     size = F.col("source_size")
@@ -98,7 +98,7 @@ def mix_plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: st
     permuted = ((F.col("a").cast(wide) * F.col("i").cast(wide) + F.col("b").cast(wide)) % n.cast(wide)).cast("long")
     index = F.when(F.col("i") < F.col("full"), permuted).otherwise(F.col("i"))
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - index * block)
-    slots = each.select("source", (F.col("pass") * F.col("blocks") + F.col("i")).alias("ordinal"), index.alias("block"), F.least(length, F.col("want") - F.col("i") * block).alias("take"))
+    slots = each.select("source", "pass", (F.col("pass") * F.col("blocks") + F.col("i")).alias("ordinal"), index.alias("block"), F.least(length, F.col("want") - F.col("i") * block).alias("take"))
     # Given a source's total, throwing each of its slots into a uniformly drawn shard draws the shards' counts multinomially.
     slots = slots.withColumn("shard", F.pmod(F.xxhash64("source", "ordinal", F.lit(seed + 2)), F.lit(shards)).cast("int"))
     return sized, pieces, slots
@@ -135,3 +135,38 @@ def mix(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", seed: int = 7, **options) -> DataFrame:
+    """The mix as rows with the columns of docs: a row for each pass that takes words of a document, with those words.
+
+    A pass that takes all words keeps the text as it is; else the text is the taken words, space-joined, in
+    their order. Documents of which no words are taken have no row: those of sources above their target in
+    part, and texts without words. Rows that agree in id, source and text count once. `length`, if docs has
+    it, is the new number of characters.
+    """
+    mark = F.xxhash64(F.col(text), F.lit(seed))
+    names = docs.columns
+    twice = docs.groupBy(F.col(id).alias("i"), F.col(source).alias("s"), mark.alias("m")).count().where("count > 1")
+    if not twice.isEmpty():
+        docs = docs.withColumn("__mark", mark).dropDuplicates([id, source, "__mark"]).select(*names)
+        docs = stash(docs, "mix-documents")
+    sized, pieces, slots = mix_plan(docs, id, text, source, seed=seed, **options)
+    zero = F.lit(0).cast("long")
+    uses = slots.select(F.col("source").alias("s"), F.col("block").alias("x"), "pass", "take").hint("merge")
+    met = pieces.join(uses, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("x")))
+    got = met.select("rid", "pass", "from", F.greatest(zero, F.least(F.col("end"), F.col("take")) - F.col("start")).alias("n")).where("n > 0")
+    takes = got.groupBy("rid", "pass").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("from", "n"))).alias("ranges"))
+    plan = sized.select("rid", "id", "mark", "source", "size").join(takes.hint("merge"), "rid")
+    plan = plan.groupBy("id", "mark", "source", "size").agg(F.collect_list(F.struct("pass", "taken", F.when(F.col("taken") < F.col("size"), F.col("ranges")).alias("ranges"))).alias("__passes"))
+    plan = plan.select(F.col("id").alias("__id"), F.col("mark").alias("__m"), F.col("source").alias("__s"), "__passes")
+    own = docs.withColumn("__mark", mark)
+    joined = own.join(plan.hint("merge"), own[id].eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")) & own[source].eqNullSafe(F.col("__s")))
+    each = joined.select(*(own[c] for c in names), F.explode("__passes").alias("__pass"))
+    words = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    parts = F.transform("__pass.ranges", lambda r: F.array_join(F.slice(words, (r["from"] + 1).cast("int"), r["n"].cast("int")), " "))
+    new = F.when(F.col("__pass.ranges").isNull(), F.col(text)).otherwise(F.array_join(parts, " "))
+    out = each.withColumn(text, new)
+    if length and length in names:
+        out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+    return out.select(*names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, secret_scan, sharding, simhash, toxicity
+from . import language, media, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_sharding": sharding.op3_sharding,
         "op4_simhash": simhash.op4_simhash,
         "op5_mixing": mixing.op5_mixing,
+        "op6_language": language.op6_language,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_media": media.op9_media,
         "op10_packing": packing.op10_packing,
     }
