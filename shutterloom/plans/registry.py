@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import dashboards, decisions, groups, learning, tables
+
+_MODULES = (dashboards, decisions, groups, learning, tables)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for module in _MODULES for name, (run, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .views import with_views
+
+    return {name: with_views(sql) for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
