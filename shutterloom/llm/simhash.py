@@ -139,14 +139,14 @@ def block_links(left: tuple, right: tuple | None, radius: int, ratio: float) ->
     """
     ids, lanes, sizes = left
     other = left if right is None else right
-    found_a, found_b = [], []
+    found_a, found_b = np.empty(0, np.int64), np.empty(0, np.int64)
     step = max(1, CELLS // max(1, len(other[0])))
     for at in range(0, len(ids), step):
         to = min(at + step, len(ids))
         first = at if right is None else 0
         total = np.bitwise_count(lanes[0, at:to, None] ^ other[1][0, None, first:])
         for lane in range(1, len(lanes)):
-            total = total + np.bitwise_count(lanes[lane, at:to, None] ^ other[1][lane, None, first:])
+            total += np.bitwise_count(lanes[lane, at:to, None] ^ other[1][lane, None, first:])
         i, j = np.nonzero(total <= radius)
         i, j = i + at, j + first
         if right is None:
@@ -156,11 +156,9 @@ def block_links(left: tuple, right: tuple | None, radius: int, ratio: float) ->
             ok = np.minimum(m, n) >= ratio * np.maximum(m, n)
             i, j = i[ok], j[ok]
         if len(i):
-            found_a.append(ids[i])
-            found_b.append(other[0][j])
-    if not found_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return _forest(np.concatenate(found_a), np.concatenate(found_b))
+            # A forest at every step: links among many copies never pile up.
+            found_a, found_b = _forest(np.concatenate([found_a, ids[i]]), np.concatenate([found_b, other[0][j]]))
+    return found_a, found_b
 
 
 def _tile_key(parts: int, lanes: int, ratio: float) -> Column:
@@ -285,8 +283,9 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_wo
     losers = stash(counted.join(winners, same(counted, winners), "left_anti").select("id", "mark"), "simhash-losers")
     twice = stash(rows.groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "simhash-twice")
     own = docs.withColumns({"__mark": F.xxhash64(text), "__id": F.col(id)})
-    hit = lambda keys: own["__id"].eqNullSafe(keys["id"]) & (own["__mark"] == keys["mark"])
-    kept = own.join(losers, hit(losers), "left_anti")
+    # Always a shuffled join: the rows that go grow with the table, so there is no size up to which to broadcast them.
+    gone = losers.hint("merge")
+    kept = own.join(gone, own["__id"].eqNullSafe(gone["id"]) & (own["__mark"] == gone["mark"]), "left_anti")
     if not twice.isEmpty():
         once = kept.join(twice, kept["__id"].eqNullSafe(twice["id"]) & (kept["__mark"] == twice["mark"]), "left_anti")
         more = kept.join(twice, kept["__id"].eqNullSafe(twice["id"]) & (kept["__mark"] == twice["mark"]), "left_semi")
