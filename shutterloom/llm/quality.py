@@ -198,12 +198,12 @@ def kept(cutoffs: dict[tuple[str, str], float], lang: str = "lang") -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject, with their own columns only.
 
-    Texts are measured twice here, once for the labelled rows and once for the verdict, as that is cheaper
-    than to move every text. Null and empty texts fail. A null language is judged in the stratum "other".
+    Texts are measured once: the rows are written with their measures, as that is cheaper than to measure
+    twice, and no text is shuffled. Null and empty texts fail. A null language is judged in the stratum "other".
     """
-    marked = labels.where("quality in (0, 1)").select("doc_id").distinct()
-    cutoffs = calibrate(with_measures(docs.select("doc_id", "text", "lang").join(marked, "doc_id", "left_semi")), labels)
-    return with_measures(docs, to="measures").where(kept(cutoffs)).select(*docs.columns)
+    measured = stash(with_measures(docs.withColumnRenamed("measures", "__measures")), "quality")
+    cutoffs = calibrate(measured.select("doc_id", "lang", "measures"), labels)
+    return measured.where(kept(cutoffs)).drop("measures").withColumnRenamed("__measures", "measures").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
