@@ -164,8 +164,9 @@ def mix_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sourc
     joined = own.join(plan.hint("merge"), own[id].eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")) & own[source].eqNullSafe(F.col("__s")))
     each = joined.select(*(own[c] for c in names), F.explode("__passes").alias("__pass"))
     words = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    parts = F.transform("__pass.ranges", lambda r: F.array_join(F.slice(words, (r["from"] + 1).cast("int"), r["n"].cast("int")), " "))
-    new = F.when(F.col("__pass.ranges").isNull(), F.col(text)).otherwise(F.array_join(parts, " "))
+    # The words are split once for each row: the outer transform binds them to a variable of the inner one.
+    cut = lambda w: F.array_join(F.transform("__pass.ranges", lambda r: F.array_join(F.slice(w, (r["from"] + 1).cast("int"), r["n"].cast("int")), " ")), " ")
+    new = F.when(F.col("__pass.ranges").isNull(), F.col(text)).otherwise(F.transform(F.array(words), cut)[0])
     out = each.withColumn(text, new)
     if length and length in names:
         out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
