@@ -28,14 +28,18 @@ def _digit(depth: int) -> Column:
     return F.shiftrightunsigned(word, 64 - STEP - shift).bitwiseAND(F.lit((1 << STEP) - 1).cast("long"))
 
 
-def _prefix(digits: tuple[int, ...]) -> Column:
-    """Whether the key begins with these digits; compares whole words as far as they go."""
-    test = F.lit(True)
-    for word, part in (("k1", digits[: 64 // STEP]), ("k2", digits[64 // STEP :])):
-        if part:
-            value = int.from_bytes(bytes(part), "big")
-            test &= F.shiftrightunsigned(word, 64 - STEP * len(part)) == F.lit(value - (1 << 64) if value >= 1 << 63 else value)
-    return test
+def _prefix(digits: tuple[int, ...]) -> tuple[int, int]:
+    """The digits as the leading bits of the two words of the key."""
+    first, second = digits[: 64 // STEP], digits[64 // STEP :]
+    top, rest = int.from_bytes(bytes(first), "big"), int.from_bytes(bytes(second), "big")
+    return (top - (1 << 64) if top >= 1 << 63 else top), (rest - (1 << 64) if rest >= 1 << 63 else rest)
+
+
+def _leading(word: str, bits: int) -> Column:
+    """The leading bits of a word, as _prefix has them; 0 for none."""
+    if bits <= 0:
+        return F.lit(0).cast("long")
+    return F.col(word) if bits >= 64 else F.shiftrightunsigned(word, 64 - bits)
 
 
 def find_cuts(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[tuple[int, ...]], int]:
@@ -55,10 +59,11 @@ def find_cuts(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tu
         depth = rounds
         rounds += 1
         held = sorted({digits for digits, _ in open_cuts.values()})
-        which = F.lit(None).cast("int")
-        for n, digits in enumerate(held):
-            which = F.when(_prefix(digits), n).otherwise(which)
-        counted = keyed.select(which.alias("held"), _digit(depth).alias("digit"), "size").where("held is not null")
+        # The open intervals, at most one a cut, meet the rows by the leading bits of the key.
+        names = keyed.sparkSession.createDataFrame([(*_prefix(digits), n) for n, digits in enumerate(held)], "p1 long, p2 long, held int")
+        bits = depth * STEP
+        rows = keyed.select(_leading("k1", bits).alias("p1"), _leading("k2", bits - 64).alias("p2"), _digit(depth).alias("digit"), "size")
+        counted = rows.join(F.broadcast(names), ["p1", "p2"])
         found: dict[int, list] = {}
         for n, digit, size in counted.groupBy("held", "digit").agg(F.sum("size")).collect():
             found.setdefault(n, []).append((digit, size))
