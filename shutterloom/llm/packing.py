@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stash, table
+from .sharding import find_cuts
 from .tokens import tokenizer
 
 LENGTH = 1024
@@ -28,9 +29,9 @@ BINS = 256
 DIMENSIONS, BITS = 3, 13
 #: Bits of the id's hash behind the place on the curve: they spread equal texts.
 SALT = 24
-#: Bytes of text of a partition, about; the number of partitions follows.
+#: Bytes of ids of a partition, about; the number of partitions follows.
 PARTITION_BYTES = 16 << 20
-MOST_PARTITIONS = 16384
+MOST_PARTITIONS = 8192
 
 _PROJECTION = np.random.default_rng(11).standard_normal((BINS, DIMENSIONS))
 
@@ -40,8 +41,9 @@ def vector(text: str | None) -> np.ndarray:
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
     count = np.zeros(BINS, np.int64)
     for at in range(0, max(0, len(data) - 2), 1 << 18):
-        part = data[at : at + (1 << 18) + 2].astype(np.uint32)
-        mixed = (part[:-2] * np.uint32(0x9E3779B1) + part[1:-1] * np.uint32(0x85EBCA77) + part[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(24)
+        part = data[at : at + (1 << 18) + 2]
+        # Sums modulo 256 of odd multiples.
+        mixed = part[:-2] * np.uint8(177) + part[1:-1] * np.uint8(119) + part[2:] * np.uint8(61)
         count += np.bincount(mixed, minlength=BINS)
     norm = np.sqrt(float(count @ count))
     return count / norm if norm else count.astype(np.float64)
@@ -89,10 +91,6 @@ def curve_keys(ids: list, texts: list[str | None]) -> np.ndarray:
     return ((hilbert(cells, BITS) << np.uint64(SALT)) | salt).astype(np.int64)
 
 
-def _keys(ids: pa.Array, text: pa.Array) -> pa.Array:
-    return pa.array(curve_keys(ids.to_pylist(), text.to_pylist()))
-
-
 def _lay(ids: np.ndarray, fill: int, length: int) -> Iterator[tuple[int, int, int]]:
     """(start, length, offset) of the pieces of a document laid from offset `fill` on."""
     at = 0
@@ -112,23 +110,25 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
     """
     plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = plain.schema["id"].dataType
-    keyed = stash(plain.select(F.arrow_udf(_keys, "bigint")("id", "text").alias("key"), F.octet_length("text").alias("bytes")), "packing-keys")
-    parts = max(1, min(MOST_PARTITIONS, -(-(keyed.agg(F.sum("bytes")).first()[0] or 0) // PARTITION_BYTES)))
-    cuts: list[int] = []
-    if parts > 1:
-        shares = [k / parts for k in range(1, parts)]
-        cuts = keyed.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts))).first()[0]
-    edges = np.array(cuts, np.int64)
+    tail = end.to_bytes(2, "little")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = tokenizer(path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             keys = curve_keys(batch.column("id").to_pylist(), texts)
-            part = np.searchsorted(edges, keys, side="right").astype(np.int32)
-            tail = end.to_bytes(2, "little")
-            ids = pa.array([x + tail for x in by.ids(texts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), batch.column("id"), ids], ["part", "key", "id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), pa.array([x + tail for x in by.ids(texts)], pa.binary())], ["key", "id", "ids"])
+
+    # The texts are read once; keys and ids are kept, in about as many bytes as the texts.
+    made = stash(plain.mapInArrow(tokenise, f"key bigint, id {kind.simpleString()}, ids binary"), "packing", "zstd")
+    keyed = made.select(F.shiftleft("key", 1).alias("k1"), F.lit(0).cast("long").alias("k2"), F.octet_length("ids").cast("long").alias("size"))
+    parts = max(1, min(MOST_PARTITIONS, -(-(keyed.agg(F.sum("size")).first()[0] or 0) // PARTITION_BYTES)))
+    # Cuts at even shares of the ids, from exact counts, so that reruns agree.
+    found = find_cuts(keyed, parts, 0.05)[0] if parts > 1 else []
+    edges = np.array([int.from_bytes(bytes((*d[:8], *[0] * (8 - len(d[:8])))), "big") >> 1 for d in found], np.int64)
+
+    def part_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sequence, fill = -1, 0, 0
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *made], ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = plain.mapInArrow(tokenise, f"part int, key bigint, id {kind.simpleString()}, ids binary")
+    dealt = made.withColumn("part", F.arrow_udf(part_of, "int")("key"))
     ordered = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "key", "id", "ids")
     pieces = ordered.mapInArrow(lay, f"id {kind.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return pieces.withColumnRenamed("id", id)

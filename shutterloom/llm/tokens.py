@@ -14,16 +14,18 @@ from itertools import filterfalse
 
 import numpy as np
 
-#: Segments that a worker keeps; beyond them it starts anew.
-KEEP = 1_000_000
+#: Segments that a worker keeps: those seen in two batches or more, and those seen in one. Beyond them it starts anew.
+KEEP, RECENT = 400_000, 400_000
 #: Characters of a string of new segments that is encoded at once.
 JOINED = 1 << 16
+#: Signs at the end of a segment that make a token of their own after a letter or digit.
+TAIL = ".,;:!?#*$%&|"
 
 
 class SegmentTokenizer:
     """ids(texts) for a byte-level tokenizer file without normaliser, whose ids fit 16 bits."""
 
-    def __init__(self, path: str, keep: int = KEEP):
+    def __init__(self, path: str, keep: int = KEEP, recent: int = RECENT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -36,37 +38,68 @@ class SegmentTokenizer:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, n in vocabulary.items():
             self.width[n] = len(token)
-        self.keep = keep
+        self.keep, self.most_recent = keep, recent
         self.known: dict[str, bytes | None] = {}
+        self.recent: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new segments in long strings and cut the ids where the segments' bytes end."""
-        plain = []
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[signs] = self._encode(signs)
+        return self.tails[signs]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes | None]:
+        """The ids of new segments, None for those before or after which a space doesn't stand alone.
+
+        Signs at a segment's end are parted from a letter or digit before them by the tokenizer too, so the
+        ids of what is before them are found by themselves, and many new segments share them.
+        """
+        made: dict[str, bytes | None] = {}
+        bare: dict[str, str] = {}
         for x in new:
             if not x or x[0].isspace() or x[-1].isspace():
-                self.known[x] = None  # the space before or after it doesn't stand alone
+                made[x] = None
+                continue
+            short = x.rstrip(TAIL)
+            bare[x] = short if short and short[-1].isalnum() else x
+        ids = {}
+        unknown = []
+        for short in set(bare.values()):
+            found = self.known.get(short) or self.recent.get(short)
+            if found is None:
+                unknown.append(short)
             else:
-                plain.append(x)
-        groups, size = [[]], 0
-        for x in plain:
-            if size > JOINED:
+                ids[short] = found
+        ids.update(self._encode_segments(sorted(unknown)))
+        for x, short in bare.items():
+            made[x] = ids[short] if short == x else ids[short] + self._tail(x[len(short) :])
+        return made
+
+    def _encode_segments(self, segments: list[str]) -> dict[str, bytes]:
+        """Segments are encoded in long strings, and the ids cut where the segments' bytes end."""
+        groups: list[list[str]] = []
+        size = JOINED
+        for x in segments:
+            if size >= JOINED:
                 groups.append([])
                 size = 0
             groups[-1].append(x)
             size += len(x) + 1
-        made = self.whole.encode_batch_fast([" " + " ".join(g) for g in groups if g], add_special_tokens=False)
-        for group, got in zip([g for g in groups if g], made, strict=True):
+        out = {}
+        for group, got in zip(groups, self.whole.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u2")
             ends = np.cumsum(self.width[ids])
             cuts = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) + 1 for x in group), np.int64, len(group)))
-            at = np.searchsorted(ends, cuts) + 1
             data, start = ids.tobytes(), 0
-            for x, end in zip(group, (2 * at).tolist(), strict=True):
-                self.known[x] = data[start:end]
+            for x, end in zip(group, (2 * np.searchsorted(ends, cuts) + 2).tolist(), strict=True):
+                out[x] = data[start:end]
                 start = end
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit numbers; none for null."""
@@ -74,12 +107,13 @@ class SegmentTokenizer:
         new: set[str] = set()
         for parts in split:
             new.update(filterfalse(self.known.__contains__, parts[1:]))
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            for parts in split:
-                new.update(parts[1:])
-        if new:
-            self._learn(sorted(new))
+        once = []
+        for x in new:
+            if x in self.recent:
+                self.known[x] = self.recent.pop(x)
+            else:
+                once.append(x)
+        self.known.update(self._learn(once))
         out = []
         for text, parts in zip(texts, split, strict=True):
             first = parts[0]
@@ -91,6 +125,12 @@ class SegmentTokenizer:
                 out.append(self._encode(text))
             else:
                 out.append((self._encode(first) if first else b"") + rest)
+        if len(self.recent) + len(once) > self.most_recent:
+            self.recent.clear()
+        for x in once:
+            self.recent[x] = self.known.pop(x)
+        if len(self.known) > self.keep:
+            self.known.clear()
         return out
 
 
