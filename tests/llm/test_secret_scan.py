@@ -1,0 +1,92 @@
+import base64
+import hashlib
+import json
+import re
+
+from shutterloom.llm import secret_scan as s
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+RSA = der(0x30, der(2, b"\0"), *(der(2, bytes(range(1, 40))) for _ in range(8)))
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), der(5)), der(4, RSA))
+SEC1 = der(0x30, der(2, b"\x01"), der(4, bytes(range(32))))
+
+
+def string(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+OPENSSH = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(b"p" * 51) + string(b"s" * 136)
+
+
+def brute(text):
+    """The base spans by the letter of their definition."""
+    out = []
+    for kind, pattern, flags in (
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+        ("access", "AKIA[A-Z0-9]+", 0),
+        ("hex", "[0-9a-f]+", 0),
+    ):
+        for m in re.finditer(pattern, text or "", flags):
+            if {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}[kind](m):
+                out.append((m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_parsers_accept_keys_and_refuse_near_misses():
+    for key in (RSA, PKCS8, SEC1):
+        assert s.is_der_private_key(key)
+        assert not s.is_der_private_key(key[:-1])
+        assert not s.is_der_private_key(key + b"\0")
+    assert not s.is_der_private_key(der(0x30, der(2, b"\0"), der(2, b"\x05")))
+    assert s.is_openssh_private_key(OPENSSH)
+    assert not s.is_openssh_private_key(OPENSSH[:-1])
+    assert not s.is_openssh_private_key(OPENSSH + b"\0")
+
+
+def token(header, claims):
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    return f"{part(header)}.{part(claims)}.c2lnbmF0dXJl"
+
+
+def test_structures_in_text():
+    b64 = base64.b64encode(PKCS8).decode()
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64)) + "\n-----END PRIVATE KEY-----"
+    for kind, body in (("pem", pem), ("der", base64.b64encode(RSA).decode()), ("der", SEC1.hex()), ("openssh", base64.b64encode(OPENSSH).decode()), ("jwt", token({"alg": "HS256"}, {"sub": 1}))):
+        text = f"é {body} after"
+        spans = [x for x in s.find_secrets(text) if x[0] in s.CONFIRMED_KINDS]
+        assert [x[0] for x in spans] == [kind]
+        at, end = spans[0][1:]
+        assert text[at:end].rstrip("=") == body.rstrip("=")
+    for clean in (token({"typ": "x"}, {"sub": 1}), token(["alg"], {}), base64.b64encode(b"0" * 60).decode(), "M" * 80, "30" * 60):
+        assert not [x for x in s.find_secrets(clean) if x[0] in s.CONFIRMED_KINDS]
+
+
+def test_failing_matches_are_dropped_whole():
+    assert s.find_secrets("secret: token : xyzabcdef") == []
+    assert [x[0] for x in s.find_secrets("paſſword=abcdefgh toKen = 'abcdef'")] == ["assign"]
+
+
+def test_query_equals_brute_force(spark, sf_dir, texts):
+    for r in s.op1_secret_scan(spark, sf_dir).collect():
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex")]
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in s.BASE_KINDS] == want
+
+
+def test_redaction(spark, odd_docs, no_docs):
+    assert s.redact_text("password=abcdef0123456789abcdef0123 x") == "[SECRET] x"
+    assert s.redact_text("clean") == "clean"
+    out = s.redact_secrets(odd_docs)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    assert s.scan_secrets(odd_docs).where("size(findings) > 0").count() == 0
+    assert s.redact_secrets(no_docs).count() == 0
+    one = spark.createDataFrame([(1, "token = abcdefgh z", 18)], "doc_id long, text string, n_chars long")
+    assert s.redact_secrets(one).first() == (1, "[SECRET] z", 10)
