@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 #: Letters that look like the Latin letters below them.
 LOOKALIKES = "аеорсухіјѕһԁɡνοαρτυκιвмнтк" + "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
@@ -32,6 +32,8 @@ LETTERS = "oieastasil"
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown")
 EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "trash bag", "pond scum", "sore loser rule")
 SEED_WEIGHT = 3.0
+#: Labelled rows that are learned from, at most: those whose ids hash lowest. Their ids are broadcast.
+MOST_LABELLED = 20_000
 #: Entries that are learned at most; the lexicon is broadcast, so this bounds it.
 MOST_TERMS = 20_000
 #: A term is weighed if this share of the toxic training documents have it, and at least so many.
@@ -206,10 +208,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     """docs with `to`: how likely label 1 is, from 0 to 1, from the text alone.
 
     labels (doc_id, toxic): rows of ids whose checksum falls into the held-out fold are not learned from,
-    nor are null labels; contradictory ones count each. Null and empty texts score as texts without entries.
+    nor are null labels; contradictory ones count each. Of the others MOST_LABELLED are learned from, a
+    sample by hash, so that no text is shuffled for it. Null and empty texts score as texts without entries.
     """
     marked = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias(id), "toxic")
-    labelled = docs.select(id, F.col(text).alias("text")).join(marked, id).select("text", "toxic")
+    sample = marked.orderBy(F.xxhash64(id, F.lit(13)), id, "toxic").limit(MOST_LABELLED)
+    labelled = stash(docs.select(id, F.col(text).alias("text")).join(F.broadcast(sample), id).select("text", "toxic"), "toxicity")
     weights, (intercept, slope) = learn(labelled)
     raw = raw_score(weights)(F.col(text))
     return docs.withColumn(to, 1 / (1 + F.exp(-(F.lit(intercept) + slope * raw))))
