@@ -91,6 +91,13 @@ def curve_keys(ids: list, texts: list[str | None]) -> np.ndarray:
     return ((hilbert(cells, BITS) << np.uint64(SALT)) | salt).astype(np.int64)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that the Python objects made of them are few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _lay(ids: np.ndarray, fill: int, length: int) -> Iterator[tuple[int, int, int]]:
     """(start, length, offset) of the pieces of a document laid from offset `fill` on."""
     at = 0
@@ -114,7 +121,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = tokenizer(path)
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column("text").to_pylist()
             keys = curve_keys(batch.column("id").to_pylist(), texts)
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), pa.array([x + tail for x in by.ids(texts)], pa.binary())], ["key", "id", "ids"])
@@ -132,7 +139,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sequence, fill = -1, 0, 0
-        for batch in batches:
+        for batch in _small(batches):
             rows: list[tuple] = []
             at: list[int] = []
             for n, (own, ids) in enumerate(zip(batch.column("part").to_pylist(), batch.column("ids").to_pylist(), strict=True)):

@@ -14,10 +14,12 @@ from itertools import filterfalse
 
 import numpy as np
 
-#: Segments that a worker keeps: those seen in two batches or more, and those seen in one. Beyond them it starts anew.
+#: Segments that a worker keeps: those seen in two megabytes or more, and those seen in one. Beyond them it starts anew.
 KEEP, RECENT = 400_000, 400_000
 #: Characters of a string of new segments that is encoded at once.
 JOINED = 1 << 16
+#: Characters of the texts that are split at once: their segments take some ten times the memory.
+AT_ONCE = 1 << 20
 #: Signs at the end of a segment that make a token of their own after a letter or digit.
 TAIL = ".,;:!?#*$%&|"
 
@@ -103,6 +105,16 @@ class SegmentTokenizer:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 16-bit numbers; none for null."""
+        out: list[bytes] = []
+        start = size = 0
+        for n, text in enumerate(texts):
+            size += len(text or "")
+            if size >= AT_ONCE:
+                out += self._ids(texts[start : n + 1])
+                start, size = n + 1, 0
+        return out + self._ids(texts[start:])
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
         new: set[str] = set()
         for parts in split:
