@@ -14,8 +14,8 @@ from itertools import filterfalse
 
 import numpy as np
 
-#: Segments that a worker keeps: those seen in two megabytes or more, and those seen in one. Beyond them it starts anew.
-KEEP, RECENT = 400_000, 400_000
+#: Segments that a worker keeps: those that recurred, and those seen in one megabyte only. Beyond them it starts anew.
+KEEP, RECENT = 600_000, 700_000
 #: Characters of a string of new segments that is encoded at once.
 JOINED = 1 << 16
 #: Characters of the texts that are split at once: their segments take some ten times the memory.
@@ -55,32 +55,44 @@ class SegmentTokenizer:
             self.tails[signs] = self._encode(signs)
         return self.tails[signs]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes | None]:
-        """The ids of new segments, None for those before or after which a space doesn't stand alone.
+    def _learn(self, new: set[str]) -> list[str]:
+        """Puts new segments into `known`, with None for those at whose edges a space doesn't stand alone; returns those to forget again.
 
         Signs at a segment's end are parted from a letter or digit before them by the tokenizer too, so the
-        ids of what is before them are found by themselves, and many new segments share them.
+        ids of what is before them are kept by themselves, and many segments share them. A segment stays
+        known when it, or what is before its signs, comes a second time.
         """
-        made: dict[str, bytes | None] = {}
-        bare: dict[str, str] = {}
+        known, recent = self.known, self.recent
+        unknown: set[str] = set()
+        bare: list[str] = []
+        signed: list[tuple[str, str]] = []
         for x in new:
-            if not x or x[0].isspace() or x[-1].isspace():
-                made[x] = None
-                continue
             short = x.rstrip(TAIL)
-            bare[x] = short if short and short[-1].isalnum() else x
-        ids = {}
-        unknown = []
-        for short in set(bare.values()):
-            found = self.known.get(short) or self.recent.get(short)
-            if found is None:
-                unknown.append(short)
+            if len(short) == len(x) or not short or not short[-1].isalnum():
+                short = x
+            if not x or x[0].isspace() or x[-1].isspace():
+                known[x] = None
+            elif short is x:
+                if x in recent:
+                    known[x] = recent.pop(x)
+                else:
+                    unknown.add(x)
+                    bare.append(x)
+            elif short in known and not short[0].isspace():
+                known[x] = known[short] + self._tail(x[len(short) :])
             else:
-                ids[short] = found
-        ids.update(self._encode_segments(sorted(unknown)))
-        for x, short in bare.items():
-            made[x] = ids[short] if short == x else ids[short] + self._tail(x[len(short) :])
-        return made
+                if short not in recent:
+                    unknown.add(short)
+                signed.append((x, short))
+        made = self._encode_segments(sorted(unknown))
+        for x in bare:
+            known[x] = made[x]
+        for x, short in signed:
+            known[x] = (made.get(short) or recent.get(short) or known[short]) + self._tail(x[len(short) :])
+        if len(recent) + len(made) > self.most_recent:
+            recent.clear()
+        recent.update(made)
+        return [*bare, *(x for x, _ in signed)]
 
     def _encode_segments(self, segments: list[str]) -> dict[str, bytes]:
         """Segments are encoded in long strings, and the ids cut where the segments' bytes end."""
@@ -119,13 +131,7 @@ class SegmentTokenizer:
         new: set[str] = set()
         for parts in split:
             new.update(filterfalse(self.known.__contains__, parts[1:]))
-        once = []
-        for x in new:
-            if x in self.recent:
-                self.known[x] = self.recent.pop(x)
-            else:
-                once.append(x)
-        self.known.update(self._learn(once))
+        forget = self._learn(new)
         out = []
         for text, parts in zip(texts, split, strict=True):
             first = parts[0]
@@ -137,10 +143,8 @@ class SegmentTokenizer:
                 out.append(self._encode(text))
             else:
                 out.append((self._encode(first) if first else b"") + rest)
-        if len(self.recent) + len(once) > self.most_recent:
-            self.recent.clear()
-        for x in once:
-            self.recent[x] = self.known.pop(x)
+        for x in forget:
+            del self.known[x]
         if len(self.known) > self.keep:
             self.known.clear()
         return out
