@@ -21,6 +21,11 @@ def zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0))
 
 
+def clamp(x: Column, low: float, high: float) -> Column:
+    """x within the bounds; null stays null (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def overall_score(sharpness: Column, exposure: Column, weight: float = 0.65) -> Column:
     """C1."""
     return F.bround(sharpness * weight + exposure * (1 - weight), 1)
@@ -34,7 +39,7 @@ def reweighted(old: Column, sharpness: Column, exposure: Column, weight: float)
 
 def sharpness_score(normalized: Column, threshold: float = SHARPNESS_THRESHOLD) -> Column:
     """50 at the threshold, 100 at most; one threshold holds for all formats."""
-    return F.least(F.lit(100.0), F.bround(normalized / threshold * 50, 0))
+    return clamp(F.bround(normalized / threshold * 50, 0), 0.0, 100.0)
 
 
 def sharpness_label(score: Column) -> Column:
@@ -53,7 +58,7 @@ def exposure_score(mean: Column, highlights: Column, shadows: Column) -> Column:
     """C4: 100 less penalties for brightness and for clipping at either end, as a whole number."""
     clipped = HIGHLIGHT_PENALTY * piecewise_linear(highlights, CLIPPING_POINTS) + SHADOW_PENALTY * piecewise_linear(shadows, CLIPPING_POINTS)
     score = F.bround(100 - piecewise_linear(F.abs(mean - 128), BRIGHTNESS_POINTS) - clipped, 0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).cast("int")
+    return clamp(score, 0.0, 100.0).cast("int")
 
 
 def exposure_warning(mean: Column, highlights: Column, shadows: Column) -> Column:
@@ -107,13 +112,13 @@ def shake_conflict(exif: Column, pixel: Column) -> Column:
 
 def iqa_score(raw: Column) -> Column:
     """C10."""
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) * 100, 1)
+    return F.bround(clamp(raw, 0.0, 1.0) * 100, 1)
 
 
 def aesthetic_score(raw: Column) -> Column:
     """C11: raw values above 1.5 are on a scale of 1 to 10."""
-    on_ten = (F.greatest(F.lit(1.0), F.least(F.lit(10.0), raw)) - 1) / 9 * 100
-    on_one = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) * 100
+    on_ten = (clamp(raw, 1.0, 10.0) - 1) / 9 * 100
+    on_one = clamp(raw, 0.0, 1.0) * 100
     return F.bround(F.when(raw > 1.5, on_ten).otherwise(on_one), 1)
 
 
@@ -131,7 +136,7 @@ def burst_score(sharpness: Column, exposure: Column, shake: Column | None = None
 def face_quality(detected: Column, sharpness: Column, eyes_open: Column, size: Column) -> Column:
     """Null without a face."""
     raw = zero(sharpness) - F.when(eyes_open == 0, 35).otherwise(0) + F.least(F.lit(10.0), 50 * zero(size))
-    return F.when(zero(detected) == 1, F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
+    return F.when(zero(detected) == 1, clamp(raw, 0.0, 100.0))
 
 
 def headline_score(overall: Column, personal: Column, ready: Column | bool) -> Column:
@@ -151,14 +156,14 @@ def score_band(score: Column, low: float = 40, high: float = 70) -> Column:
 
 def fact_sheet() -> Column:
     """The known scores and settings of a photo, a line each."""
-    one = lambda name: F.coalesce(F.format_string("%.1f", F.col(name).cast("double")), F.lit("N/A"))
+    one = lambda name: F.when(F.col(name).isNull(), "N/A").otherwise(F.format_string("%.1f", F.col(name).cast("double")))
     scored = lambda label, name, low=40, high=70: F.concat(F.lit(f"{label}: "), one(name), F.lit(" ("), score_band(F.col(name), low, high), F.lit(")"))
     shutter = F.when(zero(F.col("shutter_speed")) == 0, "N/A").when(F.col("shutter_speed") >= 1, F.format_string("%.0fs", "shutter_speed")).otherwise(F.concat(F.lit("1/"), F.bround(1 / F.col("shutter_speed")).cast("long"), F.lit("s")))
     face = F.concat(F.col("face_count"), F.lit(" face(s)"), F.coalesce(F.when(F.col("eyes_open") == 1, ", eyes open").when(F.col("eyes_open") == 0, ", eyes closed"), F.lit("")))
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Camera: "), F.coalesce(F.col("camera"), F.lit("unknown camera"))),
-        F.concat(F.lit("Settings: "), F.coalesce(F.format_string("%.0f", "focal_length_mm"), F.lit("N/A")), F.lit("mm, f/"), one("aperture"), F.lit(", "), shutter, F.lit(", ISO "), F.coalesce(F.col("iso").cast("string"), F.lit("N/A"))),
+        F.concat(F.lit("Settings: "), F.when(F.col("focal_length_mm").isNull(), "N/A").otherwise(F.format_string("%.0f", "focal_length_mm")), F.lit("mm, f/"), one("aperture"), F.lit(", "), shutter, F.lit(", ISO "), F.coalesce(F.col("iso").cast("string"), F.lit("N/A"))),
         scored("Overall", "overall_score"),
         scored("Sharpness", "sharpness_score"),
         scored("Exposure", "exposure_score"),

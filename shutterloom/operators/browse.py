@@ -81,7 +81,7 @@ def tag_scene(photos: DataFrame, labels: dict[str, Sequence[float]]) -> DataFram
     scores = photos.withColumn("__dots", dot_matrix(list(labels.values()))(F.col("embedding")))
     best = F.array_max("__dots")
     name = F.element_at(F.array(*map(F.lit, labels)), F.array_position("__dots", best).cast("int"))
-    return scores.withColumns({"scene": F.when(best.isNotNull(), name), "scene_confidence": F.greatest(F.lit(0.0), F.bround(best, 4))}).drop("__dots")
+    return scores.withColumns({"scene": F.when(best.isNotNull(), name), "scene_confidence": F.when(best.isNotNull(), F.greatest(F.lit(0.0), F.bround(best, 4)))}).drop("__dots")
 
 
 def concept_axes(photos: DataFrame, prompts: dict[str, tuple[Sequence[float], Sequence[float]]], face_only: tuple[str, ...] = ("eye_contact_score",)) -> DataFrame:

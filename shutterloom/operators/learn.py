@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FEATURES, SCENES, SCHEMA_VERSION
-from ..functions.scores import zero
+from ..functions.scores import clamp, zero
 from .dashboard import pairwise_tallies
 
 HALF_LIFE_DAYS = 180.0
@@ -109,8 +109,7 @@ def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
 
 
 def _moved(overall: Column, raw: Column) -> Column:
-    shift = F.greatest(F.lit(-REACH), F.least(F.lit(REACH), REACH * raw))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), overall + shift))
+    return clamp(overall + clamp(REACH * raw, -REACH, REACH), 0.0, 100.0)
 
 
 def predict_personal(model: PipelineModel, images: DataFrame) -> DataFrame:
