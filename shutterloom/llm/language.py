@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import small_batches, stash, table
 
 LANGUAGES = ("de", "en", "es", "fr")
 BINS = 1 << 13
@@ -61,7 +61,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> np.nda
         at, bins = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bins, pa.int32()), pa.array(sums[at, bins], pa.int64())], ["lang", "bin", "n"])
 
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*LANGUAGES))
+    rows = small_batches(labelled).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*LANGUAGES))
     sums = np.ones((len(LANGUAGES), BINS))
     for at, b, n in rows.mapInArrow(count, "lang int, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n")).collect():
         sums[at, b] += n

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Bytes of a row of 64 RGB samples; payloads are padded to a multiple.
 ROW = 192
@@ -167,7 +167,7 @@ def media_features(rows: DataFrame, media: str = "media", to: str = "features")
 
     A null image has a struct of nulls; bytes that are no image have nulls and an error. No shuffle.
     """
-    return rows.withColumn(to, F.arrow_udf(_features, "struct<" + ",".join(f"{name}:{kind}" for name, kind, _ in _KINDS) + ">")(F.col(media)))
+    return small_batches(rows).withColumn(to, F.arrow_udf(_features, "struct<" + ",".join(f"{name}:{kind}" for name, kind, _ in _KINDS) + ">")(F.col(media)))
 
 
 def text_image(text: str | None) -> bytes:
@@ -183,7 +183,7 @@ def _text_images(text: pa.Array) -> pa.Array:
 
 def texts_as_media(docs: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
     """docs with each text stored losslessly as the bytes of a P6 image; null as the empty text."""
-    return docs.withColumn(to, F.arrow_udf(_text_images, "binary")(F.col(text)))
+    return small_batches(docs).withColumn(to, F.arrow_udf(_text_images, "binary")(F.col(text)))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

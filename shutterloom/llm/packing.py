@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import small_batches, stash, table
 from .sharding import find_cuts
 from .tokens import tokenizer
 
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
     a partition is full. A null text is packed as the empty one, as its end id alone; repeated rows are
     packed each; a null id is kept; an empty table gives no pieces. Sequences depend on the rows alone.
     """
-    plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    plain = small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = plain.schema["id"].dataType
     tail = end.to_bytes(2, "little")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import small_batches, stash, table
 
 #: Languages with a stratum of their own; all others, and null, share "other".
 STRATA = ("de", "en", "es", "fr")
@@ -110,7 +110,7 @@ def _measured(text: pa.Array) -> pa.Array:
 
 def with_measures(docs: DataFrame, text: str = "text", to: str = "measures") -> DataFrame:
     """docs with a struct column `to` of MEASURES, replacing one of that name."""
-    return docs.withColumn(to, F.arrow_udf(_measured, _TYPE)(F.col(text)))
+    return small_batches(docs).withColumn(to, F.arrow_udf(_measured, _TYPE)(F.col(text)))
 
 
 def stratum(lang: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Kinds in the order in which spans with one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -193,7 +193,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", to: str = "findings") -> D
     No shuffle: one vectorised pass, one text in memory at a time beside its batch. Null and empty
     texts have no findings; repeated rows have each their own; an existing column `to` is replaced.
     """
-    return docs.withColumn(to, F.arrow_udf(_secrets_in, FINDING)(F.col(text)))
+    return small_batches(docs).withColumn(to, F.arrow_udf(_secrets_in, FINDING)(F.col(text)))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -201,7 +201,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_
 
     All rows stay. Null texts stay null with their length as it was.
     """
-    out = docs.withColumn(text, F.arrow_udf(_redacted, "string")(F.col(text)))
+    out = small_batches(docs).withColumn(text, F.arrow_udf(_redacted, "string")(F.col(text)))
     if length and length in docs.columns:
         out = out.withColumn(length, F.coalesce(F.length(text).cast(docs.schema[length].dataType), F.col(length)))
     return out

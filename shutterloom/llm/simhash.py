@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import small_batches, stash, table
 
 SEED = 42
 #: Rows of a block; a block pair compares at most the square of it.
@@ -253,7 +253,7 @@ def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     equal texts share a fingerprint; a null id counts as larger than any other, so a class of null ids alone
     has a null component. Repeated rows come back as often as they went in.
     """
-    made = docs.select(F.col(id).alias("id"), fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
+    made = small_batches(docs).select(F.col(id).alias("id"), fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
     names = [f"l{k}" for k in range(lanes)]
     rows = stash(made.select("id", *(F.col("made.lanes")[k].alias(n) for k, n in enumerate(names)), (F.col("made.shingles") if ratio else F.lit(0).cast("long")).alias("size")), "simhash")
     # Equal fingerprints are one node, named by a number that is dense enough to be a long.
@@ -279,7 +279,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_wo
     Jaccard similarity differ in about 19 of the first 128 bits and in about 77 of all 512. Null and empty
     texts form one class. Null ids come last. Rows that agree in id and text count once.
     """
-    marked = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
+    marked = small_batches(docs).select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
     names = [f"l{k}" for k in range(lanes)]
     rows = stash(marked.select("id", "mark", *(F.col("made.lanes")[k].alias(n) for k, n in enumerate(names)), F.col("made.shingles").alias("size")), "simhash")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "mark")

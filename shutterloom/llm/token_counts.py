@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stash, table, word_count
+from .common import shared_folder, small_batches, stash, table, word_count
 from .tokens import tokenizer
 
 KEY = ("source", "lang", "tokenizer")
@@ -103,7 +103,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     bpe = public_tokenizers.path("byte_bpe_50k.json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "text")
     shorter = F.when(F.col("text").contains("\n"), without_repeated_lines())
     plain = docs.withColumn("revised", F.when(F.length(shorter) < F.length("text"), shorter))
     counted = stash(

@@ -15,7 +15,7 @@ from itertools import filterfalse
 import numpy as np
 
 #: Segments that a worker keeps: those that recurred, and those seen in one megabyte only. Beyond them it starts anew.
-KEEP, RECENT = 600_000, 700_000
+KEEP, RECENT = 500_000, 700_000
 #: Characters of a string of new segments that is encoded at once.
 JOINED = 1 << 16
 #: Characters of the texts that are split at once: their segments take some ten times the memory.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import small_batches, stash, table
 
 #: Letters that look like the Latin letters below them.
 LOOKALIKES = "аеорсухіјѕһԁɡνοαρτυκιвмнтк" + "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
@@ -216,7 +216,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     labelled = stash(docs.select(id, F.col(text).alias("text")).join(F.broadcast(sample), id).select("text", "toxic"), "toxicity")
     weights, (intercept, slope) = learn(labelled)
     raw = raw_score(weights)(F.col(text))
-    return docs.withColumn(to, 1 / (1 + F.exp(-(F.lit(intercept) + slope * raw))))
+    return small_batches(docs).withColumn(to, 1 / (1 + F.exp(-(F.lit(intercept) + slope * raw))))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
