@@ -40,7 +40,9 @@ MOST_TERMS = 20_000
 LEAST_SHARE, LEAST_COUNT = 0.004, 5
 #: The lower end of a term's log-odds (2.6 standard errors below) that makes it an entry.
 LEAST_ODDS = 1.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: A beginning is left out if one longer entry has this share of the documents that have it: it stands for that one.
+STANDS_FOR = 0.9
 FOLDS = 5
 
 _FOLD = str.maketrans(LOOKALIKES, LATIN)
@@ -93,21 +95,28 @@ def _count_terms(rows: DataFrame, only: frozenset | None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = terms(text)
+            for text in batch.column("text"):
+                found = terms(text.as_py())
                 seen.update(found if only is None else found & only)
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
+                if len(seen) > 100_000:
+                    yield out()
+                    seen.clear()
         yield out()
 
     return rows.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Entries and weights from document counts; an entry that starts with another as strong is left out."""
+    """Entries and weights from document counts: of a word and its beginnings, the shortest that isn't only another's beginning."""
     found = {}
+    longest = {}
+    for term, n in toxic.items():
+        for k in PREFIXES:
+            if k + 1 < len(term):
+                longest[term[: k + 1]] = max(longest.get(term[: k + 1], 0), n)
     for term in sorted(toxic, key=lambda t: (len(t.rstrip()), t)):
+        if not term.endswith(" ") and longest.get(term, 0) >= STANDS_FOR * toxic[term]:
+            continue
         a, b = toxic[term] + 0.5, clean.get(term, 0) + 0.5
         odds = math.log(a / (n_toxic + 1)) - math.log(b / (n_clean + 1))
         if odds - 2.6 * math.sqrt(1 / a + 1 / b) < LEAST_ODDS:
