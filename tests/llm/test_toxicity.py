@@ -19,8 +19,9 @@ def test_lexicon_weighs_words_beginnings_and_exceptions():
 
 
 def test_terms_are_weighed_by_evidence():
-    got = t.weigh({" awful ": 90, " the ": 99, " awfully ": 30, " awfu": 100, " rare ": 1}, {" the ": 980}, 100, 1000)
+    got = t.weigh({" awful ": 90, " the ": 99, " awfully ": 30, " awfu": 120, " rare ": 1}, {" the ": 980}, 130, 1000)
     assert set(got) == {" awfu"}
+    assert set(t.weigh({" awful ": 90, " awfu": 91}, {}, 130, 1000)) == {" awful "}
 
 
 def test_held_out_accuracy(spark):
