@@ -27,10 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def stash(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage with files that survive a lost executor, and later reads prune columns.
+    This cuts the lineage with files that survive a lost executor, and later reads prune columns. Zstd, as
+    Snappy's writers hold memory outside the heap that is freed late when a task follows the other.
     """
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)

@@ -127,7 +127,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), pa.array([x + tail for x in by.ids(texts)], pa.binary())], ["key", "id", "ids"])
 
     # The texts are read once; keys and ids are kept, in about as many bytes as the texts.
-    made = stash(plain.mapInArrow(tokenise, f"key bigint, id {kind.simpleString()}, ids binary"), "packing", "zstd")
+    made = stash(plain.mapInArrow(tokenise, f"key bigint, id {kind.simpleString()}, ids binary"), "packing")
     keyed = made.select(F.shiftleft("key", 1).alias("k1"), F.lit(0).cast("long").alias("k2"), F.octet_length("ids").cast("long").alias("size"))
     parts = max(1, min(MOST_PARTITIONS, -(-(keyed.agg(F.sum("size")).first()[0] or 0) // PARTITION_BYTES)))
     # Cuts at even shares of the ids, from exact counts, so that reruns agree.
