@@ -194,7 +194,8 @@ def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0,
     need = tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / BLOCK).alias("n"))
     dealt = tiled.join(need, "tile").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
     row = F.struct("id", *(f"l{k}" for k in range(lanes)), "size")
-    blocks = stash(dealt.groupBy("tile", "block").agg(F.collect_list(row).alias("rows")), "simhash-blocks")
+    # Dealt anew by tile and block: left where the join put it, a hot tile would be one task's.
+    blocks = stash(dealt.repartition("tile", "block").groupBy("tile", "block").agg(F.collect_list(row).alias("rows")), "simhash-blocks")
     names = blocks.select("tile", "block")
     # Counts in classes k apart differ by (k - 1) x grain + 1 at least.
     near = steps(parts, (radius - 1) // grain + 1 if radius else 0)
