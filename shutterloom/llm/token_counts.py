@@ -120,7 +120,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "token-counts",
     )
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # Written, so that the join deals both sides itself and AQE can split a hot text's side.
+    first = stash(counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "token-copies")
     copies = counted.join(first, "digest").where("doc_id > first")
     each = lambda rows: rows.select("source", "lang", "is_revised", F.explode("counts").alias("c")).select("source", "lang", "is_revised", "c.*")
     last = F.when(F.col("is_revised"), F.col("new_tokens")).otherwise(F.col("tokens"))
