@@ -115,8 +115,9 @@ def fuse(evidence: DataFrame) -> DataFrame:
     all_rows = sum(overall.values())
     base = {x: (overall.get(x, 0) + 1.0) / (all_rows + len(LANGUAGES)) for x in LANGUAGES}
     said = {(a, b): n for a, b, n in rows.where(F.col("declared").isin(*LANGUAGES)).groupBy("text_lang", "declared").count().collect()}
-    hosts = rows.where("host is not null").groupBy("host").agg(*_sums("h"))
-    suffixes = rows.where("suffix is not null").groupBy("suffix").agg(*_sums("s"))
+    # Written, so that the joins deal both sides themselves and AQE can split a hot host's side.
+    hosts = stash(rows.where("host is not null").groupBy("host").agg(*_sums("h")), "language-hosts")
+    suffixes = stash(rows.where("suffix is not null").groupBy("suffix").agg(*_sums("s")), "language-suffixes")
     met = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
     own = {x: (F.col("text_lang") == x).cast("double") for x in LANGUAGES}
 
