@@ -60,7 +60,8 @@ def find_cuts(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tu
         rounds += 1
         held = sorted({digits for digits, _ in open_cuts.values()})
         # The open intervals, at most one a cut, meet the rows by the leading bits of the key.
-        names = keyed.sparkSession.createDataFrame([(*_prefix(digits), n) for n, digits in enumerate(held)], "p1 long, p2 long, held int")
+        listed = ", ".join("(BIGINT('{}'), BIGINT('{}'), {})".format(*_prefix(digits), n) for n, digits in enumerate(held))
+        names = keyed.sparkSession.sql(f"SELECT * FROM VALUES {listed} AS t(p1, p2, held)")
         bits = depth * STEP
         rows = keyed.select(_leading("k1", bits).alias("p1"), _leading("k2", bits - 64).alias("p2"), _digit(depth).alias("digit"), "size")
         counted = rows.join(F.broadcast(names), ["p1", "p2"])
