@@ -23,6 +23,8 @@ from .common import small_batches, stash, table
 SEED = 42
 #: Rows of a block; a block pair compares at most the square of it.
 BLOCK = 4096
+#: Shingles of a block, where sizes count: their hashes are held for two blocks at most.
+WEIGHT = 1 << 21
 #: Cells of a comparison that numpy holds at once.
 CELLS = 1 << 20
 
@@ -85,6 +87,37 @@ def fingerprint_udf(shingle_words: int, lanes: int):
     return fingerprints
 
 
+def set_fingerprint_udf(shingle_words: int, lanes: int):
+    """text -> (array of `lanes` fingerprint words, number and digest) of its distinct shingles."""
+
+    @F.arrow_udf("struct<lanes:array<bigint>,shingles:bigint,digest:binary>")
+    def fingerprints(text: pa.Array) -> pa.Array:
+        words, counts, digests = [], [], []
+        for t in text.to_pylist():
+            h = np.unique(shingle_hashes(t, shingle_words))
+            counts.append(len(h))
+            digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+            own = []
+            for lane in range(lanes):
+                own.append(_signed(majority(h)))
+                if lane + 1 < lanes:
+                    h = remix(h)
+            words.append(own)
+        return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.int64())), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())], ["lanes", "shingles", "digest"])
+
+    return fingerprints
+
+
+def shingle_set_udf(shingle_words: int):
+    """text -> the sorted hashes of its distinct shingles, eight bytes each."""
+
+    @F.arrow_udf("binary")
+    def sets(text: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t, shingle_words)).tobytes() for t in text.to_pylist()], pa.binary())
+
+    return sets
+
+
 def parts_for(rows: int, radius: int) -> int:
     """Into how many parts a fingerprint is cut for its tile: 1, 2, 4 or 8, more with more rows.
 
@@ -165,6 +198,43 @@ def block_links(left: tuple, right: tuple | None, radius: int, ratio: float, coa
     return found_a, found_b
 
 
+def common_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the others, sets without empty ones, has in common with one; all are sorted."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    starts = np.cumsum([0] + [len(x) for x in others[:-1]])
+    return np.add.reduceat(one[at] == flat, starts, dtype=np.int64)
+
+
+def jaccard_links(ids: np.ndarray, lanes: np.ndarray, sets: list[np.ndarray], ratio: float, full_radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs within full_radius whose sets have a Jaccard similarity of at least ratio, a forest.
+
+    Pairs that links found before connect aren't compared; that leaves the components as they are.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    label = np.arange(len(ids))
+    found_a, found_b = [], []
+    for i in range(len(ids) - 1):
+        j = i + 1 + np.nonzero(label[i + 1 :] != label[i])[0]
+        j = j[np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j]) - 1e-6]
+        j = j[sizes[j] > 0]
+        if len(j):
+            j = j[np.bitwise_count(lanes[:, i, None] ^ lanes[:, j]).sum(axis=0, dtype=np.int64) <= full_radius]
+        while len(j):
+            # As many as numpy can hold at once, one at least; what they link is not looked at again.
+            take = max(1, int(np.searchsorted(np.cumsum(sizes[j]), CELLS, "right")))
+            now, j = j[:take], j[take:]
+            both = common_counts(sets[i], [sets[x] for x in now])
+            hits = now[both >= ratio * (sizes[i] + sizes[now] - both) - 1e-6]
+            if len(hits):
+                joined, first = np.unique(label[hits], return_index=True)
+                found_a += [ids[i]] * len(first)
+                found_b += ids[hits[first]].tolist()
+                label[np.isin(label, joined)] = label[i]
+                j = j[label[j] != label[i]]
+    return np.array(found_a, np.int64), np.array(found_b, np.int64)
+
+
 def grain_for(radius: int) -> int:
     """How many population counts make a class: 1 for small radii; for large ones, a tile of one count would have very many neighbours."""
     return max(1, radius // 4)
@@ -188,10 +258,12 @@ def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0,
     """Links (a, b) that connect all of prints (id, l0.., size) that link as block_links() says.
 
     Each block pair gives a forest of its links: fewer rows than its members, and the same components.
+    The column `pair` names the block pair; a is the same for all of a component within it.
     """
     parts, grain = parts_for(prints.count(), radius), grain_for(radius)
     tiled = prints.withColumn("tile", _tile_key(parts, coarse or lanes, grain, ratio))
-    need = tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / BLOCK).alias("n"))
+    blocks_of = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / WEIGHT))
+    need = tiled.groupBy("tile").agg(blocks_of.alias("n"))
     dealt = tiled.join(need, "tile").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
     row = F.struct("id", *(f"l{k}" for k in range(lanes)), "size")
     # Dealt anew by tile and block: left where the join put it, a hot tile would be one task's.
@@ -207,7 +279,7 @@ def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0,
     pairs = pairs.where((F.col("tile") != F.col("tile2")) | (F.col("block") <= F.col("block2")))
     work = pairs.join(blocks.select("tile", "block", F.col("rows").alias("left_rows")), ["tile", "block"])
     work = work.join(blocks.select(F.col("tile").alias("tile2"), F.col("block").alias("block2"), F.col("rows").alias("right_rows")), ["tile2", "block2"])
-    work = work.select(((F.col("tile") == F.col("tile2")) & (F.col("block") == F.col("block2"))).alias("same"), "left_rows", "right_rows")
+    work = work.select(((F.col("tile") == F.col("tile2")) & (F.col("block") == F.col("block2"))).alias("same"), F.xxhash64("tile", "block", "tile2", "block2").alias("pair"), "left_rows", "right_rows")
 
     def unpack(rows: pa.StructArray) -> tuple:
         return (rows.field("id").to_numpy(), np.stack([rows.field(f"l{k}").to_numpy().view(np.uint64) for k in range(lanes)]), rows.field("size").to_numpy())
@@ -215,13 +287,38 @@ def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0,
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("left_rows"), batch.column("right_rows")
-            same = batch.column("same").to_pylist()
+            same, pair = batch.column("same").to_pylist(), batch.column("pair").to_pylist()
             for n in range(batch.num_rows):
                 x, y = block_links(unpack(a[n].values), None if same[n] else unpack(b[n].values), radius, ratio, coarse, full_radius)
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array([pair[n]] * len(x), pa.int64())], ["a", "b", "pair"])
+
+    return work.mapInArrow(compare, "a bigint, b bigint, pair bigint")
+
+
+def confirmed_links(candidates: DataFrame, sets: DataFrame, lanes: int, ratio: float, full_radius: int) -> DataFrame:
+    """Links (a, b) between those that tiled_links() joined in one block pair, where the sets are as similar as ratio asks.
+
+    candidates: rows of tiled_links(); sets: (id, l0.., set). A row goes out for each member of a block pair's
+    component, never for each pair: what goes out grows with the members, however many are alike.
+    """
+    member = F.explode(F.array(F.col("a"), F.col("b")))
+    members = candidates.select("pair", "a", member.alias("id")).distinct()
+    row = F.struct("id", *(f"l{k}" for k in range(lanes)), "set")
+    groups = members.join(sets, "id").groupBy("pair", "a").agg(F.collect_list(row).alias("rows")).select("rows")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty((2, 0), np.int64)]
+            for n in range(batch.num_rows):
+                rows = batch.column("rows")[n].values
+                own = [np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid and len(x.as_buffer()) else np.empty(0, np.uint64) for x in rows.field("set")]
+                bits = np.stack([rows.field(f"l{k}").to_numpy().view(np.uint64) for k in range(lanes)])
+                found.append(np.stack(jaccard_links(rows.field("id").to_numpy(), bits, own, ratio, full_radius)))
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return work.mapInArrow(compare, "a bigint, b bigint")
+    return groups.mapInArrow(confirm, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,20 +370,29 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, lanes: int = 8, coarse: int = 2, radius: int = 30, full_radius: int = 87, ratio: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_words: int = 5, lanes: int = 8, coarse: int = 2, radius: int = 44, full_radius: int = 136, ratio: float = 0.8) -> DataFrame:
     """docs with one row of each class of near-duplicates: the one with the smallest id, then the smallest text hash.
 
-    The defaults stand for shingles of five words and a similarity of 0.8: texts whose shingle sets have that
-    Jaccard similarity differ in about 19 of the first 128 bits and in about 77 of all 512. Null and empty
-    texts form one class. Null ids come last. Rows that agree in id and text count once.
+    Near-duplicates are texts whose sets of distinct shingles have a Jaccard similarity of `ratio` or more, and
+    what such pairs connect. Fingerprints of these sets name the candidates, the sets themselves decide. At 0.8,
+    sets differ in about 19 of the first 128 bits and about 77 of all 512 (24 and 96 where four shingles meet five,
+    the worst case); the radii lie 4.5 standard deviations above that worst case. Null and empty texts form one
+    class. Null ids come last. Rows that agree in id and text count once.
     """
-    marked = small_batches(docs).select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
+    marked = small_batches(docs).select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), set_fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
     names = [f"l{k}" for k in range(lanes)]
-    rows = stash(marked.select("id", "mark", *(F.col("made.lanes")[k].alias(n) for k, n in enumerate(names)), F.col("made.shingles").alias("size")), "simhash")
+    rows = stash(marked.select("id", "mark", *(F.col("made.lanes")[k].alias(n) for k, n in enumerate(names)), F.col("made.shingles").alias("size"), "made.digest"), "simhash")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
-    nodes = stash(rows.groupBy(*names, "size").agg(F.min(rank).alias("first")).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    links = tiled_links(nodes.select(F.col("node").alias("id"), *names, "size"), lanes, radius, ratio, coarse, full_radius)
-    labels = components(links).withColumnRenamed("id", "node")
+    # Equal sets are one node; its first row's text is the one that is compared.
+    nodes = stash(rows.groupBy(*names, "size", "digest").agg(F.min(rank).alias("first")).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    near = stash(tiled_links(nodes.select(F.col("node").alias("id"), *names, "size"), lanes, radius, ratio, coarse, full_radius), "simhash-candidates")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.join(ends, "node").select("node", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"), *names)
+    texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    texts = asked.join(texts, F.col("first_id").eqNullSafe(F.col("id")) & (F.col("first_mark") == F.col("mark")))
+    texts = texts.groupBy("node", *names).agg(F.first("text").alias("text"))
+    sets = texts.select(F.col("node").alias("id"), *names, shingle_set_udf(shingle_words)(F.col("text")).alias("set"))
+    labels = components(confirmed_links(near, sets, lanes, ratio, full_radius)).withColumnRenamed("id", "node")
     # Of each label one node's first row wins; all other (id, mark) go.
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     winners = named.groupBy("label").agg(F.min("first").alias("w")).select(F.col("w.id").alias("id"), F.col("w.mark").alias("mark"))

@@ -110,3 +110,59 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     assert s.keep_one(no_docs).count() == 0
     same = docs.withColumn("text", F.lit("one text in all the rows there are"))
     assert [r.doc_id for r in s.keep_one(same).collect()] == [0]
+
+
+def shingle_sets(texts, k=5):
+    return {i: {" ".join(w[n : n + k]) for n in range(max(1, len(w) - k + 1))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+
+
+def jaccard_winners(texts, ratio=0.8):
+    """Smallest ids of the classes by comparing all pairs of shingle sets."""
+    sets, parent = shingle_sets(texts), {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 5 * len(sets[a] & sets[b]) >= round(5 * ratio) * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i for i in ids if root(i) == i}
+
+
+def pairs_of_similarity():
+    """Pairs that share n - r of n shingles each: 0.7, 0.8, 0.85; four shingles of five; and texts beside themselves twice."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for shingles, r in ((170, 30), (180, 20), (185, 15), (179, 21)):
+        for _ in range(40):
+            words = [word() for _ in range(shingles + 4)]
+            texts += [" ".join(words), " ".join(words[:-r] + [word() for _ in range(r)])]
+    for _ in range(40):
+        words = [word() for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    for _ in range(10):
+        words = [word() for _ in range(60)]
+        texts += [" ".join(words), " ".join(words * 2)]
+    return dict(enumerate(texts))
+
+
+def test_stage_equals_brute_force_about_the_threshold(spark, monkeypatch):
+    texts = pairs_of_similarity()
+    want = jaccard_winners(texts)
+    assert len(texts) - len(want) == 40 + 40 + 40 + 10
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in s.keep_one(docs).select("doc_id").collect()} == want
+    monkeypatch.setattr(s, "BLOCK", 16)
+    monkeypatch.setattr(s, "CELLS", 512)
+    assert {r.doc_id for r in s.keep_one(docs).select("doc_id").collect()} == want
+
+
+def test_stage_equals_brute_force_on_documents(spark, texts, documents):
+    kept = {r.doc_id for r in s.keep_one(documents).select("doc_id").collect()}
+    assert kept == jaccard_winners({i: t or "" for i, t in texts.items()})
