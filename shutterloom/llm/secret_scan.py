@@ -2,8 +2,9 @@
 
 Three textual patterns find assigned credentials, cloud access ids and long hex runs. Beside
 them, base64 and hex runs and armoured blocks are decoded, and reported only if what they hold
-parses: a private key in DER whose nested lengths add up, an OpenSSH private key whose length
-prefixes add up, or a signed token whose header and claims are JSON objects.
+parses: a private key in DER whose nested lengths add up, plain or encrypted, an OpenSSH private key
+whose length prefixes add up, or a signed token whose header and claims are JSON objects. Lines may
+end by line ends or by their escapes, and an armoured block may itself be in base64.
 """
 
 from __future__ import annotations
@@ -33,7 +34,18 @@ _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 # A DER sequence starts with byte 0x30 and an OpenSSH key with "openssh-key-v1", so their encodings start so:
-_BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3Bl)[A-Za-z0-9+/_-]{39,}={0,2}")
+# The escape of a line end may stand before it, and so a letter.
+_BASE64_KEY = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M|b3Bl)[A-Za-z0-9+/_-]{15,}")
+_LEAST_BASE64 = 40
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_LINE_END = re.compile(r"[ \t]{0,64}(?:\\{1,4}r\\{1,4}n|\\{1,4}[nr]|\r?\n|\r)[ \t]{0,64}")
+_ESCAPED_END = re.compile(r"\\{1,4}[nr]")
+# "-----BEGIN " in base64 from each of the three places in a group, and the signs that the first group has of it.
+_ARMOUR64 = re.compile(r"LS0tLS1CRUdJT|LS0tQkVHSU4g|LS0tLUJFR0lO")
+_ARMOUR64_SIGNS = {"LS0tLS1CRUdJT": b"", "LS0tQkVHSU4g": b"--", "LS0tLUJFR0lO": b"-"}
+_DEK_INFO = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,[0-9A-F]{16,}", re.I)
+# Object identifiers of PKCS#5 and of PKCS#12 encryption by passwords.
+_BY_PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee])(?:[0-9A-Fa-f]{2}){22,}")
 # "{" in base64url is "e" and one of 16 letters.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
@@ -84,11 +96,23 @@ def is_der_private_key(data: bytes) -> bool:
     return inside[0][1] == b"\x01" and tags[1] == 0x04 and len(inside[1][1]) >= 16
 
 
-def is_openssh_private_key(data: bytes) -> bool:
-    """Magic, three strings, a count of keys, and as many public strings and one private one, by their length prefixes."""
+def is_encrypted_private_key(data: bytes, by_password: bool = False) -> bool:
+    """EncryptedPrivateKeyInfo: algorithm and octets. by_password: only algorithms that encrypt by a password, as digests look alike."""
+    outer = _der_items(data)
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    inside = _der_items(outer[0][1])
+    if not inside or [t for t, _ in inside] != [0x30, 0x04] or not inside[1][1]:
+        return False
+    algorithm = _der_items(inside[0][1])
+    return bool(algorithm) and algorithm[0][0] == 0x06 and (not by_password or algorithm[0][1].startswith(_BY_PASSWORD))
+
+
+def _openssh_end(data: bytes) -> int | None:
+    """Magic, three strings, a count of keys, and as many public strings and one private one: where they end by their length prefixes."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at = len(magic)
 
     def string(at: int) -> int:
@@ -99,14 +123,19 @@ def is_openssh_private_key(data: bytes) -> bool:
 
     for _ in range(3):
         if (at := string(at)) < 0:
-            return False
+            return None
     if at + 4 > len(data) or not 1 <= (keys := int.from_bytes(data[at : at + 4], "big")) <= 64:
-        return False
+        return None
     at += 4
     for _ in range(keys + 1):
         if (at := string(at)) < 0:
-            return False
-    return at == len(data)
+            return None
+    return at
+
+
+def is_openssh_private_key(data: bytes) -> bool:
+    """Whether the parts of an OpenSSH key fill data exactly."""
+    return _openssh_end(data) == len(data)
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -118,37 +147,137 @@ def is_signed_token(head: str, body: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
-def _key_kind(data: bytes | None) -> bool:
-    return data is not None and (is_der_private_key(data) or is_openssh_private_key(data))
+def _key_kind(data: bytes | None, by_password: bool = True) -> str | None:
+    if data is None:
+        return None
+    if is_der_private_key(data) or is_encrypted_private_key(data, by_password):
+        return "der"
+    return "openssh" if is_openssh_private_key(data) else None
+
 
+def _is_armoured_key(label: str, body: str) -> bool:
+    lines = [x.strip() for x in _ESCAPED_END.sub("\n", body).splitlines()]
+    data = _decode64("".join("".join(x for x in lines if ":" not in x).split()))
+    if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines):
+        # Ciphertext has no structure: whole cipher blocks, and the header that names cipher and start value.
+        return bool(data) and len(data) % 8 == 0 and any(_DEK_INFO.match(x) for x in lines)
+    return _key_kind(data, by_password="ENCRYPTED" not in label) is not None
 
-def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
-    armour = []
+
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
     if "-----BEGIN " in text:
         for m in _PEM_BEGIN.finditer(text):
             end = text.find("-----", m.end())
             foot = f"-----END {m[1]}-----"
-            if end >= 0 and text.startswith(foot, end):
-                lines = [x.strip() for x in text[m.end() : end].splitlines()]
-                if _key_kind(_decode64("".join(x for x in lines if ":" not in x))):
-                    armour.append((m.start(), end + len(foot)))
-                    yield "pem", *armour[-1]
+            if end >= 0 and text.startswith(foot, end) and _is_armoured_key(m[1], text[m.end() : end]):
+                yield m.start(), end + len(foot)
+
+
+def _lines64(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """Spans of the base64 lines from at on."""
+    while m := _LINE.match(text, at):
+        yield m.span()
+        end = _LINE_END.match(text, m.end())
+        if not end:
+            return
+        at = end.end()
+
+
+def _armoured64(text: str) -> Iterator[tuple[int, int]]:
+    """Armoured blocks that are in base64 themselves."""
+    at = 0
+    while m := _ARMOUR64.search(text, at):
+        at = m.end()
+        spans = list(_lines64(text, m.start()))
+        run = "".join(text[a:b] for a, b in spans)
+        data = _decode64(run[: len(run) - (len(run) % 4 == 1)])
+        if data is None:
+            continue
+        signs = _ARMOUR64_SIGNS[m[0]]
+        found = next(_armoured((signs + data).decode("latin-1")), None)
+        if found is None or found[0] != 0:
+            continue
+        left = -(-(found[1] - len(signs)) * 4 // 3)
+        for a, b in spans:
+            left -= b - a
+            if left <= 0:
+                break
+        start = m.start()
+        while start and _LINE.match(text[start - 1]) and not (text[start - 1] in "nrt" and text[start - 2 : start - 1] == "\\"):
+            start -= 1
+        at = b + len(text[b : b + 2]) - len(text[b : b + 2].lstrip("="))
+        yield start, at
+
+
+def _claimed(head: bytes) -> int | None:
+    """How many bytes a DER sequence claims that starts like a private key; None if none does."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if n > 4 or head[1] == 0x80 or head[2 + n] not in (0x02, 0x30):
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def _wrapped_key(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of a key in base64 that starts at start and fills several lines; the key says its length."""
+    head = _decode64(text[start : start + 16])
+    need = _claimed(head) if head else None
+    if need is None and not (head or b"").startswith(b"openssh-key"):
+        return None
+    spans = list(_lines64(text, start))
+    run = "".join(text[a:b] for a, b in spans)
+    if need is None:
+        need = _openssh_end(_decode64(run[: len(run) - (len(run) % 4 == 1)]) or b"")
+    letters = -(-need * 4 // 3) if need else 0
+    if not _LEAST_BASE64 <= letters <= len(run):
+        return None
+    kind, held = _key_kind(_decode64(run[:letters])), 0
+    for a, b in spans:
+        held += b - a
+        if held >= letters:
+            return (kind, b) if kind and held == letters else None
+    return None
+
+
+def _keys64(text: str, armour: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    at = n = 0
+    while m := _BASE64_KEY.search(text, at):
+        start, at = m.span()
+        while n < len(armour) and armour[n][1] <= start:
+            n += 1
+        if n < len(armour) and armour[n][0] <= start:
+            at = max(at, armour[n][1])
+            continue
+        kind, end = (_key_kind(_decode64(m[0])) if at - start >= _LEAST_BASE64 else None), at
+        if not kind:
+            kind, end = _wrapped_key(text, start) or (None, at)
+        if kind:
+            at = end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+            yield kind, start, at
+
+
+def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
+    armour = sorted([*_armoured(text), *_armoured64(text)])
+    for span in armour:
+        yield "pem", *span
+    yield from _keys64(text, armour)
+    at = 0
+    for m in _HEX_KEY.finditer(text):
+        while at < len(armour) and armour[at][1] <= m.start():
+            at += 1
+        if at < len(armour) and armour[at][0] <= m.start():
+            continue
+        kind = _key_kind(bytes.fromhex(m[0]))
+        if kind:
+            yield kind, *m.span()
     at = 0
-    for pattern, decode in ((_BASE64_KEY, _decode64), (_HEX_KEY, bytes.fromhex)):
-        at = 0
-        for m in pattern.finditer(text):
-            while at < len(armour) and armour[at][1] <= m.start():
-                at += 1
-            if at < len(armour) and armour[at][0] <= m.start():
-                continue
-            data = decode(m[0])
-            if data is not None and is_der_private_key(data):
-                yield "der", *m.span()
-            elif data is not None and is_openssh_private_key(data):
-                yield "openssh", *m.span()
-    for m in _TOKEN.finditer(text):
+    while m := _TOKEN.search(text, at):
         if is_signed_token(m[1], m[2]):
             yield "jwt", *m.span()
+            at = m.end()
+        else:  # What follows the dot may be the header.
+            at = m.end(1)
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:

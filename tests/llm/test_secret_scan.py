@@ -90,3 +90,63 @@ def test_redaction(spark, odd_docs, no_docs):
     assert s.redact_secrets(no_docs).count() == 0
     one = spark.createDataFrame([(1, "token = abcdefgh z", 18)], "doc_id long, text string, n_chars long")
     assert s.redact_secrets(one).first() == (1, "[SECRET] z", 10)
+
+
+ENCRYPTED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(4, b"saltsalt"))), der(4, bytes(range(200))))
+DIGEST = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")), der(5)), der(4, bytes(range(32))))
+
+
+def lines(data, end="\n", width=64):
+    b64 = base64.b64encode(data).decode()
+    return end.join(b64[i : i + width] for i in range(0, len(b64), width))
+
+
+def armoured(label, body, end="\n"):
+    return f"-----BEGIN {label}-----{end}{body}{end}-----END {label}-----"
+
+
+def confirmed(text):
+    return [x for x in s.find_secrets(text) if x[0] in s.CONFIRMED_KINDS]
+
+
+def test_line_ends_may_be_escaped_or_wrapped():
+    for end in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    "):
+        block = armoured("PRIVATE KEY", lines(PKCS8, end), end)
+        assert confirmed(f'é "key": "{block}{end}" after') == [("pem", 10, 10 + len(block))]
+        for kind, data in (("der", PKCS8), ("der", RSA), ("der", ENCRYPTED), ("openssh", OPENSSH)):
+            for width in (64, 76):
+                body = lines(data, end, width)
+                for before, after in (("key: ", "" if end.strip() else f"{end}next line"), (f"key{end}", " next"), ("", "")):
+                    assert confirmed(before + body + after) == [(kind, len(before), len(before + body))], (end, kind, width)
+    body = lines(PKCS8)
+    assert not confirmed(body[:-8]) and not confirmed(body.replace("=", "") + "AAAA") and not confirmed("MIIEvQIBADANBgkqhkiG9w0BAQEFAASC\n" * 50)
+
+
+def test_encrypted_keys():
+    block = armoured("ENCRYPTED PRIVATE KEY", lines(ENCRYPTED))
+    assert confirmed(block) == [("pem", 0, len(block))]
+    assert not confirmed(armoured("ENCRYPTED PRIVATE KEY", lines(ENCRYPTED[:-1])))
+    assert confirmed(base64.b64encode(ENCRYPTED).decode()) and not confirmed(base64.b64encode(DIGEST).decode())
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for end in ("\n", "\\n"):
+        block = armoured("RSA PRIVATE KEY", head.replace("\n", end) + lines(bytes(range(160)), end), end)
+        assert confirmed(block) == [("pem", 0, len(block))]
+    assert not confirmed(armoured("RSA PRIVATE KEY", head + lines(bytes(range(161)))))
+    assert not confirmed(armoured("RSA PRIVATE KEY", lines(bytes(range(160)))))
+
+
+def test_armoured_blocks_in_base64():
+    for before in ("", "x", "xy", '{"key": "'):
+        whole = (before + armoured("PRIVATE KEY", lines(PKCS8)) + "\n").encode()
+        for end in ("\n", "\\n", None):
+            body = lines(whole, end, 76) if end and not before else base64.b64encode(whole).decode()
+            (found,) = confirmed(f"data: {body} after")
+            assert found == ("pem", 6, 6 + len(body))
+    assert not confirmed(base64.b64encode(armoured("PRIVATE KEY", "MIIabcd").encode()).decode())
+
+
+def test_a_token_may_follow_a_dotted_word():
+    good = token({"alg": "HS256"}, {"sub": 1})
+    for before in ("example-host.", "example-host.example-part.", "exxxxxxxx."):
+        assert confirmed(f"{before}{good}") == [("jwt", len(before), len(before + good))]
+    assert s.redact_text(f"at example-host.{good}") == "at example-host.[SECRET]"
