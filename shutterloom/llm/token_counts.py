@@ -3,7 +3,7 @@
 Totals by source, language and tokenizer version are never recomputed: inserts, deletes and
 revised counts of documents become signed additions, summed by key within their batch. A batch is
 a folder of its own, written whole or not at all under the batch's id, so committing it again
-changes nothing. The rollup is the sum of the batches; compaction folds them into one.
+changes nothing. The rollup is the sum of all batches ever committed.
 """
 
 from __future__ import annotations
