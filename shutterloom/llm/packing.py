@@ -121,10 +121,10 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = tokenizer(path)
-        for batch in _small(batches):
-            texts = batch.column("text").to_pylist()
-            keys = curve_keys(batch.column("id").to_pylist(), texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), pa.array([x + tail for x in by.ids(texts)], pa.binary())], ["key", "id", "ids"])
+        for batch in _small(batches, 1000):
+            keys = curve_keys(batch.column("id").to_pylist(), batch.column("text").to_pylist())
+            ids = [x + tail for x in by.ids(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), pa.array(ids, pa.binary())], ["key", "id", "ids"])
 
     # The texts are read once; keys and ids are kept, in about as many bytes as the texts.
     made = stash(plain.mapInArrow(tokenise, f"key bigint, id {kind.simpleString()}, ids binary"), "packing")

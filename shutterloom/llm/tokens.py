@@ -1,33 +1,101 @@
 """Token ids of texts by the `tokenizers` library, with the ids of recurring segments kept.
 
-A byte-level tokenizer that splits text before its merges gives a space that stands alone between
-two other characters to what follows it. So a text can be cut before each such space, and the
-ids of the segments, one after another, are the ids of the text. Segments recur, so each worker
-keeps the ids of the segments it has seen, up to a bound, and encodes only the new ones.
+A byte-level tokenizer splits text into runs of letters, digits or other signs before its merges,
+and where such a split is certain from the neighbouring bytes alone a text can be cut: the ids of the
+segments, one after another, are the ids of the text. Segments recur, so Arrow makes a dictionary of a few
+megabytes of them at once, a worker keeps the ids of those it has met, up to a bound, and only the
+new ones are encoded.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-from itertools import filterfalse
 
 import numpy as np
-
-#: Segments that a worker keeps: those that recurred, and those seen in one megabyte only. Beyond them it starts anew.
-KEEP, RECENT = 500_000, 700_000
-#: Characters of a string of new segments that is encoded at once.
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Segments that a worker keeps. Beyond them those that never recurred go, or all.
+KEEP = 500_000
+#: Bytes of the texts that are cut at once, about; a longer text is cut by itself.
+AT_ONCE = 8 << 20
+#: Bytes of a string of new segments that is encoded at once.
 JOINED = 1 << 16
-#: Characters of the texts that are split at once: their segments take some ten times the memory.
-AT_ONCE = 1 << 20
-#: Signs at the end of a segment that make a token of their own after a letter or digit.
-TAIL = ".,;:!?#*$%&|"
+
+#: Classes of bytes. OTHER is what a byte alone doesn't tell: no cut hangs on it.
+OTHER, LETTER, DIGIT, SIGN, SPACE, BLANK, QUOTE = range(7)
+
+
+def _classes() -> np.ndarray:
+    table = np.full(256, OTHER, np.uint8)
+    for c in map(chr, range(33, 127)):
+        table[ord(c)] = LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else SIGN
+    table[[*b"\t\n\v\f\r"]] = BLANK
+    table[ord(" ")] = SPACE
+    return table
+
+
+def _certain() -> np.ndarray:
+    """For the classes of two neighbours, whether a text can always be cut between them.
+
+    Whitespace ends any run, and letters, digits and signs end one another's; an apostrophe may begin a short
+    form with the letters after it, and a space belongs to the run after it.
+    """
+    ok = np.zeros((7, 7), bool)
+    for a in (LETTER, DIGIT, SIGN, QUOTE, OTHER):
+        ok[a, [SPACE, BLANK]] = True
+    ok[LETTER, [DIGIT, SIGN, QUOTE]] = ok[DIGIT, [LETTER, SIGN, QUOTE]] = ok[SIGN, [LETTER, DIGIT]] = True
+    return ok.ravel()
+
+
+_CLASS, _CERTAIN = _classes(), _certain()
+#: First bytes of two-byte characters that are letters all, but for two of 0xC3.
+_LETTERS = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xD0, 0xD1])
+#: The last byte but one of every whitespace character beyond ASCII is one of these.
+_WIDE_SPACE = np.isin(np.arange(256), [0x80, 0x81, 0x9A, 0xC2])
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte of UTF-8 text; the letters of Latin and Cyrillic beyond ASCII are letters too."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(_LETTERS[data[:-1]])
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7) | (data[lead] != 0xC3)]
+    kind[lead] = kind[lead + 1] = LETTER
+    return kind
+
+
+def cuttable(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 text but the last, whether the text can be cut behind it."""
+    if len(data) < 2:
+        return np.zeros(0, bool)
+    kind = byte_classes(data)
+    ok = _CERTAIN[kind[:-1] * np.uint8(7) + kind[1:]]
+    # After bytes that may end a whitespace character, or control characters, nothing is certain.
+    odd = np.flatnonzero(ok & (kind[:-1] == OTHER))
+    ok[odd[(data[odd] < 0x80) | _WIDE_SPACE[data[odd - 1]] | (odd == 0)]] = False
+    # A single line end or tab between other characters stands by itself.
+    blank = np.flatnonzero(kind[1:-1] == BLANK) + 1
+    firm = (kind != OTHER) & (kind != SPACE) & (kind != BLANK)
+    ok[blank[firm[blank - 1] & firm[blank + 1]]] = True
+    return ok
+
+
+def _binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), data])
+
+
+def _parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a large binary array without nulls."""
+    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+    data = array.buffers()[2]
+    return offsets, np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
 
 
 class SegmentTokenizer:
     """ids(texts) for a byte-level tokenizer file without normaliser, whose ids fit 16 bits."""
 
-    def __init__(self, path: str, keep: int = KEEP, recent: int = RECENT):
+    def __init__(self, path: str, keep: int = KEEP, at_once: int = AT_ONCE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -40,114 +108,88 @@ class SegmentTokenizer:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, n in vocabulary.items():
             self.width[n] = len(token)
-        self.keep, self.most_recent = keep, recent
-        self.known: dict[str, bytes | None] = {}
-        self.recent: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _tail(self, signs: str) -> bytes:
-        if signs not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[signs] = self._encode(signs)
-        return self.tails[signs]
-
-    def _learn(self, new: set[str]) -> list[str]:
-        """Puts new segments into `known`, with None for those at whose edges a space doesn't stand alone; returns those to forget again.
-
-        Signs at a segment's end are parted from a letter or digit before them by the tokenizer too, so the
-        ids of what is before them are kept by themselves, and many segments share them. A segment stays
-        known when it, or what is before its signs, comes a second time.
+        self.keep, self.at_once = keep, at_once
+        self._forget()
+
+    def _forget(self) -> None:
+        self.segments = self.encoded = pa.array([], pa.large_binary())
+        self.recurred = np.empty(0, bool)
+
+    def ids(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as a binary array of little-endian 16-bit numbers; none for null."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        offsets, data = _parts(texts)
+        out, start = [], 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + self.at_once, side="right")) - 1)
+            out.append(self._ids(offsets[start : stop + 1] - offsets[start], data[offsets[start] : offsets[stop]]))
+            start = stop
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def _ids(self, offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+        """The same for texts that lie one after another in `data`."""
+        ends = np.zeros(len(data) + 1, bool)
+        ends[1:-1] = cuttable(data)
+        ends[offsets] = True
+        edges = np.flatnonzero(ends)
+        segments = _binary(edges, pa.py_buffer(data)).dictionary_encode()
+        made = self._look_up(segments.dictionary).take(segments.indices)
+        at, ids = _parts(made)
+        return _binary(at[np.searchsorted(edges, offsets)] - at[0], pa.py_buffer(ids[at[0] : at[-1]]))
+
+    def _look_up(self, segments: pa.Array) -> pa.Array:
+        """The ids of distinct segments, which are kept."""
+        at = pc.index_in(segments, value_set=self.segments)
+        new = segments.filter(at.is_null())
+        known = np.asarray(at.drop_null())
+        self.recurred[known] = True
+        place = np.array(at.fill_null(-1))
+        place[place < 0] = np.arange(len(self.segments), len(self.segments) + len(new))
+        self.segments = pa.concat_arrays([self.segments, new])
+        self.encoded = pa.concat_arrays([self.encoded, self._encode(new)])
+        self.recurred = np.concatenate([self.recurred, np.zeros(len(new), bool)])
+        found = self.encoded.take(pa.array(place))
+        if len(self.segments) > self.keep:
+            stay = pa.array(self.recurred)
+            self.segments, self.encoded = self.segments.filter(stay), self.encoded.filter(stay)
+            self.recurred = np.zeros(len(self.segments), bool)
+            if len(self.segments) > self.keep // 2:
+                self._forget()
+        return found
+
+    def _encode(self, segments: pa.Array) -> pa.Array:
+        """Segments are encoded in long strings, with a line end before each that begins without a space.
+
+        Both stand alone there, so each segment keeps its ids, which are cut where its bytes end. Segments at whose
+        edges there may be more whitespace are encoded by themselves.
         """
-        known, recent = self.known, self.recent
-        unknown: set[str] = set()
-        bare: list[str] = []
-        signed: list[tuple[str, str]] = []
-        for x in new:
-            short = x.rstrip(TAIL)
-            if len(short) == len(x) or not short or not short[-1].isalnum():
-                short = x
-            if not x or x[0].isspace() or x[-1].isspace():
-                known[x] = None
-            elif short is x:
-                if x in recent:
-                    known[x] = recent.pop(x)
-                else:
-                    unknown.add(x)
-                    bare.append(x)
-            elif short in known and not short[0].isspace():
-                known[x] = known[short] + self._tail(x[len(short) :])
-            else:
-                if short not in recent:
-                    unknown.add(short)
-                signed.append((x, short))
-        made = self._encode_segments(sorted(unknown))
-        for x in bare:
-            known[x] = made[x]
-        for x, short in signed:
-            known[x] = (made.get(short) or recent.get(short) or known[short]) + self._tail(x[len(short) :])
-        if len(recent) + len(made) > self.most_recent:
-            recent.clear()
-        recent.update(made)
-        return [*bare, *(x for x, _ in signed)]
-
-    def _encode_segments(self, segments: list[str]) -> dict[str, bytes]:
-        """Segments are encoded in long strings, and the ids cut where the segments' bytes end."""
-        groups: list[list[str]] = []
-        size = JOINED
-        for x in segments:
-            if size >= JOINED:
-                groups.append([])
-                size = 0
-            groups[-1].append(x)
-            size += len(x) + 1
-        out = {}
-        for group, got in zip(groups, self.whole.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        offsets, data = _parts(segments)
+        size = np.diff(offsets)
+        many = np.flatnonzero(size > 0)
+        firm = np.isin(_CLASS, [LETTER, DIGIT, SIGN, QUOTE])
+        first, last = data[offsets[many]], data[offsets[many + 1] - 1]
+        spaced = (first == ord(" ")) & (size[many] > 1)
+        joins = firm[last] & firm[np.where(spaced, data[np.minimum(offsets[many] + 1, len(data) - 1)], first)]
+        out: list[bytes] = [b""] * len(segments)
+        texts = segments.cast(pa.large_string()).to_pylist()
+        alone = many[~joins].tolist()
+        for n, got in zip(alone, self.whole.encode_batch_fast([texts[n] for n in alone], add_special_tokens=False), strict=True):
+            out[n] = np.array(got.ids, "<u2").tobytes()
+        rows, spaced = many[joins], spaced[joins]
+        group = np.cumsum(size[rows] + 1) // JOINED
+        starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(rows)] if len(rows) else []
+        groups = [(rows[a:b], spaced[a:b]) for a, b in zip(starts, starts[1:])]
+        joined = ["".join(texts[n] if s else "\n" + texts[n] for n, s in zip(r.tolist(), p.tolist(), strict=True)) for r, p in groups]
+        for (r, p), got in zip(groups, self.whole.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u2")
             ends = np.cumsum(self.width[ids])
-            cuts = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) + 1 for x in group), np.int64, len(group)))
-            data, start = ids.tobytes(), 0
-            for x, end in zip(group, (2 * np.searchsorted(ends, cuts) + 2).tolist(), strict=True):
-                out[x] = data[start:end]
-                start = end
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 16-bit numbers; none for null."""
-        out: list[bytes] = []
-        start = size = 0
-        for n, text in enumerate(texts):
-            size += len(text or "")
-            if size >= AT_ONCE:
-                out += self._ids(texts[start : n + 1])
-                start, size = n + 1, 0
-        return out + self._ids(texts[start:])
-
-    def _ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            new.update(filterfalse(self.known.__contains__, parts[1:]))
-        forget = self._learn(new)
-        out = []
-        for text, parts in zip(texts, split, strict=True):
-            first = parts[0]
-            try:
-                if first[-1:].isspace():
-                    raise TypeError
-                rest = b"".join(map(self.known.__getitem__, parts[1:]))
-            except TypeError:  # a segment is None
-                out.append(self._encode(text))
-            else:
-                out.append((self._encode(first) if first else b"") + rest)
-        for x in forget:
-            del self.known[x]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        return out
+            # The line end is one token, which is left out.
+            stop = np.searchsorted(ends, np.cumsum(size[r] + ~p)) + 1
+            start = np.concatenate([[0], stop[:-1]]) + ~p
+            piece = ids.tobytes()
+            for n, a, b in zip(r.tolist(), (2 * start).tolist(), (2 * stop).tolist(), strict=True):
+                out[n] = piece[a:b]
+        return pa.array(out, pa.large_binary())
 
 
 @functools.cache

@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,13 +22,18 @@ def plain():
 
 def test_segments_give_the_ids_of_whole_texts(texts):
     encode = plain()
-    by = tokens.SegmentTokenizer(public_tokenizers.path("byte_bpe_50k.json"), keep=500, recent=300)
     rng = random.Random(2)
     odd = ["", None, " ", "  a b", "a\n b", " a", "a ", "don't  stop <|endoftext|> x", " x y", "日本 語　x y", "a!! b?! ..c d... e'... f$$$ '!! x", "é. ü, ß!", "1,2 3. 4!"]
-    odd += ["".join(rng.choice("ab1é .,!'\n\t #$") for _ in range(rng.randrange(60))) for _ in range(400)]
-    for _ in range(2):
-        for got, text in zip(by.ids([*odd, *texts.values()]), [*odd, *texts.values()], strict=True):
-            assert [int.from_bytes(got[i : i + 2], "little") for i in range(0, len(got), 2)] == encode(text), repr(text)
+    odd += ["x×y", "a\x00b \x1c c", "\x1c", "\x1d \x1e", "\n", "a\n", "\na"]
+    odd += ["".join(rng.choice("ab1é .,!'\n\t #$\xa0\u2003\u3000ß×日🙂\r\x1cs") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    rows = [*odd, *texts.values()]
+    want = [encode(t) for t in rows]
+    small, usual = (tokens.SegmentTokenizer(public_tokenizers.path("byte_bpe_50k.json"), **x) for x in ({"keep": 500, "at_once": 3000}, {}))
+    for by in (small, small, usual):
+        got = by.ids(pa.array(["left out", *rows]).slice(1)).to_pylist()
+        for ids, own, text in zip(got, want, rows, strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == own, repr(text)
+    assert len(usual.ids(pa.array([], pa.string()))) == 0
 
 
 def test_query_equals_recomputation(spark, sf_dir, documents):
