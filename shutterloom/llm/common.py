@@ -15,7 +15,8 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a temporary one is set.
+    A session on one machine (tests) that names none gets a temporary one; on a cluster that would be a
+    folder of the driver's alone, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -23,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shutterloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -38,13 +41,25 @@ def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after telling its session to send a thousand rows at most to a Python worker at once.
+def small_batches(spark: SparkSession) -> None:
+    """Tell the session to send a thousand rows at most to a Python worker at once.
 
-    Texts are long: Spark's own default, ten thousand, makes batches that are held several times over.
+    Texts are long: Spark's own default, ten thousand, makes batches that are held several times over. Queries
+    and pipeline stages call this; operators leave the session as it is.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to clash with a column of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -61,7 +61,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> np.nda
         at, bins = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bins, pa.int32()), pa.array(sums[at, bins], pa.int64())], ["lang", "bin", "n"])
 
-    rows = small_batches(labelled).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*LANGUAGES))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(*LANGUAGES))
     sums = np.ones((len(LANGUAGES), BINS))
     for at, b, n in rows.mapInArrow(count, "lang int, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n")).collect():
         sums[at, b] += n
@@ -145,6 +145,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Pages have a page_id, documents a doc_id; the other is null. The text models come from all documents.
     """
+    small_batches(spark)
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = train(docs)
     host, suffix = address_parts(F.col("url"))

@@ -167,7 +167,7 @@ def media_features(rows: DataFrame, media: str = "media", to: str = "features")
 
     A null image has a struct of nulls; bytes that are no image have nulls and an error. No shuffle.
     """
-    return small_batches(rows).withColumn(to, F.arrow_udf(_features, "struct<" + ",".join(f"{name}:{kind}" for name, kind, _ in _KINDS) + ">")(F.col(media)))
+    return rows.withColumn(to, F.arrow_udf(_features, "struct<" + ",".join(f"{name}:{kind}" for name, kind, _ in _KINDS) + ">")(F.col(media)))
 
 
 def text_image(text: str | None) -> bytes:
@@ -183,11 +183,12 @@ def _text_images(text: pa.Array) -> pa.Array:
 
 def texts_as_media(docs: DataFrame, text: str = "text", to: str = "media") -> DataFrame:
     """docs with each text stored losslessly as the bytes of a P6 image; null as the empty text."""
-    return small_batches(docs).withColumn(to, F.arrow_udf(_text_images, "binary")(F.col(text)))
+    return docs.withColumn(to, F.arrow_udf(_text_images, "binary")(F.col(text)))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as a P6 image and read back: sizes, digests, and its difference hash with a digest of its NPY tile."""
+    small_batches(spark)
     stored = texts_as_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = media_features(stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media"))
     return read.select(

@@ -115,7 +115,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", len
     a partition is full. A null text is packed as the empty one, as its end id alone; repeated rows are
     packed each; a null id is kept; an empty table gives no pieces. Sequences depend on the rows alone.
     """
-    plain = small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = plain.schema["id"].dataType
     tail = end.to_bytes(2, "little")
 
@@ -169,6 +169,7 @@ def _checksums(ids: pa.Array) -> pa.Array:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with the checksum of each one's ids."""
+    small_batches(spark)
     import public_tokenizers
 
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, table
+from .common import small_batches, stash, table, unused
 
 #: Languages with a stratum of their own; all others, and null, share "other".
 STRATA = ("de", "en", "es", "fr")
-#: Good documents that all rules together may reject, by stratum; each rule has an even part of it.
+#: Good documents that the calibrated rules together may reject, by stratum; each rule has an even part of it. The base
+#: rules are given, so what they reject is no part of it.
 RISK = 0.03
 #: Chance that any of the bounds fails.
 ERROR = 0.05
@@ -110,7 +111,7 @@ def _measured(text: pa.Array) -> pa.Array:
 
 def with_measures(docs: DataFrame, text: str = "text", to: str = "measures") -> DataFrame:
     """docs with a struct column `to` of MEASURES, replacing one of that name."""
-    return small_batches(docs).withColumn(to, F.arrow_udf(_measured, _TYPE)(F.col(text)))
+    return docs.withColumn(to, F.arrow_udf(_measured, _TYPE)(F.col(text)))
 
 
 def stratum(lang: Column) -> Column:
@@ -129,24 +130,30 @@ def _passed(rule: str) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, CUTOFFS[rule])), lambda c: c < value))
 
 
-def upper_bound(rejected: int, of: int, level: float) -> float:
-    """Exact binomial upper bound of a share: the p at which so few rejections have probability `level`."""
-    if of == 0 or rejected >= of:
+def at_most(rejected: int, of: int, share: float) -> float:
+    """Exact binomial probability of so few rejections or fewer, if each of `of` has probability `share`; 1 from the mean on up.
+
+    Below the mean the terms shrink from the last one down, the faster the further, so only those that still count
+    are summed: some multiple of the root of the mean, however many labels there are.
+    """
+    if rejected >= of * share:
         return 1.0
+    k, total, term = rejected, 1.0, 1.0
+    while k > 0 and term > 1e-17 * total:
+        term *= k * (1 - share) / ((of - k + 1) * share)
+        total += term
+        k -= 1
+    log = math.lgamma(of + 1) - math.lgamma(rejected + 1) - math.lgamma(of - rejected + 1) + rejected * math.log(share) + (of - rejected) * math.log1p(-share)
+    return min(1.0, math.exp(log + math.log(total)))
 
-    def at_most(p: float) -> float:
-        log = [math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(p) + (of - k) * math.log1p(-p) for k in range(rejected + 1)]
-        top = max(log)
-        return math.exp(top) * sum(math.exp(x - top) for x in log)
 
-    low, high = rejected / of, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        if 0 < mid < 1 and at_most(mid) > level:
-            low = mid
-        else:
-            high = mid
-    return high
+def within_risk(rejected: int, of: int, risk: float, level: float) -> bool:
+    """Whether the exact binomial (Clopper-Pearson) upper bound of the rejected share, with error `level`, is at most the risk.
+
+    The bound is the share at which so few rejections have probability `level`, so it lies within the risk if
+    they have no more than that at the risk itself: one test, no search for the bound.
+    """
+    return of > 0 and at_most(rejected, of, risk) <= level
 
 
 def choose_cutoffs(counts: dict[tuple[str, str, int], tuple[int, int]], risk: float = RISK, error: float = ERROR) -> dict[tuple[str, str], float]:
@@ -160,7 +167,7 @@ def choose_cutoffs(counts: dict[tuple[str, str, int], tuple[int, int]], risk: fl
             found = None
             for k, cutoff in enumerate(cutoffs):
                 over_good, over_bad = (sum(x[i] for x in steps[len(cutoffs) - k :]) for i in (0, 1))
-                if upper_bound(over_good, good, level) > risk / len(RULES):
+                if not within_risk(over_good, good, risk / len(RULES), level):
                     break
                 # A stricter cutoff has to catch more bad documents than good ones.
                 if over_bad > over_good and over_bad * good > 3 * over_good * bad:
@@ -201,13 +208,15 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Texts are measured once: the rows are written with their measures, as that is cheaper than to measure
     twice, and no text is shuffled. Null and empty texts fail. A null language is judged in the stratum "other".
     """
-    measured = stash(with_measures(docs.withColumnRenamed("measures", "__measures")), "quality")
+    (aside,) = unused(docs, "__measures")
+    measured = stash(with_measures(docs.withColumnRenamed("measures", aside)), "quality")
     cutoffs = calibrate(measured.select("doc_id", "lang", "measures"), labels)
-    return measured.where(kept(cutoffs)).drop("measures").withColumnRenamed("__measures", "measures").select(*docs.columns)
+    return measured.where(kept(cutoffs)).drop("measures").withColumnRenamed(aside, "measures").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
+    small_batches(spark)
     measured = stash(with_measures(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"), "quality")
     cutoffs = calibrate(measured, table(spark, sf_dir, "labels"))
     return measured.select("doc_id", *(f"measures.{m}" for m in MEASURES[:5]), base_failed().alias("base_failed"), kept(cutoffs).alias("kept"), stratum(F.col("lang")).alias("stratum"))

@@ -322,7 +322,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", to: str = "findings") -> D
     No shuffle: one vectorised pass, one text in memory at a time beside its batch. Null and empty
     texts have no findings; repeated rows have each their own; an existing column `to` is replaced.
     """
-    return small_batches(docs).withColumn(to, F.arrow_udf(_secrets_in, FINDING)(F.col(text)))
+    return docs.withColumn(to, F.arrow_udf(_secrets_in, FINDING)(F.col(text)))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -330,7 +330,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_
 
     All rows stay. Null texts stay null with their length as it was.
     """
-    out = small_batches(docs).withColumn(text, F.arrow_udf(_redacted, "string")(F.col(text)))
+    out = docs.withColumn(text, F.arrow_udf(_redacted, "string")(F.col(text)))
     if length and length in docs.columns:
         out = out.withColumn(length, F.coalesce(F.length(text).cast(docs.schema[length].dataType), F.col(length)))
     return out
@@ -342,6 +342,7 @@ def span_list(findings: Column) -> Column:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digest of the base spans, all spans, and how many the method confirmed."""
+    small_batches(spark)
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "findings")
 
     def of(*kinds: str) -> Column:

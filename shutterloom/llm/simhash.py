@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, table
+from .common import small_batches, stash, table, unused
 
 SEED = 42
 #: Rows of a block; a block pair compares at most the square of it.
@@ -27,6 +27,8 @@ BLOCK = 4096
 WEIGHT = 1 << 21
 #: Cells of a comparison that numpy holds at once.
 CELLS = 1 << 20
+#: Comparisons that take as long as bringing a pair of tiles together.
+TILE_PAIR = 2000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -118,16 +120,26 @@ def shingle_set_udf(shingle_words: int):
     return sets
 
 
-def parts_for(rows: int, radius: int) -> int:
-    """Into how many parts a fingerprint is cut for its tile: 1, 2, 4 or 8, more with more rows.
+def parts_for(rows: int, radius: int, bits: int = 64) -> int:
+    """Into how many parts, 1 to half the bits, a fingerprint is cut for its tile: the number with the least expected work.
 
     A tile key is the population count of each part; two fingerprints within the radius have keys
-    within the radius in summed difference. More parts make smaller tiles with more neighbours.
+    within the radius in summed difference. More parts make smaller tiles with more neighbours. The work is
+    counted for random bits: pairs of tiles, each worth TILE_PAIR comparisons, and comparisons, which are the square of
+    the rows times the chance that two share a tile, times the neighbours. Large radii, which
+    would have more neighbours than there are tiles, keep one part.
     """
-    parts = 1
-    while parts < 8 and radius <= 4 and rows > 20_000 * parts**2:
+    best, least, parts = 1, math.inf, 1
+    while parts <= bits // 2 and (parts == 1 or radius <= 4):
+        width = bits // parts
+        meet = (math.comb(2 * width, width) / 4**width) ** parts
+        # Points of summed size within the radius: choose the parts that differ, their signs and their sizes.
+        near = sum(math.comb(parts, k) * 2**k * math.comb(radius, k) for k in range(min(parts, radius) + 1))
+        work = near * (min(rows, 1 / meet) * TILE_PAIR + rows**2 * meet)
+        if work < least:
+            best, least = parts, work
         parts *= 2
-    return parts
+    return best
 
 
 def steps(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -179,6 +191,8 @@ def block_links(left: tuple, right: tuple | None, radius: int, ratio: float, coa
         to = min(at + step, len(ids))
         first = at if right is None else 0
         total = np.bitwise_count(lanes[0, at:to, None] ^ other[1][0, None, first:])
+        if (coarse or len(lanes)) > 3:
+            total = total.astype(np.uint16)  # over 255 bits may differ
         for lane in range(1, coarse or len(lanes)):
             total += np.bitwise_count(lanes[lane, at:to, None] ^ other[1][lane, None, first:])
         i, j = np.nonzero(total <= radius)
@@ -260,7 +274,7 @@ def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0,
     Each block pair gives a forest of its links: fewer rows than its members, and the same components.
     The column `pair` names the block pair; a is the same for all of a component within it.
     """
-    parts, grain = parts_for(prints.count(), radius), grain_for(radius)
+    parts, grain = parts_for(prints.count(), radius, 64 * (coarse or lanes)), grain_for(radius)
     tiled = prints.withColumn("tile", _tile_key(parts, coarse or lanes, grain, ratio))
     blocks_of = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / WEIGHT))
     need = tiled.groupBy("tile").agg(blocks_of.alias("n"))
@@ -351,7 +365,7 @@ def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     equal texts share a fingerprint; a null id counts as larger than any other, so a class of null ids alone
     has a null component. Repeated rows come back as often as they went in.
     """
-    made = small_batches(docs).select(F.col(id).alias("id"), fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
+    made = docs.select(F.col(id).alias("id"), fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
     names = [f"l{k}" for k in range(lanes)]
     rows = stash(made.select("id", *(F.col("made.lanes")[k].alias(n) for k, n in enumerate(names)), (F.col("made.shingles") if ratio else F.lit(0).cast("long")).alias("size")), "simhash")
     # Equal fingerprints are one node, named by a number that is dense enough to be a long.
@@ -365,6 +379,8 @@ def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash_classes(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -379,7 +395,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_wo
     the worst case); the radii lie 4.5 standard deviations above that worst case. Null and empty texts form one
     class. Null ids come last. Rows that agree in id and text count once.
     """
-    marked = small_batches(docs).select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), set_fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
+    marked = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), set_fingerprint_udf(shingle_words, lanes)(F.col(text)).alias("made"))
     names = [f"l{k}" for k in range(lanes)]
     rows = stash(marked.select("id", "mark", *(F.col("made.lanes")[k].alias(n) for k, n in enumerate(names)), F.col("made.shingles").alias("size"), "made.digest"), "simhash")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
@@ -400,12 +416,14 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle_wo
     same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["mark"] == y["mark"])
     losers = stash(counted.join(winners, same(counted, winners), "left_anti").select("id", "mark"), "simhash-losers")
     twice = stash(rows.groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "simhash-twice")
-    own = docs.withColumns({"__mark": F.xxhash64(text), "__id": F.col(id)})
+    own_id, own_mark = unused(docs, "__id", "__mark")
+    own = docs.withColumns({own_mark: F.xxhash64(text), own_id: F.col(id)})
+    in_ = lambda x: own[own_id].eqNullSafe(x["id"]) & (own[own_mark] == x["mark"])
     # Always a shuffled join: the rows that go grow with the table, so there is no size up to which to broadcast them.
     gone = losers.hint("merge")
-    kept = own.join(gone, own["__id"].eqNullSafe(gone["id"]) & (own["__mark"] == gone["mark"]), "left_anti")
+    kept = own.join(gone, in_(gone), "left_anti")
     if not twice.isEmpty():
-        once = kept.join(twice, kept["__id"].eqNullSafe(twice["id"]) & (kept["__mark"] == twice["mark"]), "left_anti")
-        more = kept.join(twice, kept["__id"].eqNullSafe(twice["id"]) & (kept["__mark"] == twice["mark"]), "left_semi")
-        kept = once.unionByName(more.dropDuplicates(["__id", "__mark"]))
+        once = kept.join(twice, in_(twice), "left_anti")
+        more = kept.join(twice, in_(twice), "left_semi")
+        kept = once.unionByName(more.dropDuplicates([own_id, own_mark]))
     return kept.select(*docs.columns)

@@ -101,10 +101,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first inserts every document, the second revises those that shrink when repeated lines go, the
     third deletes all copies of a text but the one with the smallest id.
     """
+    small_batches(spark)
     import public_tokenizers
 
     bpe = public_tokenizers.path("byte_bpe_50k.json")
-    docs = small_batches(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     shorter = F.when(F.col("text").contains("\n"), without_repeated_lines())
     plain = docs.withColumn("revised", F.when(F.length(shorter) < F.length("text"), shorter))
     counted = stash(

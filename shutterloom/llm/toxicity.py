@@ -225,11 +225,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     labelled = stash(docs.select(id, F.col(text).alias("text")).join(F.broadcast(sample), id).select("text", "toxic"), "toxicity")
     weights, (intercept, slope) = learn(labelled)
     raw = raw_score(weights)(F.col(text))
-    return small_batches(docs).withColumn(to, 1 / (1 + F.exp(-(F.lit(intercept) + slope * raw))))
+    return docs.withColumn(to, 1 / (1 + F.exp(-(F.lit(intercept) + slope * raw))))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -34,14 +34,44 @@ def test_repeated_words_in_odd_sequences():
         assert q.repeated_words(words) == brute(" ".join(words))[4]
 
 
-def test_upper_bound_is_exact():
-    def at_most(k, n, p):
-        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+def at_most(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
-    for k, n, level in ((0, 100, 0.05), (3, 50, 0.01), (10, 1000, 0.001)):
-        p = q.upper_bound(k, n, level)
-        assert abs(at_most(k, n, p) - level) < 1e-9
-    assert q.upper_bound(0, 0, 0.05) == 1.0 and q.upper_bound(5, 5, 0.05) == 1.0
+
+def test_bound_is_exact():
+    for n in (1, 7, 100, 1000):
+        for p in (0.005, 0.03, 0.4):
+            for k in range(int(n * p) + 1):
+                if k < n * p:
+                    assert math.isclose(q.at_most(k, n, p), at_most(k, n, p), rel_tol=1e-9)
+            assert q.within_risk(n, n, p, 0.05) is False
+    assert not q.within_risk(0, 0, 0.03, 0.05) and q.within_risk(0, 1000, 0.03, 0.05)
+    # Many labels cost no more than a multiple of the root of the mean.
+    assert q.within_risk(4_900_000, 1_000_000_000, 0.005, 1e-3) and not q.within_risk(4_999_999, 1_000_000_000, 0.005, 1e-3)
+
+
+def test_verdicts_equal_a_recomputation(spark, sf_dir, documents):
+    """Cutoffs chosen label by label and bound by the plain sum, verdicts row by row."""
+    rows = {r.doc_id: r for r in documents.collect()}
+    ratios = {i: {rule: (m[q.MEASURES.index(a)] / m[q.MEASURES.index(b)] if m[q.MEASURES.index(b)] else 0.0) for rule, (a, b) in q.RULES.items()} for i, m in ((i, q.measure(r.text)) for i, r in rows.items())}
+    stratum = {i: r.lang if r.lang in q.STRATA else "other" for i, r in rows.items()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality in (0, 1) and r.doc_id in rows]
+    level, limit, cutoffs = 0.05 / (5 * 6), 0.03 / 6, {}
+    for s in set(stratum.values()):
+        for rule in q.RULES:
+            good = [ratios[i][rule] for i, x in labels if stratum[i] == s and x == 1]
+            bad = [ratios[i][rule] for i, x in labels if stratum[i] == s and x == 0]
+            for cutoff in q.CUTOFFS[rule]:
+                a, b = sum(x > cutoff for x in good), sum(x > cutoff for x in bad)
+                if not good or a >= limit * len(good) or at_most(a, len(good), limit) > level:
+                    break
+                if b > a and b * len(good) > 3 * a * len(bad):
+                    cutoffs[s, rule] = cutoff
+    got = {r.doc_id: r.kept for r in q.op7_quality_rules(spark, sf_dir).collect()}
+    for i, r in rows.items():
+        n_words, _, _, _, covered = brute(r.text)
+        want = not (n_words < 20 or 100 * covered > 30 * n_words or any(ratios[i][rule] > cutoffs.get((stratum[i], rule), math.inf) for rule in q.RULES))
+        assert got[i] == want
 
 
 def test_cutoffs_hold_the_risk():
@@ -57,7 +87,7 @@ def test_cutoffs_hold_the_risk():
     level = q.ERROR / (5 * len(q.RULES))
     if cutoff is not None:
         k = q.CUTOFFS["symbols"].index(cutoff)
-        assert q.upper_bound(3 * (k + 1), 2000 + 3 * n, level) <= q.RISK / len(q.RULES)
+        assert q.within_risk(3 * (k + 1), 2000 + 3 * n, q.RISK / len(q.RULES), level)
 
 
 def test_stage(spark, documents, sf_dir, odd_docs, no_docs):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -53,8 +54,8 @@ def test_tiles_lose_no_link(spark, monkeypatch):
     prints = dict(enumerate(rows))
     want = classes(prints, 2)
     frame = spark.createDataFrame([(i, s._signed(x), 0) for i, x in prints.items()], "id long, l0 long, size long")
-    for parts in (1, 2, 4):
-        monkeypatch.setattr(s, "parts_for", lambda rows, radius, parts=parts: parts)
+    for parts in (1, 2, 4, 16):
+        monkeypatch.setattr(s, "parts_for", lambda rows, radius, bits, parts=parts: parts)
         monkeypatch.setattr(s, "BLOCK", 16)
         labels = {r.id: r.label for r in s.components(s.tiled_links(frame, 1, 2)).collect()}
         assert {i: labels.get(i, i) for i in prints} == want
@@ -70,6 +71,23 @@ def test_steps_name_every_pair_of_tiles_once():
         assert both == want and len(found) == (len(want) + 1) // 2
 
 
+def test_tiles_shrink_with_the_rows():
+    """The expected comparisons of a row with the tiles near it stay bounded while rows grow a millionfold."""
+    for rows in (10**4, 10**6, 10**8, 10**10):
+        parts = s.parts_for(rows, 2)
+        meet = (math.comb(128 // parts, 64 // parts) / 4 ** (64 // parts)) ** parts
+        assert rows * meet * len(s.steps(parts, 2)) < 3_000_000
+    assert s.parts_for(10, 2) == 1 and s.parts_for(10**9, 44, 128) == 1
+
+
+def test_many_lanes_do_not_wrap():
+    """Random texts differ in about half of 512 bits; sums of bits over 255 mustn't start anew."""
+    lanes = np.random.default_rng(3).integers(0, 1 << 63, (8, 300), dtype=np.uint64)
+    lanes[:, 7] = lanes[:, 250]
+    a, b = s.block_links((np.arange(300), lanes, np.ones(300, np.int64)), None, 20, 0.0)
+    assert (a.tolist(), b.tolist()) == ([7], [250])
+
+
 def test_majority_of_many():
     h = np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.uint64)
     want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
