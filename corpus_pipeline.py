@@ -10,21 +10,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shutterloom.llm import mixing, packing, quality, secret_scan, simhash
-from shutterloom.llm.common import stash, table
+from shutterloom.llm.common import small_batches, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the calibrated rules reject go."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by [SECRET]; all documents stay."""
+    small_batches(spark)
     return secret_scan.redact_secrets(docs)
 
 
@@ -35,6 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 token ids."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
