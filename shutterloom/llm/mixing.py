@@ -4,11 +4,13 @@ Each source's words, its documents in pseudorandom order, form one stream that i
 of fixed length. The mix is a list of slots, each to be filled by one block. How many slots every
 output shard gets from every source is drawn multinomially, given the source's total; a source's
 slots run through a pseudorandom permutation of its block indices, one permutation for each pass
-over the source; blocks and slots then join by index.
+over the source; blocks and slots then join by index, which gives the words of every output shard.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from .common import stash, table, word_count
 BLOCK = 64
 #: Slots that one task makes at a time.
 CHUNK = 1 << 15
-#: Documents of a stream are numbered in this many slices.
-SLICES = 64
+#: Documents of a stream are numbered in slices of about so many rows, 64 slices at least.
+SLICE_ROWS = 100_000
 #: Weights by the order of the sources, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -62,13 +64,14 @@ def mix_plan(docs: DataFrame, id: str = "doc_id", text: str = "text", source: st
     """
     plain = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text), F.lit(seed)).alias("mark"))
     counted = stash(plain, "mix-sizes")
+    # A power of two slices by the first bits of a hash, so that a window of one stays small however large a source is.
+    bits = max(6, math.ceil(math.log2(max(1, counted.count()) / SLICE_ROWS)))
     by_source = counted.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stash(targets(by_source, share, passes).select("*", F.round("target").cast("long").alias("demand")), "mix-targets")
 
     # The streams: slices of a source by hash, in order; a row starts where the rows before it end.
     key = F.xxhash64("id", "mark", F.lit(seed))
-    sliced = counted.withColumn("key", key).withColumn("slice", F.shiftrightunsigned("key", 58))
-    assert SLICES == 1 << 6
+    sliced = counted.withColumn("key", key).withColumn("slice", F.shiftrightunsigned("key", 64 - bits))
     lengths = sliced.groupBy("source", "slice").agg(F.sum("size").alias("length"))
     ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = lengths.select(F.col("source").alias("s"), F.col("slice").alias("c"), F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
@@ -110,31 +113,37 @@ def shard_counts(slots: DataFrame) -> DataFrame:
 
 
 def mixed_words(pieces: DataFrame, slots: DataFrame) -> DataFrame:
-    """(rid, taken): the join of blocks and slots by index, summed for each row."""
+    """(rid, shards): the join of blocks and slots by index; shards lists (shard, words), the words of the row that each output shard takes."""
     # Spark takes the slots for as small as the table of sources that they come from; the hint keeps them from a broadcast.
-    uses = slots.groupBy("source", "block").agg(F.collect_list("take").alias("takes"))
-    met = pieces.join(uses.select(F.col("source").alias("s"), F.col("block").alias("x"), "takes").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("x")))
+    uses = slots.groupBy("source", "block").agg(F.collect_list(F.struct("shard", "take")).alias("uses"))
+    met = pieces.join(uses.select(F.col("source").alias("s"), F.col("block").alias("x"), "uses").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("x")))
+    words = lambda use: F.least(F.col("end"), use["take"]) - F.col("start")
+    got = F.transform(F.filter("uses", lambda use: words(use) > 0), lambda use: F.struct(use["shard"].alias("shard"), words(use).alias("words")))
+    lists = met.groupBy("rid").agg(F.flatten(F.collect_list(got)).alias("got"))
     zero = F.lit(0).cast("long")
-    got = F.aggregate("takes", zero, lambda sum_, take: sum_ + F.greatest(zero, F.least(F.col("end"), take) - F.col("start")))
-    return met.groupBy("rid").agg(F.sum(got).alias("taken"))
+    of = lambda shard: F.aggregate(F.filter("got", lambda x: x["shard"] == shard), zero, lambda sum_, x: sum_ + x["words"])
+    shards = F.array_sort(F.array_distinct(F.transform("got", lambda x: x["shard"])))
+    return lists.select("rid", F.transform(shards, lambda shard: F.struct(shard.alias("shard"), of(shard).alias("words"))).alias("shards"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """(id, source, size, source_size, target, taken) of every row of docs.
+    """(id, source, size, source_size, target, taken, shards) of every row of docs.
 
-    Null and empty texts have size 0 and give nothing; a null source is a source of its own, after all
+    shards lists (shard, words): how many of the row's words each output shard takes; taken is their sum. Null and empty texts have size 0 and give nothing; a null source is a source of its own, after all
     others; repeated rows are rows of their own; an empty table gives no rows.
     """
     sized, pieces, slots = mix_plan(docs, id, **options)
     # Rows that share an rid agree in every column and in position, so they hold no words.
-    taken = mixed_words(pieces, slots)
-    done = sized.join(taken.hint("merge"), "rid", "left")
-    return done.select(F.col("id").alias(id), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    words = mixed_words(pieces, slots)
+    done = sized.join(words.hint("merge"), "rid", "left").withColumn("shards", F.coalesce("shards", F.array().cast("array<struct<shard:int,words:bigint>>")))
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["words"])
+    return done.select(F.col("id").alias(id), "source", "size", "source_size", "target", taken.alias("taken"), "shards")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """What the mix takes of every document, in all and by output shard (shard:words, comma-joined)."""
+    listed = F.array_join(F.transform("shards", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["words"].cast("string"))), ",")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", listed.alias("shard_words"))
 
 
 def mix_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", seed: int = 7, **options) -> DataFrame:

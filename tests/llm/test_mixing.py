@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from shutterloom.llm import mixing as m
 
@@ -62,6 +63,38 @@ def test_blocks_are_used_evenly(spark, documents):
     assert all(r["min(start)"] == 0 for r in held)
 
 
+def test_words_by_shard_equal_a_walk_through_the_slots(spark, documents):
+    """Every slot's shard is drawn anew here, and its block's words are counted one document at a time."""
+    sized, pieces, slots = m.mix_plan(documents, shards=8)
+    hashed = slots.select("source", "ordinal", "block", "take", F.pmod(F.xxhash64("source", "ordinal", F.lit(7 + 2)), F.lit(8)).alias("drawn")).collect()
+    at, drawn, total = defaultdict(list), defaultdict(int), defaultdict(int)
+    for r in pieces.collect():
+        at[r.source, r.block].append(r)
+    doc = {r.rid: r.id for r in sized.collect()}
+    want = defaultdict(int)
+    for s in hashed:
+        drawn[s.drawn, s.source] += 1
+        total[s.source] += 1
+        for p in at[s.source, s.block]:
+            if min(p.end, s.take) > p.start:
+                want[doc[p.rid], s.drawn] += min(p.end, s.take) - p.start
+    got = {(r.doc_id, x.shard): x.words for r in m.mix(documents, shards=8).collect() for x in r.shards}
+    assert got == dict(want)
+    counts = {(r.shard, r.source): r.slots for r in m.shard_counts(slots).collect()}
+    assert counts == dict(drawn)
+    # As multinomial draws go: each within six standard deviations of an even share.
+    assert all(abs(counts.get((k, s), 0) - n / 8) <= 6 * (n * 7 / 64) ** 0.5 + 1 for s, n in total.items() for k in range(8))
+
+
+def test_small_slices(spark, documents, monkeypatch):
+    """More slices give another order of a stream, and the same totals."""
+    whole = {s: n for s, n in m.mix(documents).groupBy("source").sum("taken").collect()}
+    monkeypatch.setattr(m, "SLICE_ROWS", 1)
+    again = m.mix(documents)
+    assert {s: n for s, n in again.groupBy("source").sum("taken").collect()} == whole
+    assert again.where("taken > 2 * size").count() == 0
+
+
 def test_documents(spark, documents, odd_docs, no_docs):
     out = m.mix_documents(documents)
     assert out.columns == documents.columns
