@@ -3,7 +3,7 @@
 The text's likelihood under a byte-trigram model of each language, the language that the markup
 declares, and a prior for the host are multiplied. The host's prior is smoothed towards the one of
 its address suffix, and that towards the global one; these, and how often each language is
-declared as each, come from grouped sums of the texts' own verdicts.
+declared as each, come from grouped sums of the texts' own verdicts; a row whose text says nothing has none.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, stash, table
 
 LANGUAGES = ("de", "en", "es", "fr")
+#: A document whose id's checksum is a multiple of this is held out of training.
+FOLDS = 5
 BINS = 1 << 13
 #: Trigrams of a text count as so many independent ones at most: neighbours say the same.
 EFFECTIVE = 60.0
@@ -96,7 +98,13 @@ def declared_language(markup: Column) -> Column:
 
 
 def _best(scores: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position(scores, F.array_max(scores)).cast("int"))
+    """The language of the highest score, the first of several; null where all are equal."""
+    top = F.element_at(F.array(*map(F.lit, LANGUAGES)), F.array_position(scores, F.array_max(scores)).cast("int"))
+    return F.when(F.array_max(scores) > F.array_min(scores), top)
+
+
+def held_out(id: Column) -> Column:
+    return F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
 def _sums(by: str) -> list[Column]:
@@ -106,12 +114,15 @@ def _sums(by: str) -> list[Column]:
 def fuse(evidence: DataFrame) -> DataFrame:
     """evidence (likelihoods, declared, host, suffix and any id) with text_lang, lang, probability.
 
-    A row's own verdict is left out of its host's and suffix's counts. No host: the global prior; no
-    declaration, or one that is none of LANGUAGES: no evidence from it. Sums are made before the shuffle,
-    so a hot host is a row a task; hosts join back on the host, spread by AQE where one is hot.
+    A row's own verdict is left out of its host's and suffix's counts. Null or equal likelihoods, as of an empty
+    text, are no verdict: text_lang is null, and the row counts for no host, suffix or declaration. No host: the global
+    prior; no declaration, or one that is none of LANGUAGES: no evidence from it. A tie of everything, as in an empty
+    table's prior, gives the first language. Sums are made before the shuffle, so a hot host is a row a task; hosts join
+    back on the host, spread by AQE where one is hot.
     """
-    rows = evidence.withColumn("text_lang", _best(F.col("likelihoods")))
-    overall = {x: n for x, n in rows.groupBy("text_lang").count().collect()}
+    none = F.array(*[F.lit(0.0)] * len(LANGUAGES))
+    rows = evidence.withColumn("likelihoods", F.coalesce("likelihoods", none)).withColumn("text_lang", _best(F.col("likelihoods")))
+    overall = {x: n for x, n in rows.where("text_lang is not null").groupBy("text_lang").count().collect()}
     all_rows = sum(overall.values())
     base = {x: (overall.get(x, 0) + 1.0) / (all_rows + len(LANGUAGES)) for x in LANGUAGES}
     said = {(a, b): n for a, b, n in rows.where(F.col("declared").isin(*LANGUAGES)).groupBy("text_lang", "declared").count().collect()}
@@ -119,7 +130,7 @@ def fuse(evidence: DataFrame) -> DataFrame:
     hosts = stash(rows.where("host is not null").groupBy("host").agg(*_sums("h")), "language-hosts")
     suffixes = stash(rows.where("suffix is not null").groupBy("suffix").agg(*_sums("s")), "language-suffixes")
     met = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
-    own = {x: (F.col("text_lang") == x).cast("double") for x in LANGUAGES}
+    own = {x: F.coalesce((F.col("text_lang") == x).cast("double"), F.lit(0.0)) for x in LANGUAGES}
 
     def level(by: str, name: str, x: str, strength: float, wider: Column) -> Column:
         n = lambda y: F.coalesce(F.col(f"{by}_{y}") - own[y], F.lit(0.0))
@@ -137,20 +148,21 @@ def fuse(evidence: DataFrame) -> DataFrame:
     logs = F.array(*total)
     fused = met.withColumn("posterior", logs)
     share = 1 / F.aggregate("posterior", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("posterior")))
-    return fused.withColumns({"lang": _best(F.col("posterior")), "probability": share})
+    return fused.withColumns({"lang": F.coalesce(_best(F.col("posterior")), F.lit(LANGUAGES[0])), "probability": share})
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page, and of every document taken as plain text on a host named by its source.
 
-    Pages have a page_id, documents a doc_id; the other is null. The text models come from all documents.
+    Pages have a page_id, documents a doc_id; the other is null. The text models come from the documents that are not
+    held_out; a document declares nothing, as its `lang` is what is to be found.
     """
     small_batches(spark)
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    model = train(docs)
+    model = train(docs.where(~held_out(F.col("doc_id"))))
     host, suffix = address_parts(F.col("url"))
     none = F.lit(None)
-    of_pages = pages.select(F.lit("page").alias("kind"), "page_id", none.cast("long").alias("doc_id"), declared_language(F.col("html")).alias("declared"), host.alias("host"), suffix.alias("suffix"), _likelihoods(model, True)("html").alias("likelihoods"))
-    of_docs = docs.select(F.lit("document").alias("kind"), none.cast("long").alias("page_id"), "doc_id", F.col("lang").alias("declared"), F.concat(F.lit("source:"), "source").alias("host"), none.cast("string").alias("suffix"), _likelihoods(model, False)("text").alias("likelihoods"))
+    of_pages = pages.select(F.lit("page").alias("kind"), "page_id", none.cast("long").alias("doc_id"), none.cast("boolean").alias("held_out"), declared_language(F.col("html")).alias("declared"), host.alias("host"), suffix.alias("suffix"), _likelihoods(model, True)("html").alias("likelihoods"))
+    of_docs = docs.select(F.lit("document").alias("kind"), none.cast("long").alias("page_id"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), none.cast("string").alias("declared"), F.concat(F.lit("source:"), "source").alias("host"), none.cast("string").alias("suffix"), _likelihoods(model, False)("text").alias("likelihoods"))
     evidence = stash(of_pages.unionByName(of_docs), "language")
-    return fuse(evidence).select("kind", "page_id", "doc_id", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared")
+    return fuse(evidence).select("kind", "page_id", "doc_id", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared", "held_out")
