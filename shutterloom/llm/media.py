@@ -17,6 +17,8 @@ from .common import small_batches, table
 #: Bytes of a row of 64 RGB samples; payloads are padded to a multiple.
 ROW = 192
 TILE = 32
+#: Samples of a band of rows that are summed at once.
+BAND = 1 << 18
 
 
 def encode_ppm(image: np.ndarray) -> bytes:
@@ -82,12 +84,25 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return struct.pack("<2sIHHI", b"BM", 54 + size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
+def _by_masks(pixels: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """The channels that bit masks pick of each pixel, brought to 0 to 255."""
+    out = np.empty((*pixels.shape, len(masks)), np.uint8)
+    for n, mask in enumerate(masks):
+        low = (mask & -mask).bit_length() - 1 if mask else 0
+        top = mask >> low
+        if top & (top + 1):
+            raise ValueError("a mask with a gap")
+        value = (pixels.astype(np.uint64) & np.uint64(mask)) >> np.uint64(low)
+        out[..., n] = np.rint(value * (255.0 / top)) if top else 0
+    return out
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (with palette), 24 or 32 bits as (h, w, 3) uint8."""
+    """Uncompressed BMP of 8 (with palette), 16, 24 or 32 bits as (h, w, 3) uint8; 16 and 32 bits may have bit-field masks."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, head, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or h == 0:
+    if packed not in (0, 3) or bits not in (8, 16, 24, 32) or w <= 0 or h == 0 or (packed == 3 and bits not in (16, 32)):
         raise ValueError("a kind of BMP that isn't read")
     per = (w * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, per * abs(h), start).reshape(abs(h), per)[:, : w * bits // 8]
@@ -95,6 +110,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if bits == 8:
         palette = np.frombuffer(data[14 + head : start], np.uint8).reshape(-1, 4)
         return palette[rows][:, :, 2::-1]
+    if packed == 3 or bits == 16:
+        # The masks stand behind the 40 bytes of the header, or are its next fields.
+        masks = struct.unpack_from("<3I", data, 54) if packed == 3 else (0x7C00, 0x03E0, 0x001F)
+        return _by_masks(np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4"), masks)
     return rows.reshape(abs(h), w, bits // 8)[:, :, 2::-1]
 
 
@@ -102,39 +121,56 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def _luma(image: np.ndarray) -> np.ndarray:
-    return image @ np.array([0.299, 0.587, 0.114]) if image.ndim == 3 else image.astype(np.float64)
+def largest_sample(data: bytes) -> int:
+    """What a sample of the encoded image is at most: 255 but for Netpbm that says otherwise."""
+    return _header(data, 3)[0][2] if data[:2] in (b"P2", b"P3", b"P5", b"P6") else 255
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Each cell is the mean over its area of the image, pixels cut by its edges counting in part; from the integral image."""
-    flat = image.reshape(image.shape[0], image.shape[1], -1).astype(np.float64)
-    h, w, c = flat.shape
-    whole = np.zeros((h + 1, w + 1, c))
-    whole[1:, 1:] = flat.cumsum(0).cumsum(1)
+    """Each cell is the mean over its area of the image, pixels cut by its edges counting in part; from the integral image.
 
-    def at(axis: np.ndarray, edges: np.ndarray, n: int, along: int) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), n - 1)
-        part = (edges - low).reshape([-1 if k == along else 1 for k in range(3)])
-        return axis.take(low, along) * (1 - part) + axis.take(low + 1, along) * part
+    The integral image is made a band of rows at a time, and only its values at the cells' edges are kept.
+    """
+    flat = image.reshape(image.shape[0], image.shape[1], -1)
+    h, w, c = flat.shape
 
-    sums = at(at(whole, np.linspace(0, h, height + 1), h, 0), np.linspace(0, w, width + 1), w, 1)
+    def edges(n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.linspace(0, n, cells + 1)
+        low = np.minimum(at.astype(np.int64), n - 1)
+        return low, at - low
+
+    (row, row_part), (column, column_part) = edges(h, height), edges(w, width)
+    sums, above = np.zeros((height + 1, width + 1, c)), np.zeros((w + 1, c))
+    step = max(1, BAND // (w * c))
+    for at in range(0, h, step):
+        band = flat[at : at + step]
+        whole = np.zeros((len(band) + 1, w + 1, c))
+        whole[1:, 1:] = band.cumsum(0, dtype=np.float64).cumsum(1)
+        whole += above
+        above = whole[-1].copy()
+        own = np.flatnonzero((row >= at) & (row < at + len(band)))
+        low, part = row[own] - at, row_part[own, None, None]
+        lines = whole[low] * (1 - part) + whole[low + 1] * part
+        sums[own] = lines[:, column] * (1 - column_part[:, None]) + lines[:, column + 1] * column_part[:, None]
     cells = np.diff(np.diff(sums, axis=0), axis=1) / ((h / height) * (w / width))
     return cells[:, :, 0] if image.ndim == 2 else cells
 
 
 def difference_hash(image: np.ndarray) -> int:
-    """64 bits: whether each of 8 x 8 cells is darker than the next to its right, in an 8 x 9 area-resized luma image."""
-    cells = area_resize(_luma(image), 8, 9)
+    """64 bits: whether each of 8 x 8 cells is darker than the next to its right, in the luma of an 8 x 9 area-resized image."""
+    cells = area_resize(image, 8, 9)
+    if image.ndim == 3:
+        cells = cells @ np.array([0.299, 0.587, 0.114])
     # Rounded, so that a difference in the last bits of a sum decides nothing.
     cells = np.round(cells, 6)
     return int.from_bytes(np.packbits(cells[:, :-1] < cells[:, 1:]).tobytes(), "big")
 
 
-def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
-    """The image resized to side x side, as the bytes of an NPY file of uint8."""
+def npy_tile(image: np.ndarray, side: int = TILE, largest: int = 255) -> bytes:
+    """The image resized to side x side, its largest possible sample brought to 255, as the bytes of an NPY file of uint8."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    cells = area_resize(image, side, side) * (255 / largest) if largest != 255 else area_resize(image, side, side)
+    np.save(out, np.clip(np.rint(cells), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -155,7 +191,7 @@ def features(data: bytes | None) -> dict:
     samples = image.tobytes()
     shape = {"height": image.shape[0], "width": image.shape[1], "channels": 3 if image.ndim == 3 else 1}
     sums = {"sample_bytes": len(samples), "samples_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:])}
-    return row | shape | sums | {"dhash": f"{difference_hash(image):016x}", "tile": npy_tile(image)}
+    return row | shape | sums | {"dhash": f"{difference_hash(image):016x}", "tile": npy_tile(image, largest=largest_sample(data))}
 
 
 def _features(media: pa.Array) -> pa.Array:

@@ -55,6 +55,34 @@ def test_area_resize(shape, to):
     assert np.allclose(m.area_resize(x, *to), slow_resize(x, *to))
 
 
+def test_bands_give_the_same_sums(monkeypatch):
+    x = RNG.integers(0, 256, (57, 11, 3), dtype=np.uint8)
+    want = m.area_resize(x, 8, 9)
+    for band in (1, 40, 33 * 7):
+        monkeypatch.setattr(m, "BAND", band)
+        assert np.allclose(m.area_resize(x, 8, 9), want, atol=1e-9)
+
+
+def test_tiles_are_scaled_by_the_largest_sample():
+    tile = lambda data: np.load(io.BytesIO(m.features(data)["tile"]))
+    assert set(tile(b"P2 1 1 9 3").ravel()) == {85} and set(tile(b"P5 1 1 65535\n\x80\x00").ravel()) == {128}
+    assert set(tile(b"P1 1 1 0").ravel()) == {255} and set(tile(m.encode_ppm(np.full((3, 4), 200))).ravel()) == {200}
+
+
+def test_bmp_with_masks():
+    """Masks name the channels' places; 16 bits without masks have five for each channel."""
+    def bmp(bits, body, masks=()):
+        return b"BM" + (54 + 4 * len(masks) + len(body)).to_bytes(4, "little") + bytes(4) + (54 + 4 * len(masks)).to_bytes(4, "little") + b"".join(
+            v.to_bytes(n, "little") for v, n in ((40, 4), (1, 4), (1, 4), (1, 2), (bits, 2), (3 if masks else 0, 4), (len(body), 4), (0, 4), (0, 4), (0, 4), (0, 4))
+        ) + b"".join(x.to_bytes(4, "little") for x in masks) + body
+
+    assert m.decode(bmp(32, bytes([1, 2, 3, 4]), (0xFF, 0xFF00, 0xFF0000))).tolist() == [[[1, 2, 3]]]
+    assert m.decode(bmp(32, bytes([1, 2, 3, 4]), (0xFF000000, 0xFF0000, 0xFF00))).tolist() == [[[4, 3, 2]]]
+    assert m.decode(bmp(16, (0b11111_100000_00001).to_bytes(2, "little") + bytes(2), (0xF800, 0x07E0, 0x001F))).tolist() == [[[255, 130, 8]]]
+    assert m.decode(bmp(16, (0b0_11111_00000_00001).to_bytes(2, "little") + bytes(2))).tolist() == [[[255, 0, 8]]]
+    assert m.features(bmp(32, bytes(4), (0b101, 0xFF00, 0xFF0000)))["error"] and m.features(bmp(24, bytes(4), (255, 255, 255)))["error"]
+
+
 def test_hash_and_tile():
     ramp = np.tile(np.arange(0, 90, 10, dtype=np.uint8), (8, 1))
     assert m.difference_hash(ramp) == (1 << 64) - 1 and m.difference_hash(ramp[:, ::-1]) == 0
