@@ -3,7 +3,8 @@
 Totals by source, language and tokenizer version are never recomputed: inserts, deletes and
 revised counts of documents become signed additions, summed by key within their batch. A batch is
 a folder of its own, written whole or not at all under the batch's id, so committing it again
-changes nothing. The rollup is the sum of all batches ever committed.
+changes nothing. Compaction folds batches into a total that names them; the rollup is the last total
+and the batches since.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +25,56 @@ _DELTA = "source string, lang string, tokenizer string, docs bigint, tokens bigi
 
 
 class TokenLedger:
-    """Batches of signed deltas in a folder that all executors share."""
+    """Batches of signed deltas in a folder that all executors share.
+
+    A batch is the folder of its id. `_total-<n>` is a total up to some point: the sums, and the list of the batches in
+    it; the one with the largest n holds. Folders are put in place by a rename that refuses an existing target, which is
+    atomic on HDFS and local disks; object stores without such a rename need a committer of their own.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _files(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+    def _path(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *names)))
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _place(self, aside: str, name: str) -> bool:
+        """Renames; False if there is something of that name already. What another writer was faster with stays as it is."""
+        files, jvm = self._files(), self.spark._jvm
+        source = self._path(aside)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(files.makeQualified(source), files.makeQualified(self._path(name)), options)
+        except Py4JJavaError:
+            if not files.exists(self._path(name)):
+                raise
+            files.delete(source, True)
+            return False
+        return True
+
+    def _folders(self) -> list[str]:
+        files = self._files()
+        if not files.exists(self._path()):
+            return []
+        return sorted(x.getPath().getName() for x in files.listStatus(self._path()) if x.isDirectory())
+
+    def _state(self) -> tuple[str | None, list[str], list[str]]:
+        """The total that holds, the batches in it, and the batches beside it."""
+        found, files = self._folders(), self._files()
+        totals = [n for n in found if n.startswith("_total-")]
+        total = max(totals, key=lambda n: int(n.split("-")[1]), default=None)
+        within = [r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/{total}/batches").collect()] if total else []
+        have = set(within)
+        return total, within, [n for n in found if not n.startswith("_") and n not in have and files.exists(self._path(n, "_SUCCESS"))]
 
     def committed(self) -> list[str]:
         """Ids of the committed batches, in order of id."""
-        files, place = self._files(self.folder)
-        if not files.exists(place):
-            return []
-        found = (x.getPath() for x in files.listStatus(place))
-        return sorted(p.getName() for p in found if not p.getName().startswith("_") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        _, within, beside = self._state()
+        return sorted([*within, *beside])
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if it was committed before, and then nothing is read or written.
@@ -46,7 +82,8 @@ class TokenLedger:
         changes: change ("insert", "delete" or "revise"), source, lang, tokenizer, tokens (of the document as
         inserted or deleted, or revised to) and old_tokens (revised from; else unused). Null counts are 0;
         null keys are keys of their own. The sum is made before the shuffle, so a hot key is a row a task.
-        The folder is written beside its place and renamed, so a batch is seen whole or not at all.
+        Every attempt writes a folder of its own, which is renamed into place: a batch is seen whole or not at all, and
+        of two writers of one batch the second gets False.
         """
         if batch.startswith("_") or not batch.replace("_", "").replace("-", "").isalnum():
             raise ValueError(f"a batch id is letters, digits, _ and -: {batch}")
@@ -60,22 +97,46 @@ class TokenLedger:
             F.when(kind == "insert", 1).when(kind == "delete", -1).otherwise(0).alias("docs"),
             F.when(kind == "insert", tokens).when(kind == "delete", -tokens).otherwise(tokens - old).alias("tokens"),
         )
-        sums = signed.groupBy(*KEY).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
-        aside = f"{self.folder}/_writing-{batch}"
-        sums.where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(aside)
-        files, place = self._files(aside)
-        if not files.rename(place, self._files(f"{self.folder}/{batch}")[1]):
-            raise OSError(f"batch {batch} could not be put in place")
-        return True
+        aside = f"_writing-{uuid.uuid4().hex}"
+        _sums(signed).write.parquet(f"{self.folder}/{aside}")
+        return self._place(aside, batch)
+
+    def compact(self) -> bool:
+        """Fold all committed batches into a new total, so that a rollup reads one row a key and what came since.
+
+        False if there is nothing new, or if another total was put in place meanwhile. Offering a folded batch again still
+        changes nothing: the total names it. The folders that the new total stands for stay for readers that have begun;
+        sweep() takes them away.
+        """
+        total, within, beside = self._state()
+        if not beside:
+            return False
+        number = int(total.split("-")[1]) + 1 if total else 1
+        aside = f"_writing-{uuid.uuid4().hex}"
+        self._deltas(total, beside).write.parquet(f"{self.folder}/{aside}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted([*within, *beside])], "batch string").coalesce(1).write.parquet(f"{self.folder}/{aside}/batches")
+        return self._place(aside, f"_total-{number}")
+
+    def sweep(self) -> None:
+        """Delete folders of batches and totals that the present total stands for."""
+        total, within, _ = self._state()
+        old = {n for n in self._folders() if n.startswith("_total-") and n != total} | set(within)
+        for name in old:
+            self._files().delete(self._path(name), True)
+
+    def _deltas(self, total: str | None, beside: list[str]) -> DataFrame:
+        places = [f"{self.folder}/{b}" for b in beside] + ([f"{self.folder}/{total}/sums"] if total else [])
+        return _sums(self.spark.read.schema(_DELTA).parquet(*places)) if places else self.spark.createDataFrame([], _DELTA)
 
     def rollup(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all committed batches; keys whose sums are all 0 have no row."""
-        batches = self.committed()
-        if not batches:
-            return self.spark.createDataFrame([], _DELTA)
-        deltas = self.spark.read.schema(_DELTA).parquet(*(f"{self.folder}/{b}" for b in batches))
-        sums = deltas.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 or tokens <> 0")
+        total, _, beside = self._state()
+        return self._deltas(total, beside)
+
+
+def _sums(deltas: DataFrame) -> DataFrame:
+    sums = deltas.groupBy(*KEY).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
+    return sums.where("docs <> 0 or tokens <> 0")
 
 
 def _counter(path: str):
@@ -96,7 +157,7 @@ def without_repeated_lines(text: str = "text"):
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents after three batches under two tokenizer versions, each batch offered twice.
+    """Totals of all documents after three batches under two tokenizer versions, each batch offered twice, compacted between.
 
     The first inserts every document, the second revises those that shrink when repeated lines go, the
     third deletes all copies of a text but the one with the smallest id.
@@ -133,7 +194,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "3-delete": each(copies).select(*KEY, F.lit("delete").alias("change"), last.alias("tokens"), F.lit(0).alias("old_tokens")),
     }
     ledger = TokenLedger(spark, f"{shared_folder(spark)}/token-ledger-{uuid.uuid4().hex}")
-    for name in (*batches, *batches):
-        ledger.commit(name, batches[name])
+    for name, changes in batches.items():
+        ledger.commit(name, changes)
+        if name == "2-revise":
+            ledger.compact()
+    for name, changes in batches.items():
+        ledger.commit(name, changes)
     return ledger.rollup()
 

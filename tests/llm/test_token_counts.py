@@ -69,6 +69,33 @@ def test_batches_commit_once(spark, tmp_path):
         ledger.commit("../x", batch)
 
 
+def test_compaction_keeps_totals_and_names(spark, tmp_path):
+    ledger = c.TokenLedger(spark, str(tmp_path / "ledger"))
+    assert not ledger.compact()
+    one = lambda n: spark.createDataFrame([("insert", "s", "en", "t", n, None)], CHANGES)
+    for n in range(3):
+        ledger.commit(f"a{n}", one(n + 1))
+    assert ledger.compact() and not ledger.compact()
+    ledger.sweep()
+    assert sorted(x.name for x in (tmp_path / "ledger").iterdir()) == ["_total-1"]
+    assert ledger.committed() == ["a0", "a1", "a2"] and not ledger.commit("a1", one(9))
+    assert ledger.commit("b", one(10)) and ledger.compact()
+    assert [tuple(r) for r in ledger.rollup().collect()] == [("s", "en", "t", 4, 16)]
+    ledger.sweep()
+    assert [tuple(r) for r in ledger.rollup().collect()] == [("s", "en", "t", 4, 16)] and ledger.committed() == ["a0", "a1", "a2", "b"]
+
+
+def test_the_second_writer_changes_nothing(spark, tmp_path):
+    """Another writer puts the batch in place after this one has looked for it."""
+    folder = tmp_path / "ledger"
+    ledger, other = c.TokenLedger(spark, str(folder)), c.TokenLedger(spark, str(folder))
+    rows = spark.createDataFrame([("insert", "s", "en", "t", 5, None)], CHANGES)
+    ledger.committed = lambda: []
+    assert other.commit("x", rows)
+    assert not ledger.commit("x", rows)
+    assert sorted(p.name for p in folder.iterdir()) == ["x"] and other.rollup().first().tokens == 5
+
+
 def test_half_written_batches_do_not_count(spark, tmp_path):
     folder = tmp_path / "ledger"
     (folder / "_writing-x").mkdir(parents=True)
