@@ -1,10 +1,52 @@
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.llm import toxicity as t
 
 
 def test_folding():
-    assert t.words("1d10t IDIOT іdiоt m0r0n l@zy ｃｌｏｗｎ 2024 idiot*** a$$$") == ["idiot", "idiot", "idiot", "moron", "lazy", "clown", "idiot", "a"]
+    assert t.words("1d10t IDIOT іdiоt m0r0n l@zy ｃｌｏｗｎ 2024 idiot*** a$$$ wow! $5 a | b") == ["idiot", "idiot", "idiot", "moron", "lazy", "clown", "idiot", "asss", "wow", "a", "b"]
+    assert t.words("i\u200bdiot $cum st\u0301upid tr@$h") == ["idiot", "scum", "stupid", "trash"]
+
+
+def test_disguised_entries_are_found():
+    """Every built-in entry, with each letter that has one replaced by a digit, sign or look-alike, or parted by unseen characters."""
+    lexicon = t.Lexicon({})
+    other = {}
+    for disguise, letter in [*zip(t.SUBSTITUTES, t.LETTERS, strict=True), *zip(t.LOOKALIKES, t.LATIN, strict=True)]:
+        other.setdefault(letter, []).append(disguise)
+    for word in t.SEED_WORDS:
+        plain = lexicon.score(f"so {word} then")
+        assert plain > 0
+        assert lexicon.score("so " + "\u200b".join(word) + " then") == lexicon.score(f"so {word.upper()} then") == plain
+        for at, letter in enumerate(word):
+            for disguise in other.get(letter, []):
+                if disguise not in "!|" or 0 < at < len(word) - 1:
+                    assert lexicon.score(f"so {word[:at]}{disguise}{word[at + 1 :]} then") == plain, (word, disguise)
+
+
+def naive_score(text, weights):
+    """Every entry tried at every place of the line of words; an entry within an exception phrase doesn't count."""
+    found = t.words(text)
+    line, total = " " + " ".join(found) + " ", 0.0
+    entries = {f" {w} ": t.SEED_WEIGHT for w in t.SEED_WORDS} | weights
+    phrases = [(i, i + len(p) + 2) for p in t.EXCEPTIONS for i in range(len(line)) if line.startswith(f" {p} ", i)]
+    for at in range(len(line)):
+        if not any(a <= at < b - 1 for a, b in phrases):
+            total += max((w for e, w in entries.items() if line.startswith(e, at)), default=0.0)
+    return total / math.log2(8 + len(found))
+
+
+def test_automaton_equals_a_naive_matcher(texts):
+    rng = random.Random(4)
+    weights = {" the": 1.5, " der ": 2.0, " an": 0.5, " and ": 3.25, " pondering ": 1.0, " un": 0.25}
+    lexicon = t.Lexicon(weights)
+    odd = [" ".join(rng.choice([*t.SEED_WORDS, *t.EXCEPTIONS, "the", "and", "fish", "can", "der", "pond", "x"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    for text in [*odd, *list(texts.values())[:60]]:
+        assert lexicon.score(text) == pytest.approx(naive_score(text, weights), abs=1e-12)
 
 
 def test_lexicon_weighs_words_beginnings_and_exceptions():
