@@ -72,14 +72,17 @@ def exposure_intentional(mean: Column, std: Column) -> Column:
 
 
 def exif_risk(shutter: Column, focal: Column, iso: Column, camera: Column) -> Column:
-    """Risk of hand shake from exposure time, focal length, ISO and the camera's stabilisation."""
+    """Risk of hand shake from exposure time, focal length, ISO and the camera's stabilisation.
+
+    Without a focal length, times below 1/60 s are moderate and longer ones low, as the catalogs at hand have it.
+    """
     stops = F.lit(0)
     for name, n in STABILISATION.items():
         stops = F.when(camera == name, n).otherwise(stops)
     safe = F.pow(F.lit(2.0), stops) / focal
     risk = (
         F.when(shutter.isNull(), "unknown")
-        .when(focal.isNull() | (focal <= 0), F.when(shutter > 1 / 60, "moderate").otherwise("low"))
+        .when(focal.isNull() | (focal <= 0), F.when(shutter < 1 / 60, "moderate").otherwise("low"))
         .when(shutter <= safe, "low")
         .when(shutter <= 2 * safe, "moderate")
         .otherwise("high")
@@ -100,6 +103,12 @@ def shake_score(consistency: Column, elongation: Column) -> Column:
     return F.greatest(F.lit(0), 100 - _steps(consistency, (0.7, 50), (0.5, 35), (0.3, 15)) - _steps(elongation, (3.0, 30), (2.0, 20), (1.5, 10)))
 
 
+def shake_warning(consistency: Column, elongation: Column) -> Column:
+    """How severe, by the worse of both."""
+    beyond = lambda c, e: (consistency > c) | (elongation > e)
+    return F.when(beyond(0.7, 3.0), "severe_shake").when(beyond(0.5, 2.0), "shake").when(beyond(0.3, 1.5), "slight_shake").otherwise("ok")
+
+
 def shake_intentional(angle: Column, consistency: Column) -> Column:
     """A pan."""
     return ((angle < 20) | (angle > 160)) & (consistency > 0.3) & (consistency < 0.65)
@@ -122,9 +131,19 @@ def aesthetic_score(raw: Column) -> Column:
     return F.bround(F.when(raw > 1.5, on_ten).otherwise(on_one), 1)
 
 
-def level(score: Column, *limits: float) -> Column:
-    """0 for scores below all limits, up to len(limits) at or above the largest."""
-    return sum(((score >= x).cast("int") for x in limits), F.lit(0))
+def quality_label(score: Column, excellent: float, good: float, fair: float) -> Column:
+    """The word for a score by its lower limits; null stays null."""
+    return F.when(score >= excellent, "Excellent").when(score >= good, "Good").when(score >= fair, "Fair").when(score.isNotNull(), "Poor")
+
+
+def iqa_label(score: Column) -> Column:
+    """C10."""
+    return quality_label(score, 75, 55, 35)
+
+
+def aesthetic_label(score: Column) -> Column:
+    """C11."""
+    return quality_label(score, 46, 42, 36)
 
 
 def burst_score(sharpness: Column, exposure: Column, shake: Column | None = None) -> Column:
@@ -155,21 +174,29 @@ def score_band(score: Column, low: float = 40, high: float = 70) -> Column:
 
 
 def fact_sheet() -> Column:
-    """The known scores and settings of a photo, a line each."""
-    one = lambda name: F.when(F.col(name).isNull(), "N/A").otherwise(F.format_string("%.1f", F.col(name).cast("double")))
-    scored = lambda label, name, low=40, high=70: F.concat(F.lit(f"{label}: "), one(name), F.lit(" ("), score_band(F.col(name), low, high), F.lit(")"))
-    shutter = F.when(zero(F.col("shutter_speed")) == 0, "N/A").when(F.col("shutter_speed") >= 1, F.format_string("%.0fs", "shutter_speed")).otherwise(F.concat(F.lit("1/"), F.bround(1 / F.col("shutter_speed")).cast("long"), F.lit("s")))
-    face = F.concat(F.col("face_count"), F.lit(" face(s)"), F.coalesce(F.when(F.col("eyes_open") == 1, ", eyes open").when(F.col("eyes_open") == 0, ", eyes closed"), F.lit("")))
+    """The known scores and settings of a photo as text for a narrator; a sharpness, exposure, IQA or aesthetic score of 0 counts as unknown."""
+    number = lambda x, digits: F.when(x.isNull(), "N/A").otherwise(F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)))
+    known = lambda name: F.nullif(F.col(name).cast("double"), F.lit(0.0))
+    scored = lambda label, x, low=40, high=70: F.concat(F.lit(f"  {label}: "), number(x, 1), F.lit(" ("), score_band(x, low, high), F.lit(")"))
+    speed = F.col("shutter_speed")
+    shutter = F.when(zero(speed) == 0, "N/A").when(speed >= 1, F.concat(number(speed, 0), F.lit("s"))).otherwise(F.concat(F.lit("1/"), F.bround(1 / speed).cast("long"), F.lit("s")))
+    eyes = F.when(F.col("eyes_open").isNull(), "").when(F.col("eyes_open") == 0, ", eyes CLOSED").otherwise(", eyes open")
+    sharp = F.when(F.col("face_sharpness_score").isNull(), "").otherwise(F.concat(F.lit(", face sharpness "), number(F.col("face_sharpness_score"), 0)))
+    faces = F.concat(F.lit("\nFaces:\n  "), zero(F.col("face_count")), F.lit(" face(s) detected"), eyes, sharp)
+    settings = [number(F.col("focal_length_mm"), 0), F.lit("mm · f/"), number(F.col("aperture"), 1), F.lit(" · "), shutter, F.lit(" · ISO "), F.coalesce(F.nullif(F.col("iso").cast("long"), F.lit(0)).cast("string"), F.lit("N/A"))]
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("Camera: "), F.coalesce(F.col("camera"), F.lit("unknown camera"))),
-        F.concat(F.lit("Settings: "), F.when(F.col("focal_length_mm").isNull(), "N/A").otherwise(F.format_string("%.0f", "focal_length_mm")), F.lit("mm, f/"), one("aperture"), F.lit(", "), shutter, F.lit(", ISO "), F.coalesce(F.col("iso").cast("string"), F.lit("N/A"))),
-        scored("Overall", "overall_score"),
-        scored("Sharpness", "sharpness_score"),
-        scored("Exposure", "exposure_score"),
-        F.when(F.col("iqa_score").isNotNull(), scored("Perceptual quality", "iqa_score", 35, 55)),
-        F.when(F.col("aesthetic_score").isNotNull(), scored("Aesthetic", "aesthetic_score", 30, 50)),
-        F.when(zero(F.col("face_detected")) == 1, F.concat(F.lit("Faces: "), face)).otherwise("Faces: none detected"),
+        F.concat(F.lit("Camera: "), F.coalesce(F.nullif("camera", F.lit("")), F.lit("unknown camera"))),
+        F.concat(F.lit("Settings: "), *settings),
+        # The headings.
+        F.lit("\nTechnical scores (0–100):"),
+        scored("Overall", F.col("overall_score").cast("double")),
+        scored("Sharpness", known("sharpness_score")),
+        scored("Exposure", known("exposure_score")),
+        F.when(known("iqa_score").isNotNull(), scored("Perceptual quality (TOPIQ)", known("iqa_score"), 35, 55)),
+        F.when(known("aesthetic_score").isNotNull(), scored("Aesthetic appeal (LAION)", known("aesthetic_score"), 30, 50)),
+        F.when(zero(F.col("face_detected")) == 1, faces).otherwise("\nFaces: none detected"),
+        F.lit("\nWrite your 2–3 sentence narrative explanation now:"),
     )
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DECISIONS, Thresholds
-from ..functions.scalars import all_faces_closed
+from ..functions.scalars import all_faces_closed, parse_fraction
 from ..functions.scores import zero
+from ..sources.catalog import delete_images
 from .groups import candidate_order
 from .similarity import group_by_similarity
 
@@ -20,10 +21,10 @@ NAMED_REASONS = ("closed_eyes", "soft_face", "blurry_frame", "cluttered_backgrou
 def auto_decision(columns: list[str], t: Thresholds = Thresholds(), ready: bool = False) -> Column:
     """Struct (decision, reason) of the first rule that holds, for rows with some of the catalog's columns.
 
-    Scores that are null count as 0, a column that `columns` lacks as null. Personal rules need a model
-    that is `ready`.
+    Scores that are null count as 0, a column that `columns` lacks, or a text that is no number, as null. The exposure
+    time may be text like '1/250'. Personal rules need a model that is `ready`.
     """
-    col = lambda name, kind="double": F.col(name).cast(kind) if name in columns else F.lit(None).cast(kind)
+    col = lambda name, kind="double": F.col(name).try_cast(kind) if name in columns else F.lit(None).cast(kind)
     sharp, face_sharp, overall = (zero(col(c)) for c in ("sharpness_score", "face_sharpness_score", "overall_score"))
     face = zero(col("face_detected", "int")) == 1
     rules: list[tuple[Column, str, str]] = []
@@ -38,7 +39,7 @@ def auto_decision(columns: list[str], t: Thresholds = Thresholds(), ready: bool
         rules.append((col("iso") > t.iso_ceiling, "reject", "iso_ceiling"))
     if t.reject_reciprocal_rule:
         focal = col("focal_length_mm")
-        rules.append(((focal > 0) & (col("shutter_speed") > 1 / F.nullif(focal, F.lit(0.0))), "reject", "reciprocal_rule"))
+        rules.append(((focal > 0) & (parse_fraction(col("shutter_speed", "string")) > 1 / F.nullif(focal, F.lit(0.0))), "reject", "reciprocal_rule"))
     if t.background_ceiling is not None:
         rules.append((face & (col("background_distraction_score") >= t.background_ceiling), "reject", "cluttered_background"))
     if ready:
@@ -123,3 +124,9 @@ def bulk_decision(ids: DataFrame, decision: str, images: DataFrame) -> tuple[Dat
 def trash_list(images: DataFrame, decided: DataFrame) -> DataFrame:
     """Rejected photos."""
     return images.join(decided.where("decision = 'reject'").select(F.col("image_id").alias("id")), "id", "left_semi")
+
+
+def trash_rejects(tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The rejected photos, whose files the caller moves to the trash, and the tables (as of delete_images()) without them."""
+    gone = trash_list(tables["images"], tables["decisions"])
+    return gone, delete_images(tables, gone)

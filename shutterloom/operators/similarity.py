@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,26 +12,13 @@ from pyspark.sql import functions as F
 
 from ..config import BLOCKED_SCENES
 from ..functions.scalars import cosine
+from ..storage import written
 from .bursts import time_segments
 
 #: Rows of a block; a pair of blocks is compared with one matrix product.
 BLOCK = 1024
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the checkpoint folder, read back: lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = found.get()
-    path = f"{folder}/groups-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def similarity_links(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b, cosine) of all pairs of one segment with a < b and a cosine of at least the threshold.
 

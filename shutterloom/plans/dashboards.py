@@ -154,7 +154,7 @@ def c_scores(spark, sf_dir):
 
 _C = """WITH q AS (SELECT *, sharpness_score * 2 AS mean, CAST(id % 25 AS DOUBLE) AS hi, CAST(id % 12 AS DOUBLE) AS lo,
       CASE camera WHEN 'X100VI' THEN 16.0E0 WHEN 'Z6III' THEN 32.0E0 ELSE 1.0E0 END / focal_length_mm AS safe FROM photos),
-    q2 AS (SELECT *, CASE WHEN focal_length_mm IS NULL THEN CASE WHEN shutter_speed > 1.0E0 / 60 THEN 'moderate' ELSE 'low' END WHEN shutter_speed <= safe THEN 'low' WHEN shutter_speed <= 2 * safe THEN 'moderate' ELSE 'high' END AS base FROM q)
+    q2 AS (SELECT *, CASE WHEN focal_length_mm IS NULL THEN CASE WHEN shutter_speed < 1.0E0 / 60 THEN 'moderate' ELSE 'low' END WHEN shutter_speed <= safe THEN 'low' WHEN shutter_speed <= 2 * safe THEN 'moderate' ELSE 'high' END AS base FROM q)
     SELECT id, ROUND((3 * sharpness_score + 2 * exposure_score) / 5, 1) AS overall,
       ROUND(CASE WHEN hi <= 1 THEN 0.05E0 * hi WHEN hi <= 2 THEN 0.05E0 + (hi - 1) * 0.10E0 WHEN hi <= 5 THEN 0.15E0 + (hi - 2) * 0.10E0 WHEN hi <= 10 THEN 0.45E0 + (hi - 5) * 0.06E0 WHEN hi <= 20 THEN 0.75E0 + (hi - 10) * 0.025E0 ELSE 1.0E0 END, 4) AS clipping,
       CASE WHEN hi > 2 THEN 'clipped_highlights' WHEN lo > 5 THEN 'clipped_shadows' WHEN mean < 50 THEN 'dark' WHEN mean > 200 THEN 'bright' ELSE 'ok' END AS warning,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import members_hash
 from ..operators import bursts, groups, similarity
-from ..operators.similarity import written
+from ..storage import written
 from . import views
 from .dashboards import runs_sql
 

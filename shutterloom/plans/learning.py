@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURES
 from ..operators import learn
-from ..operators.similarity import written
+from ..storage import written
 from . import views
 from .dashboards import _feature_sql, _samples
 

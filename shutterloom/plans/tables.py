@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.similarity import written
+from ..storage import written
 from ..sources import catalog
 from ..streaming import watch
 from . import views

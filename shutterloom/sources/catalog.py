@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from ..config import DECISION_FOLDERS, DECISIONS, PHOTO_EXTENSIONS
 from ..functions.scalars import file_name, parent_folder
+from ..storage import written
 
 #: Columns of a photo that an upsert of analysis results leaves as they are.
 KEPT_ON_CONFLICT = ("id", "imported_at", "manual_group_id", "explanation", "source_folder")
 #: Columns of the sharpness report.
-SHARPNESS_REPORT = ("filename", "path", "format", "maker", "width", "height", "raw_score", "normalized_score", "p90_laplacian", "p90_tenengrad", "p90_mlap")
+SHARPNESS_REPORT = ("filename", "normalized_score", "p90_laplacian_variance", "p90_tenengrad", "p90_modified_laplacian", "raw_score", "width", "height", "classification", "camera", "path")
+#: Tables that a reset empties, by what is to be wiped.
+RESETS = {"log": ("shooting_log",), "model": ("training_samples", "pairwise_comparisons"), "all": ("decisions", "burst_members", "bursts", "images")}
 
 
 def is_photo(path: Column) -> Column:
@@ -128,9 +131,22 @@ def undo_decisions(decided: DataFrame, samples: DataFrame, images: DataFrame, id
     return decided.join(ids.select(F.col("id").alias("image_id")), "image_id", "left_anti").select(*decided.columns), samples.join(uuids, "sample_uuid", "left_anti").select(*samples.columns)
 
 
-def delete_images(images: DataFrame, decided: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Images and decisions without the photos in ids; samples and log aren't touched."""
-    return images.join(ids.select("id"), "id", "left_anti").select(*images.columns), decided.join(ids.select(F.col("id").alias("image_id")), "image_id", "left_anti").select(*decided.columns)
+def delete_images(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the photos in ids (id): their decisions, their places in bursts, bursts whose hero they are, and themselves.
+
+    The places of other photos in such a burst go with it. tables by name; those that hold none of these (samples, log) and
+    names that aren't there stay as they are.
+    """
+    keys = {"decisions": "image_id", "burst_members": "image_id", "bursts": "hero_image_id", "images": "id"}
+    gone = ids.select("id").distinct()
+    out = dict(tables)
+    if {"bursts", "burst_members"} <= tables.keys():
+        without = tables["bursts"].join(gone.withColumnRenamed("id", "hero_image_id"), "hero_image_id", "left_semi").select(F.col("id").alias("burst_id"))
+        tables = tables | {"burst_members": tables["burst_members"].join(without, "burst_id", "left_anti").select(*tables["burst_members"].columns)}
+    for name, key in keys.items():
+        if name in tables:
+            out[name] = tables[name].join(gone.withColumnRenamed("id", key), key, "left_anti").select(*tables[name].columns)
+    return out
 
 
 def backfill_source_folder(images: DataFrame) -> DataFrame:
@@ -160,7 +176,7 @@ def null_stale_columns(images: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def export_sharpness_csv(scores: DataFrame, path: str) -> None:
-    """S16."""
+    """Scores with the columns SHARPNESS_REPORT."""
     scores.select(*SHARPNESS_REPORT).write.mode("overwrite").csv(path, header=True)
 
 
@@ -172,30 +188,48 @@ def subfolder_photo_counts(files: DataFrame, root: str) -> DataFrame:
     return inside.select(first.alias("f")).where(F.col("f").isNotNull() & ~F.col("f").isin(*DECISION_FOLDERS.values())).agg(F.count_distinct("f").alias("subfolders"))
 
 
-def reset(table: DataFrame) -> DataFrame:
-    """An empty table of the same columns."""
-    return table.sparkSession.createDataFrame([], table.schema)
+def reset(tables: dict[str, DataFrame], what: str) -> dict[str, DataFrame]:
+    """The tables with those that `what` (a key of RESETS) names empty, of the same columns."""
+    return {name: df.sparkSession.createDataFrame([], df.schema) if name in RESETS[what] else df for name, df in tables.items()}
 
 
 def move_plan(images: DataFrame, decided: DataFrame, folder_settings: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, file_path, dest_path) for decided photos that aren't in place; nothing is moved.
 
-    folder_settings (source_folder, decision, dest_folder); existing (path) of files at the destinations. A
-    name that is taken gets _1, _2, ... in order of id, after those numbers that are taken already.
+    folder_settings (source_folder, decision, dest_folder); existing (path) of files at the destinations. In order
+    of id every photo gets the first free of name, name_1, name_2, ...; what an existing file or an earlier photo has is taken.
     """
     from ..functions.scores import decision_folder
 
     rows = images.join(decided.select(F.col("image_id").alias("id"), "decision"), "id").join(folder_settings, ["source_folder", "decision"], "left")
     dest = decision_folder(F.col("decision"), F.col("source_folder"), F.col("dest_folder"))
     rows = rows.select("id", "file_path", dest.alias("dest"), file_name(F.col("file_path")).alias("name")).where(F.concat("dest", F.lit("/"), "name") != F.col("file_path"))
-    stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    rows = rows.withColumns({"stem": stem, "ext": ext})
-    # The highest number that files of this name have at the destination: 0 for the plain name, none if it is free.
-    there = existing.select(parent_folder(F.col("path")).alias("dest"), file_name(F.col("path")).alias("n"))
-    there = there.select("dest", F.regexp_extract("n", r"^(.*?)(?:_(\d+))?(\.[^.]*)?$", 1).alias("stem"), F.regexp_extract("n", r"(\.[^.]*)$", 1).alias("ext"), F.coalesce(F.regexp_extract("n", r"_(\d+)(?:\.[^.]*)?$", 1).try_cast("int"), F.lit(0)).alias("k"), "n")
-    plain = there.unionByName(there.where("k > 0").withColumns({"stem": F.regexp_extract("n", r"^(.*?)(\.[^.]*)?$", 1), "k": F.lit(0)}))
-    taken = plain.groupBy("dest", "stem", "ext").agg(F.max("k").alias("top"))
-    met = rows.join(taken, ["dest", "stem", "ext"], "left")
-    number = F.coalesce("top", F.lit(-1)) + F.row_number().over(Window.partitionBy("dest", "stem", "ext").orderBy("id"))
-    tail = F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise("")
-    return met.select("id", "file_path", F.concat("dest", F.lit("/"), "stem", tail, "ext").alias("dest_path"))
+    split = r"(?s)^(.+?)(\.[^.]+)?$"
+    rows = rows.withColumns({"stem": F.regexp_extract("name", split, 1), "ext": F.regexp_extract("name", split, 2)})
+    # An existing file takes the plain name of its own stem, and a number of the stem before it.
+    there = existing.select(parent_folder(F.col("path")).alias("dest"), file_name(F.col("path")).alias("name")).distinct()
+    there = there.withColumns({"stem": F.regexp_extract("name", split, 1), "ext": F.regexp_extract("name", split, 2)})
+    numbered = r"(?s)^(.+)_([1-9]\d{0,8})$"
+    plain = there.select("dest", "stem", "ext", F.lit(0).alias("n"))
+    taken = plain.unionByName(there.where(F.col("stem").rlike(numbered)).select("dest", F.regexp_extract("stem", numbered, 1).alias("stem"), "ext", F.regexp_extract("stem", numbered, 2).cast("int").alias("n")))
+    wanted = rows.select("dest", "stem", "ext").distinct()
+    taken = taken.join(wanted, ["dest", "stem", "ext"], "left_semi").groupBy("dest", "stem", "ext").agg(F.array_sort(F.collect_set("n")).alias("taken"))
+    alike = Window.partitionBy("dest", "stem", "ext").orderBy("id")
+    # turn: which of the free numbers a photo asks for. Photos of one name ask for one after another, in order of id.
+    state = rows.join(taken, ["dest", "stem", "ext"], "left").withColumn("turn", F.row_number().over(alike) - 1)
+    while True:
+        skipped = F.size(F.filter(F.transform(F.coalesce("taken", F.array().cast("array<int>")), lambda n, k: n - k), lambda free: free <= F.col("turn")))
+        number = F.col("turn") + skipped
+        name = F.concat("stem", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), "ext")
+        asked = written(state.withColumn("dest_name", name))
+        # Photos of other names may ask for the same; the lowest id has it, the others of its kind ask for the next.
+        met = asked.groupBy("dest", "dest_name").agg(F.min("id").alias("has"), F.count("*").alias("n")).where("n > 1")
+        if met.isEmpty():
+            return asked.select("id", "file_path", F.concat("dest", F.lit("/"), "dest_name").alias("dest_path"))
+        lost = asked.join(met, ["dest", "dest_name"]).where("id <> has").select("id", F.lit(1).alias("late"))
+        moved = asked.join(lost, "id", "left").withColumn("turn", F.col("turn") + F.coalesce("late", F.lit(0)))
+        # Later ones of the same name stay behind it: the turn less the place in the row never falls.
+        place = F.row_number().over(alike) - 1
+        moved = moved.withColumn("place", place)
+        ahead = F.max(F.col("turn") - F.col("place")).over(alike.rowsBetween(Window.unboundedPreceding, 0))
+        state = moved.withColumn("turn", F.col("place") + ahead).drop("place", "late", "dest_name")

@@ -37,7 +37,15 @@ def cases():
         (s.exif_risk(lit(0.02), lit(50.0), lit(12800), lit("X Half")), "moderate"),
         (s.exif_risk(lit(0.04), lit(50.0), lit(100), lit("X Half")), "moderate"),
         (s.exif_risk(lit(0.3), lit(50.0), lit(100), lit("X100VI")), "low"),
-        (s.exif_risk(lit(0.5), lit(None, "double"), lit(100), lit(None, "string")), "moderate"),
+        (s.exif_risk(lit(0.5), lit(None, "double"), lit(100), lit(None, "string")), "low"),
+        (s.exif_risk(lit(0.01), lit(None, "double"), lit(100), lit(None, "string")), "moderate"),
+        (s.shake_warning(lit(0.1), lit(3.5)), "severe_shake"),
+        (s.shake_warning(lit(0.6), lit(1.0)), "shake"),
+        (s.shake_warning(lit(0.1), lit(1.6)), "slight_shake"),
+        (s.shake_warning(lit(0.3), lit(1.5)), "ok"),
+        (s.iqa_label(lit(55.0)), "Good"),
+        (s.aesthetic_label(lit(35.9)), "Poor"),
+        (s.aesthetic_label(lit(None, "double")), None),
         (s.reweighted(lit(9.0), lit(None, "double"), lit(2.0), 0.5), 9.0),
         (s.reweighted(lit(9.0), lit(0.1), lit(0.2), 0.5), 0.2),
         (s.face_quality(lit(1), lit(50.0), lit(0), lit(0.5)), 25.0),
@@ -96,6 +104,7 @@ def test_rankings(spark):
 
 
 def test_fact_sheet(spark):
-    row = spark.sql("SELECT 'X' camera, 23.0D focal_length_mm, 2.0D aperture, 0.004D shutter_speed, 200 iso, 71.0D overall_score, 39.0D sharpness_score, CAST(NULL AS DOUBLE) exposure_score, CAST(NULL AS DOUBLE) iqa_score, 45.0D aesthetic_score, 1 face_detected, 2 face_count, 0 eyes_open")
+    row = spark.sql("SELECT 'X' camera, 23.0D focal_length_mm, 2.0D aperture, 0.004D shutter_speed, 200 iso, 71.0D overall_score, 39.0D sharpness_score, CAST(NULL AS DOUBLE) exposure_score, CAST(NULL AS DOUBLE) iqa_score, 45.0D aesthetic_score, 1 face_detected, 2 face_count, 0 eyes_open, 12.4D face_sharpness_score")
     text = row.select(s.fact_sheet().alias("v")).first().v
-    assert "1/250s" in text and "Overall: 71.0 (good)" in text and "Sharpness: 39.0 (poor)" in text and "Exposure: N/A (N/A)" in text and "Perceptual" not in text and "2 face(s), eyes closed" in text
+    assert text.startswith("Camera: X\nSettings: 23mm · f/2.0 · 1/250s · ISO 200\n\nTechnical scores (0–100):\n  Overall: 71.0 (good)\n") and text.endswith("\n\nWrite your 2–3 sentence narrative explanation now:")
+    assert "Overall: 71.0 (good)" in text and "Sharpness: 39.0 (poor)" in text and "Exposure: N/A (N/A)" in text and "Perceptual" not in text and "\n\nFaces:\n  2 face(s) detected, eyes CLOSED, face sharpness 12\n" in text

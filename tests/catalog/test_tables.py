@@ -1,11 +1,14 @@
 import datetime
+import itertools
 import json
+import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.config import FEATURES
-from shutterloom.operators import dashboard, learn
+from shutterloom.operators import dashboard, decide, learn
 from shutterloom.plans import views
 from shutterloom.sources import catalog
 from shutterloom.streaming import watch
@@ -48,14 +51,22 @@ def test_undo_delete_and_backfills(spark):
     ids = spark.createDataFrame([(1,)], "id long")
     d, s = catalog.undo_decisions(decided, samples, images, ids)
     assert [r.image_id for r in d.collect()] == [2] and [r.sample_uuid for r in s.collect()] == ["u9"]
-    i, d = catalog.delete_images(images, decided, ids)
-    assert i.count() == d.count() == 1
+    bursts = spark.createDataFrame([(7, 1), (8, 2)], "id long, hero_image_id long")
+    members = spark.createDataFrame([(7, 1), (7, 3), (8, 2), (8, 4), (9, 1)], "burst_id long, image_id long")
+    left = catalog.delete_images({"images": images, "decisions": decided, "bursts": bursts, "burst_members": members, "training_samples": samples}, ids)
+    assert left["images"].count() == left["decisions"].count() == 1 and left["training_samples"].count() == 2
+    assert [r.id for r in left["bursts"].collect()] == [8] and sorted(r.image_id for r in left["burst_members"].collect()) == [2, 4]
+    gone, left = decide.trash_rejects({"images": images, "decisions": decided.withColumn("decision", F.when(F.col("image_id") == 2, "reject").otherwise("keep"))})
+    assert [r.file_path for r in gone.collect()] == ["/f/b.jpg"] and [r.id for r in left["images"].collect()] == [1] and left["decisions"].count() == 1
     assert [r.source_folder for r in catalog.backfill_source_folder(images).orderBy("id").collect()] == ["/f", "/x"]
     log = spark.createDataFrame([("u0", "L")], "sample_uuid string, lens_model string")
     once = catalog.backfill_shooting_log(images, log)
     assert {r.sample_uuid: r.lens_model for r in once.collect()} == {"u0": "L", "u1": None}
     assert catalog.backfill_shooting_log(images, once).count() == 2
-    assert catalog.reset(images).count() == 0 and catalog.reset(images).schema == images.schema
+    tables = {"images": images, "decisions": decided, "shooting_log": log, "training_samples": samples}
+    for what, empty in (("log", {"shooting_log"}), ("model", {"training_samples"}), ("all", {"images", "decisions"})):
+        after = catalog.reset(tables, what)
+        assert {n for n, df in after.items() if df.count() == 0} == empty and all(df.schema == tables[n].schema for n, df in after.items())
 
 
 def test_stale_features(spark):
@@ -74,6 +85,34 @@ def test_move_plan_numbers_collisions(spark):
     assert got == {1: "/k/x_2.jpg", 2: "/k/x_3.jpg", 4: "/d/_Keeps/n"}
 
 
+def test_move_plan_equals_moving_one_by_one(spark):
+    """Names that meet a numbered name of another photo, free numbers below taken ones, names that look numbered; a file is never written over."""
+    rng = random.Random(6)
+    names = ["IMG.jpg", "IMG_1.jpg", "IMG_1_1.jpg", "IMG_2.jpg", "IMG_01.jpg", "IMG", "a.tar.gz", "a_1.tar.gz", ".hidden", "x_1"]
+    rows = [(i, f"/s{i}/{rng.choice(names)}", f"/s{i}") for i in range(1, 121)]
+    images = spark.createDataFrame(rows, "id long, file_path string, source_folder string")
+    decided = images.select(F.col("id").alias("image_id"), F.lit("keep").alias("decision"))
+    dest = {i: f"/k{i % 3}" for i, _, _ in rows}
+    settings = spark.createDataFrame([(f"/s{i}", "keep", d) for i, d in dest.items()], "source_folder string, decision string, dest_folder string")
+    there = ["/k0/IMG.jpg", "/k0/IMG_5.jpg", "/k1/IMG_2.jpg", "/k2/IMG_1.jpg", "/k2/x_1_1", "/k0/IMG_01.jpg"]
+    got = {r.id: r.dest_path for r in catalog.move_plan(images, decided, settings, spark.createDataFrame([(p,) for p in there], "path string")).collect()}
+    taken, want = set(there), {}
+    for i, path, _ in rows:
+        name = pathlib.PurePosixPath(path.rsplit("/", 1)[1])
+        tries = (f"{dest[i]}/{name.stem}{'_' + str(n) if n else ''}{name.suffix}" for n in itertools.count())
+        want[i] = next(t for t in tries if t not in taken)
+        taken.add(want[i])
+    assert got == want
+
+
+def test_sharpness_report(spark, tmp_path):
+    one = spark.range(1).select(*(F.lit(n).alias(name) for n, name in enumerate(reversed(catalog.SHARPNESS_REPORT))), F.lit(0).alias("other"))
+    catalog.export_sharpness_csv(one, str(tmp_path / "report"))
+    head = next((tmp_path / "report").glob("*.csv")).read_text().splitlines()
+    assert head[0] == "filename,normalized_score,p90_laplacian_variance,p90_tenengrad,p90_modified_laplacian,raw_score,width,height,classification,camera,path"
+    assert head[1] == "10,9,8,7,6,5,4,3,2,1,0"
+
+
 def test_features_round_trip(spark, sf_dir):
     photos = views.photos(spark, sf_dir)
     back = photos.select("id", learn.features_to_json(photos.columns).alias("j")).select("id", *learn.features_from_json(F.col("j")))
