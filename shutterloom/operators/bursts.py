@@ -13,28 +13,38 @@ from pyspark.sql import functions as F
 from ..functions.scores import burst_score
 
 
-def time_runs(photos: DataFrame, gap: float, at: str = "shot_at", id: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+def time_runs(photos: DataFrame, gap: float, at: str = "shot_at", by: tuple[str, ...] = ()) -> DataFrame:
     """photos with a non-null time and `run`: 1, 2, ... in order of time, anew in each group of `by` (none: over all).
 
-    A photo starts a run if it is more than `gap` seconds after the one before. Ties go by id.
+    A photo starts a run if it is more than `gap` seconds, 0 or more, after the one before.
     """
     second = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
-    rows = photos.where(F.col(at).isNotNull()).withColumns({"__t": second, "__hour": F.date_trunc("hour", F.col(at))})
-    inside = Window.partitionBy(*by, "__hour").orderBy("__t", id)
-    rows = rows.withColumn("__before", F.lag("__t").over(inside))
+    rows = photos.where(F.col(at).isNotNull()).withColumn("__t", second)
+    # Photos of one time are in one run, so windows see each time once: an hour that cameras without a clock share is a few rows.
+    times = rows.select(*by, "__t").distinct().withColumn("__hour", F.floor(F.col("__t") / 3600))
+    inside = Window.partitionBy(*by, "__hour").orderBy("__t")
+    times = times.withColumn("__before", F.lag("__t").over(inside))
     # How an hour's first photo relates to the hour before is settled from one row an hour.
     starts = (F.col("__t") - F.col("__before") > gap).cast("int")
-    rows = rows.withColumn("__in_hour", F.sum(F.coalesce(starts, F.lit(0))).over(inside))
-    hours = rows.groupBy(*by, "__hour").agg(F.min("__t").alias("first"), F.max("__t").alias("last"), F.max("__in_hour").alias("more"))
+    times = times.withColumn("__in_hour", F.sum(F.coalesce(starts, F.lit(0))).over(inside))
+    hours = times.groupBy(*by, "__hour").agg(F.min("__t").alias("first"), F.max("__t").alias("last"), F.max("__in_hour").alias("more"))
     order = Window.partitionBy(*by).orderBy("__hour")
     opens = F.coalesce((F.col("first") - F.lag("last").over(order) > gap).cast("int"), F.lit(1))
     hours = hours.withColumn("opens", opens)
     base = F.sum("opens").over(order) + F.coalesce(F.sum("more").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hours = hours.withColumn("base", base).select(*(F.col(c).alias(f"__{n}") for n, c in enumerate(by)), F.col("__hour").alias("__h"), "base")
-    met = rows["__hour"] == hours["__h"]
+    numbered = _met(times, hours, by, times["__hour"] == hours["__h"]).select(*(F.col(c).alias(f"__by{n}") for n, c in enumerate(by)), F.col("__t").alias("__at"), (F.col("base") + F.col("__in_hour")).alias("run"))
+    condition = rows["__t"] == numbered["__at"]
     for n, c in enumerate(by):
-        met &= rows[c].eqNullSafe(hours[f"__{n}"])
-    return rows.join(hours, met).withColumn("run", F.col("base") + F.col("__in_hour")).select(*photos.columns, "run")
+        condition &= rows[c].eqNullSafe(numbered[f"__by{n}"])
+    return rows.join(numbered, condition).select(*photos.columns, "run")
+
+
+def _met(rows: DataFrame, other: DataFrame, by: tuple[str, ...], condition) -> DataFrame:
+    """rows joined with other, whose columns __0, __1, ... stand for `by`."""
+    for n, c in enumerate(by):
+        condition &= rows[c].eqNullSafe(other[f"__{n}"])
+    return rows.join(other, condition)
 
 
 def detect_bursts(photos: DataFrame, gap: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import APERTURE_CLASSES, DECISIONS, FEATURE_SECTIONS, FEATURES, FOCAL_CLASSES, ISO_CLASSES
 from ..functions.scalars import month_period, week_period
 from ..functions.scores import zero
+from .ranks import quantiles, upper_median, values_at
 
 
 def since(rows: DataFrame, at: str, start: str | None) -> DataFrame:
@@ -74,23 +75,19 @@ def decisions_timeline(decided: DataFrame, bucket: str = "week", start: str | No
 def feature_deltas(samples: DataFrame, start: str | None = None, at: str = "decided_at") -> DataFrame:
     """Median and number of each feature among kept and among rejected samples, for all features.
 
-    samples (decision, features_json). One aggregation of 31 columns for each decision, then the few
-    results are turned: no row is exploded. Malformed JSON is skipped, null and NaN values too.
+    samples (decision, features_json). Values are counted within tasks before anything is shuffled, and exact medians
+    come from the counts of distinct values. Malformed JSON is skipped, null and NaN values too.
     """
     values = F.from_json("features_json", "map<string,double>")
     rows = since(samples, at, start).where(F.col("decision").isin("keep", "reject")).select("decision", values.alias("m")).where("m is not null")
     one = lambda f: F.when(~F.isnan(F.col("m")[f].cast("float")), F.col("m")[f].cast("float"))
-    flat = rows.select("decision", *(one(f).alias(f) for f in FEATURES))
-    stats = flat.groupBy().agg(
-        *(
-            x
-            for f in FEATURES
-            for d in ("keep", "reject")
-            for x in (F.percentile(F.when(F.col("decision") == d, F.col(f)), 0.5).alias(f"{f}.{d}"), F.count(F.when(F.col("decision") == d, F.col(f))).alias(f"{f}.{d}.n"))
-        )
-    )
-    turned = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"`{f}.keep`").alias("keep_median"), F.col(f"`{f}.reject`").alias("reject_median"), F.col(f"`{f}.keep.n`").alias("keep_n"), F.col(f"`{f}.reject.n`").alias("reject_n")) for f in FEATURES)))
-    return stats.select(turned.alias("x")).select("x.*")
+    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), one(f).alias("value")) for f in FEATURES)))
+    medians = quantiles(rows.select("decision", listed.alias("x")).select("decision", "x.feature", "x.value"), "value", {"median": 0.5}, ("feature", "decision"))
+    of = lambda d, c: F.max(F.when(F.col("decision") == d, F.col(c)))
+    zero_if_none = lambda d: F.coalesce(of(d, "total"), F.lit(0).cast("long"))
+    found = medians.groupBy("feature").agg(of("keep", "median").alias("keep_median"), of("reject", "median").alias("reject_median"), zero_if_none("keep").alias("keep_n"), zero_if_none("reject").alias("reject_n"))
+    every = samples.sparkSession.createDataFrame([(f,) for f in FEATURES], "feature string")
+    return every.join(found, "feature", "left").fillna(0, ["keep_n", "reject_n"])
 
 
 def signal_flags(deltas: DataFrame) -> DataFrame:
@@ -126,8 +123,7 @@ def decision_counts(images: DataFrame, decided: DataFrame) -> DataFrame:
 def session_stats(images: DataFrame, decided: DataFrame) -> DataFrame:
     """Mean score of kept photos, faces, cameras, upper median score and the best photo.
 
-    The upper median is the value at floor(n/2) in order: the discrete percentile just above the half,
-    from the counts of distinct values, so no list of all values is made.
+    The upper median is the value at floor(n/2) in order.
     """
     rows = images.join(decided.select(F.col("image_id").alias("id"), "decision"), "id", "left")
     stats = rows.agg(
@@ -136,11 +132,8 @@ def session_stats(images: DataFrame, decided: DataFrame) -> DataFrame:
         F.count_distinct("camera").alias("cameras"),
         F.max(F.struct("overall_score", (-F.col("id")).alias("turned"))).alias("top"),
     )
-    by_value = rows.where("overall_score is not null").groupBy("overall_score").agg(F.count("*").alias("n"))
-    order = Window.orderBy("overall_score")
-    placed = by_value.select("overall_score", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    median = placed.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("overall_score").alias("upper_median"))
-    return stats.join(median, F.lit(True)).select("kept_average", "faces", "cameras", "upper_median", (-F.col("top.turned")).alias("top_image"), F.col("top.overall_score").alias("top_score"))
+    median = values_at(images, "overall_score", {"upper_median": upper_median})
+    return stats.join(median, F.lit(True), "left").select("kept_average", "faces", "cameras", "upper_median", (-F.col("top.turned")).alias("top_image"), F.col("top.overall_score").alias("top_score"))
 
 
 def camera_list(images: DataFrame) -> DataFrame:
@@ -161,13 +154,15 @@ def sharpness_summary(scores: DataFrame, column: str = "sharpness_score", sharp:
     x = F.col(column)
     n = F.count(x)
     share = lambda c: F.round(100 * F.count_if(c) / n, 2)
-    return scores.agg(n.alias("n"), F.count_if(x >= sharp).alias("sharp"), F.count_if(x < 40).alias("blurry"), share(x >= sharp).alias("sharp_pct"), share(x < 40).alias("blurry_pct"), F.round(F.avg(x), 4).alias("mean"), F.percentile(x, 0.5).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.stddev_pop(x), 4).alias("std"))
+    stats = scores.agg(n.alias("n"), F.count_if(x >= sharp).alias("sharp"), F.count_if(x < 40).alias("blurry"), share(x >= sharp).alias("sharp_pct"), share(x < 40).alias("blurry_pct"), F.round(F.avg(x), 4).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.round(F.stddev_pop(x), 4).alias("std"))
+    return stats.join(quantiles(scores, column, {"median": 0.5}).drop("total"), F.lit(True), "left")
 
 
 def calibrate_sharpness(scores: DataFrame, column: str = "sharpness_score", current: float = 40.0) -> DataFrame:
     """Quantiles, the suggested floor (0.8 of the 5th) and how many either floor rejects."""
     x = F.col(column)
-    stats = scores.agg(F.min(x).alias("min"), *(F.percentile(x, p).alias(n) for n, p in (("p5", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75))), F.round(F.avg(x), 4).alias("mean"), F.max(x).alias("max"))
+    stats = scores.agg(F.min(x).alias("min"), F.round(F.avg(x), 4).alias("mean"), F.max(x).alias("max"))
+    stats = stats.join(quantiles(scores, column, {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75}).drop("total"), F.lit(True), "left")
     stats = stats.withColumn("suggested", F.bround(F.col("p5") * 0.8, 1))
     # One row of statistics against the scores: the only side that is broadcast has one row.
     rejects = scores.select(x.alias("x")).join(F.broadcast(stats.select("suggested")), F.lit(True)).agg(F.count_if(F.col("x") < current).alias("rejects_now"), F.count_if(F.col("x") < F.col("suggested")).alias("rejects_suggested"))

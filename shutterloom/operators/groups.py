@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hero_key, members_hash
 from ..functions.scores import uncertainty, zero
+from ..storage import written
 
 
 def member_rows(groups: DataFrame, images: DataFrame) -> DataFrame:
@@ -182,16 +183,24 @@ def grid_items(photos: DataFrame, groups: DataFrame) -> DataFrame:
 def compare_pairs(undecided: DataFrame, done: DataFrame, n: int = 50) -> DataFrame:
     """(pos, left_id, right_id): the least certain photos in consecutive pairs, without pairs compared before.
 
-    undecided (id, score), null and 0 scores counting as 50. Only the top rows are numbered.
+    undecided (id, score), null and 0 scores counting as 50. Only the top rows are numbered: twice as many as asked for,
+    and four times as many again as long as too many of their pairs were compared before.
     """
     score = F.when(zero(F.col("score")) == 0, 50.0).otherwise(F.col("score"))
-    many = 2 * (n + done.count())
-    top = undecided.select("id", uncertainty(score).alias("u")).orderBy("u", "id").limit(many)
+    seen = written(done.select(F.least("winner_id", "loser_id").alias("x"), F.greatest("winner_id", "loser_id").alias("y")).distinct())
+    many = 4 * n
+    while True:
+        top = written(undecided.select("id", uncertainty(score).alias("u")).orderBy("u", "id").limit(many))
+        fresh = _fresh_pairs(top, seen)
+        if top.count() < many or fresh.count() >= n:
+            return fresh.orderBy("pos").limit(n).select("pos", "left_id", "right_id")
+        many *= 4
+
+
+def _fresh_pairs(top: DataFrame, seen: DataFrame) -> DataFrame:
     placed = top.withColumn("at", F.row_number().over(Window.orderBy("u", "id")) - 1)
     pairs = placed.groupBy(F.floor(F.col("at") / 2).alias("pos")).agg(F.min_by("id", "at").alias("left_id"), F.max_by("id", "at").alias("right_id"), F.count("*").alias("k")).where("k = 2")
-    seen = done.select(F.least("winner_id", "loser_id").alias("x"), F.greatest("winner_id", "loser_id").alias("y"))
-    fresh = pairs.join(seen, (F.least("left_id", "right_id") == F.col("x")) & (F.greatest("left_id", "right_id") == F.col("y")), "left_anti")
-    return fresh.orderBy("pos").limit(n).select("pos", "left_id", "right_id")
+    return pairs.join(seen, (F.least("left_id", "right_id") == F.col("x")) & (F.greatest("left_id", "right_id") == F.col("y")), "left_anti")
 
 
 def training_queue(images: DataFrame, decided: DataFrame, n: int = 100, reshow: float = 0.3, seed: int = 42) -> DataFrame:

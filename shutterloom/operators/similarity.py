@@ -24,12 +24,40 @@ def similarity_links(rows: DataFrame, threshold: float) -> DataFrame:
 
     rows (id, embedding, segment), embeddings of unit length; null ones link to nothing. Segments are cut
     into blocks of bounded size and every pair of blocks is one row for the matrix product, so a large
-    segment becomes many tasks, and no group of rows is collected whole.
+    segment becomes many tasks, and no group of rows is collected whole. Pairs are what is asked for, so n photos all alike
+    give n (n - 1) / 2 rows; component_links() has what grouping needs of them.
     """
+    return _compared(rows, threshold, False)
+
+
+def component_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """As similarity_links(), but of the links within each pair of blocks only as many as hold its components together: fewer than its rows."""
+    return _compared(rows, threshold, True)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links a[i]-b[i] to keep: those that first join two components, taken in order."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for n, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep[n] = True
+    return keep
+
+
+def _compared(rows: DataFrame, threshold: float, thin: bool) -> DataFrame:
     plain = rows.where("embedding is not null").select("id", "embedding", "segment")
     sizes = plain.groupBy("segment").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     dealt = plain.join(sizes, "segment").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
-    blocks = dealt.groupBy("segment", "block").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"), F.first("n").alias("n"))
+    blocks = written(dealt.groupBy("segment", "block").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"), F.first("n").alias("n")))
     left = blocks.select("segment", "block", F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), (F.col("n") - 1).cast("int"))).alias("other"))
     right = blocks.select("segment", F.col("block").alias("other"), F.col("rows").alias("right"))
     pairs = left.join(right, ["segment", "other"]).select((F.col("block") == F.col("other")).alias("same"), "left", "right")
@@ -48,8 +76,11 @@ def similarity_links(rows: DataFrame, threshold: float) -> DataFrame:
                 i, j = np.nonzero(scores >= threshold)
                 keep = ids[i] < others[j] if same else np.ones(len(i), bool)
                 i, j = i[keep], j[keep]
-                a, b = ids[i], others[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(scores[i, j])], ["a", "b", "cosine"])
+                a, b, close = ids[i], others[j], scores[i, j]
+                if thin:
+                    stays = forest(a, b)
+                    a, b, close = a[stays], b[stays], close[stays]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(close)], ["a", "b", "cosine"])
 
     return pairs.mapInArrow(compare, "a bigint, b bigint, cosine double")
 
@@ -114,9 +145,8 @@ def group_by_similarity(photos: DataFrame, threshold: float = 0.90, gap: float |
     manual = anchored.join(named, "__anchor").select("group_id", "id")
     free = rows.where("__anchor is null").select("id", "embedding", "shot_at")
     cut = free.withColumn("segment", F.lit(0).cast("long")) if gap is None else time_segments(free, gap)
-    links = similarity_links(cut, threshold)
-    if meta is not None:
-        links = gated(links, meta)
+    # The gate judges every pair, so it needs them all: at most a block pair's square for each pair of blocks.
+    links = component_links(cut, threshold) if meta is None else gated(similarity_links(cut, threshold), meta)
     return manual.unionByName(connected(links).select("group_id", "id"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dashboards, decisions, groups, learning, tables
+from . import coverage, dashboards, decisions, groups, learning, tables
 
-_MODULES = (dashboards, decisions, groups, learning, tables)
+_MODULES = (dashboards, decisions, groups, learning, tables, coverage)
 
 
 def queries() -> dict:

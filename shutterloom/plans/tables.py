@@ -61,15 +61,23 @@ def s13_backfill_log(spark, sf_dir):
 
 
 def c21_move_plan(spark, sf_dir):
-    """Decided photos, with another folder for keeps of user 1, and a file of the name there for every ninth."""
-    photos, decided = views.photos(spark, sf_dir), views.decisions(spark, sf_dir)
-    settings = photos.where("source_folder = '/shoot/u1'").select("source_folder").distinct().select("source_folder", F.lit("keep").alias("decision"), F.lit("/best").alias("dest_folder"))
+    """Decided photos under names that many of them share, with one folder for the keeps of even users, and a file there for every ninth."""
+    name = F.concat(F.lit("IMG"), F.element_at(F.array(F.lit(""), F.lit("_1"), F.lit("_2"), F.lit("_1_1")), (F.pmod("id", F.lit(4)) + 1).cast("int")), F.lit(".jpg"))
+    photos, decided = views.photos(spark, sf_dir).withColumn("filename", name).withColumn("file_path", F.concat("source_folder", F.lit("/"), "filename")), views.decisions(spark, sf_dir)
+    user = F.substring("source_folder", 9, 9).cast("int")
+    settings = photos.select("source_folder").distinct().where(user % 2 == 0).select("source_folder", F.lit("keep").alias("decision"), F.concat(F.lit("/best/"), user % 50).alias("dest_folder"))
     there = photos.where("id % 9 = 0").select(F.concat("source_folder", F.lit("/_Trash/"), "filename").alias("path"))
     return catalog.move_plan(photos, decided, settings, there).select("id", "dest_path")
 
 
-_C21 = """SELECT id, CASE WHEN decision = 'keep' AND source_folder = '/shoot/u1' THEN CONCAT('/best/', filename) WHEN decision = 'keep' THEN CONCAT(source_folder, '/_Keeps/', filename) WHEN decision = 'maybe' THEN CONCAT(source_folder, '/_Maybes/', filename)
-    WHEN id % 9 = 0 THEN CONCAT(source_folder, '/_Trash/', REPLACE(filename, '.', '_' || '1.')) ELSE CONCAT(source_folder, '/_Trash/', filename) END AS dest_path FROM photos JOIN decisions ON id = image_id"""
+#: One photo after another within each folder: the first name that neither a file nor an earlier photo has.
+_C21 = """WITH RECURSIVE w AS (SELECT id, 'IMG' || CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN '_1' WHEN 2 THEN '_2' ELSE '_1_1' END AS stem, id % 9 AS file,
+      CASE WHEN decision = 'keep' AND CAST(SUBSTR(source_folder, 9) AS INT) % 2 = 0 THEN '/best/' || (CAST(SUBSTR(source_folder, 9) AS INT) % 50) WHEN decision = 'keep' THEN source_folder || '/_Keeps' WHEN decision = 'maybe' THEN source_folder || '/_Maybes' ELSE source_folder || '/_Trash' END AS dest FROM photos JOIN decisions ON id = image_id),
+    t AS (SELECT source_folder || '/_Trash' AS dest, LIST(DISTINCT 'IMG' || CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN '_1' WHEN 2 THEN '_2' ELSE '_1_1' END) AS files FROM photos WHERE id % 9 = 0 GROUP BY 1),
+    n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dest ORDER BY id) AS k FROM w),
+    s AS (SELECT DISTINCT w.dest, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, '' AS name, COALESCE(t.files, CAST([] AS VARCHAR[])) AS taken FROM w LEFT JOIN t ON t.dest = w.dest
+      UNION ALL SELECT dest, k, id, name, LIST_APPEND(taken, name) FROM (SELECT s.dest, n.k, n.id, s.taken, LIST_FILTER(LIST_TRANSFORM(RANGE(LEN(s.taken) + 1), lambda i: CASE WHEN i = 0 THEN n.stem ELSE n.stem || '_' || i END), lambda x: NOT LIST_CONTAINS(s.taken, x))[1] AS name FROM s JOIN n ON n.dest = s.dest AND n.k = s.k + 1) z)
+    SELECT id, dest || '/' || name || '.jpg' AS dest_path FROM s WHERE id IS NOT NULL"""
 
 
 def w5_stream_bursts(spark, sf_dir):

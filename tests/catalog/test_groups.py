@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.config import Thresholds
-from shutterloom.operators import browse, bursts, decide, groups, similarity
+from shutterloom.operators import browse, bursts, decide, groups, ranks, similarity
 
 MEMBER = "group_id long, id long, pos int, face_detected int, face_sharpness_score double, eyes_open int, sharpness_score double, iqa_score double, aesthetic_score double, overall_score double, decision string, reason string"
 
@@ -30,6 +30,9 @@ def judge(spark, t=Thresholds(), ready=False, **row):
         ({"iso": 20000}, {"iso_ceiling": 12800.0}, False, ("reject", "iso_ceiling")),
         ({"focal_length_mm": 50.0, "shutter_speed": 0.1}, {"reject_reciprocal_rule": True}, False, ("reject", "reciprocal_rule")),
         ({"focal_length_mm": 0.0, "shutter_speed": 0.1}, {"reject_reciprocal_rule": True}, False, ("keep", "threshold_keep")),
+        ({"focal_length_mm": 50.0, "shutter_speed": "1/40"}, {"reject_reciprocal_rule": True}, False, ("reject", "reciprocal_rule")),
+        ({"focal_length_mm": 50.0, "shutter_speed": "1/250"}, {"reject_reciprocal_rule": True}, False, ("keep", "threshold_keep")),
+        ({"focal_length_mm": 50.0, "shutter_speed": "fast"}, {"reject_reciprocal_rule": True}, False, ("keep", "threshold_keep")),
         ({"face_detected": 1, "face_sharpness_score": 50.0, "eyes_open": 1, "background_distraction_score": 0.65}, {"background_ceiling": 0.65}, False, ("reject", "cluttered_background")),
         ({"sharpness_score": 30.0}, {}, False, ("reject", "blurry_frame")),
         ({"sharpness_score": 60.0, "overall_score": 45.0}, {}, False, ("maybe", "threshold_maybe")),
@@ -176,3 +179,48 @@ def test_scenes_axes_and_search(spark):
     assert [tuple(r) for r in browse.semantic_search(photos, [1.0, 0.0], 500, 0.2).collect()] == [(1, 1.0), (2, 0.6)]
     members = spark.createDataFrame([(1, 1), (1, 2)], "group_id long, id long")
     assert browse.search_groups(browse.semantic_search(photos, [1.0, 0.0]), members).first().best_id == 1
+
+
+def test_many_alike_photos_give_few_links(spark):
+    """5000 photos of one segment, all alike: what grouping takes is fewer links than photos for each pair of blocks, and one group."""
+    rows = spark.range(5000).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), F.lit(0).cast("long").alias("segment"))
+    links = similarity.component_links(rows, 0.9)
+    pairs = sum(range(1, -(-5000 // similarity.BLOCK) + 1))
+    assert links.count() < pairs * 2 * similarity.BLOCK
+    found = similarity.group_by_similarity(rows.withColumn("shot_at", F.lit("2024-01-01").cast("timestamp")), 0.9)
+    assert found.agg(F.count("*"), F.count_distinct("group_id")).first() == (5000, 1)
+
+
+def test_people_groups(spark):
+    """Faces by their own threshold, over all times; photos without a face or not done stay out."""
+    rows = [(1, 1, "done", [1.0, 0.0], "2020-01-01"), (2, 1, "done", [0.8, 0.6], "2024-01-01"), (3, 1, "done", [0.0, 1.0], None), (4, 0, "done", [1.0, 0.0], None), (5, 1, "pending", [1.0, 0.0], None), (6, 1, "done", None, None), (7, 1, "done", [-1.0, 0.0], None)]
+    frame = spark.createDataFrame(rows, "id long, face_detected int, analysis_status string, face_embedding array<double>, t string").withColumn("shot_at", F.col("t").cast("timestamp"))
+    assert {(r.group_id, r.id) for r in similarity.face_groups(frame).collect()} == {(1, 1), (1, 2), (1, 3)}
+
+
+def test_runs_of_cameras_without_a_clock(spark):
+    """Thousands of photos of one second are one run; gaps between hours count as within them."""
+    times = ["1970-01-01 00:00:00"] * 3000 + ["2024-01-01 09:59:59", "2024-01-01 10:00:00", "2024-01-01 10:00:03", "2024-01-01 10:00:05", None]
+    frame = spark.createDataFrame(list(enumerate(times)), "id long, t string").withColumn("shot_at", F.col("t").cast("timestamp"))
+    got = {(r.run, r.n) for r in bursts.time_runs(frame, 2.0).groupBy("run").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 3000), (2, 2), (3, 2)}
+
+
+def test_quantiles_equal_sorting(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.integers(0, 50)) / 4) for k in ("a", "b", None) for _ in range(rng.integers(3, 300))]
+    frame = spark.createDataFrame(rows + [("c", None), ("d", 7.0)], "k string, v double")
+    got = {r.k: (r.total, r.p5, r.half, r.p9) for r in ranks.quantiles(frame, "v", {"p5": 0.05, "half": 0.5, "p9": 0.9}, ("k",)).collect()}
+    for key in ("a", "b", None):
+        values = [v for k, v in rows if k == key and v is not None]
+        assert got[key] == pytest.approx((len(values), *np.quantile(values, [0.05, 0.5, 0.9])))
+    assert got["d"] == (1, 7.0, 7.0, 7.0) and "c" not in got
+
+
+def test_pairs_go_on_until_enough_are_fresh(spark):
+    """All first pairs were compared before, more than are asked for."""
+    undecided = spark.range(400).select("id", (70 + F.col("id")).cast("double").alias("score"))
+    done = spark.range(60).select((F.col("id") * 2).alias("winner_id"), (F.col("id") * 2 + 1).alias("loser_id"))
+    got = groups.compare_pairs(undecided, done, 5).collect()
+    assert [(r.pos, r.left_id, r.right_id) for r in got] == [(60 + k, 120 + 2 * k, 121 + 2 * k) for k in range(5)]
+    assert groups.compare_pairs(undecided, done, 200).count() == 140
