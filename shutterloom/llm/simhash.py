@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, stash, table, unused
 
 SEED = 42
-#: Rows of a block; a block pair compares at most the square of it.
-BLOCK = 4096
+#: Rows of a block; a block pair compares at most the square of it. Rows of one lane are sent to few other tiles, so
+#: their blocks can be smaller: a hot tile is more and shorter tasks.
+BLOCK, NARROW_BLOCK = 4096, 1024
 #: Shingles of a block, where sizes count: their hashes are held for two blocks at most.
 WEIGHT = 1 << 21
 #: Cells of a comparison that numpy holds at once.
@@ -268,7 +269,7 @@ def _tile_key(parts: int, coarse: int, grain: int, ratio: float) -> Column:
     return F.array(*(c.cast("int") for c in counts))
 
 
-def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0, coarse: int | None = None, full_radius: int | None = None) -> DataFrame:
+def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0, coarse: int | None = None, full_radius: int | None = None, block: int | None = None) -> DataFrame:
     """Links (a, b) that connect all of prints (id, l0.., size) that link as block_links() says.
 
     Each block pair gives a forest of its links: fewer rows than its members, and the same components.
@@ -276,7 +277,7 @@ def tiled_links(prints: DataFrame, lanes: int, radius: int, ratio: float = 0.0,
     """
     parts, grain = parts_for(prints.count(), radius, 64 * (coarse or lanes)), grain_for(radius)
     tiled = prints.withColumn("tile", _tile_key(parts, coarse or lanes, grain, ratio))
-    blocks_of = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / WEIGHT))
+    blocks_of = F.greatest(F.ceil(F.count("*") / (block or BLOCK)), F.ceil(F.sum("size") / WEIGHT))
     need = tiled.groupBy("tile").agg(blocks_of.alias("n"))
     dealt = tiled.join(need, "tile").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
     row = F.struct("id", *(f"l{k}" for k in range(lanes)), "size")
@@ -370,7 +371,7 @@ def simhash_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     rows = stash(made.select("id", *(F.col("made.lanes")[k].alias(n) for k, n in enumerate(names)), (F.col("made.shingles") if ratio else F.lit(0).cast("long")).alias("size")), "simhash")
     # Equal fingerprints are one node, named by a number that is dense enough to be a long.
     nodes = stash(rows.groupBy(*names, "size").agg(F.min("id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "simhash-nodes")
-    links = tiled_links(nodes.select("id", *names, "size"), lanes, radius, ratio)
+    links = tiled_links(nodes.select("id", *names, "size"), lanes, radius, ratio, block=NARROW_BLOCK if lanes == 1 else BLOCK)
     labels = components(links)
     named = nodes.join(labels, "id", "left").select("id", "least", F.coalesce("label", "id").alias("label"), *names, "size")
     low = named.groupBy("label").agg(F.min("least").alias("component"))
