@@ -80,9 +80,9 @@ def feature_deltas(samples: DataFrame, start: str | None = None, at: str = "deci
     """
     values = F.from_json("features_json", "map<string,double>")
     rows = since(samples, at, start).where(F.col("decision").isin("keep", "reject")).select("decision", values.alias("m")).where("m is not null")
-    one = lambda f: F.when(~F.isnan(F.col("m")[f].cast("float")), F.col("m")[f].cast("float"))
-    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), one(f).alias("value")) for f in FEATURES)))
-    medians = quantiles(rows.select("decision", listed.alias("x")).select("decision", "x.feature", "x.value"), "value", {"median": 0.5}, ("feature", "decision"))
+    listed = rows.select("decision", F.explode("m").alias("feature", "value")).where(F.col("feature").isin(*FEATURES))
+    known = listed.withColumn("value", F.col("value").cast("float")).where(~F.isnan("value"))
+    medians = quantiles(known, "value", {"median": 0.5}, ("feature", "decision"))
     of = lambda d, c: F.max(F.when(F.col("decision") == d, F.col(c)))
     zero_if_none = lambda d: F.coalesce(of(d, "total"), F.lit(0).cast("long"))
     found = medians.groupBy("feature").agg(of("keep", "median").alias("keep_median"), of("reject", "median").alias("reject_median"), zero_if_none("keep").alias("keep_n"), zero_if_none("reject").alias("reject_n"))
