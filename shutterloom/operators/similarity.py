@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BLOCKED_SCENES
@@ -53,6 +53,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _unpack(x: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    ids = x.field("id").to_numpy()
+    return ids, np.asarray(x.field("embedding").flatten(), np.float64).reshape(len(ids), -1)
+
+
 def _compared(rows: DataFrame, threshold: float, thin: bool) -> DataFrame:
     plain = rows.where("embedding is not null").select("id", "embedding", "segment")
     sizes = plain.groupBy("segment").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
@@ -62,16 +67,11 @@ def _compared(rows: DataFrame, threshold: float, thin: bool) -> DataFrame:
     right = blocks.select("segment", F.col("block").alias("other"), F.col("rows").alias("right"))
     pairs = left.join(right, ["segment", "other"]).select((F.col("block") == F.col("other")).alias("same"), "left", "right")
 
-    def unpack(x: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        ids = x.field("id").to_numpy()
-        vectors = x.field("embedding")
-        return ids, np.asarray(vectors.flatten(), np.float64).reshape(len(ids), -1)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, same in enumerate(batch.column("same").to_pylist()):
-                ids, x = unpack(batch.column("left")[n].values)
-                others, y = (ids, x) if same else unpack(batch.column("right")[n].values)
+                ids, x = _unpack(batch.column("left")[n].values)
+                others, y = (ids, x) if same else _unpack(batch.column("right")[n].values)
                 scores = x @ y.T
                 i, j = np.nonzero(scores >= threshold)
                 keep = ids[i] < others[j] if same else np.ones(len(i), bool)
@@ -159,24 +159,48 @@ def face_groups(photos: DataFrame, threshold: float = 0.50, gap: float | None =
 def collapse_near_duplicates(members: DataFrame, threshold: float = 0.97) -> DataFrame:
     """(group_id, id, leader_id): in order of `pos`, the first unclaimed photo leads all later unclaimed ones that are as similar.
 
-    members (group_id, id, pos, embedding), a few rows a group as the prefilter leaves them. Photos
-    without an embedding lead themselves.
+    members (group_id, id, pos, embedding). Photos without an embedding lead themselves. Every round settles the
+    first BLOCK open photos of each group and takes out the later ones that these lead, a block a row, so a group
+    of any size is led in bounded tasks; groups as the prefilter leaves them need one round.
     """
 
     def lead(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "id"])
+        rows = rows.sort_values("__place")
         ids = rows["id"].to_numpy()
-        leader = ids.copy()
-        have = np.flatnonzero(rows["embedding"].notna().to_numpy())
-        if len(have) > 1:
-            x = np.stack(rows["embedding"].to_numpy()[have]).astype(np.float64)
-            scores, free = x @ x.T, np.ones(len(have), bool)
-            for n in range(len(have)):
-                if free[n]:
-                    taken = free & (scores[n] >= threshold)
-                    taken[: n + 1] = False
-                    leader[have[taken]] = ids[have[n]]
-                    free[taken] = False
+        leader, free = ids.copy(), np.ones(len(ids), bool)
+        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        scores = x @ x.T
+        for n in range(len(ids)):
+            if free[n]:
+                taken = free & (scores[n] >= threshold)
+                taken[: n + 1] = False
+                leader[taken] = ids[n]
+                free[taken] = False
         return pd.DataFrame({"group_id": rows["group_id"].to_numpy(), "id": ids, "leader_id": leader})
 
-    return members.select("group_id", "id", "pos", "embedding").groupBy("group_id").applyInPandas(lead, "group_id bigint, id bigint, leader_id bigint")
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, group in enumerate(batch.column("group_id").to_pylist()):
+                leaders, x = _unpack(batch.column("leaders")[n].values)
+                ids, y = _unpack(batch.column("rows")[n].values)
+                near = y @ x.T >= threshold
+                held = near.any(axis=1)
+                first = leaders[near.argmax(axis=1)[held]]
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(first), pa.int64()), pa.array(ids[held]), pa.array(first)], ["group_id", "id", "leader_id"])
+
+    schema, order = "group_id bigint, id bigint, leader_id bigint", Window.partitionBy("group_id").orderBy("pos", "id")
+    rows = members.select("group_id", "id", "pos", "embedding")
+    found = rows.where("embedding is null").select("group_id", "id", F.col("id").alias("leader_id"))
+    rest = rows.where("embedding is not null")
+    while True:
+        placed = written(rest.withColumn("__place", F.row_number().over(order)))
+        now, later = placed.where(F.col("__place") <= BLOCK), placed.where(F.col("__place") > BLOCK)
+        if later.isEmpty():
+            return found.unionByName(now.groupBy("group_id").applyInPandas(lead, schema))
+        led = written(now.groupBy("group_id").applyInPandas(lead, schema))
+        heads = now.join(led.where("id = leader_id").select("group_id", "id"), ["group_id", "id"]).groupBy("group_id")
+        heads = heads.agg(F.sort_array(F.collect_list(F.struct("__place", "id", "embedding"))).alias("leaders"))
+        blocks = later.groupBy("group_id", F.floor((F.col("__place") - 1) / BLOCK)).agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
+        claimed = written(blocks.select("group_id", "rows").join(heads, "group_id").mapInArrow(claim, schema))
+        found = found.unionByName(led).unionByName(claimed)
+        rest = later.join(claimed, ["group_id", "id"], "left_anti").drop("__place")

@@ -83,6 +83,15 @@ def g10_near_duplicates(spark, sf_dir):
     return similarity.collapse_near_duplicates(members, 0.3)
 
 
+#: Photos of a group one after another: each goes to the first leader so far that is as similar, or leads itself.
+_G10 = f"""WITH RECURSIVE {_GROUPS}, m AS (SELECT g.group_id, v.id, v.embedding, ROW_NUMBER() OVER (PARTITION BY g.group_id ORDER BY v.id) AS k FROM g JOIN vectors v ON v.id = g.id),
+    n AS (SELECT a.group_id, a.k, a.id, COALESCE(LIST(b.id) FILTER (WHERE list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3), []) AS near FROM m a JOIN m b ON b.group_id = a.group_id GROUP BY ALL),
+    s AS (SELECT DISTINCT group_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader_id, CAST([] AS BIGINT[]) AS leaders FROM n
+      UNION ALL SELECT group_id, k, id, leader_id, CASE WHEN leader_id = id THEN LIST_APPEND(leaders, id) ELSE leaders END FROM
+        (SELECT s.group_id, n.k, n.id, s.leaders, COALESCE(LIST_FILTER(s.leaders, lambda x: LIST_CONTAINS(n.near, x))[1], n.id) AS leader_id FROM s JOIN n ON n.group_id = s.group_id AND n.k = s.k + 1) z)
+    SELECT group_id, id, leader_id FROM s WHERE id IS NOT NULL"""
+
+
 def g13_prerank_state(spark, sf_dir):
     """Every fifth burst is ranked already, and every seventh found to be near-duplicates."""
     members = _members(spark, sf_dir)
@@ -137,7 +146,7 @@ QUERIES = {
     "g6_heroes": (g6_heroes, f"WITH {_BURSTS} SELECT DISTINCT group_id, FIRST_VALUE(id) OVER (PARTITION BY group_id ORDER BY overall_score DESC, pos) AS hero, FALSE AS overridden, COUNT(*) OVER (PARTITION BY group_id) AS size FROM m"),
     "g7_best_reasons": (g7_reasons, _G7),
     "g9_top_candidates": (g9_candidates, _G9),
-    "g10_near_duplicates": (g10_near_duplicates, None),
+    "g10_near_duplicates": (g10_near_duplicates, _G10),
     "g13_prerank_state": (g13_prerank_state, _G13),
     "g14_prerank_queue": (g14_queue, f"WITH {_BURSTS} SELECT group_id, COUNT(*) AS size FROM m GROUP BY group_id HAVING COUNT(*) >= 2 ORDER BY size DESC, group_id LIMIT 20"),
     "g16_grid_items": (g16_grid, _G16),

@@ -81,16 +81,33 @@ _C21 = """WITH RECURSIVE w AS (SELECT id, 'IMG' || CASE id % 4 WHEN 0 THEN '' WH
 
 
 def w5_stream_bursts(spark, sf_dir):
-    """Sessions of each user in the stream of events, with gaps of up to two hours, run until the watermark's end."""
+    """Sessions of each user in the stream of events, with gaps of up to two hours.
+
+    A session is given when the stream's time has passed it, so a second run brings a row without a user a day
+    after the last event, which closes those still open; it is alone and no burst itself.
+    """
     folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
-    found = watch.stream_bursts(events.select(F.col("ts").alias("shot_at"), "user_id"), "user_id", "2 hours", "0 seconds")
-    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    columns = (F.col("ts").cast("timestamp").alias("shot_at"), F.col("user_id").cast("long").alias("user_id"))
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = table.agg(F.max("ts").alias("ts")).select((F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("shot_at"), F.lit(None).cast("long").alias("user_id"))
+    last.limit(0).write.parquet(f"{folder}/closing")
+    events = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events.parquet*").select(*columns)
+    closing = spark.readStream.schema(last.schema).parquet(f"{folder}/closing")
+    found = watch.stream_bursts(events.unionByName(closing), "user_id", "2 hours", "0 seconds")
+    for rows in (None, last):
+        if rows is not None:
+            rows.write.mode("append").parquet(f"{folder}/closing")
+        query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
     return rows.select("user_id", views.second_text("first_shot").alias("first_shot"), "size")
 
 
+_W5 = """WITH e AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    r AS (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+    SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS first_shot, COUNT(*) AS size FROM r GROUP BY user_id, run HAVING COUNT(*) > 1"""
+
+
 def _shared(spark):
     found = written(spark.range(1)).inputFiles()[0]
     return found.rsplit("/", 2)[0]
@@ -104,5 +121,5 @@ QUERIES = {
     "s8_upsert_decisions": (s8_upsert_decisions, "SELECT image_id, decision FROM decisions WHERE image_id NOT IN (SELECT winner_id FROM comparisons) UNION ALL SELECT DISTINCT winner_id, 'keep' FROM comparisons"),
     "s13_backfill_log": (s13_backfill_log, "SELECT uuid AS sample_uuid, camera, CASE WHEN id % 2 = 0 THEN lens_model END AS lens_model, CASE WHEN id % 2 = 0 THEN film_simulation END AS film_simulation, overall_score FROM photos"),
     "c21_move_plan": (c21_move_plan, _C21),
-    "w5_stream_bursts": (w5_stream_bursts, None),
+    "w5_stream_bursts": (w5_stream_bursts, _W5),
 }

@@ -113,6 +113,28 @@ def test_rankings_expand_to_near_duplicates(spark):
     assert groups.ranking_outcome(members.where("id < 12"), one, again).first().outcome == "near_duplicates_cached"
 
 
+def test_large_groups_are_led_in_rounds(spark, monkeypatch):
+    """Leaders equal a plain loop over the photos in order, where groups span several blocks, half are copies and some have no vector."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    rows = []
+    for group, size in ((1, 150), (2, 16), (3, 1), (4, 17)):
+        for n in range(size):
+            x = rng.normal(size=4) if n % 2 else np.array([1.0, 2.0, 0.0, group])
+            rows.append((group, group * 1000 + int(rng.permutation(900)[0]) * 1000000 + n, n // 2, None if n % 29 == 7 else (x / np.linalg.norm(x)).tolist()))
+    want = {}
+    for group in (1, 2, 3, 4):
+        heads = []
+        for _, i, _, x in sorted((r for r in rows if r[0] == group), key=lambda r: (r[2], r[1])):
+            near = [] if x is None else [h for h, y in heads if np.dot(np.float32(x).astype(float), np.float32(y).astype(float)) >= 0.9]
+            want[group, i] = near[0] if near else i
+            if x is not None and not near:
+                heads.append((i, x))
+    found = similarity.collapse_near_duplicates(spark.createDataFrame(rows, "group_id long, id long, pos int, embedding array<float>"), 0.9).collect()
+    assert len(found) == len(rows)
+    assert {(r.group_id, r.id): r.leader_id for r in found} == want
+
+
 def test_manual_groups(spark):
     images = spark.createDataFrame([(1, None), (2, None), (3, "x"), (4, "")], "id long, manual_group_id string")
     got = lambda df: {r.id: r.manual_group_id for r in df.collect()}
