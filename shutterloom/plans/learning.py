@@ -42,7 +42,7 @@ _M5 = f"""WITH {_PAIRS}, c AS (SELECT decision, decided_at, 1.0E0 AS w FROM deci
 def m7_personal_scores(spark, sf_dir):
     """Scores of all photos by a model trained on the decided ones."""
     corpus = written(learn.sample_weights(_corpus(spark, sf_dir), "2024-07-01 00:00:00"))
-    model = learn.train_personal(corpus, trees=20)
+    model = learn.train_personal(corpus)
     return learn.predict_personal(model, views.photos(spark, sf_dir))
 
 

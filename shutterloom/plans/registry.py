@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import coverage, dashboards, decisions, groups, learning, tables
+from . import coverage, dashboards, decisions, groups, learning, live, tables
 
-_MODULES = (dashboards, decisions, groups, learning, tables, coverage)
+_MODULES = (dashboards, decisions, groups, learning, tables, coverage, live)
 
 
 def queries() -> dict:
