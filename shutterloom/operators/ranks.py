@@ -50,3 +50,19 @@ def upper_median(n: Column) -> Column:
     """The place of the upper one of the two middle values."""
     return F.floor(n / 2)
 
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], to: str = "place") -> DataFrame:
+    """rows with `to`, the place of each from 0 on in the given order, which should leave no ties that differ.
+
+    The rows are dealt by range, written, and numbered within their range; what lies before a range is a sum of
+    counts, one for each partition. No task sorts more than its range.
+    """
+    part, own = f"__{to}_part", f"__{to}_own"
+    dealt = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    before, total = {}, 0
+    for at, n in sorted(dealt.groupBy(part).count().collect()):
+        before[at], total = total, total + n
+    ahead = F.element_at(F.array(*(F.lit(before.get(at, 0)).cast("long") for at in range(max(before, default=0) + 1))), F.col(part) + 1)
+    placed = dealt.withColumn(own, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    return placed.withColumn(to, ahead + F.col(own)).drop(part, own)
