@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, toxicity
+from . import compression_quality, filter_audit, language, media, mixing, packing, quality, resampling, secret_scan, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_media": media.op9_media,
         "op10_packing": packing.op10_packing,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_compression_quality": compression_quality.op13_compression_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_importance_resampling": resampling.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
