@@ -1,11 +1,13 @@
 """Listing files and keeping the catalog's tables.
 
-Upserts are pure: they take the table and a batch and return the new table, to be written by the
-caller beside the old one.
+Upserts are pure: they take the table and a batch and return the new table. buckets.BucketTable applies them to the
+buckets that a batch touches.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +31,33 @@ def in_decision_folder(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda part: part.isin(*DECISION_FOLDERS.values()))
 
 
-def photo_paths(files: DataFrame, recursive: bool = True) -> DataFrame:
-    """Files (path, ...) that are photos; below decision folders none in a recursive listing."""
-    photos = files.where(is_photo(F.col("path")))
-    return photos.where(~in_decision_folder(F.col("path"))) if recursive else photos
+def plain_path(path: Column) -> Column:
+    """A path as the catalog has it: Spark's readers differ in how they begin those of local files, so these begin with their first slash."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def below(path: Column, root: str) -> Column:
+    """What of a path follows the root folder, with its slash; null for paths elsewhere."""
+    plain, start = plain_path(path), re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(start)), F.substring(plain, F.lit(len(start)), F.length(plain)))
+
+
+def photo_paths(files: DataFrame, recursive: bool = True, root: str = "/") -> DataFrame:
+    """Files (path, ...) that are photos below the root; in a recursive listing none in decision folders below it, in another one none in any folder below it.
+
+    A decision folder that the root itself lies in, or is, hides nothing.
+    """
+    rest = below(F.col("path"), root)
+    photos = files.where(is_photo(F.col("path")) & rest.isNotNull())
+    return photos.where(~in_decision_folder(rest)) if recursive else photos.where(F.size(F.split(rest, "/")) == 2)
 
 
 def scan_photos(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, modificationTime, length) of the photos in a folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "modificationTime", "length")
-    return photo_paths(files, recursive)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select(plain_path(F.col("path")).alias("path"), "modificationTime", "length")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    return photo_paths(files, recursive, root)
 
 
 def load_images(spark: SparkSession, path: str) -> DataFrame:
@@ -51,11 +70,16 @@ def skip_done(candidates: DataFrame, images: DataFrame) -> DataFrame:
     return candidates.join(images.where("analysis_status = 'done'").select(F.col("file_path").alias("path")), "path", "left_anti")
 
 
-def unfinished(candidates: DataFrame, images: DataFrame) -> DataFrame:
-    """(source_folder, total_on_disk, done_count, unfinished) by the folder a file lies in."""
-    done = images.where("analysis_status = 'done'").select(F.col("file_path").alias("path"), F.lit(1).alias("done")).dropDuplicates(["path"])
-    rows = candidates.select("path", parent_folder(F.col("path")).alias("source_folder")).join(done, "path", "left")
-    return rows.groupBy("source_folder").agg(F.count("*").alias("total_on_disk"), F.count("done").alias("done_count"), F.count_if(F.col("done").isNull()).alias("unfinished"))
+def unfinished(candidates: DataFrame, images: DataFrame, root: str, recursive: bool = True) -> DataFrame:
+    """(folder_path, total_on_disk, done_count, unfinished) of one root: its photos on disk, and those of them that are done as images of this source folder.
+
+    candidates (path). One row, of zeros where nothing is on disk.
+    """
+    root = root.rstrip("/") or "/"
+    on_disk = photo_paths(candidates, recursive, root).select("path")
+    done = images.where((F.col("analysis_status") == "done") & (F.col("source_folder") == root)).select(F.col("file_path").alias("path"), F.lit(1).alias("done")).dropDuplicates(["path"])
+    n, ready = F.count("*"), F.count("done")
+    return on_disk.join(done, "path", "left").agg(F.lit(root).alias("folder_path"), n.alias("total_on_disk"), ready.alias("done_count"), (n - ready).alias("unfinished"))
 
 
 def sync_missing(images: DataFrame, files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -109,20 +133,31 @@ def latest_wins(target: DataFrame, batch: DataFrame, key: str, order: str = "seq
     return target.join(last.select(key), key, "left_anti").select(*target.columns).unionByName(last)
 
 
+def loggable(batch: DataFrame) -> DataFrame:
+    return batch.where("sample_uuid is not null and sample_uuid <> ''")
+
+
+def valid_decisions(batch: DataFrame) -> DataFrame:
+    return batch.where(F.col("decision").isin(*DECISIONS))
+
+
+def manual_samples(batch: DataFrame) -> DataFrame:
+    return batch.where(F.col("decision").isin(*DECISIONS) & F.col("sample_uuid").isNotNull() & ~F.coalesce("is_auto", F.lit(False)))
+
+
 def upsert_shooting_log(target: DataFrame, batch: DataFrame) -> DataFrame:
     """By sample_uuid; rows without one are skipped."""
-    return latest_wins(target, batch.where("sample_uuid is not null and sample_uuid <> ''"), "sample_uuid")
+    return latest_wins(target, loggable(batch), "sample_uuid")
 
 
 def upsert_decisions(target: DataFrame, batch: DataFrame) -> DataFrame:
     """The latest valid decision of a photo."""
-    return latest_wins(target, batch.where(F.col("decision").isin(*DECISIONS)), "image_id")
+    return latest_wins(target, valid_decisions(batch), "image_id")
 
 
 def upsert_training_samples(target: DataFrame, batch: DataFrame) -> DataFrame:
     """Of manual decisions on photos with a uuid."""
-    manual = batch.where(F.col("decision").isin(*DECISIONS) & F.col("sample_uuid").isNotNull() & ~F.coalesce("is_auto", F.lit(False)))
-    return latest_wins(target, manual, "sample_uuid")
+    return latest_wins(target, manual_samples(batch), "sample_uuid")
 
 
 def undo_decisions(decided: DataFrame, samples: DataFrame, images: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,9 +217,9 @@ def export_sharpness_csv(scores: DataFrame, path: str) -> None:
 
 def subfolder_photo_counts(files: DataFrame, root: str) -> DataFrame:
     """(subfolders): immediate subfolders of the root, no decision folders, that hold a photo at any depth."""
-    below = F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 2), F.length("path"))
+    rest = F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 2), F.length("path"))
     inside = files.where(F.startswith("path", F.lit(root.rstrip("/") + "/"))).where(is_photo(F.col("path")))
-    first = F.when(F.size(F.split(below, "/")) > 1, F.split(below, "/")[0])
+    first = F.when(F.size(F.split(rest, "/")) > 1, F.split(rest, "/")[0])
     return inside.select(first.alias("f")).where(F.col("f").isNotNull() & ~F.col("f").isin(*DECISION_FOLDERS.values())).agg(F.count_distinct("f").alias("subfolders"))
 
 
