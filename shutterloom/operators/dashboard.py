@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import APERTURE_CLASSES, DECISIONS, FEATURE_SECTIONS, FEATURES, FOCAL_CLASSES, ISO_CLASSES
 from ..functions.scalars import month_period, week_period
 from ..functions.scores import zero
-from .ranks import quantiles, upper_median, values_at
+from ..storage import written
+from .ranks import quantiles, refined_medians, upper_median, values_at
 
 
 def since(rows: DataFrame, at: str, start: str | None) -> DataFrame:
@@ -75,19 +76,15 @@ def decisions_timeline(decided: DataFrame, bucket: str = "week", start: str | No
 def feature_deltas(samples: DataFrame, start: str | None = None, at: str = "decided_at") -> DataFrame:
     """Median and number of each feature among kept and among rejected samples, for all features.
 
-    samples (decision, features_json). Values are counted within tasks before anything is shuffled, and exact medians
-    come from the counts of distinct values. Malformed JSON is skipped, null and NaN values too.
+    samples (decision, features_json). Malformed JSON is skipped, null and NaN values too. The texts are read once, into a table of
+    a column for each feature; exact medians of all features come from a few scans of it that count, and no value is shuffled.
     """
     values = F.from_json("features_json", "map<string,double>")
     rows = since(samples, at, start).where(F.col("decision").isin("keep", "reject")).select("decision", values.alias("m")).where("m is not null")
-    listed = rows.select("decision", F.explode("m").alias("feature", "value")).where(F.col("feature").isin(*FEATURES))
-    known = listed.withColumn("value", F.col("value").cast("float")).where(~F.isnan("value"))
-    medians = quantiles(known, "value", {"median": 0.5}, ("feature", "decision"))
-    of = lambda d, c: F.max(F.when(F.col("decision") == d, F.col(c)))
-    zero_if_none = lambda d: F.coalesce(of(d, "total"), F.lit(0).cast("long"))
-    found = medians.groupBy("feature").agg(of("keep", "median").alias("keep_median"), of("reject", "median").alias("reject_median"), zero_if_none("keep").alias("keep_n"), zero_if_none("reject").alias("reject_n"))
-    every = samples.sparkSession.createDataFrame([(f,) for f in FEATURES], "feature string")
-    return every.join(found, "feature", "left").fillna(0, ["keep_n", "reject_n"])
+    flat = written(rows.select("decision", *(F.col("m")[f].cast("float").alias(f) for f in FEATURES)))
+    found = refined_medians(flat, FEATURES, "decision", ("keep", "reject"))
+    listed = [(f, *(found[f, d][1] for d in ("keep", "reject")), *(found[f, d][0] for d in ("keep", "reject"))) for f in FEATURES]
+    return samples.sparkSession.createDataFrame(listed, "feature string, keep_median double, reject_median double, keep_n bigint, reject_n bigint")
 
 
 def signal_flags(deltas: DataFrame) -> DataFrame:
