@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURES, SCENES, SCHEMA_VERSION
 from ..functions.scores import clamp, zero
+from ..storage import written
 from .dashboard import pairwise_tallies
+from .forests import Forests, Plan, train
 
 HALF_LIFE_DAYS = 180.0
 LEAST_SAMPLES = 30
@@ -95,11 +97,8 @@ def _pipeline(rows: DataFrame, trees: int, rate: float, share: float, seed: int,
 
 def train_personal(corpus: DataFrame, trees: int = 200, rate: float = 0.05, share: float = 0.8, seed: int = 42, weighted: bool = True) -> PipelineModel:
     """M6: boosted trees on labels 1, 0 and -1."""
-    rows = labelled(corpus).persist()
-    try:
-        return _pipeline(rows, trees, rate, share, seed, weighted).fit(rows)
-    finally:
-        rows.unpersist()
+    rows = written(labelled(corpus))
+    return _pipeline(rows, trees, rate, share, seed, weighted).fit(rows)
 
 
 def importances(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -118,55 +117,58 @@ def predict_personal(model: PipelineModel, images: DataFrame) -> DataFrame:
     return model.transform(rows).select("id", _moved(F.col("overall_score"), F.col("prediction")).alias("personal_score"))
 
 
-def uncertainty_ensemble(corpus: DataFrame, members: int = 20, trees: int = 50, threads: int = 4) -> list[PipelineModel]:
-    """M9: small models that differ by seed."""
-    with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(lambda n: train_personal(corpus, trees, 0.1, 0.7, 42 + n), range(members)))
+def _keyed(corpus: DataFrame, weighted: bool) -> DataFrame:
+    """labelled() rows with a key by their content."""
+    rows = labelled(corpus).withColumn("key", F.xxhash64("decision", "overall_score", "decided_at", *FEATURES))
+    return rows if weighted else rows.withColumn("weight", F.lit(1.0))
 
 
-def predict_with_uncertainty(model: PipelineModel, ensemble: list[PipelineModel], images: DataFrame) -> DataFrame:
+def uncertainty_ensemble(corpus: DataFrame, members: int = 20, trees: int = 50, seed: int = 42) -> Forests:
+    """M9: small models that differ by what each of their trees sees, 0.7 of the samples by seed; all are trained at once."""
+    return train(_keyed(corpus, True), FEATURES, Plan(tuple(range(seed, seed + members)), trees, 0.1, share=0.7))
+
+
+def predict_with_uncertainty(model: PipelineModel, ensemble: Forests | None, images: DataFrame) -> DataFrame:
     """M9: (id, personal_score, personal_std): the spread is the population deviation of the members' scores, 0 without members."""
     rows = images.select("id", "overall_score", *features(images.columns))
-    out = model.transform(rows).withColumn("personal_score", _moved(F.col("overall_score"), F.col("prediction")))
-    keep = ["id", "overall_score", *FEATURES, "personal_score"]
-    out = out.select(*keep)
-    for n, member in enumerate(ensemble):
-        keep = [*keep, f"__m{n}"]
-        out = member.transform(out).withColumn(f"__m{n}", _moved(F.col("overall_score"), F.col("prediction"))).select(*keep)
-    if not ensemble:
+    out = model.transform(rows).withColumn("personal_score", _moved(F.col("overall_score"), F.col("prediction"))).select("id", "overall_score", "personal_score", *FEATURES)
+    if ensemble is None:
         return out.select("id", "personal_score", F.lit(0.0).alias("personal_std"))
-    all_ = [F.col(f"__m{n}") for n in range(len(ensemble))]
-    mean = sum(all_, F.lit(0.0)) / len(all_)
-    std = F.sqrt(sum(((x - mean) * (x - mean) for x in all_), F.lit(0.0)) / len(all_))
-    return out.select("id", "personal_score", std.alias("personal_std"))
+    raw = ensemble.predictions([F.col(f) for f in FEATURES])
+    out = out.select("id", "personal_score", "overall_score", raw.alias("raw")).withColumn("scores", F.transform("raw", lambda x: _moved(F.col("overall_score"), x)))
+    mean = F.aggregate("scores", F.lit(0.0), lambda s, x: s + x) / F.size("scores")
+    out = out.withColumn("mean", mean)
+    spread = F.aggregate("scores", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean")))
+    return out.select("id", "personal_score", F.sqrt(spread / F.size("scores")).alias("personal_std"))
+
 
+def _right(score: Column) -> Column:
+    """Whether the score gives the sample's decision with the fixed cutoffs 70 and 50."""
+    return (F.when(score >= 70, "keep").when(score >= 50, "maybe").otherwise("reject") == F.col("decision")).cast("double")
 
-def _accuracy(score: Column) -> Column:
-    """Share of samples whose decision the score gives with the fixed cutoffs 70 and 50."""
-    return F.avg((F.when(score >= 70, "keep").when(score >= 50, "maybe").otherwise("reject") == F.col("decision")).cast("double"))
 
+def validate(corpus: DataFrame, margin: float = 0.05, trees: int = 50) -> DataFrame:
+    """M8: one row (accuracy, baseline, beats_baseline, margin, splits): mean accuracy of models and of the plain score over splits of 4 to 1, and whether the models win by the margin.
 
-def validate(corpus: DataFrame, margin: float = 0.05, threads: int = 4, trees: int = 50) -> dict:
-    """M8: mean accuracy of models and of the plain score over random splits of 4 to 1, and whether the models win by the margin."""
-    rows = labelled(corpus).where("overall_score is not null").withColumn("__row", F.xxhash64("decision", "overall_score", "decided_at", *FEATURES)).persist()
+    There are as many splits as a fifth of the samples, 10 at most. Each has a model of its own, trained without the fifth of the samples that it is
+    asked about; all are trained at once. A null overall score counts as 0. Fewer than 5 samples give zeros and no split.
+    """
+    rows = written(_keyed(corpus, False).withColumn("overall_score", F.coalesce("overall_score", F.lit(0.0))))
     n = rows.count()
-    splits = min(10, max(1, n // 5))
-
-    def one(k: int) -> tuple[float, float]:
-        part = F.pmod(F.xxhash64("__row", F.lit(k)), F.lit(5)) == 0
-        model = _pipeline(rows.where(~part), trees, 0.1, 1.0, 42 + k, False).fit(rows.where(~part))
-        got = model.transform(rows.where(part)).agg(_accuracy(_moved(F.col("overall_score"), F.col("prediction"))), _accuracy(F.col("overall_score"))).first()
-        return got[0] or 0.0, got[1] or 0.0
-
-    try:
-        if n < 5:
-            return {"accuracy": 0.0, "baseline": 0.0, "beats_baseline": False, "splits": 0}
-        with ThreadPoolExecutor(threads) as pool:
-            found = list(pool.map(one, range(splits)))
-    finally:
-        rows.unpersist()
-    accuracy, baseline = (sum(x[i] for x in found) / len(found) for i in (0, 1))
-    return {"accuracy": round(accuracy, 3), "baseline": round(baseline, 3), "beats_baseline": accuracy - baseline >= margin, "splits": splits}
+    if n < 5:
+        return rows.sparkSession.createDataFrame([(0.0, 0.0, False, 0.0, 0)], "accuracy double, baseline double, beats_baseline boolean, margin double, splits int")
+    plan = Plan(tuple(range(42, 42 + min(10, n // 5))), trees, 0.1, out=0.2)
+    models = train(rows, FEATURES, plan)
+
+    def left_out(key: pd.Series) -> pd.Series:
+        return pd.Series(list(plan.left_out(key.to_numpy())), dtype=object)
+
+    asked = rows.select("decision", "overall_score", models.predictions([F.col(f) for f in FEATURES]).alias("raw"), F.pandas_udf(left_out, "array<boolean>")("key").alias("out"))
+    each = asked.select("decision", "overall_score", F.posexplode(F.arrays_zip("raw", "out")).alias("split", "x")).where("x.out")
+    right = each.groupBy("split").agg(F.avg(_right(_moved(F.col("overall_score"), F.col("x.raw")))).alias("a"), F.avg(_right(F.col("overall_score"))).alias("b"))
+    accuracy, baseline = F.avg("a"), F.avg("b")
+    found = right.agg(accuracy.alias("a"), baseline.alias("b"), F.count("*").cast("int").alias("splits"))
+    return found.select(F.round("a", 3).alias("accuracy"), F.round("b", 3).alias("baseline"), (F.col("a") - F.col("b") >= margin).alias("beats_baseline"), F.round(F.col("a") - F.col("b"), 3).alias("margin"), "splits")
 
 
 def save_model(model: PipelineModel, path: str, spark: SparkSession) -> None:
