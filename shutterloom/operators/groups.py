@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hero_key, members_hash
 from ..functions.scores import uncertainty, zero
 from ..storage import written
+from .ranks import numbered
+
+#: New photos between two that come again, at least and at most.
+LEAST_GAP, MOST_GAP = 5, 25
+#: Gaps that one task adds up.
+RESHOW_BLOCK = 1 << 16
 
 
 def member_rows(groups: DataFrame, images: DataFrame) -> DataFrame:
@@ -183,32 +189,62 @@ def grid_items(photos: DataFrame, groups: DataFrame) -> DataFrame:
 def compare_pairs(undecided: DataFrame, done: DataFrame, n: int = 50) -> DataFrame:
     """(pos, left_id, right_id): the least certain photos in consecutive pairs, without pairs compared before.
 
-    undecided (id, score), null and 0 scores counting as 50. Only the top rows are numbered: twice as many as asked for,
-    and four times as many again as long as too many of their pairs were compared before.
+    undecided (id, score), null and 0 scores counting as 50. The top 4 n rows are tried first; if too many of their pairs were compared
+    before, all rows are numbered, by ranges, so that a history of any length is met in two steps.
     """
     score = F.when(zero(F.col("score")) == 0, 50.0).otherwise(F.col("score"))
     seen = written(done.select(F.least("winner_id", "loser_id").alias("x"), F.greatest("winner_id", "loser_id").alias("y")).distinct())
-    many = 4 * n
-    while True:
-        top = written(undecided.select("id", uncertainty(score).alias("u")).orderBy("u", "id").limit(many))
-        fresh = _fresh_pairs(top, seen)
-        if top.count() < many or fresh.count() >= n:
-            return fresh.orderBy("pos").limit(n).select("pos", "left_id", "right_id")
-        many *= 4
+    rows = undecided.select("id", uncertainty(score).alias("u"))
+    top = written(rows.orderBy("u", "id").limit(4 * n))
+    fresh = _fresh_pairs(top, seen)
+    if top.count() == 4 * n and fresh.limit(n).count() < n:
+        fresh = _fresh_pairs(rows, seen)
+    return fresh.orderBy("pos").limit(n).select("pos", "left_id", "right_id")
 
 
-def _fresh_pairs(top: DataFrame, seen: DataFrame) -> DataFrame:
-    placed = top.withColumn("at", F.row_number().over(Window.orderBy("u", "id")) - 1)
+def _fresh_pairs(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    placed = numbered(rows, [F.col("u"), F.col("id")], "at")
     pairs = placed.groupBy(F.floor(F.col("at") / 2).alias("pos")).agg(F.min_by("id", "at").alias("left_id"), F.max_by("id", "at").alias("right_id"), F.count("*").alias("k")).where("k = 2")
     return pairs.join(seen, (F.least("left_id", "right_id") == F.col("x")) & (F.greatest("left_id", "right_id") == F.col("y")), "left_anti")
 
 
-def training_queue(images: DataFrame, decided: DataFrame, n: int = 100, reshow: float = 0.3, seed: int = 42) -> DataFrame:
-    """(id, kind): the least certain undecided photos, and decided ones again, at most `reshow` of them."""
-    rows = images.select("id", "personal_score").join(decided.select(F.col("image_id").alias("id"), "decision"), "id", "left")
-    fresh = rows.where("decision is null").orderBy(uncertainty(F.col("personal_score")).asc_nulls_last(), "id").limit(n).select("id", F.lit("new").alias("kind"))
-    again = rows.where("decision is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(int(n * reshow)).select("id", F.lit("again").alias("kind"))
-    return fresh.unionByName(again)
+def _drawn(*parts: Column | str | int) -> Column:
+    """A number below 2**32 from a digest of the parts."""
+    text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def _reshow_places(spark: SparkSession, most: int, seed: int) -> DataFrame:
+    """(k, at): after how many new photos the k-th of `most` re-shows comes; the gaps between them are 5 to 25, drawn by k.
+
+    Sums of whole blocks are made first, so that no task adds up all gaps.
+    """
+    gaps = spark.range(most).select(F.col("id").alias("k"), F.floor(F.col("id") / RESHOW_BLOCK).alias("block"), (LEAST_GAP + _drawn(seed, "gap", F.col("id")) % (MOST_GAP - LEAST_GAP + 1)).alias("gap"))
+    sums, before, total = gaps.groupBy("block").agg(F.sum("gap")).collect(), [], 0
+    for _, n in sorted(sums):
+        before.append(total)
+        total += n
+    ahead = F.element_at(F.array(*map(F.lit, before or [0])).cast("array<bigint>"), F.col("block").cast("int") + 1)
+    return gaps.select("k", (ahead + F.sum("gap").over(Window.partitionBy("block").orderBy("k"))).alias("at"))
+
+
+def training_queue(images: DataFrame, decided: DataFrame, reshow: float = 0.3, seed: int = 42) -> DataFrame:
+    """(place, id, reshow): the whole queue of photos to decide on, from place 0.
+
+    New are analysed photos without a decision, the least certain by personal score first, those without one last; if none has one, all
+    in a drawn order. Between them decided photos with an overall score come again, in a drawn order: one after each gap of 5 to 25 new ones,
+    at most `reshow` times the number of new ones. Draws follow from the seed and the ids. Every order is made by ranges, not in one task.
+    """
+    rows = images.select("id", "analysis_status", "personal_score", "overall_score").join(decided.select(F.col("image_id").alias("id"), "decision"), "id", "left")
+    fresh = written(rows.where("analysis_status = 'done' and decision is null").select("id", uncertainty(F.col("personal_score")).alias("u")))
+    count, scored = fresh.agg(F.count("*"), F.count("u")).first()
+    order = [F.col("u").asc_nulls_last(), F.col("id")] if scored else [_drawn(seed, "new", F.col("id")), F.col("id")]
+    new = numbered(fresh, order, "place").select("id", (F.col("place") + 1).alias("at"), F.lit(False).alias("reshow"))
+    again = rows.where("decision is not null and overall_score is not null").select("id")
+    again = numbered(again, [_drawn(seed, "again", F.col("id")), F.col("id")], "k")
+    places = _reshow_places(images.sparkSession, min(int(count * reshow), count // LEAST_GAP), seed)
+    shown = again.join(places.where(F.col("at") <= count), "k").select("id", "at", F.lit(True).alias("reshow"))
+    return numbered(new.unionByName(shown), [F.col("at"), F.col("reshow")], "place").select("place", "id", "reshow")
 
 
 def burst_pick_batch(members: DataFrame, heroes: DataFrame, rest: str = "reject") -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -203,12 +205,94 @@ def test_scenes_axes_and_search(spark):
     assert browse.search_groups(browse.semantic_search(photos, [1.0, 0.0]), members).first().best_id == 1
 
 
+def test_forest_holds_the_same_components():
+    rng = np.random.default_rng(5)
+    for n, m in ((2, 1), (10, 3), (50, 49), (200, 2000), (1000, 700)):
+        a, b = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7
+        keep = similarity.forest(a, b)
+
+        def parts(x, y):
+            parent = {int(v): int(v) for v in np.concatenate([a, b])}
+
+            def root(v):
+                while parent[v] != v:
+                    v = parent[v]
+                return v
+
+            for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                u, v = root(u), root(v)
+                parent[max(u, v)] = min(u, v)
+            return {v: root(v) for v in parent}
+
+        whole, thin = parts(a, b), parts(a[keep], b[keep])
+        assert whole == thin and keep.sum() == len(whole) - len(set(whole.values()))
+
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_tiles_lose_no_link(spark, spread):
+    """One segment of many tiles, some rows not of unit length, and small segments; all pairs by one product each."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(_unit(rng.standard_normal((30, 12))), 20, 0) + spread * rng.standard_normal((600, 12)) / 12**0.5
+    x = np.where(np.arange(600)[:, None] % 50 == 7, x * 1.01, _unit(x)).astype(np.float32)
+    x[13] = 0
+    segment = np.where(np.arange(600) < 540, 7, np.arange(600) // 10)
+    frame = spark.createDataFrame([(i, x[i].tolist(), int(segment[i])) for i in range(600)] + [(900, None, 7)], "id long, embedding array<float>, segment long")
+    y = x.astype(np.float64)
+    scores = y @ y.T
+    for threshold in (0.9, 0.3, -0.2):
+        want = {(i, j) for i in range(600) for j in range(i + 1, 600) if segment[i] == segment[j] and scores[i, j] >= threshold}
+        found = similarity.similarity_links(frame, threshold, 32).collect()
+        assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+        assert all(abs(r.cosine - scores[r.a, r.b]) < 1e-9 for r in found)
+        whole = {r.id: r.group_id for r in similarity.connected(similarity.similarity_links(frame, threshold)).collect()}
+        thin = {r.id: r.group_id for r in similarity.connected(similarity.component_links(frame, threshold, 32)).collect()}
+        assert thin == whole
+
+
+def test_embeddings_lose_no_link(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.lit(0).cast("long").alias("segment"))
+    held = sorted(rows.collect())
+    x = np.array([r.embedding for r in held], np.float64)
+    for threshold in (0.25, 0.4):
+        i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        want = {(held[a].id, held[b].id) for a, b in zip(i, j, strict=True)}
+        assert {(r.a, r.b) for r in similarity.similarity_links(rows, threshold, 16).collect()} == want
+
+
+def test_far_tiles_never_meet(spark):
+    """Forty tight clusters: of all pairs of tiles only some form, and fewer rows are sent than if each tile went to every other."""
+    rng = np.random.default_rng(9)
+    x = _unit(np.repeat(_unit(rng.standard_normal((40, 16))), 50, 0) + 0.02 * rng.standard_normal((2000, 16)))
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, embedding array<float>, segment long")
+    _, dealt, pairs = similarity.tiled(rows, 0.95, tile=25)
+    tiles = dealt.select("cell", "tile").distinct().count()
+    formed = pairs.count()
+    assert tiles >= 80 and formed < tiles * (tiles + 1) / 2 / 4
+    sizes = {(r.cell, r.tile): r["count"] for r in dealt.groupBy("cell", "tile").count().collect()}
+    sent = sum(sizes.get((r.cell, r.tile), 0) + (sizes.get((r.other_cell, r.other_tile), 0) if (r.cell, r.tile) != (r.other_cell, r.other_tile) else 0) for r in pairs.collect())
+    assert sent < 2000 * tiles / 4
+    everything = similarity.tiled(rows, -1.0, tile=25)[2].count()
+    assert everything >= tiles * (tiles + 1) / 2
+
+
+def test_larger_segments_copy_rows_less(spark):
+    """Tiles grow with the root of the segment, so the copies of a row do too, up to the largest tile."""
+    for n, copies in ((1024, 1), (10_000, 7), (1_000_000, 63)):
+        tile = spark.range(1).select(similarity._tile_rows(F.lit(n), None, similarity.MOST_TILE).alias("t")).first().t
+        assert -(-n // tile) <= copies and tile <= similarity.MOST_TILE
+
+
 def test_many_alike_photos_give_few_links(spark):
     """5000 photos of one segment, all alike: what grouping takes is fewer links than photos for each pair of blocks, and one group."""
     rows = spark.range(5000).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), F.lit(0).cast("long").alias("segment"))
     links = similarity.component_links(rows, 0.9)
-    pairs = sum(range(1, -(-5000 // similarity.BLOCK) + 1))
-    assert links.count() < pairs * 2 * similarity.BLOCK
+    tile = 16 * 5000**0.5
+    pairs = sum(range(1, -(-5000 // int(tile)) + 1))
+    assert links.count() < pairs * 2 * tile
     found = similarity.group_by_similarity(rows.withColumn("shot_at", F.lit("2024-01-01").cast("timestamp")), 0.9)
     assert found.agg(F.count("*"), F.count_distinct("group_id")).first() == (5000, 1)
 
@@ -246,3 +330,68 @@ def test_pairs_go_on_until_enough_are_fresh(spark):
     got = groups.compare_pairs(undecided, done, 5).collect()
     assert [(r.pos, r.left_id, r.right_id) for r in got] == [(60 + k, 120 + 2 * k, 121 + 2 * k) for k in range(5)]
     assert groups.compare_pairs(undecided, done, 200).count() == 140
+
+
+def test_no_window_without_partitions(spark):
+    """The queue of pairs and that of training are numbered by ranges."""
+    undecided = spark.range(400).select("id", (70 + F.col("id")).cast("double").alias("score"))
+    done = spark.range(300).select((F.col("id") * 2).alias("winner_id"), (F.col("id") * 2 + 1).alias("loser_id"))
+    images = spark.range(900).select("id", F.lit("done").alias("analysis_status"), (F.col("id") % 101).cast("double").alias("personal_score"), F.lit(50.0).alias("overall_score"))
+    decided = spark.range(0, 900, 3).select(F.col("id").alias("image_id"), F.lit("keep").alias("decision"))
+    for frame in (groups.compare_pairs(undecided, done, 100), groups.training_queue(images, decided)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        windows = re.findall(r"Window \[.*", plan)
+        assert windows and not any(re.search(r"windowspecdefinition\([^,()#]+#\d+L? (ASC|DESC)", w) for w in windows)
+        assert "SinglePartition" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_of_a_long_history_compared(spark):
+    undecided = spark.range(1000).select("id", (70 + F.col("id")).cast("double").alias("score"))
+    done = spark.range(500).select((F.col("id") * 2).alias("winner_id"), (F.col("id") * 2 + 1).alias("loser_id"))
+    assert groups.compare_pairs(undecided, done, 5).count() == 0
+    got = groups.compare_pairs(undecided, done.where("winner_id < 990"), 5).collect()
+    assert [(r.pos, r.left_id) for r in got] == [(k, 2 * k) for k in range(495, 500)]
+
+
+def test_queue_interleaves(spark):
+    images = spark.range(2000).select("id", F.when(F.col("id") % 50 == 0, "pending").otherwise("done").alias("analysis_status"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101).cast("double")).alias("personal_score"), F.when(F.col("id") % 11 > 0, 50.0).alias("overall_score"))
+    decided = spark.range(0, 2000, 4).select(F.col("id").alias("image_id"), F.lit("keep").alias("decision"))
+    rows = groups.training_queue(images, decided).orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(len(rows)))
+    new, again = [r.id for r in rows if not r.reshow], [r.id for r in rows if r.reshow]
+    assert set(new) == {i for i in range(2000) if i % 50 and i % 4} and len(set(again)) == len(again) and all(i % 4 == 0 and i % 11 for i in again)
+    distance = lambda i: min(abs(i * 37 % 101 - 70), abs(i * 37 % 101 - 45)) if i % 7 else math.inf
+    assert new == sorted(new, key=lambda i: (distance(i), i))
+    at = [k for k, r in enumerate(rows) if r.reshow]
+    gaps = [b - a - 1 for a, b in zip([-1, *at], at, strict=False)]
+    assert all(5 <= g <= 25 for g in gaps) and len(set(gaps)) > 10 and len(again) <= int(len(new) * 0.3)
+    few = groups.training_queue(images, decided.where("image_id < 20")).where("reshow").count()
+    assert few == 4
+    unscored = groups.training_queue(images.withColumn("personal_score", F.lit(None).cast("double")), decided).where("not reshow").orderBy("place").collect()
+    assert {r.id for r in unscored} == set(new) and [r.id for r in unscored] != sorted(new)
+    assert groups.training_queue(images.limit(0), decided).count() == 0
+
+
+def test_selection_by_counts_equals_sorting(spark):
+    rng = np.random.default_rng(4)
+    special = [0.0, -0.0, 1e300, -1e300, 1e-310, -5.5, float("nan"), None, float("inf")]
+    rows = [(["keep", "reject", "maybe"][i % 3], *(special[rng.integers(0, 9)] if rng.random() < 0.1 else float(rng.normal(0, 10.0 ** rng.integers(-3, 5))) for _ in range(2)), 7.0) for i in range(900)]
+    for kind, cast in (("double", float), ("float", lambda v: float(np.float32(v)))):
+        frame = spark.createDataFrame(rows, "k string, a double, b double, same double").select("k", *(F.col(c).cast(kind).alias(c) for c in ("a", "b", "same")))
+        places = lambda n: (0, n // 3, n // 2, n - 1)
+        got = ranks.refined_places(frame, ("a", "b", "same"), places, "k", ("keep", "reject", "none"))
+        for n, column in enumerate(("a", "b", "same"), 1):
+            for group in ("keep", "reject"):
+                values = sorted(cast(r[n]) for r in rows if r[0] == group and r[n] is not None and r[n] == r[n])
+                assert got[column, group] == (len(values), [values[k] for k in places(len(values))])
+            assert got[column, "none"] == (0, [])
+        whole = ranks.refined_places(frame, ("a",), lambda n: (n // 2,))
+        values = sorted(cast(r[1]) for r in rows if r[1] is not None and r[1] == r[1])
+        assert whole["a", None] == (len(values), [values[len(values) // 2]])
+
+
+def test_numbered(spark):
+    rows = spark.range(5000).select("id", (F.col("id") * 7919 % 613).alias("x"))
+    got = ranks.numbered(rows, [F.col("x").desc(), F.col("id")], "n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: (-r.x, r.id))] == list(range(5000))
+    assert ranks.numbered(rows.limit(0), [F.col("x")], "n").count() == 0
