@@ -3,6 +3,7 @@ import itertools
 import json
 import pathlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,28 @@ def test_listing(spark, tmp_path):
     assert catalog.subfolder_photo_counts(files, "/r/").first()[0] == 2
 
 
+def test_listing_below_a_decision_folder(spark, tmp_path):
+    """What the root itself lies in hides nothing."""
+    root = tmp_path / "_Keeps" / "shoot"
+    for name in ("a.jpg", "sub/b.jpg", "_Trash/c.jpg"):
+        path = root / name
+        path.parent.mkdir(exist_ok=True, parents=True)
+        path.write_bytes(b"x")
+    (tmp_path / "_Keeps" / "beside.jpg").write_bytes(b"x")
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.select("path").collect())
+    assert names(catalog.scan_photos(spark, str(root))) == ["a.jpg", "b.jpg"]
+    assert names(catalog.scan_photos(spark, f"{root}/", False)) == ["a.jpg"]
+
+
+def test_unfinished_of_a_root(spark):
+    files = spark.createDataFrame([("/r/a.jpg",), ("/r/b.JPG",), ("/r/s/c.nef",), ("/r/_Keeps/d.jpg",), ("/r/e.txt",), ("/rr/f.jpg",)], "path string")
+    rows = [("/r/a.jpg", "done", "/r"), ("/r/b.JPG", "error", "/r"), ("/r/s/c.nef", "done", "/r/s"), ("/r/gone.jpg", "done", "/r")]
+    images = spark.createDataFrame(rows, "file_path string, analysis_status string, source_folder string")
+    assert tuple(catalog.unfinished(files, images, "/r/").first()) == ("/r", 3, 1, 2)
+    assert tuple(catalog.unfinished(files, images, "/r", False).first()) == ("/r", 2, 1, 1)
+    assert tuple(catalog.unfinished(files, images, "/none").first()) == ("/none", 0, 0, 0)
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "/a", "u1", "/f", 5.0, "done"), (2, "/b", None, "/f", 5.0, "done"), (3, "/c", "u3", "/f", 5.0, "done")], "id long, file_path string, uuid string, source_folder string, sharpness_score double, analysis_status string")
     new = spark.createDataFrame([("/b", "n2", "/g", 6.0, 1), ("/b", "n2", "/g", 7.0, 2), ("/d", "n4", "/g", 8.0, 1), ("/c", "n3", "/g", None, 1)], "file_path string, uuid string, source_folder string, sharpness_score double, seq int")
@@ -142,17 +165,16 @@ def test_personal_model(spark, tmp_path):
     got = {r.id: r.personal_score for r in learn.predict_personal(model, images).collect()}
     assert got[1] > 55 > 45 > got[2] and got[3] is None and 95 <= got[4] <= 100 and 25 <= got[5] <= 75
     assert learn.importances(spark, model).orderBy(F.desc("importance")).first().feature == "sharpness_score"
-    assert {r.id: r.personal_std for r in learn.predict_with_uncertainty(model, [], images).collect()}[1] == 0.0
-    spread = {r.id: r.personal_std for r in learn.predict_with_uncertainty(model, [model, model], images).collect()}
-    assert spread[1] == pytest.approx(0.0)
+    assert {r.id: r.personal_std for r in learn.predict_with_uncertainty(model, None, images).collect()}[1] == 0.0
     learn.save_model(model, str(tmp_path / "m"), spark)
     again = {r.id: r.personal_score for r in learn.predict_personal(learn.load_model(str(tmp_path / "m"), spark), images).collect()}
     assert again == got
     spark.createDataFrame([('{"schema_version": 5, "n_features": 31}',)], "value string").coalesce(1).write.mode("overwrite").text(str(tmp_path / "m/meta"))
     with pytest.raises(ValueError):
         learn.load_model(str(tmp_path / "m"), spark)
-    result = learn.validate(corpus.limit(40), trees=3, threads=2)
-    assert 0 <= result["accuracy"] <= 1 and result["splits"] == 8
+    result = learn.validate(corpus.limit(40), trees=3).first()
+    assert 0 <= result.accuracy <= 1 and result.splits == 8
+    assert tuple(learn.validate(corpus.limit(4)).first()) == (0.0, 0.0, False, 0.0, 0)
 
 
 def test_deltas_list_every_feature_of_an_empty_table(spark):
@@ -172,6 +194,34 @@ def test_watch_routes_failures(spark):
     assert watch.apply_deletes(images, spark.createDataFrame([("deleted", "/a"), ("created", "/b")], "kind string, path string")).count() == 1
 
 
+def test_training_is_due_on_one_grid():
+    fired, seen = [], 0
+    for size in (29, 1, 0, 5, 20, 4, 100, 1):
+        fired += watch.due_between(seen, seen + size, 30, 10).tolist()
+        seen += size
+    assert fired == list(range(30, seen + 1, 10))
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = [("00:00:00", "00:00:01", "00:10:00"), ("00:20:00", "00:20:01"), ("00:00:02", "00:30:00")]
+    for n, times in enumerate(rows):
+        frame = spark.createDataFrame([("o", f"2024-01-01 {t}") for t in times], "owner string, t string")
+        frame.select("owner", F.col("t").cast("timestamp").alias("shot_at")).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    late = watch.LateRows()
+    spark.streams.addListener(late)
+    try:
+        for n in range(3):
+            stream = spark.readStream.schema("owner string, shot_at timestamp").parquet(str(tmp_path / f"in/[0-{n}]"))
+            query = watch.stream_bursts(stream, "owner").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        name, deadline = str(query.id), time.time() + 20
+        while late.dropped[name] < 1 and time.time() < deadline:
+            time.sleep(0.2)
+        assert late.dropped[name] == 1
+    finally:
+        spark.streams.removeListener(late)
+
+
 def test_retrain_trigger(spark, tmp_path):
     for n, size in enumerate((29, 5, 20)):
         spark.createDataFrame([("o", i) for i in range(size)], "owner string, image_id long").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
