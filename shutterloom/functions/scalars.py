@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The columns of a file's tags, and the groups that a tag's name may carry.
+EXIF_COLUMNS = ("camera", "shot_at", "focal_length_mm", "aperture", "shutter_speed", "iso", "lens_model", "film_simulation")
+TAG_GROUPS = ("EXIF:", "MakerNotes:", "Composite:", "File:", "")
+
+
 def parse_fraction(text: Column) -> Column:
     """X1: '1/250' or a plain number; null for a zero divisor or anything else."""
     parts = F.split(F.trim(text), "/")
@@ -30,6 +35,58 @@ def exif_timestamp(*tags: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(F.substring(t, 1, 19), F.lit("yyyy:MM:dd HH:mm:ss")) for t in tags))
 
 
+def _tag(tags: Column, *names: str) -> Column:
+    """The first of the named tags that isn't missing or empty."""
+    return F.coalesce(*(F.nullif(tags[n], F.lit("")) for n in names))
+
+
+def _grouped(tags: Column, *names: str) -> Column:
+    """As _tag(), of names under any of the groups, in order of name and then of group."""
+    return _tag(tags, *(group + n for n in names for group in TAG_GROUPS))
+
+
+def _stamp(text: Column) -> Column:
+    return F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss"))
+
+
+def _plain_tags(tags: Column) -> list[Column]:
+    iso = F.trim(_tag(tags, "EXIF ISOSpeedRatings"))
+    return [
+        camera_name(_tag(tags, "Image Model")),
+        _stamp(_tag(tags, "EXIF DateTimeOriginal", "Image DateTime")),
+        *(parse_fraction(_tag(tags, n)) for n in ("EXIF FocalLength", "EXIF FNumber", "EXIF ExposureTime")),
+        F.when(iso.rlike(r"^[+-]?\d+$"), iso.try_cast("int")),
+        F.trim(_tag(tags, "EXIF LensModel", "MakerNote LensModel")),
+        F.lit(None).cast("string"),
+    ]
+
+
+def _grouped_tags(tags: Column) -> list[Column]:
+    model, number = _grouped(tags, "Model"), lambda *names: _grouped(tags, *names).try_cast("double")
+    return [
+        F.when(model.isNotNull(), make_and_model(_grouped(tags, "Make"), model)),
+        _stamp(F.substring(_grouped(tags, "DateTimeOriginal", "CreateDate", "DateTime"), 1, 19)),
+        number("FocalLength"),
+        number("FNumber", "ApertureValue"),
+        number("ExposureTime"),
+        number("ISO", "ISOSpeedRatings").try_cast("int"),
+        F.trim(_grouped(tags, "LensModel", "Lens", "LensInfo", "LensID")),
+        F.trim(_grouped(tags, "FilmMode", "PictureControlBase")),
+    ]
+
+
+def normalize_exif(plain: Column, grouped: Column) -> Column:
+    """Struct of EXIF_COLUMNS from two maps of tag names to texts, as two readers of one file give them.
+
+    The second map stands for the whole first one if that has no camera, no time and no ISO, and if there is a second; single
+    values are never mixed. Empty tags are missing ones. The first tag that is there decides: one that can't be read isn't
+    made good by the next. In the second map names may carry a group of TAG_GROUPS, and numbers are plain.
+    """
+    first, second = _plain_tags(plain), _grouped_tags(grouped)
+    bare = first[0].isNull() & first[1].isNull() & first[5].isNull() & grouped.isNotNull()
+    return F.struct(*(F.when(bare, b).otherwise(a).alias(n) for n, a, b in zip(EXIF_COLUMNS, first, second, strict=True)))
+
+
 def file_name(path: Column) -> Column:
     """X5."""
     return F.substring_index(path, "/", -1)

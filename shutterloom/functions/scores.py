@@ -114,9 +114,14 @@ def shake_intentional(angle: Column, consistency: Column) -> Column:
     return ((angle < 20) | (angle > 160)) & (consistency > 0.3) & (consistency < 0.65)
 
 
-def shake_conflict(exif: Column, pixel: Column) -> Column:
-    """C9."""
-    return (exif != pixel) & (exif != "unknown")
+def pixel_risk(warning: Column) -> Column:
+    """The risk that a shake_warning() stands for."""
+    return F.when(warning.isin("shake", "severe_shake"), "high").when(warning == "slight_shake", "moderate").otherwise("low")
+
+
+def shake_conflict(exif: Column, warning: Column) -> Column:
+    """Whether exif_risk() and the pixels' shake_warning() disagree; never for an unknown risk."""
+    return (exif != pixel_risk(warning)) & (exif != "unknown")
 
 
 def iqa_score(raw: Column) -> Column:

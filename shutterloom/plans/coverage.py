@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, scores
 from ..operators import browse, dashboard, decide, groups, pixels, similarity
-from ..sources import catalog
+from ..sources import buckets, catalog
 from . import views
+from .tables import _table
 
 
 def c_labels(spark, sf_dir):
@@ -27,7 +28,7 @@ def c_labels(spark, sf_dir):
         scores.shake_score(consistency, elongation).alias("shake"),
         scores.shake_warning(consistency, elongation).alias("shake_label"),
         scores.shake_intentional(angle, consistency).alias("pan"),
-        scores.shake_conflict(F.lit("low"), F.when(consistency > 0.5, "high").otherwise("low")).alias("conflict"),
+        scores.shake_conflict(F.element_at(F.array(*map(F.lit, ("low", "moderate", "high", "unknown"))), (F.pmod("id", F.lit(4)) + 1).cast("int")), scores.shake_warning(consistency, elongation)).alias("conflict"),
         iqa.alias("iqa"),
         scores.iqa_label(iqa).alias("iqa_label"),
         aes.alias("aesthetic"),
@@ -47,7 +48,8 @@ _LABELS = """WITH q AS (SELECT *, (id % 100) / 100.0E0 AS c, 1 + (id % 30) / 10.
       CAST(GREATEST(0, ROUND_EVEN(ROUND(100 - dark - 35 * ph - 28 * pl, 9), 0)) AS INT) AS exposure,
       100 - CASE WHEN id % 100 > 70 THEN 50 WHEN id % 100 > 50 THEN 35 WHEN id % 100 > 30 THEN 15 ELSE 0 END - CASE WHEN id % 30 > 20 THEN 30 WHEN id % 30 > 10 THEN 20 WHEN id % 30 > 5 THEN 10 ELSE 0 END AS shake,
       CASE WHEN id % 100 > 70 OR id % 30 > 20 THEN 'severe_shake' WHEN id % 100 > 50 OR id % 30 > 10 THEN 'shake' WHEN id % 100 > 30 OR id % 30 > 5 THEN 'slight_shake' ELSE 'ok' END AS shake_label,
-      (angle < 20 OR angle > 160) AND id % 100 > 30 AND id % 100 < 65 AS pan, id % 100 > 50 AS conflict,
+      (angle < 20 OR angle > 160) AND id % 100 > 30 AND id % 100 < 65 AS pan,
+      CASE id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' WHEN 2 THEN 'high' END IS NOT NULL AND COALESCE(CASE id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' WHEN 2 THEN 'high' END, '') <> CASE WHEN id % 100 > 50 OR id % 30 > 10 THEN 'high' WHEN id % 100 > 30 OR id % 30 > 5 THEN 'moderate' ELSE 'low' END AS conflict,
       iqa, CASE WHEN iqa IS NULL THEN NULL WHEN iqa >= 75 THEN 'Excellent' WHEN iqa >= 55 THEN 'Good' WHEN iqa >= 35 THEN 'Fair' ELSE 'Poor' END AS iqa_label,
       aes AS aesthetic, CASE WHEN aes >= 46 THEN 'Excellent' WHEN aes >= 42 THEN 'Good' WHEN aes >= 36 THEN 'Fair' ELSE 'Poor' END AS aesthetic_label,
       CASE WHEN id % 2 = 0 THEN COALESCE(face_sharpness_score, overall_score) ELSE overall_score END AS headline FROM r"""
@@ -94,6 +96,31 @@ _TEXTS = """WITH q AS (SELECT *, id % 4000 AS s, CAST(FLOOR((id % 4000) / 3600)
       ROUND(100.0E0 * (id % 40) / 40, 1) AS pct, ROUND(CASE WHEN id % 40 > 0 THEN s * 1.0E0 / (id % 40) * (40 - id % 40) END, 4) AS eta FROM q"""
 
 
+def x4_exif(spark, sf_dir):
+    """Tags of every photo from both readers: the first has all of a third, nothing telling of another and only an ISO of the rest."""
+    n = lambda k: F.pmod("id", F.lit(k))
+    text = lambda c: c.cast("string")
+    entries = lambda **tags: F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in tags.items())))
+    shot = F.date_format("imported_at", "yyyy:MM:dd HH:mm:ss")
+    whole = entries(**{"Image Model": F.lit("NIKON Z 6_3"), "EXIF DateTimeOriginal": F.when(n(4) > 0, shot).otherwise("0000:00:00 00:00:00"), "Image DateTime": shot, "EXIF FocalLength": F.concat(text(n(90) * 2), F.lit("/2")),
+        "EXIF FNumber": F.lit("28/10"), "EXIF ExposureTime": F.concat(F.lit("1/"), text(n(5) * 100)), "EXIF ISOSpeedRatings": F.when(n(7) > 0, text(n(9) * 100)).otherwise("12.5"), "EXIF LensModel": F.lit(""), "MakerNote LensModel": F.lit(" 24-70 ")})
+    bare = entries(**{"Image Model": F.lit(""), "EXIF DateTimeOriginal": F.lit("junk"), "EXIF FocalLength": F.lit("50"), "EXIF ISOSpeedRatings": F.lit("auto")})
+    only = entries(**{"EXIF ISOSpeedRatings": F.lit(" 800 "), "EXIF FNumber": F.lit("a/b")})
+    grouped = entries(**{"EXIF:Make": F.lit("FUJIFILM"), "Model": F.when(n(2) == 0, "X100VI").otherwise("Fujifilm X-T5"), "CreateDate": F.concat(shot, F.lit("+02:00")), "EXIF:FocalLength": text(n(70) + 0.5), "Composite:ApertureValue": F.lit("4.0"), "File:FNumber": F.lit("wide"),
+        "ExposureTime": F.lit("0.004"), "EXIF:ISO": text(n(20) * 50 + 0.9), "MakerNotes:LensID": F.lit("XF 23"), "Lens": F.when(n(5) > 0, F.lit(" 35mm ")), "MakerNotes:FilmMode": F.when(n(3) == 1, F.lit("Velvia ")).otherwise(""), "PictureControlBase": F.lit("VIVID")})
+    x = scalars.normalize_exif(F.when(n(3) == 0, whole).when(n(3) == 1, bare).otherwise(F.when(n(6) == 2, only).otherwise(bare)), F.when(n(11) > 0, grouped))
+    rows = views.photos(spark, sf_dir).select("id", x.alias("x")).select("id", "x.*")
+    return rows.withColumns({"shot_at": views.second_text("shot_at"), **{c: F.round(c, 6) for c in ("focal_length_mm", "aperture", "shutter_speed")}})
+
+
+_X4 = """WITH q AS (SELECT id, STRFTIME(imported_at, '%Y-%m-%d %H:%M:%S') AS shot, id % 3 = 0 AS whole, id % 3 = 2 AND id % 6 = 2 AS bare_iso, id % 11 > 0 AS has FROM photos), r AS (SELECT *, NOT whole AND NOT bare_iso AND has AS g FROM q)
+    SELECT id, CASE WHEN whole THEN 'Z6III' WHEN g AND id % 2 = 0 THEN 'FUJIFILM X100VI' WHEN g THEN 'Fujifilm X-T5' END AS camera, CASE WHEN whole AND id % 4 > 0 OR g THEN shot END AS shot_at,
+      CASE WHEN whole THEN CAST(id % 90 AS DOUBLE) WHEN g THEN id % 70 + 0.5E0 WHEN NOT bare_iso THEN 50.0E0 END AS focal_length_mm, CASE WHEN whole THEN 2.8E0 END AS aperture,
+      CASE WHEN whole THEN CASE WHEN id % 5 > 0 THEN ROUND(1.0E0 / (id % 5 * 100), 6) END WHEN g THEN 0.004E0 END AS shutter_speed,
+      CAST(CASE WHEN whole THEN CASE WHEN id % 7 > 0 THEN id % 9 * 100 END WHEN bare_iso THEN 800 WHEN g THEN id % 20 * 50 END AS INT) AS iso,
+      CASE WHEN whole THEN '24-70' WHEN g THEN CASE WHEN id % 5 > 0 THEN '35mm' ELSE 'XF 23' END END AS lens_model, CASE WHEN g THEN CASE WHEN id % 3 = 1 THEN 'Velvia' ELSE 'VIVID' END END AS film_simulation FROM r"""
+
+
 def _events_batch(spark, sf_dir):
     """A row for every photo whose number isn't a multiple of 4 and, with a later place, one more for multiples of 6; multiples of 10 have no uuid."""
     p = views.photos(spark, sf_dir)
@@ -106,11 +133,16 @@ def _even_samples(spark, sf_dir):
 
 
 def s7_upsert_log(spark, sf_dir):
-    return catalog.upsert_shooting_log(_even_samples(spark, sf_dir), _events_batch(spark, sf_dir))
+    table = _table(_even_samples(spark, sf_dir), "sample_uuid")
+    buckets.put_shooting_log(table, _events_batch(spark, sf_dir), "log", 1)
+    return table.read()
 
 
 def s9_upsert_samples(spark, sf_dir):
-    return catalog.upsert_training_samples(_even_samples(spark, sf_dir), _events_batch(spark, sf_dir))
+    table = _table(_even_samples(spark, sf_dir), "sample_uuid")
+    for _ in range(2):
+        buckets.put_training_samples(table, _events_batch(spark, sf_dir), "review", 1)
+    return table.read()
 
 
 def s10_undo(spark, sf_dir):
@@ -257,10 +289,17 @@ def g15_manual(spark, sf_dir):
 
 
 def g18_queue(spark, sf_dir):
-    """How many of each kind, and how uncertain the new ones are: decided ones come again by a hash."""
-    p = views.photos(spark, sf_dir).withColumn("personal_score", F.col("overall_score"))
-    queue = groups.training_queue(p, views.decisions(spark, sf_dir), 40)
-    return queue.join(p, "id").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("kind") == "new", scores.uncertainty(F.col("personal_score")))), 4).alias("uncertainty"))
+    """The whole queue; photos of every ninth number have no personal score, and those of every thirteenth no overall one."""
+    p = views.photos(spark, sf_dir).withColumns({"personal_score": F.when(F.col("id") % 9 > 0, F.col("overall_score")), "overall_score": F.when(F.col("id") % 13 > 0, F.col("overall_score"))})
+    return groups.training_queue(p, views.decisions(spark, sf_dir))
+
+
+#: Photos and gaps one after another, as the queue is walked; draws are the first 32 bits of an MD5.
+_G18 = """WITH n AS (SELECT id, ROW_NUMBER() OVER (ORDER BY CASE WHEN id % 9 > 0 THEN LEAST(ABS(overall_score - 70), ABS(overall_score - 45)) END NULLS LAST, id) AS behind FROM photos WHERE analysis_status = 'done' AND id NOT IN (SELECT image_id FROM decisions)),
+    c AS (SELECT COUNT(*) AS n FROM n), a AS (SELECT id, ROW_NUMBER() OVER (ORDER BY SUBSTR(MD5('42:again:' || id), 1, 8), id) - 1 AS k FROM photos WHERE id % 13 > 0 AND id IN (SELECT image_id FROM decisions)),
+    g AS (SELECT k, SUM(5 + CAST('0x' || SUBSTR(MD5('42:gap:' || k), 1, 8) AS BIGINT) % 21) OVER (ORDER BY k) AS behind FROM a),
+    q AS (SELECT id, CAST(behind AS BIGINT) AS behind, FALSE AS reshow FROM n UNION ALL SELECT a.id, CAST(g.behind AS BIGINT), TRUE FROM a JOIN g ON g.k = a.k, c WHERE g.behind <= c.n AND a.k < FLOOR(c.n * 0.3E0))
+    SELECT ROW_NUMBER() OVER (ORDER BY behind, reshow) - 1 AS place, id, reshow FROM q"""
 
 
 def d5_bulk(spark, sf_dir):
@@ -271,13 +310,18 @@ def d5_bulk(spark, sf_dir):
     return known.unionByName(unknown.select(F.col("id").alias("image_id"), F.lit("unknown").alias("decision")))
 
 
-def p_frames(spark, sf_dir):
-    """P2 to P4 of every document's bytes as a grey frame of 64 columns, padded with zeros."""
+def _frames(spark, sf_dir):
+    """Every document's bytes as a grey frame of 64 columns, padded with zeros."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
     height = F.greatest(F.lit(1), F.ceil(F.length("bytes") / 64)).cast("int")
     body = F.concat(F.hex("bytes"), F.repeat(F.lit("00"), height * 64 - F.length("bytes")))
-    image = F.struct(F.lit("").alias("origin"), height.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(body).alias("data"))
-    rows = pixels.pixel_features(docs.select("doc_id", image.alias("image")))
+    image = F.struct(F.col("doc_id").cast("string").alias("origin"), height.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(body).alias("data"))
+    return docs.select("doc_id", image.alias("image"))
+
+
+def p_frames(spark, sf_dir):
+    """P2 to P4 of the frames."""
+    rows = pixels.pixel_features(_frames(spark, sf_dir))
     x = F.col("pixels")
     tones = pixels.tonal_distribution(x["lum"])
     return rows.select(
@@ -286,6 +330,75 @@ def p_frames(spark, sf_dir):
     )
 
 
+def p_measures(spark, sf_dir):
+    """P1, P5, P6, P8 and P9 of the frames of 18 rows or more from one decoding, every second with a box of 32 by 16 pixels."""
+    frames = _frames(spark, sf_dir).where("image.height >= 18")
+    boxes = frames.where("doc_id % 2 = 0").select(F.col("image.origin").alias("origin"), F.lit(0).alias("face_index"), F.lit(8).alias("x0"), F.lit(2).alias("y0"), F.lit(40).alias("x1"), F.lit(18).alias("y1"))
+    x = F.col("pixels")
+    roots = ("p90_laplacian", "p90_tenengrad", "p90_mlap", "normalized_score", "consistency")
+    return pixels.pixel_features(pixels.with_boxes(frames, boxes)).select(
+        "doc_id", *(F.round(F.sqrt(x[n]), 4).alias(f"{n}_root") for n in roots), *(F.round(x["hist64"][21 * k], 6).alias(f"hist_{k}") for k in range(4)),
+        x["clip_lo"]["r"].alias("black_pct"), x["clip_lo"]["visible"].alias("dark_pct"), x["clip_hi"]["visible"].alias("light_pct"), x["faces"][0]["sharpness"].alias("face_sharpness"),
+    )
+
+
+#: Neighbours by their distance in the row of pixels; beyond an edge the one on the other side of it counts.
+_MEASURES = """WITH b AS (SELECT doc_id, STRLEN(COALESCE(text, '')) AS n, CAST(CEIL(STRLEN(COALESCE(text, '')) / 64.0E0) AS BIGINT) AS h, HEX(ENCODE(COALESCE(text, ''))) AS x FROM documents WHERE STRLEN(COALESCE(text, '')) > 17 * 64),
+    c AS (SELECT doc_id, h, k, k // 64 AS y, k % 64 AS x, CASE WHEN k < n THEN CAST('0x' || SUBSTR(hx, CAST(2 * k + 1 AS BIGINT), 2) AS INT) ELSE 0 END AS v FROM (SELECT doc_id, n, h, x AS hx, UNNEST(RANGE(64 * h)) AS k FROM b) t),
+    o AS (SELECT *, LAG(v, 1) OVER w AS l, LEAD(v, 1) OVER w AS r, LAG(v, 64) OVER w AS u, LEAD(v, 64) OVER w AS d, LAG(v, 65) OVER w AS ul, LAG(v, 63) OVER w AS ur, LEAD(v, 63) OVER w AS dl, LEAD(v, 65) OVER w AS dr FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    e AS (SELECT doc_id, h, y, x, v, CASE WHEN x = 0 THEN r ELSE l END AS l, CASE WHEN x = 63 THEN l ELSE r END AS r, CASE WHEN y = 0 THEN d ELSE u END AS u, CASE WHEN y = h - 1 THEN u ELSE d END AS d,
+      CASE WHEN y = 0 AND x = 0 THEN dr WHEN y = 0 THEN dl WHEN x = 0 THEN ur ELSE ul END AS ul, CASE WHEN y = 0 AND x = 63 THEN dl WHEN y = 0 THEN dr WHEN x = 63 THEN ul ELSE ur END AS ur,
+      CASE WHEN y = h - 1 AND x = 0 THEN ur WHEN y = h - 1 THEN ul WHEN x = 0 THEN dr ELSE dl END AS dl, CASE WHEN y = h - 1 AND x = 63 THEN ul WHEN y = h - 1 THEN ur WHEN x = 63 THEN dl ELSE dr END AS dr FROM o),
+    g AS (SELECT doc_id, h, y, x, v, u + d + l + r - 4 * v AS lap, ur + 2 * r + dr - ul - 2 * l - dl AS gx, dl + 2 * d + dr - ul - 2 * u - ur AS gy, ABS(2 * v - l - r) + ABS(2 * v - u - d) AS ml FROM e),
+    t AS (SELECT doc_id, VAR_POP(lap) AS a, AVG(gx * gx + gy * gy) AS b, AVG(ml) AS c FROM g WHERE y < h // 16 * 16 GROUP BY doc_id, y // (h // 16), x // 4),
+    f AS (SELECT doc_id, QUANTILE_CONT(a, 0.9) AS a, QUANTILE_CONT(b, 0.9) AS b, QUANTILE_CONT(c, 0.9) AS c FROM t GROUP BY doc_id),
+    q AS (SELECT doc_id, QUANTILE_CONT(SQRT(gx * gx + gy * gy), 0.8) AS q FROM g GROUP BY doc_id),
+    s AS (SELECT g.doc_id, COUNT(*) AS n, AVG(COS(2 * ATAN2(ABS(gy), gx))) AS c, AVG(SIN(2 * ATAN2(ABS(gy), gx))) AS s FROM g JOIN q ON q.doc_id = g.doc_id WHERE SQRT(gx * gx + gy * gy) > q.q GROUP BY g.doc_id),
+    k AS (SELECT doc_id, ROUND_EVEN(AVG(v), 0) AS v FROM (SELECT *, (GREATEST(h, 64) + 127) // 128 AS k FROM (SELECT doc_id, h, y, x, v FROM c) z) z2 WHERE y < h // k * k AND x < 64 // k * k GROUP BY doc_id, y // k, x // k),
+    n AS (SELECT doc_id, COUNT(*) FILTER (WHERE v < 64) AS h0, COUNT(*) FILTER (WHERE v >= 64 AND v < 128) AS h1, COUNT(*) FILTER (WHERE v >= 128 AND v < 192) AS h2, COUNT(*) FILTER (WHERE v >= 192) AS h3 FROM k GROUP BY doc_id),
+    m AS (SELECT doc_id, SQRT(1.0E0 * h0 * h0 + h1 * h1 + h2 * h2 + h3 * h3) AS size, * EXCLUDE (doc_id) FROM n),
+    p AS (SELECT doc_id, ROUND_EVEN(100.0E0 * COUNT(*) FILTER (WHERE v = 0) / COUNT(*), 3) AS black_pct, ROUND_EVEN(100.0E0 * COUNT(*) FILTER (WHERE v <= 2) / COUNT(*), 3) AS dark_pct, ROUND_EVEN(100.0E0 * COUNT(*) FILTER (WHERE v >= 253) / COUNT(*), 3) AS light_pct FROM c GROUP BY doc_id),
+    i AS (SELECT doc_id, y - 2 AS y, x - 8 AS x, v, LAG(v, 1) OVER w AS l, LEAD(v, 1) OVER w AS r, LAG(v, 32) OVER w AS u, LEAD(v, 32) OVER w AS d FROM c WHERE doc_id % 2 = 0 AND y >= 2 AND y < 18 AND x >= 8 AND x < 40 WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    j AS (SELECT doc_id, ROUND(VAR_POP(CASE WHEN y = 0 THEN d ELSE u END + CASE WHEN y = 15 THEN u ELSE d END + CASE WHEN x = 0 THEN r ELSE l END + CASE WHEN x = 31 THEN l ELSE r END - 4 * v), 1) AS face_sharpness FROM i GROUP BY doc_id)
+    SELECT f.doc_id, ROUND(SQRT(f.a), 4) AS p90_laplacian_root, ROUND(SQRT(f.b), 4) AS p90_tenengrad_root, ROUND(SQRT(f.c), 4) AS p90_mlap_root, ROUND(SQRT(CBRT(f.a / 12 * f.b / 1200 * f.c / 7)), 4) AS normalized_score_root, ROUND(CASE WHEN s.n >= 100 THEN SQRT(SQRT(s.c * s.c + s.s * s.s)) ELSE 0 END, 4) AS consistency_root,
+      ROUND(h0 / size, 6) AS hist_0, ROUND(h1 / size, 6) AS hist_1, ROUND(h2 / size, 6) AS hist_2, ROUND(h3 / size, 6) AS hist_3, black_pct, dark_pct, light_pct, face_sharpness
+    FROM f JOIN m ON m.doc_id = f.doc_id JOIN p ON p.doc_id = f.doc_id LEFT JOIN s ON s.doc_id = f.doc_id LEFT JOIN j ON j.doc_id = f.doc_id"""
+
+
+def p10_faces(spark, sf_dir):
+    """P10 of two faces a photo in a frame of 100 by 80, the second of every third photo larger; and P11 by blinks, smiles and jaws of each."""
+    p = views.photos(spark, sf_dir)
+    x, y = F.pmod("id", F.lit(60)).cast("int"), F.pmod("id", F.lit(50)).cast("int")
+    first = F.struct(F.lit(0).alias("face_index"), x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 20).alias("y1"))
+    second = F.struct(F.lit(1).alias("face_index"), F.lit(40).alias("x0"), F.lit(30).alias("y0"), F.when(F.col("id") % 3 == 0, 75).otherwise(50).alias("x1"), F.lit(60).alias("y1"))
+    boxes = p.select(F.col("id").cast("string").alias("origin"), F.explode(F.array(first, second)).alias("b")).select("origin", "b.*", F.lit(100).alias("width"), F.lit(80).alias("height"))
+    geometry = pixels.face_geometry(boxes)
+    strength = lambda n, k: F.pmod(F.col("id") * k + F.col("face_index"), F.lit(n)) / n
+    shapes = F.map_from_arrays(F.array(*map(F.lit, ("eyeBlinkLeft", "eyeBlinkRight", "mouthSmileLeft", "mouthSmileRight", "jawOpen"))), F.array(strength(16, 3), strength(8, 5), strength(4, 1), strength(4, 3), strength(32, 7)))
+    faces = boxes.join(p.select(F.col("id").cast("string").alias("origin"), "id"), "origin").select("origin", "face_index", F.when(F.col("id") % 11 > 0, shapes).otherwise(F.create_map().cast("map<string,double>")).alias("shapes"))
+    return geometry.join(pixels.face_expression(faces, geometry), "origin")
+
+
+_P10 = """WITH q AS (SELECT CAST(id AS VARCHAR) AS origin, id, id % 3 = 0 AS wide, id % 60 AS x, id % 50 AS y FROM photos),
+    g AS (SELECT *, CAST(CASE WHEN wide THEN 1 ELSE 0 END AS INT) AS i, CASE WHEN wide THEN 37 ELSE GREATEST(0, x - 2) END AS a, CASE WHEN wide THEN 27 ELSE GREATEST(0, y - 2) END AS b, CASE WHEN wide THEN 78 ELSE LEAST(99, x + 22) END AS c, CASE WHEN wide THEN 63 ELSE LEAST(79, y + 22) END AS d FROM q),
+    s AS (SELECT *, CASE WHEN id % 11 > 0 THEN ((id * 3 + i) % 16 / 16.0E0 + (id * 5 + i) % 8 / 8.0E0) / 2 ELSE 0 END AS blink, CASE WHEN id % 11 > 0 THEN ((id + i) % 4 / 4.0E0 + (id * 3 + i) % 4 / 4.0E0) / 2 ELSE 0 END AS smile, CASE WHEN id % 11 > 0 THEN (id * 7 + i) % 32 / 32.0E0 ELSE 0 END AS mouth,
+      id % 11 = 0 OR ((id * 3) % 16 / 16.0E0 + (id * 5) % 8 / 8.0E0) / 2 < 0.4 AS open0, id % 11 = 0 OR ((id * 3 + 1) % 16 / 16.0E0 + (id * 5 + 1) % 8 / 8.0E0) / 2 < 0.4 AS open1 FROM g)
+    SELECT origin, 2 AS face_count, i AS primary_index, ROUND_EVEN((c - a) * (d - b) / 8000.0E0, 4) AS face_size_ratio, ROUND_EVEN((a + c - 100) / 100.0E0, 3) AS offset_x, ROUND_EVEN((b + d - 80) / 80.0E0, 3) AS offset_y, a AS pad_x0, b AS pad_y0, c AS pad_x1, d AS pad_y1,
+      ROUND_EVEN(1 - blink, 3) AS eye_openness_ratio, CAST(blink < 0.4 AS INT) AS eyes_open, ROUND_EVEN(smile, 3) AS smile_score, ROUND_EVEN(mouth, 3) AS mouth_open_score, '[' || CAST(open0 AS VARCHAR) || ',' || CAST(open1 AS VARCHAR) || ']' AS faces_eyes_open_json FROM s"""
+
+
+def x13_rankings(spark, sf_dir):
+    """Replies that rank two photos: plain, in a fence with words about it, with a rank twice, one short, and none."""
+    row = lambda i, r: F.format_string('{"image_index": %d, "rank": %d, "reason": "r%d"}', F.lit(i), F.lit(r), F.col("id"))
+    plain = F.concat(F.lit("["), row(1, 2), F.lit(", "), row(2, 1), F.lit("]"))
+    replies = (plain, F.concat(F.lit("Here:\n```json\n"), plain, F.lit("\n```\nDone.")), F.concat(F.lit("["), row(1, 1), F.lit(", "), row(2, 1), F.lit("]")), F.concat(F.lit("["), row(1, 1), F.lit("]")), F.lit("sorry"))
+    reply = F.element_at(F.array(*replies), (F.pmod("id", F.lit(5)) + 1).cast("int"))
+    return views.photos(spark, sf_dir).select("id", F.explode_outer(scalars.parse_rankings(reply, F.lit(2))).alias("r")).select("id", "r.image_index", "r.rank", "r.reason")
+
+
+_X13 = """SELECT id, i AS image_index, 3 - i AS rank, 'r' || id AS reason FROM photos, (VALUES (1), (2)) v(i) WHERE id % 5 < 2 UNION ALL SELECT id, NULL, NULL, NULL FROM photos WHERE id % 5 >= 2"""
+
+
 _FRAMES = """WITH b AS (SELECT doc_id, STRLEN(COALESCE(text, '')) AS n, GREATEST(1, CAST(CEIL(STRLEN(COALESCE(text, '')) / 64.0E0) AS BIGINT)) AS h, HEX(ENCODE(COALESCE(text, ''))) AS x FROM documents),
     c AS (SELECT doc_id, CAST('0x' || SUBSTR(x, CAST(2 * k + 1 AS BIGINT), 2) AS INT) AS v FROM (SELECT doc_id, x, UNNEST(RANGE(n)) AS k FROM b WHERE n > 0) t),
     s AS (SELECT doc_id, SUM(v) AS s1, SUM(v * v) AS s2, COUNT(*) FILTER (WHERE v = 0) AS zeros, COUNT(*) FILTER (WHERE v = 32) AS spaces, COUNT(*) FILTER (WHERE v < 85) AS low, COUNT(*) FILTER (WHERE v >= 85 AND v < 170) AS mid, COUNT(*) FILTER (WHERE v >= 170) AS high FROM c GROUP BY doc_id),
@@ -300,6 +413,7 @@ _LEADERS = "f AS (SELECT id - id % 5 AS group_id, id, CASE WHEN (id - id % 5) %
 QUERIES = {
     "c_labels": (c_labels, _LABELS),
     "x_texts": (x_texts, _TEXTS),
+    "x4_exif": (x4_exif, _X4),
     "s7_upsert_log": (s7_upsert_log, f"WITH {_BATCH}, c AS (SELECT u, decision FROM b WHERE u IS NOT NULL) {_UPSERT}"),
     "s9_upsert_samples": (s9_upsert_samples, f"WITH {_BATCH}, c AS (SELECT u, decision FROM b WHERE u IS NOT NULL AND NOT auto) {_UPSERT}"),
     "s10_undo": (s10_undo, "SELECT CAST(image_id AS VARCHAR) AS key, decision FROM decisions WHERE image_id % 14 > 0 UNION ALL SELECT uuid, 'reject' FROM photos WHERE id % 2 = 0 AND id % 14 > 0"),
@@ -347,11 +461,10 @@ QUERIES = {
         SELECT f.group_id, f.id, CAST(n - k + 1 AS INT) AS rank, CASE WHEN f.id = leader_id THEN 'r' || k ELSE 'near-duplicate of #' || (n - k + 1) END AS reason FROM f JOIN l ON l.group_id = f.group_id AND l.id = f.leader_id""",
     ),
     "g15_manual": (g15_manual, "SELECT id, CASE WHEN id IN (1, 3, 4) THEN SHA1('1,2,3') WHEN id IN (5, 6) THEN SHA1(CAST(id AS VARCHAR)) END AS manual_group_id FROM photos"),
-    "g18_queue": (
-        g18_queue,
-        """WITH u AS (SELECT LEAST(ABS(overall_score - 70), ABS(overall_score - 45)) AS u FROM photos WHERE id NOT IN (SELECT image_id FROM decisions) ORDER BY u LIMIT 40)
-        SELECT 'new' AS kind, COUNT(*) AS n, ROUND(SUM(u), 4) AS uncertainty FROM u UNION ALL SELECT 'again', LEAST(12, COUNT(*)), NULL FROM decisions HAVING COUNT(*) > 0""",
-    ),
+    "g18_queue": (g18_queue, _G18),
     "d5_bulk": (d5_bulk, "SELECT 2 * id AS image_id, CASE WHEN 2 * id IN (SELECT id FROM photos) THEN 'keep' ELSE 'unknown' END AS decision FROM photos"),
     "p_frames": (p_frames, _FRAMES),
+    "p_measures": (p_measures, _MEASURES),
+    "p10_faces": (p10_faces, _P10),
+    "x13_rankings": (x13_rankings, _X13),
 }

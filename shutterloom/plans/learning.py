@@ -46,6 +46,25 @@ def m7_personal_scores(spark, sf_dir):
     return learn.predict_personal(model, views.photos(spark, sf_dir))
 
 
+def m7_constant_model(spark, sf_dir):
+    """All that the model has seen was kept, so it moves every score up as far as it may."""
+    corpus = written(learn.sample_weights(_corpus(spark, sf_dir).where("decision = 'keep'"), "2024-07-01 00:00:00"))
+    photos = views.photos(spark, sf_dir).withColumn("overall_score", F.when(F.col("id") % 9 > 0, F.col("overall_score")))
+    found = learn.predict_with_uncertainty(learn.train_personal(corpus, 2), learn.uncertainty_ensemble(corpus, 3, 2), photos)
+    return found.select("id", F.round("personal_score", 6).alias("personal_score"), F.round("personal_std", 6).alias("personal_std"))
+
+
+def m8_validation(spark, sf_dir):
+    """Ten models of fifty trees, each asked about the fifth of the samples that it hasn't seen."""
+    return learn.validate(_corpus(spark, sf_dir))
+
+
+def m9_uncertainty(spark, sf_dir):
+    """Scores of all photos by the model, and their spread by twenty models of fifty trees."""
+    corpus = written(learn.sample_weights(_corpus(spark, sf_dir), "2024-07-01 00:00:00"))
+    return learn.predict_with_uncertainty(learn.train_personal(corpus), learn.uncertainty_ensemble(corpus), views.photos(spark, sf_dir))
+
+
 def m11_retrain_due(spark, sf_dir):
     return learn.retrain_due(_samples(spark, sf_dir), 100)
 
@@ -55,5 +74,8 @@ QUERIES = {
     "m3_pairwise_samples": (m3_pairwise_samples, f"WITH {_PAIRS} SELECT decision, COUNT(*) AS n, ROUND(AVG(overall_score), 4) AS overall, ROUND(0.4E0 * COUNT(*), 4) AS weight, ROUND(AVG(sharpness_score), 4) AS sharpness FROM y GROUP BY decision"),
     "m5_sample_weights": (m5_sample_weights, _M5),
     "m7_personal_scores": (m7_personal_scores, None),
+    "m7_constant_model": (m7_constant_model, "SELECT id, CASE WHEN id % 9 > 0 THEN LEAST(100, ROUND(overall_score + 25, 6)) END AS personal_score, CASE WHEN id % 9 > 0 THEN 0.0E0 END AS personal_std FROM photos"),
+    "m8_validation": (m8_validation, None),
+    "m9_uncertainty": (m9_uncertainty, None),
     "m11_retrain_due": (m11_retrain_due, "SELECT COUNT(*) AS samples, (COUNT(*) >= 30 AND COUNT(*) - 100 >= 10) AS due FROM decisions JOIN photos ON id = image_id"),
 }

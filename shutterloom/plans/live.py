@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..config import FEATURES
+from ..config import FEATURES, SCENES
 from ..functions import scalars
 from ..operators import browse, decide, learn, similarity
 from ..sources import catalog
@@ -71,10 +71,11 @@ def w6_retrain(spark, sf_dir):
 
 
 def s1_photo_paths(spark, sf_dir):
-    """Some files are texts, some have capitals in their extension, some lie in decision folders."""
+    """A root that lies in a decision folder itself. Some files are texts, some have capitals in their extension, some lie in decision folders below it, some beside it."""
     kind = F.element_at(F.array(*map(F.lit, (".txt", ".Tiff", ".NEF", ".jpg.bak", ".png"))), (F.col("id") % 5 + 1).cast("int"))
     below = F.when(F.col("id") % 3 == 0, "/_Trash/").when(F.col("id") % 4 == 0, "/_Keeps2/").otherwise("/")
-    return catalog.photo_paths(views.photos(spark, sf_dir).select("id", F.concat("source_folder", below, F.lit("x"), "id", kind).alias("path")))
+    top = F.when(F.col("id") % 7 == 0, "/cards/_Keeps2").otherwise("/cards/_Keeps")
+    return catalog.photo_paths(views.photos(spark, sf_dir).select("id", F.concat(top, "source_folder", below, F.lit("x"), "id", kind).alias("path")), True, "/cards/_Keeps")
 
 
 def s16_report(spark, sf_dir):
@@ -110,12 +111,9 @@ def _axis(n: int, size: int = 64) -> list[float]:
     return [float(k == n) for k in range(size)]
 
 
-_SCENES = ("portrait", "landscape", "street", "night", "macro", "indoor", "action", "water")
-
-
 def c15_scenes(spark, sf_dir):
     """Scenes whose vectors are the first eight axes."""
-    return browse.tag_scene(views.vectors(spark, sf_dir), {name: _axis(n) for n, name in enumerate(_SCENES)}).select("id", "scene", F.round("scene_confidence", 3).alias("confidence"))
+    return browse.tag_scene(views.vectors(spark, sf_dir), {name: _axis(n) for n, name in enumerate(SCENES)}).select("id", "scene", F.round("scene_confidence", 3).alias("confidence"))
 
 
 def c16_axes(spark, sf_dir):
@@ -166,7 +164,7 @@ QUERIES = {
     ),
     "s1_photo_paths": (
         s1_photo_paths,
-        "SELECT id, source_folder || CASE WHEN id % 4 = 0 THEN '/_Keeps2/' ELSE '/' END || 'x' || id || CASE id % 5 WHEN 1 THEN '.Tiff' WHEN 2 THEN '.NEF' ELSE '.png' END AS path FROM photos WHERE id % 5 IN (1, 2, 4) AND id % 3 > 0",
+        "SELECT id, '/cards/_Keeps' || source_folder || CASE WHEN id % 4 = 0 THEN '/_Keeps2/' ELSE '/' END || 'x' || id || CASE id % 5 WHEN 1 THEN '.Tiff' WHEN 2 THEN '.NEF' ELSE '.png' END AS path FROM photos WHERE id % 5 IN (1, 2, 4) AND id % 3 > 0 AND id % 7 > 0",
     ),
     "s16_report": (
         s16_report,
@@ -185,7 +183,7 @@ QUERIES = {
     ),
     "c15_scenes": (
         c15_scenes,
-        f"WITH l AS (SELECT id, LIST_TRANSFORM(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM vectors) SELECT id, ([{', '.join(f'{chr(39)}{s}{chr(39)}' for s in _SCENES)}])[LIST_POSITION(v, LIST_MAX(v))] AS scene, ROUND(GREATEST(0, ROUND_EVEN(LIST_MAX(v), 4)), 3) AS confidence FROM l",
+        f"WITH l AS (SELECT id, LIST_TRANSFORM(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM vectors) SELECT id, ([{', '.join(f'{chr(39)}{s}{chr(39)}' for s in SCENES)}])[LIST_POSITION(v, LIST_MAX(v))] AS scene, ROUND(GREATEST(0, ROUND_EVEN(LIST_MAX(v), 4)), 3) AS confidence FROM l",
     ),
     "c16_axes": (
         c16_axes,

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..storage import written
-from ..sources import catalog
+from ..sources import buckets, catalog
+from ..sources.buckets import BucketTable
 from ..streaming import watch
 from . import views
 
@@ -22,9 +23,18 @@ def s3_skip_done(spark, sf_dir):
     return catalog.skip_done(photos.select("id", F.col("file_path").alias("path")), _half(photos)).select("id", "path")
 
 
+def _table(rows, key, buckets=16):
+    """rows as a table in buckets."""
+    table = BucketTable(rows.sparkSession, f"{_shared(rows.sparkSession)}/table-{uuid.uuid4().hex}", rows.schema, key, buckets)
+    table.create(rows)
+    return table
+
+
 def s4_unfinished(spark, sf_dir):
-    photos = views.photos(spark, sf_dir)
-    return catalog.unfinished(photos.select(F.col("file_path").alias("path")), _half(photos))
+    """Photos of all users below one root, every fifth in a decision folder; the even ones are in the catalog, of these every third under a folder of its own."""
+    photos = views.photos(spark, sf_dir).withColumn("file_path", F.concat("source_folder", F.when(F.col("id") % 5 == 0, "/_Keeps/").otherwise("/"), "filename"))
+    images = _half(photos).withColumn("source_folder", F.when(F.col("id") % 3 > 0, "/shoot").otherwise(F.col("source_folder")))
+    return catalog.unfinished(photos.select(F.col("file_path").alias("path")), images, "/shoot/")
 
 
 def s5_removed(spark, sf_dir):
@@ -34,10 +44,13 @@ def s5_removed(spark, sf_dir):
 
 
 def s6_upsert_images(spark, sf_dir):
-    """A batch of every third photo, re-analysed with a sharpness one higher, put into the half."""
+    """A batch of every third photo, re-analysed with a sharpness one higher, put into the table of the half, twice under one id."""
     photos = views.photos(spark, sf_dir)
     batch = photos.where("id % 3 = 0").withColumn("sharpness_score", F.col("sharpness_score") + 1).withColumn("source_folder", F.lit("/new"))
-    return catalog.upsert_images(_half(photos), batch).select("id", "file_path", "uuid", "source_folder", "sharpness_score", "analysis_status")
+    table = _table(_half(photos), "file_path")
+    for _ in range(2):
+        buckets.put_images(table, batch, "analysis", 1)
+    return table.read().select("id", "file_path", "uuid", "source_folder", "sharpness_score", "analysis_status")
 
 
 _S6 = """WITH h AS (SELECT *, CASE WHEN id % 3 > 0 THEN CONCAT('old-', CAST(id AS VARCHAR)) END AS own FROM photos WHERE id % 2 = 0), b AS (SELECT * FROM photos WHERE id % 3 = 0)
@@ -51,7 +64,9 @@ def s8_upsert_decisions(spark, sf_dir):
     first = both.select(F.col("winner_id").alias("image_id"), F.lit("maybe").alias("decision"), "decided_at", F.lit(1).alias("seq"))
     second = both.select(F.col("winner_id").alias("image_id"), F.lit("keep").alias("decision"), "decided_at", F.lit(2).alias("seq"))
     wrong = both.select(F.col("loser_id").alias("image_id"), F.lit("burn").alias("decision"), "decided_at", F.lit(3).alias("seq"))
-    return catalog.upsert_decisions(views.decisions(spark, sf_dir), first.unionByName(second).unionByName(wrong)).select("image_id", "decision")
+    table = _table(views.decisions(spark, sf_dir), "image_id")
+    buckets.put_decisions(table, first.unionByName(second).unionByName(wrong), "review", 1)
+    return table.read().select("image_id", "decision")
 
 
 def s13_backfill_log(spark, sf_dir):
@@ -115,7 +130,7 @@ def _shared(spark):
 
 QUERIES = {
     "s3_skip_done": (s3_skip_done, "SELECT id, file_path AS path FROM photos WHERE NOT (id % 2 = 0 AND analysis_status = 'done')"),
-    "s4_unfinished": (s4_unfinished, "SELECT source_folder, COUNT(*) AS total_on_disk, COUNT(*) FILTER (WHERE id % 2 = 0 AND analysis_status = 'done') AS done_count, COUNT(*) FILTER (WHERE NOT (id % 2 = 0 AND analysis_status = 'done')) AS unfinished FROM photos GROUP BY source_folder"),
+    "s4_unfinished": (s4_unfinished, "SELECT '/shoot' AS folder_path, COUNT(*) AS total_on_disk, COUNT(*) FILTER (WHERE id % 2 = 0 AND id % 3 > 0 AND analysis_status = 'done') AS done_count, COUNT(*) FILTER (WHERE NOT (id % 2 = 0 AND id % 3 > 0 AND analysis_status = 'done')) AS unfinished FROM photos WHERE id % 5 > 0"),
     "s5_removed": (s5_removed, "SELECT id, file_path FROM photos WHERE source_folder = '/shoot/u7' AND id % 4 = 0"),
     "s6_upsert_images": (s6_upsert_images, _S6),
     "s8_upsert_decisions": (s8_upsert_decisions, "SELECT image_id, decision FROM decisions WHERE image_id NOT IN (SELECT winner_id FROM comparisons) UNION ALL SELECT DISTINCT winner_id, 'keep' FROM comparisons"),
