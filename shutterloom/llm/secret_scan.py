@@ -13,7 +13,8 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 # The escape of a line end may stand before it, and so a letter.
 _BASE64_KEY = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M|b3Bl)[A-Za-z0-9+/_-]{15,}")
 _LEAST_BASE64 = 40
+# The same ones in base64 once more.
+_TWICE = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:TU|YjNCb)[A-Za-z0-9+/_-]{52,}")
+# Bytes of a key that fills several lines, at most; keys of 16384 bits have a third of that.
+_MOST_WRAPPED = 1 << 15
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _LINE_END = re.compile(r"[ \t]{0,64}(?:\\{1,4}r\\{1,4}n|\\{1,4}[nr]|\r?\n|\r)[ \t]{0,64}")
 _ESCAPED_END = re.compile(r"\\{1,4}[nr]")
@@ -80,7 +85,7 @@ def _der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_private_key(data: bytes) -> bool:
-    """PKCS#1 (version and eight or more integers), PKCS#8 (version, algorithm, octets) or SEC1 (version 1, octets)."""
+    """PKCS#1 (version and eight or more integers), DSA's own form (version 0 and five), PKCS#8 (version, algorithm, octets) or SEC1 (version 1, octets)."""
     outer = _der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -88,8 +93,8 @@ def is_der_private_key(data: bytes) -> bool:
     if not inside or len(inside) < 2 or inside[0][0] != 0x02 or len(inside[0][1]) != 1:
         return False
     tags = [t for t, _ in inside]
-    if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
-        return all(v for _, v in inside[:9])
+    if tags == [0x02] * 6 or (len(tags) >= 9 and all(t == 0x02 for t in tags[:9])):
+        return all(v for _, v in inside[:9]) and (len(tags) > 6 or inside[0][1] == b"\0")
     if len(tags) >= 3 and tags[1:3] == [0x30, 0x04]:
         algorithm = _der_items(inside[1][1])
         return bool(algorithm) and algorithm[0][0] == 0x06
@@ -108,34 +113,31 @@ def is_encrypted_private_key(data: bytes, by_password: bool = False) -> bool:
     return bool(algorithm) and algorithm[0][0] == 0x06 and (not by_password or algorithm[0][1].startswith(_BY_PASSWORD))
 
 
-def _openssh_end(data: bytes) -> int | None:
-    """Magic, three strings, a count of keys, and as many public strings and one private one: where they end by their length prefixes."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return None
-    at = len(magic)
+_OPENSSH = b"openssh-key-v1\0"
 
-    def string(at: int) -> int:
-        if at + 4 > len(data):
-            return -1
-        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
-        return end if end <= len(data) else -1
 
-    for _ in range(3):
-        if (at := string(at)) < 0:
-            return None
-    if at + 4 > len(data) or not 1 <= (keys := int.from_bytes(data[at : at + 4], "big")) <= 64:
-        return None
-    at += 4
-    for _ in range(keys + 1):
-        if (at := string(at)) < 0:
+def _openssh_end(number: Callable[[int], int | None], most: int) -> int | None:
+    """Three strings behind the magic, a count of keys, and as many public strings and one private one: where they end by their length prefixes.
+
+    number(at) is the length that stands at a byte, None beyond the end. None if the key ends beyond `most` bytes.
+    """
+    at, left, keys = len(_OPENSSH), 3, 0
+    while at <= most and (n := number(at)) is not None:
+        if left:
+            at, left = at + 4 + n, left - 1
+            if not left and keys:
+                return at if at <= most else None
+        elif not 1 <= n <= 64:
             return None
-    return at
+        else:
+            at, left, keys = at + 4, n + 1, n
+    return None
 
 
 def is_openssh_private_key(data: bytes) -> bool:
     """Whether the parts of an OpenSSH key fill data exactly."""
-    return _openssh_end(data) == len(data)
+    number = lambda at: int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else None
+    return data.startswith(_OPENSSH) and _openssh_end(number, len(data)) == len(data)
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -164,46 +166,79 @@ def _is_armoured_key(label: str, body: str) -> bool:
     return _key_kind(data, by_password="ENCRYPTED" not in label) is not None
 
 
+def _armour_end(text: str, begin: re.Match) -> int | None:
+    """Where the armoured key ends that begins with the match; None if it holds none."""
+    end, foot = text.find("-----", begin.end()), f"-----END {begin[1]}-----"
+    return end + len(foot) if end >= 0 and text.startswith(foot, end) and _is_armoured_key(begin[1], text[begin.end() : end]) else None
+
+
 def _armoured(text: str) -> Iterator[tuple[int, int]]:
     if "-----BEGIN " in text:
         for m in _PEM_BEGIN.finditer(text):
-            end = text.find("-----", m.end())
-            foot = f"-----END {m[1]}-----"
-            if end >= 0 and text.startswith(foot, end) and _is_armoured_key(m[1], text[m.end() : end]):
-                yield m.start(), end + len(foot)
-
-
-def _lines64(text: str, at: int) -> Iterator[tuple[int, int]]:
-    """Spans of the base64 lines from at on."""
-    while m := _LINE.match(text, at):
-        yield m.span()
-        end = _LINE_END.match(text, m.end())
-        if not end:
-            return
-        at = end.end()
+            end = _armour_end(text, m)
+            if end is not None:
+                yield m.start(), end
+
+
+class _Lines:
+    """Base64 lines that follow one another, and their letters without line ends; made once however many places in them are looked at."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends, self.upto, self.letters, self.end = text, [], [], [], "", -1
+
+    def at(self, place: int) -> int:
+        """How many letters lie before the place, after reading on from it if it isn't in the lines read."""
+        if not self.starts or not self.starts[0] <= place < self.end:
+            self.starts, self.ends, self.upto, parts, held = [], [], [], [], 0
+            while m := _LINE.match(self.text, place):
+                held += m.end() - m.start()
+                self.starts.append(m.start())
+                self.ends.append(m.end())
+                self.upto.append(held)
+                parts.append(m[0])
+                gap = _LINE_END.match(self.text, m.end())
+                if not gap:
+                    break
+                place = gap.end()
+            self.letters, self.end = "".join(parts), self.ends[-1]
+            return 0
+        line = bisect_right(self.starts, place) - 1
+        return self.upto[line] - (self.ends[line] - place)
+
+    def place(self, letters: int) -> int:
+        """Where in the text that many letters end."""
+        line = bisect_left(self.upto, letters)
+        return self.ends[line] - (self.upto[line] - letters)
+
+    def ends_line(self, letters: int) -> bool:
+        line = bisect_left(self.upto, letters)
+        return line < len(self.upto) and self.upto[line] == letters
 
 
 def _armoured64(text: str) -> Iterator[tuple[int, int]]:
     """Armoured blocks that are in base64 themselves."""
-    at = 0
+    at, lines = 0, _Lines(text)
     while m := _ARMOUR64.search(text, at):
-        at = m.end()
-        spans = list(_lines64(text, m.start()))
-        run = "".join(text[a:b] for a, b in spans)
-        data = _decode64(run[: len(run) - (len(run) % 4 == 1)])
-        if data is None:
-            continue
-        signs = _ARMOUR64_SIGNS[m[0]]
-        found = next(_armoured((signs + data).decode("latin-1")), None)
-        if found is None or found[0] != 0:
-            continue
-        left = -(-(found[1] - len(signs)) * 4 // 3)
-        for a, b in spans:
-            left -= b - a
-            if left <= 0:
+        before, signs = at, _ARMOUR64_SIGNS[m[0]]
+        at, first, size = m.end(), lines.at(m.start()), 128
+        while True:
+            run = lines.letters[first : first + size]
+            whole = first + size >= len(lines.letters)
+            data = _decode64(run[: len(run) - (len(run) % 4 == 1)])
+            inner = None if data is None else (signs + data).decode("latin-1")
+            begin = _PEM_BEGIN.match(inner) if inner else None
+            # More is read only as long as the next dashes are not in sight.
+            if not begin or whole or "-----" in inner[begin.end() : -100]:
                 break
+            size *= 4
+        end = _armour_end(inner, begin) if begin else None
+        if end is None:
+            continue
+        b = lines.place(first + min(-(-(end - len(signs)) * 4 // 3), len(run)))
+        line = bisect_left(lines.ends, b)
+        b = lines.ends[line]
         start = m.start()
-        while start and _LINE.match(text[start - 1]) and not (text[start - 1] in "nrt" and text[start - 2 : start - 1] == "\\"):
+        while start > before and _LINE.match(text[start - 1]) and not (text[start - 1] in "nrt" and text[start - 2 : start - 1] == "\\"):
             start -= 1
         at = b + len(text[b : b + 2]) - len(text[b : b + 2].lstrip("="))
         yield start, at
@@ -219,29 +254,48 @@ def _claimed(head: bytes) -> int | None:
     return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
 
 
-def _wrapped_key(text: str, start: int) -> tuple[str, int] | None:
-    """Kind and end of a key in base64 that starts at start and fills several lines; the key says its length."""
-    head = _decode64(text[start : start + 16])
+def _openssh_need(letters: str, first: int) -> int | None:
+    """Bytes of the OpenSSH key that starts at a letter; only the letters of its length prefixes are decoded. None if it is larger than _MOST_WRAPPED."""
+    if not (_decode64(letters[first : first + 20]) or b"").startswith(_OPENSSH):
+        return None
+
+    def number(at: int) -> int | None:
+        group = first + at // 3 * 4
+        found = (_decode64(letters[group : group + 8]) or b"")[at % 3 :][:4]
+        return int.from_bytes(found, "big") if len(found) == 4 else None
+
+    return _openssh_end(number, _MOST_WRAPPED)
+
+
+def _wrapped_key(lines: _Lines, start: int) -> tuple[str, int] | None:
+    """Kind and end of a key in base64 that starts at start and fills several lines; the key says its length, and ends with a line."""
+    head = _decode64(lines.text[start : start + 16])
     need = _claimed(head) if head else None
     if need is None and not (head or b"").startswith(b"openssh-key"):
         return None
-    spans = list(_lines64(text, start))
-    run = "".join(text[a:b] for a, b in spans)
+    first = lines.at(start)
     if need is None:
-        need = _openssh_end(_decode64(run[: len(run) - (len(run) % 4 == 1)]) or b"")
-    letters = -(-need * 4 // 3) if need else 0
-    if not _LEAST_BASE64 <= letters <= len(run):
+        need = _openssh_need(lines.letters, first)
+    letters = -(-need * 4 // 3) if need and need <= _MOST_WRAPPED else 0
+    if not _LEAST_BASE64 <= letters <= len(lines.letters) - first or not lines.ends_line(first + letters):
         return None
-    kind, held = _key_kind(_decode64(run[:letters])), 0
-    for a, b in spans:
-        held += b - a
-        if held >= letters:
-            return (kind, b) if kind and held == letters else None
-    return None
+    kind = _key_kind(_decode64(lines.letters[first : first + letters]))
+    return (kind, lines.place(first + letters)) if kind else None
+
+
+def _encoded_twice(run: str) -> str | None:
+    """The kind of key whose base64, in one line or more, is in base64 in the run."""
+    inner = _decode64(run[: len(run) - (len(run) % 4 == 1)])
+    if not inner or not inner.isascii():
+        return None
+    text = "".join(inner.decode("ascii").split())
+    return _key_kind(_decode64(text)) if len(text) >= _LEAST_BASE64 else None
 
 
 def _keys64(text: str, armour: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
     at = n = 0
+    lines = _Lines(text)
+    padded = lambda end: end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
     while m := _BASE64_KEY.search(text, at):
         start, at = m.span()
         while n < len(armour) and armour[n][1] <= start:
@@ -251,10 +305,19 @@ def _keys64(text: str, armour: list[tuple[int, int]]) -> Iterator[tuple[str, int
             continue
         kind, end = (_key_kind(_decode64(m[0])) if at - start >= _LEAST_BASE64 else None), at
         if not kind:
-            kind, end = _wrapped_key(text, start) or (None, at)
+            kind, end = _wrapped_key(lines, start) or (None, at)
         if kind:
-            at = end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+            at = padded(end)
             yield kind, start, at
+    n = 0
+    for m in _TWICE.finditer(text):
+        while n < len(armour) and armour[n][1] <= m.start():
+            n += 1
+        if n < len(armour) and armour[n][0] <= m.start():
+            continue
+        kind = _encoded_twice(m[0])
+        if kind:
+            yield kind, m.start(), padded(m.end())
 
 
 def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
