@@ -164,8 +164,19 @@ class Lexicon:
                 best[start] = max(best.get(start, 0.0), weight)
             else:
                 excused.append((start, end))
-        total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in excused))
-        return total / math.log2(8 + len(found))
+        return _unexcused(best, excused) / math.log2(8 + len(found))
+
+
+def _unexcused(best: dict[int, float], excused: list[tuple[int, int]]) -> float:
+    """The sum of the weights whose places no excused span holds; places and spans are walked together."""
+    total, spans, end = 0.0, iter(sorted(excused)), -1
+    ahead = next(spans, None)
+    for at in sorted(best):
+        while ahead is not None and ahead[0] <= at:
+            end, ahead = max(end, ahead[1]), next(spans, None)
+        if at >= end:
+            total += best[at]
+    return total
 
 
 def fit_curve(bins: list[tuple[float, int, int]], n_toxic: int, n_clean: int) -> tuple[float, float]:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,21 @@ def test_odd_rows(spark, odd_docs, no_docs, sf_dir):
     assert out.count() == odd_docs.count() and out.where("score is null or score < 0 or score > 1").count() == 0
     assert t.score_toxicity(odd_docs, labels.limit(0)).where("score >= 0.5").count() == 0
     assert t.score_toxicity(no_docs, labels).count() == 0
+
+
+def test_time_grows_with_the_text():
+    lexicon = t.Lexicon({" clown ": 2.0})
+    for unit in ("clown fish ", "clown ", "clown fish idiot ", "pond scum soap scum "):
+        text = unit * (5_000_000 // len(unit))
+        start = time.process_time()
+        score = lexicon.score(text)
+        assert time.process_time() - start < 20 and (score > 0) == (unit in ("clown ", "clown fish idiot "))
+
+
+def test_excused_places_equal_a_plain_search():
+    chosen = random.Random(3)
+    for _ in range(300):
+        best = {chosen.randrange(60): chosen.random() for _ in range(chosen.randrange(12))}
+        excused = [(a, a + chosen.randrange(12)) for a in (chosen.randrange(60) for _ in range(chosen.randrange(8)))]
+        want = sum(w for at, w in best.items() if not any(a <= at < b for a, b in excused))
+        assert t._unexcused(best, excused) == pytest.approx(want)
