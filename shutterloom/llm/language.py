@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, table
+from .common import small_batches, stash, table, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: A document whose id's checksum is a multiple of this is held out of training.
@@ -29,12 +29,40 @@ EFFECTIVE = 60.0
 #: Pseudo-counts that the wider level lends to the narrower one.
 HOST_STRENGTH, SUFFIX_STRENGTH, DECLARED_STRENGTH = 4.0, 20.0, 10.0
 
-_DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style)\b", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 
 
 def visible(markup: str | None) -> str:
-    """Text of a page without scripts, styles, comments and tags, entities decoded."""
-    return html.unescape(_DROP.sub(" ", markup or ""))
+    """Text of a page without scripts, styles, comments and tags, entities decoded.
+
+    One walk over the signs that open: what was searched for an end in vain isn't searched again, so unclosed tags take no longer.
+    An unclosed script, style or comment goes like any tag, up to the next ">"; a "<" without one stays.
+    """
+    text, out, at, vain = markup or "", [], 0, set()
+
+    def after(kind: str, start: int) -> int | None:
+        if kind in vain:
+            return None
+        if kind in _CLOSING:
+            found = _CLOSING[kind].search(text, start)
+            end = found.end() if found else -1
+        else:
+            end = text.find(kind, start) + len(kind) if text.find(kind, start) >= 0 else -1
+        if end < 0:
+            vain.add(kind)
+        return end if end >= 0 else None
+
+    while (open_ := text.find("<", at)) >= 0:
+        hidden = _HIDDEN.match(text, open_)
+        end = after(hidden[1].lower(), hidden.end()) if hidden else after("-->", open_ + 4) if text.startswith("<!--", open_) else None
+        if end is None:
+            end = after(">", open_ + 1)
+        if end is None:
+            break
+        out += [text[at:open_], " "]
+        at = end
+    return html.unescape("".join([*out, text[at:]]))
 
 
 def trigram_bins(text: str | None) -> np.ndarray:
@@ -107,38 +135,42 @@ def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def _sums(by: str) -> list[Column]:
-    return [F.sum((F.col("text_lang") == lang).cast("long")).alias(f"{by}_{lang}") for lang in LANGUAGES]
+def _sums(names: list[str]) -> list[Column]:
+    return [F.sum((F.col("text_lang") == lang).cast("long")).alias(name) for lang, name in zip(LANGUAGES, names, strict=True)]
 
 
 def fuse(evidence: DataFrame) -> DataFrame:
-    """evidence (likelihoods, declared, host, suffix and any id) with text_lang, lang, probability.
+    """evidence (likelihoods, declared, host, suffix and any others) with text_lang, lang, probability.
 
     A row's own verdict is left out of its host's and suffix's counts. Null or equal likelihoods, as of an empty
     text, are no verdict: text_lang is null, and the row counts for no host, suffix or declaration. No host: the global
     prior; no declaration, or one that is none of LANGUAGES: no evidence from it. A tie of everything, as in an empty
-    table's prior, gives the first language. Sums are made before the shuffle, so a hot host is a row a task; hosts join
+    table's prior, gives the first language. Repeated rows count each. Other columns stay as they are, whatever their names; text_lang, lang and
+    probability are replaced. Sums are made before the shuffle, so a hot host is a row a task; hosts join
     back on the host, spread by AQE where one is hot.
     """
     none = F.array(*[F.lit(0.0)] * len(LANGUAGES))
-    rows = evidence.withColumn("likelihoods", F.coalesce("likelihoods", none)).withColumn("text_lang", _best(F.col("likelihoods")))
+    kept = [c for c in evidence.columns if c not in ("text_lang", "lang", "probability")]
+    rows = evidence.select(*kept).withColumn("likelihoods", F.coalesce("likelihoods", none)).withColumn("text_lang", _best(F.col("likelihoods")))
+    names = unused(rows, "by_host", "by_suffix", "posterior", *(f"{by}_{x}" for by in ("h", "s") for x in LANGUAGES))
+    by_host, by_suffix, posterior, of_host, of_suffix = *names[:3], names[3 : 3 + len(LANGUAGES)], names[3 + len(LANGUAGES) :]
     overall = {x: n for x, n in rows.where("text_lang is not null").groupBy("text_lang").count().collect()}
     all_rows = sum(overall.values())
     base = {x: (overall.get(x, 0) + 1.0) / (all_rows + len(LANGUAGES)) for x in LANGUAGES}
     said = {(a, b): n for a, b, n in rows.where(F.col("declared").isin(*LANGUAGES)).groupBy("text_lang", "declared").count().collect()}
     # Written, so that the joins deal both sides themselves and AQE can split a hot host's side.
-    hosts = stash(rows.where("host is not null").groupBy("host").agg(*_sums("h")), "language-hosts")
-    suffixes = stash(rows.where("suffix is not null").groupBy("suffix").agg(*_sums("s")), "language-suffixes")
-    met = rows.join(hosts, "host", "left").join(suffixes, "suffix", "left")
+    hosts = stash(rows.where("host is not null").groupBy(F.col("host").alias(by_host)).agg(*_sums(of_host)), "language-hosts")
+    suffixes = stash(rows.where("suffix is not null").groupBy(F.col("suffix").alias(by_suffix)).agg(*_sums(of_suffix)), "language-suffixes")
+    met = rows.join(hosts, F.col("host") == F.col(by_host), "left").join(suffixes, F.col("suffix") == F.col(by_suffix), "left")
     own = {x: F.coalesce((F.col("text_lang") == x).cast("double"), F.lit(0.0)) for x in LANGUAGES}
 
-    def level(by: str, name: str, x: str, strength: float, wider: Column) -> Column:
-        n = lambda y: F.coalesce(F.col(f"{by}_{y}") - own[y], F.lit(0.0))
+    def level(columns: list[str], x: str, strength: float, wider: Column) -> Column:
+        n = lambda y: F.coalesce(F.col(columns[LANGUAGES.index(y)]) - own[y], F.lit(0.0))
         return (n(x) + strength * wider) / (sum((n(y) for y in LANGUAGES), F.lit(0.0)) + strength)
 
     total = []
     for k, x in enumerate(LANGUAGES):
-        prior = level("h", "host", x, HOST_STRENGTH, level("s", "suffix", x, SUFFIX_STRENGTH, F.lit(base[x])))
+        prior = level(of_host, x, HOST_STRENGTH, level(of_suffix, x, SUFFIX_STRENGTH, F.lit(base[x])))
         seen = sum(said.get((x, d), 0) for d in LANGUAGES)
         given = F.lit(0.0)
         for d in LANGUAGES:
@@ -146,9 +178,9 @@ def fuse(evidence: DataFrame) -> DataFrame:
             given = F.when(F.col("declared") == d, F.lit(math.log(p))).otherwise(given)
         total.append(F.col("likelihoods")[k] + F.log(prior) + given)
     logs = F.array(*total)
-    fused = met.withColumn("posterior", logs)
-    share = 1 / F.aggregate("posterior", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("posterior")))
-    return fused.withColumns({"lang": F.coalesce(_best(F.col("posterior")), F.lit(LANGUAGES[0])), "probability": share})
+    fused = met.withColumn(posterior, logs)
+    share = 1 / F.aggregate(posterior, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(posterior)))
+    return fused.select(*kept, "text_lang", F.coalesce(_best(F.col(posterior)), F.lit(LANGUAGES[0])).alias("lang"), share.alias("probability"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import html
 import math
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +97,35 @@ def test_odd_texts(spark, odd_docs, no_docs):
     assert g.train(no_docs).shape == (4, g.BINS)
     got = odd_docs.select(g._likelihoods(model, True)("text").alias("x")).where("x is null or size(x) <> 4")
     assert got.count() == 0
+
+
+DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+
+
+def test_visible_equals_a_plain_pattern():
+    chosen = random.Random(4)
+    units = ["<script", "<SCRIPT x>", "</script>", "</Script  >", "<style>", "</style", "<styled>", "<!--", "-->", "<", ">", "<p a='b'>", "text ", "&amp;", "<scripts>", "\n", "-", "<!"]
+    for _ in range(3000):
+        text = "".join(chosen.choices(units, k=chosen.randrange(14)))
+        assert g.visible(text) == html.unescape(DROP.sub(" ", text)), text
+
+
+def test_time_grows_with_the_text():
+    for unit in ("<script ", "<!-- ", "<style", "<", "<p ", "</script ", "<script></style>", "<!-->", "<script>x</script>", "&#"):
+        text = unit * (5_000_000 // len(unit))
+        start = time.process_time()
+        g.visible(text)
+        assert time.process_time() - start < 10, unit
+
+
+def test_fusion_bears_odd_repeated_and_clashing_rows(spark):
+    kind = "id bigint, likelihoods array<double>, declared string, host string, suffix string, h_de string, s_en int, posterior string, lang string"
+    row = lambda i, x, d, h, s: (i, x, d, h, s, "clash", 1, "clash", "clash")
+    rows = [row(1, [0.0, -9.0, -9.0, -9.0], "de", "a.de", "de"), row(1, [0.0, -9.0, -9.0, -9.0], "de", "a.de", "de"), row(None, None, None, None, None), row(3, [0.0] * 4, "xx", "a.de", "de"), row(4, [-5.0, 0.0, -5.0, -5.0], "EN", "", "")]
+    evidence = spark.createDataFrame(rows, kind)
+    found = g.fuse(evidence)
+    assert found.columns == [c for c in evidence.columns if c != "lang"] + ["text_lang", "lang", "probability"]
+    got = sorted(found.collect(), key=lambda r: (r.id is None, r.id))
+    assert [(r.id, r.text_lang, r.lang) for r in got] == [(1, "de", "de"), (1, "de", "de"), (3, None, "de"), (4, "en", "en"), (None, None, "de")]
+    assert all(r.h_de == r.posterior == "clash" and 0.25 < r.probability <= 1 for r in got)
+    assert g.fuse(evidence.limit(0)).count() == 0
