@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table, word_count
+from .common import stash, table, unused, word_count
 
 #: Words of a block.
 BLOCK = 64
@@ -156,9 +156,10 @@ def mix_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sourc
     """
     mark = F.xxhash64(F.col(text), F.lit(seed))
     names = docs.columns
+    own_id, own_mark, own_source, passes, each_pass, own_text_mark = unused(docs, "__id", "__m", "__s", "__passes", "__pass", "__mark")
     twice = docs.groupBy(F.col(id).alias("i"), F.col(source).alias("s"), mark.alias("m")).count().where("count > 1")
     if not twice.isEmpty():
-        docs = docs.withColumn("__mark", mark).dropDuplicates([id, source, "__mark"]).select(*names)
+        docs = docs.withColumn(own_text_mark, mark).dropDuplicates([id, source, own_text_mark]).select(*names)
         docs = stash(docs, "mix-documents")
     sized, pieces, slots = mix_plan(docs, id, text, source, seed=seed, **options)
     zero = F.lit(0).cast("long")
@@ -167,15 +168,15 @@ def mix_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sourc
     got = met.select("rid", "pass", "from", F.greatest(zero, F.least(F.col("end"), F.col("take")) - F.col("start")).alias("n")).where("n > 0")
     takes = got.groupBy("rid", "pass").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("from", "n"))).alias("ranges"))
     plan = sized.select("rid", "id", "mark", "source", "size").join(takes.hint("merge"), "rid")
-    plan = plan.groupBy("id", "mark", "source", "size").agg(F.collect_list(F.struct("pass", "taken", F.when(F.col("taken") < F.col("size"), F.col("ranges")).alias("ranges"))).alias("__passes"))
-    plan = plan.select(F.col("id").alias("__id"), F.col("mark").alias("__m"), F.col("source").alias("__s"), "__passes")
-    own = docs.withColumn("__mark", mark)
-    joined = own.join(plan.hint("merge"), own[id].eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")) & own[source].eqNullSafe(F.col("__s")))
-    each = joined.select(*(own[c] for c in names), F.explode("__passes").alias("__pass"))
+    plan = plan.groupBy("id", "mark", "source", "size").agg(F.collect_list(F.struct("pass", "taken", F.when(F.col("taken") < F.col("size"), F.col("ranges")).alias("ranges"))).alias(passes))
+    plan = plan.select(F.col("id").alias(own_id), F.col("mark").alias(own_mark), F.col("source").alias(own_source), passes)
+    own = docs.withColumn(own_text_mark, mark)
+    joined = own.join(plan.hint("merge"), own[id].eqNullSafe(F.col(own_id)) & (F.col(own_text_mark) == F.col(own_mark)) & own[source].eqNullSafe(F.col(own_source)))
+    each = joined.select(*(own[c] for c in names), F.explode(passes).alias(each_pass))
     words = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     # The words are split once for each row: the outer transform binds them to a variable of the inner one.
-    cut = lambda w: F.array_join(F.transform("__pass.ranges", lambda r: F.array_join(F.slice(w, (r["from"] + 1).cast("int"), r["n"].cast("int")), " ")), " ")
-    new = F.when(F.col("__pass.ranges").isNull(), F.col(text)).otherwise(F.transform(F.array(words), cut)[0])
+    cut = lambda w: F.array_join(F.transform(f"{each_pass}.ranges", lambda r: F.array_join(F.slice(w, (r["from"] + 1).cast("int"), r["n"].cast("int")), " ")), " ")
+    new = F.when(F.col(f"{each_pass}.ranges").isNull(), F.col(text)).otherwise(F.transform(F.array(words), cut)[0])
     out = each.withColumn(text, new)
     if length and length in names:
         out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))

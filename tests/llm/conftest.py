@@ -9,7 +9,7 @@ def odd_docs(spark):
     """Odd texts with nulls in every column, a repeated row, a very long text, and extra columns whose names clash."""
     rows = [(i, t, ["en", None, "xx"][i % 3], ["s1", None][i % 2], len(t or "")) for i, t in enumerate(ODD)]
     rows += [(None, None, None, None, None), (3, "again", "en", "s1", 5), (3, "again", "en", "s1", 5), (99, "long words here " * 60_000, "en", "s1", 960_000)]
-    names = ("size", "shard", "findings", "measures", "label", "key", "block", "rows", "rid", "count", "id")
+    names = ("size", "shard", "findings", "measures", "label", "key", "block", "rows", "rid", "count", "id", "__id", "__mark", "__m", "__s", "__passes", "h_de", "s_en", "by_host", "posterior", "probability", "drawn", "rank", "first", "digest")
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
