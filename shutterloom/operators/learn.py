@@ -142,6 +142,12 @@ def predict_with_uncertainty(model: PipelineModel, ensemble: Forests | None, ima
     return out.select("id", "personal_score", F.sqrt(spread / F.size("scores")).alias("personal_std"))
 
 
+def with_personal(model: PipelineModel, ensemble: Forests | None, images: DataFrame) -> DataFrame:
+    """images with personal_score and personal_std in place of what they had, as a culling with a ready model wants them."""
+    found = predict_with_uncertainty(model, ensemble, images)
+    return images.drop("personal_score", "personal_std").join(found, "id", "left")
+
+
 def _right(score: Column) -> Column:
     """Whether the score gives the sample's decision with the fixed cutoffs 70 and 50."""
     return (F.when(score >= 70, "keep").when(score >= 50, "maybe").otherwise("reject") == F.col("decision")).cast("double")

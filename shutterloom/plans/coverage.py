@@ -365,6 +365,28 @@ _MEASURES = """WITH b AS (SELECT doc_id, STRLEN(COALESCE(text, '')) AS n, CAST(C
     FROM f JOIN m ON m.doc_id = f.doc_id JOIN p ON p.doc_id = f.doc_id LEFT JOIN s ON s.doc_id = f.doc_id LEFT JOIN j ON j.doc_id = f.doc_id"""
 
 
+def c18_fact_sheet(spark, sf_dir):
+    return views.photos(spark, sf_dir).select("id", scores.fact_sheet().alias("text"))
+
+
+def _c18_sql() -> str:
+    number = lambda x, d: f"COALESCE(PRINTF('%.{d}f', ROUND_EVEN(CAST({x} AS DOUBLE), {d})), 'N/A')"
+    line = lambda label, x, low, high: f"'  {label}: ' || {number(x, 1)} || ' (' || CASE WHEN {x} IS NULL THEN 'N/A' WHEN {x} >= {high} THEN 'good' WHEN {x} >= {low} THEN 'borderline' ELSE 'poor' END || ')'"
+    parts = [
+        "'Camera: ' || COALESCE(camera, 'unknown camera')",
+        f"'Settings: ' || {number('focal_length_mm', 0)} || 'mm · f/' || {number('aperture', 1)} || ' · ' || CASE WHEN shutter_speed >= 1 THEN {number('shutter_speed', 0)} || 's' ELSE '1/' || CAST(ROUND_EVEN(1 / shutter_speed, 0) AS BIGINT) || 's' END || ' · ISO ' || COALESCE(CAST(iso AS VARCHAR), 'N/A')",
+        "CHR(10) || 'Technical scores (0–100):'",
+        line("Overall", "overall_score", 40, 70),
+        line("Sharpness", "NULLIF(sharpness_score, 0)", 40, 70),
+        line("Exposure", "NULLIF(exposure_score, 0)", 40, 70),
+        f"CASE WHEN NULLIF(iqa_score, 0) IS NOT NULL THEN {line('Perceptual quality (TOPIQ)', 'iqa_score', 35, 55)} END",
+        f"CASE WHEN aesthetic_score IS NOT NULL THEN {line('Aesthetic appeal (LAION)', 'aesthetic_score', 30, 50)} END",
+        f"CASE WHEN face_detected = 1 THEN CHR(10) || 'Faces:' || CHR(10) || '  ' || face_count || ' face(s) detected' || CASE WHEN eyes_open IS NULL THEN '' WHEN eyes_open = 0 THEN ', eyes CLOSED' ELSE ', eyes open' END || ', face sharpness ' || {number('face_sharpness_score', 0)} ELSE CHR(10) || 'Faces: none detected' END",
+        "CHR(10) || 'Write your 2–3 sentence narrative explanation now:'",
+    ]
+    return f"SELECT id, CONCAT_WS(CHR(10), {', '.join(parts)}) AS text FROM photos"
+
+
 def p10_faces(spark, sf_dir):
     """P10 of two faces a photo in a frame of 100 by 80, the second of every third photo larger; and P11 by blinks, smiles and jaws of each."""
     p = views.photos(spark, sf_dir)
@@ -465,6 +487,7 @@ QUERIES = {
     "d5_bulk": (d5_bulk, "SELECT 2 * id AS image_id, CASE WHEN 2 * id IN (SELECT id FROM photos) THEN 'keep' ELSE 'unknown' END AS decision FROM photos"),
     "p_frames": (p_frames, _FRAMES),
     "p_measures": (p_measures, _MEASURES),
+    "c18_fact_sheet": (c18_fact_sheet, _c18_sql()),
     "p10_faces": (p10_faces, _P10),
     "x13_rankings": (x13_rankings, _X13),
 }

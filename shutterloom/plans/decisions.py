@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
-from ..operators import browse, decide
+from ..operators import browse, decide, learn
+from ..storage import written
 from . import views
+from .dashboards import _samples
 
 STRICT = Thresholds(iso_ceiling=12800.0, reject_reciprocal_rule=True, background_ceiling=0.65)
 
@@ -37,6 +39,28 @@ def _cull(spark, sf_dir):
     return decide.auto_cull(photos, views.decisions(spark, sf_dir), threshold=0.25)
 
 
+def d3_with_model(spark, sf_dir):
+    """Culling by a model that has seen kept photos only, so that it moves every score up by all it may, and its ensemble, which agrees.
+
+    Every eighth photo has no overall score, so the model says nothing of it.
+    """
+    photos = views.vector_photos(spark, sf_dir).withColumn("overall_score", F.when(F.col("id") % 8 > 0, F.col("overall_score")))
+    corpus = written(learn.sample_weights(learn.training_corpus(_samples(spark, sf_dir).where("decision = 'keep'")), "2024-07-01 00:00:00"))
+    scored = learn.with_personal(learn.train_personal(corpus, 2), learn.uncertainty_ensemble(corpus, 3, 2), photos)
+    return decide.auto_cull(scored, views.decisions(spark, sf_dir), threshold=0.25, ready=True)
+
+
+def d1_uncertain(spark, sf_dir):
+    """Personal scores from 20 to 99 with spreads up to 11, by number; every sixth photo has none."""
+    known = F.col("id") % 6 > 0
+    p = views.photos(spark, sf_dir).withColumns({"personal_score": F.when(known, 20.0 + F.col("id") * 7 % 80), "personal_std": F.when(known, (F.col("id") % 12).cast("double"))})
+    return p.select("id", decide.auto_decision(p.columns, ready=True).alias("v")).select("id", "v.decision", "v.reason")
+
+
+_READY = """WHEN p_std >= 8 AND (ABS(p_score - 70) <= p_std OR ABS(p_score - 45) <= p_std) THEN 'maybe:uncertain'
+      WHEN p_score >= 70 THEN 'keep:personal_keep' WHEN p_score >= 45 THEN 'maybe:personal_maybe' WHEN p_score IS NOT NULL THEN 'reject:personal_reject'"""
+
+
 def d4_auto_cull_preview(spark, sf_dir):
     return decide.cull_summary(_cull(spark, sf_dir))
 
@@ -54,6 +78,9 @@ _CULL = f"""{_VECTOR_GROUPS}, j AS ({_D1.format(strict='', rows='u')}),
     r AS (SELECT id FROM k WHERE n = 1 AND size >= 2 AND NOT kept AND NOT physical AND decision <> 'maybe'),
     f AS (SELECT j.id, CASE WHEN r.id IS NULL THEN j.decision ELSE 'maybe' END AS decision, j.reason, r.id IS NOT NULL AS promoted FROM j LEFT JOIN r ON r.id = j.id)"""
 
+_CULL_READY = _CULL.replace("u AS (SELECT p.*,", "o AS (SELECT * REPLACE (CASE WHEN id % 8 > 0 THEN overall_score END AS overall_score) FROM photos), u AS (SELECT p.*, CASE WHEN p.overall_score IS NOT NULL THEN LEAST(100, p.overall_score + 25) END AS p_score, CASE WHEN p.overall_score IS NOT NULL THEN 0 END AS p_std,").replace("FROM photos p JOIN vectors", "FROM o p JOIN vectors")
+_CULL_READY = _CULL_READY.replace(_D1.format(strict="", rows="u"), _D1.format(strict=_READY, rows="u")).replace("overall_score DESC, j.id", "COALESCE(overall_score, 0) DESC, j.id")
+
 _PREVIEW = f"""WITH RECURSIVE {_CULL} SELECT COUNT(*) FILTER (WHERE decision = 'keep') AS keep, COUNT(*) FILTER (WHERE decision = 'maybe') AS maybe, COUNT(*) FILTER (WHERE decision = 'reject') AS reject,
     {", ".join(f"COUNT(*) FILTER (WHERE decision = 'reject' AND reason = '{r}') AS {r}" for r in decide.NAMED_REASONS)},
     COUNT(*) FILTER (WHERE decision = 'reject' AND reason NOT IN ({", ".join(f"'{r}'" for r in decide.NAMED_REASONS)})) AS low_score,
@@ -105,6 +132,8 @@ def o2_semantic_search(spark, sf_dir):
 QUERIES = {
     "d1_auto_decision": (_judged(Thresholds()), _D1.format(strict="", rows="photos")),
     "d1_auto_decision_strict": (_judged(STRICT), _D1.format(strict=_STRICT, rows="photos")),
+    "d1_personal_rules": (d1_uncertain, f"WITH q AS (SELECT *, CASE WHEN id % 6 > 0 THEN 20.0E0 + id * 7 % 80 END AS p_score, CASE WHEN id % 6 > 0 THEN id % 12 END AS p_std FROM photos) {_D1.format(strict=_READY, rows='q')}"),
+    "d3_auto_cull_with_model": (d3_with_model, f"WITH RECURSIVE {_CULL_READY} SELECT id, decision, reason, promoted FROM f"),
     "d3_auto_cull": (_cull, f"WITH RECURSIVE {_CULL} SELECT id, decision, reason, promoted FROM f"),
     "d4_auto_cull_preview": (d4_auto_cull_preview, _PREVIEW),
     "f_filters": (

@@ -1,21 +1,53 @@
-"""Tables between steps of the catalog jobs."""
+"""Tables between steps of the jobs."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the scratch() that is open, if one is.
+_open: ContextVar[str | None] = ContextVar("scratch", default=None)
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the checkpoint folder, read back: lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or the one set for checkpoints."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = found.get()
-    path = f"{folder}/groups-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+@contextmanager
+def scratch(spark: SparkSession, parent: str | None = None) -> Iterator[str]:
+    """Tables that steps write meanwhile go into one folder, which is deleted at the end.
+
+    Frames that come of these steps read such tables, so what is to stay has to be written elsewhere within. Without a scratch,
+    and those of the corpus operators always, tables stay in the checkpoint folder until who runs the job empties it.
+    """
+    folder = f"{parent or checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _open.set(folder)
+    try:
+        yield folder
+    finally:
+        _open.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def open_scratch() -> str | None:
+    return _open.get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the open scratch() or the checkpoint folder, read back: lineage ends, and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{open_scratch() or checkpoint_folder(spark)}/groups-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
