@@ -126,8 +126,8 @@ def largest_sample(data: bytes) -> int:
     return _header(data, 3)[0][2] if data[:2] in (b"P2", b"P3", b"P5", b"P6") else 255
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Each cell is the mean over its area of the image, pixels cut by its edges counting in part; from the integral image.
+def area_resizes(image: np.ndarray, sizes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The image in each of the sizes (height, width): a cell is the mean over its area, pixels cut by its edges counting in part; from one integral image.
 
     The integral image is made a band of rows at a time, and only its values at the cells' edges are kept.
     """
@@ -139,41 +139,59 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
         low = np.minimum(at.astype(np.int64), n - 1)
         return low, at - low
 
-    (row, row_part), (column, column_part) = edges(h, height), edges(w, width)
-    sums, above = np.zeros((height + 1, width + 1, c)), np.zeros((w + 1, c))
-    step = max(1, BAND // (w * c))
+    grids = [(*edges(h, height), *edges(w, width), np.zeros((height + 1, width + 1, c))) for height, width in sizes]
+    above, step = np.zeros((w + 1, c)), max(1, BAND // (w * c))
     for at in range(0, h, step):
         band = flat[at : at + step]
         whole = np.zeros((len(band) + 1, w + 1, c))
-        whole[1:, 1:] = band.cumsum(0, dtype=np.float64).cumsum(1)
+        np.cumsum(band, 0, np.float64, whole[1:, 1:])
+        np.cumsum(whole[1:, 1:], 1, out=whole[1:, 1:])
         whole += above
         above = whole[-1].copy()
-        own = np.flatnonzero((row >= at) & (row < at + len(band)))
-        low, part = row[own] - at, row_part[own, None, None]
-        lines = whole[low] * (1 - part) + whole[low + 1] * part
-        sums[own] = lines[:, column] * (1 - column_part[:, None]) + lines[:, column + 1] * column_part[:, None]
-    cells = np.diff(np.diff(sums, axis=0), axis=1) / ((h / height) * (w / width))
-    return cells[:, :, 0] if image.ndim == 2 else cells
+        for row, row_part, column, column_part, sums in grids:
+            own = np.flatnonzero((row >= at) & (row < at + len(band)))
+            low, part = row[own] - at, row_part[own, None, None]
+            lines = whole[low] * (1 - part) + whole[low + 1] * part
+            sums[own] = lines[:, column] * (1 - column_part[:, None]) + lines[:, column + 1] * column_part[:, None]
+    out = []
+    for (height, width), (*_, sums) in zip(sizes, grids, strict=True):
+        cells = np.diff(np.diff(sums, axis=0), axis=1) / ((h / height) * (w / width))
+        out.append(cells[:, :, 0] if image.ndim == 2 else cells)
+    return out
 
 
-def difference_hash(image: np.ndarray) -> int:
-    """64 bits: whether each of 8 x 8 cells is darker than the next to its right, in the luma of an 8 x 9 area-resized image."""
-    cells = area_resize(image, 8, 9)
-    if image.ndim == 3:
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_resizes(image, [(height, width)])[0]
+
+
+#: Cells of the image that a difference hash compares: 8 rows of 9.
+HASH_SIZE = (8, 9)
+
+
+def _hash_of(cells: np.ndarray) -> int:
+    if cells.ndim == 3:
         cells = cells @ np.array([0.299, 0.587, 0.114])
     # Rounded, so that a difference in the last bits of a sum decides nothing.
     cells = np.round(cells, 6)
     return int.from_bytes(np.packbits(cells[:, :-1] < cells[:, 1:]).tobytes(), "big")
 
 
-def npy_tile(image: np.ndarray, side: int = TILE, largest: int = 255) -> bytes:
-    """The image resized to side x side, its largest possible sample brought to 255, as the bytes of an NPY file of uint8."""
+def _tile_of(cells: np.ndarray, largest: int) -> bytes:
     out = io.BytesIO()
-    cells = area_resize(image, side, side) * (255 / largest) if largest != 255 else area_resize(image, side, side)
-    np.save(out, np.clip(np.rint(cells), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(cells * (255 / largest) if largest != 255 else cells), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
+def difference_hash(image: np.ndarray) -> int:
+    """64 bits: whether each of 8 x 8 cells is darker than the next to its right, in the luma of an 8 x 9 area-resized image."""
+    return _hash_of(area_resize(image, *HASH_SIZE))
+
+
+def npy_tile(image: np.ndarray, side: int = TILE, largest: int = 255) -> bytes:
+    """The image resized to side x side, its largest possible sample brought to 255, as the bytes of an NPY file of uint8."""
+    return _tile_of(area_resize(image, side, side), largest)
+
+
 _KINDS = [("width", "int", pa.int32()), ("height", "int", pa.int32()), ("channels", "int", pa.int32()), ("sample_bytes", "bigint", pa.int64()), ("samples_sha256", "string", pa.string()), ("tail_crc32", "bigint", pa.int64()), ("dhash", "string", pa.string()), ("tile", "binary", pa.binary()), ("error", "string", pa.string())]
 
 
@@ -191,7 +209,8 @@ def features(data: bytes | None) -> dict:
     samples = image.tobytes()
     shape = {"height": image.shape[0], "width": image.shape[1], "channels": 3 if image.ndim == 3 else 1}
     sums = {"sample_bytes": len(samples), "samples_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:])}
-    return row | shape | sums | {"dhash": f"{difference_hash(image):016x}", "tile": npy_tile(image, largest=largest_sample(data))}
+    small, tile = area_resizes(image, [HASH_SIZE, (TILE, TILE)])
+    return row | shape | sums | {"dhash": f"{_hash_of(small):016x}", "tile": _tile_of(tile, largest_sample(data))}
 
 
 def _features(media: pa.Array) -> pa.Array:
@@ -206,6 +225,20 @@ def media_features(rows: DataFrame, media: str = "media", to: str = "features")
     return rows.withColumn(to, F.arrow_udf(_features, "struct<" + ",".join(f"{name}:{kind}" for name, kind, _ in _KINDS) + ">")(F.col(media)))
 
 
+def write_tiles(rows: DataFrame, folder: str, id: str, media: str = "media") -> DataFrame:
+    """Writes (id, dhash, tile) of all images of rows as Parquet in the folder, a tile being the bytes of an NPY file, and reads them back.
+
+    Images that can't be read, and null ones, have no row; repeated rows have one each. load_tile() makes an array of a tile.
+    """
+    made = media_features(rows.select(F.col(id), F.col(media).alias("media"))).where("features.tile is not null")
+    made.select(id, "features.dhash", "features.tile").write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def load_tile(tile: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(tile), allow_pickle=False)
+
+
 def text_image(text: str | None) -> bytes:
     """A P6 image of 64 columns whose samples are the text's UTF-8 bytes, padded with spaces to whole rows, one at least."""
     body = (text or "").encode("utf-8", "surrogatepass")
