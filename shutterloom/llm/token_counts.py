@@ -62,19 +62,37 @@ class TokenLedger:
             return []
         return sorted(x.getPath().getName() for x in files.listStatus(self._path()) if x.isDirectory())
 
+    def _names(self, total: str | None) -> DataFrame:
+        """The batches that a total stands for."""
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/{total}/batches") if total else self.spark.createDataFrame([], "batch string")
+
+    def _within(self, total: str | None, names: list[str]) -> list[str]:
+        """Those of the names that a total stands for; the total's own list stays where it lies."""
+        if not total or not names:
+            return []
+        asked = self.spark.createDataFrame([(n,) for n in names], "batch string")
+        return [r[0] for r in self._names(total).join(asked, "batch", "left_semi").collect()]
+
     def _state(self) -> tuple[str | None, list[str], list[str]]:
-        """The total that holds, the batches in it, and the batches beside it."""
+        """The total that holds, and of the batches with a folder those that are in it and those beside it."""
         found, files = self._folders(), self._files()
-        totals = [n for n in found if n.startswith("_total-")]
-        total = max(totals, key=lambda n: int(n.split("-")[1]), default=None)
-        within = [r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/{total}/batches").collect()] if total else []
-        have = set(within)
-        return total, within, [n for n in found if not n.startswith("_") and n not in have and files.exists(self._path(n, "_SUCCESS"))]
+        total = max((n for n in found if n.startswith("_total-")), key=lambda n: int(n.split("-")[1]), default=None)
+        whole = [n for n in found if not n.startswith("_") and files.exists(self._path(n, "_SUCCESS"))]
+        within = set(self._within(total, whole))
+        return total, sorted(within), [n for n in whole if n not in within]
 
-    def committed(self) -> list[str]:
-        """Ids of the committed batches, in order of id."""
-        _, within, beside = self._state()
-        return sorted([*within, *beside])
+    def committed(self) -> DataFrame:
+        """(batch): ids of the committed batches."""
+        total, _, beside = self._state()
+        return self._names(total).unionByName(self.spark.createDataFrame([(n,) for n in beside], "batch string")).distinct()
+
+    def is_committed(self, batch: str) -> bool:
+        """Whether the batch counts already: by its own folder, or by the total's list, of which only its row is read."""
+        found, files = self._folders(), self._files()
+        if batch in found and files.exists(self._path(batch, "_SUCCESS")):
+            return True
+        total = max((n for n in found if n.startswith("_total-")), key=lambda n: int(n.split("-")[1]), default=None)
+        return bool(total) and not self._names(total).where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if it was committed before, and then nothing is read or written.
@@ -87,7 +105,7 @@ class TokenLedger:
         """
         if batch.startswith("_") or not batch.replace("_", "").replace("-", "").isalnum():
             raise ValueError(f"a batch id is letters, digits, _ and -: {batch}")
-        if batch in self.committed():
+        if self.is_committed(batch):
             return False
         tokens, old = (F.coalesce(F.col(c), F.lit(0)) for c in ("tokens", "old_tokens"))
         kind = F.col("change")
@@ -108,13 +126,15 @@ class TokenLedger:
         changes nothing: the total names it. The folders that the new total stands for stay for readers that have begun;
         sweep() takes them away.
         """
-        total, within, beside = self._state()
+        total, _, beside = self._state()
         if not beside:
             return False
         number = int(total.split("-")[1]) + 1 if total else 1
         aside = f"_writing-{uuid.uuid4().hex}"
         self._deltas(total, beside).write.parquet(f"{self.folder}/{aside}/sums")
-        self.spark.createDataFrame([(b,) for b in sorted([*within, *beside])], "batch string").coalesce(1).write.parquet(f"{self.folder}/{aside}/batches")
+        fresh = self.spark.createDataFrame([(b,) for b in beside], "batch string").coalesce(1)
+        # In order of id, so that looking for one skips the others' row groups.
+        self._names(total).unionByName(fresh).sort("batch").write.parquet(f"{self.folder}/{aside}/batches")
         return self._place(aside, f"_total-{number}")
 
     def sweep(self) -> None:

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shutterloom.llm import token_counts as c
@@ -14,6 +15,10 @@ from shutterloom.llm.common import shared_folder
 CHANGES = "change string, source string, lang string, tokenizer string, tokens bigint, old_tokens bigint"
 
 
+def names(ledger):
+    return sorted(r.batch for r in ledger.committed().collect())
+
+
 def plain():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
@@ -61,10 +66,10 @@ def test_batches_commit_once(spark, tmp_path):
     assert ledger.commit("a", batch) and not ledger.commit("a", batch)
     assert ledger.commit("b", spark.createDataFrame([("revise", "s", "en", "t", 9, 7), ("delete", "s", "en", "t", 5, None), ("delete", None, None, "t", None, None)], CHANGES))
     assert [tuple(r) for r in ledger.rollup().collect()] == [("s", "en", "t", 1, 9)]
-    assert ledger.commit("empty", batch.limit(0)) and ledger.committed() == ["a", "b", "empty"]
+    assert ledger.commit("empty", batch.limit(0)) and names(ledger) == ["a", "b", "empty"]
     with pytest.raises(Exception, match="no such change"):
         ledger.commit("c", spark.createDataFrame([("burn", "s", "en", "t", 1, None)], CHANGES))
-    assert ledger.committed() == ["a", "b", "empty"]
+    assert names(ledger) == ["a", "b", "empty"]
     with pytest.raises(ValueError):
         ledger.commit("../x", batch)
 
@@ -78,11 +83,11 @@ def test_compaction_keeps_totals_and_names(spark, tmp_path):
     assert ledger.compact() and not ledger.compact()
     ledger.sweep()
     assert sorted(x.name for x in (tmp_path / "ledger").iterdir()) == ["_total-1"]
-    assert ledger.committed() == ["a0", "a1", "a2"] and not ledger.commit("a1", one(9))
+    assert names(ledger) == ["a0", "a1", "a2"] and not ledger.commit("a1", one(9))
     assert ledger.commit("b", one(10)) and ledger.compact()
     assert [tuple(r) for r in ledger.rollup().collect()] == [("s", "en", "t", 4, 16)]
     ledger.sweep()
-    assert [tuple(r) for r in ledger.rollup().collect()] == [("s", "en", "t", 4, 16)] and ledger.committed() == ["a0", "a1", "a2", "b"]
+    assert [tuple(r) for r in ledger.rollup().collect()] == [("s", "en", "t", 4, 16)] and names(ledger) == ["a0", "a1", "a2", "b"]
 
 
 def test_the_second_writer_changes_nothing(spark, tmp_path):
@@ -90,7 +95,7 @@ def test_the_second_writer_changes_nothing(spark, tmp_path):
     folder = tmp_path / "ledger"
     ledger, other = c.TokenLedger(spark, str(folder)), c.TokenLedger(spark, str(folder))
     rows = spark.createDataFrame([("insert", "s", "en", "t", 5, None)], CHANGES)
-    ledger.committed = lambda: []
+    ledger.is_committed = lambda batch: False
     assert other.commit("x", rows)
     assert not ledger.commit("x", rows)
     assert sorted(p.name for p in folder.iterdir()) == ["x"] and other.rollup().first().tokens == 5
@@ -100,7 +105,7 @@ def test_half_written_batches_do_not_count(spark, tmp_path):
     folder = tmp_path / "ledger"
     (folder / "_writing-x").mkdir(parents=True)
     (folder / "y").mkdir()
-    assert c.TokenLedger(spark, str(folder)).committed() == []
+    assert names(c.TokenLedger(spark, str(folder))) == []
     assert shared_folder(spark)
 
 
@@ -124,3 +129,20 @@ def test_random_histories(spark, tmp_path):
     for k, x in live.values():
         total[k] += x
     assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in ledger.rollup().collect()} == {k: (docs[k], total[k]) for k in docs}
+
+
+def test_odd_changes(spark, tmp_path, odd_docs, no_docs):
+    """Null keys and counts, repeated rows, other columns of clashing names, and tables without rows."""
+    ledger = c.TokenLedger(spark, str(tmp_path / "ledger"))
+    counted = odd_docs.select("*", F.lit("insert").alias("change"), F.lit("t").alias("tokenizer"), F.length("text").alias("tokens"), F.lit(None).cast("bigint").alias("old_tokens"), F.lit(7).alias("docs"))
+    assert ledger.commit("odd", counted)
+    want = defaultdict(lambda: [0, 0])
+    for r in odd_docs.collect():
+        want[r.source, r.lang][0] += 1
+        want[r.source, r.lang][1] += len(r.text or "")
+    assert {(r.source, r.lang): [r.docs, r.tokens] for r in ledger.rollup().collect()} == dict(want)
+    empty = no_docs.select("*", F.lit("delete").alias("change"), F.lit("t").alias("tokenizer"), F.lit(1).alias("tokens"), F.lit(0).alias("old_tokens"))
+    assert ledger.commit("none", empty) and ledger.rollup().count() == len(want)
+    gone = counted.withColumn("change", F.lit("delete"))
+    assert ledger.commit("gone", gone) and ledger.rollup().count() == 0 and ledger.compact() and ledger.rollup().count() == 0
+    assert not ledger.commit("odd", counted) and names(ledger) == ["gone", "none", "odd"]
