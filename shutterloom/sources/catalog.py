@@ -7,7 +7,9 @@ buckets that a batch touches.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -228,43 +230,79 @@ def reset(tables: dict[str, DataFrame], what: str) -> dict[str, DataFrame]:
     return {name: df.sparkSession.createDataFrame([], df.schema) if name in RESETS[what] else df for name, df in tables.items()}
 
 
+#: A stem as a number behind another stem, as numbered names have it.
+NUMBERED = r"(?s)^(.+)_([1-9]\d{0,8})$"
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """rows (dest, name) with stem, ext and parent: the stem whose photos may ask for this name with a number, null for none."""
+    split = r"(?s)^(.+?)(\.[^.]+)?$"
+    parts = rows.withColumns({"stem": F.regexp_extract("name", split, 1), "ext": F.regexp_extract("name", split, 2)})
+    return parts.withColumn("parent", F.nullif(F.regexp_extract("stem", NUMBERED, 1), F.lit("")))
+
+
+def _families(stems: DataFrame) -> DataFrame:
+    """(dest, ext, stem, family) of distinct stems (dest, ext, stem, parent): the first of the chain of parents that are stems there too.
+
+    Every round halves the chains, so IMG_1_1 behind IMG_1 behind IMG takes two; mostly no stem is another's parent.
+    """
+    here = stems.select("dest", "ext", F.col("stem").alias("parent"), F.lit(True).alias("known"))
+    found = written(stems.join(here, ["dest", "ext", "parent"], "left").select("dest", "ext", "stem", F.when(F.col("known"), F.col("parent")).otherwise(F.col("stem")).alias("family")))
+    while True:
+        above = found.where("family <> stem").select("dest", "ext", F.col("stem").alias("family"), F.col("family").alias("higher"))
+        if above.isEmpty():
+            return found
+        moved = written(found.join(above, ["dest", "ext", "family"], "left").withColumn("moved", F.col("higher").isNotNull()).select("dest", "ext", "stem", F.coalesce("higher", "family").alias("family"), "moved"))
+        found = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return found
+
+
+def _first_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (family keys, files first, then photos by id): the first free name of each photo; what is held is the names of one family."""
+    family, taken, following = None, set(), {}
+    for batch in batches:
+        ids, names = [], []
+        for dest, ext, key, id, stem in zip(*(batch.column(c).to_pylist() for c in ("dest", "ext", "family", "id", "stem")), strict=True):
+            if (dest, ext, key) != family:
+                family, taken, following = (dest, ext, key), set(), {}
+            if id is None:
+                taken.add(stem)
+                continue
+            n = following.get(stem, 0)
+            while (own := f"{stem}_{n}" if n else stem) in taken:
+                n += 1
+            taken.add(own)
+            following[stem] = n + 1
+            ids.append(id)
+            names.append(own + ext)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], ["id", "dest_name"])
+
+
 def move_plan(images: DataFrame, decided: DataFrame, folder_settings: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, file_path, dest_path) for decided photos that aren't in place; nothing is moved.
 
     folder_settings (source_folder, decision, dest_folder); existing (path) of files at the destinations. In order
-    of id every photo gets the first free of name, name_1, name_2, ...; what an existing file or an earlier photo has is taken.
+    of id every photo gets the first free of name, name_1, name_2, ...; what an existing file or an earlier photo has is taken. Photos that
+    may ask for one another's names are a family: those of one name in a folder, and those whose name is another's with a number. A family
+    of one photo and no file keeps its name; each of the others is walked once in order, however many names collide.
     """
     from ..functions.scores import decision_folder
 
     rows = images.join(decided.select(F.col("image_id").alias("id"), "decision"), "id").join(folder_settings, ["source_folder", "decision"], "left")
     dest = decision_folder(F.col("decision"), F.col("source_folder"), F.col("dest_folder"))
     rows = rows.select("id", "file_path", dest.alias("dest"), file_name(F.col("file_path")).alias("name")).where(F.concat("dest", F.lit("/"), "name") != F.col("file_path"))
-    split = r"(?s)^(.+?)(\.[^.]+)?$"
-    rows = rows.withColumns({"stem": F.regexp_extract("name", split, 1), "ext": F.regexp_extract("name", split, 2)})
-    # An existing file takes the plain name of its own stem, and a number of the stem before it.
-    there = existing.select(parent_folder(F.col("path")).alias("dest"), file_name(F.col("path")).alias("name")).distinct()
-    there = there.withColumns({"stem": F.regexp_extract("name", split, 1), "ext": F.regexp_extract("name", split, 2)})
-    numbered = r"(?s)^(.+)_([1-9]\d{0,8})$"
-    plain = there.select("dest", "stem", "ext", F.lit(0).alias("n"))
-    taken = plain.unionByName(there.where(F.col("stem").rlike(numbered)).select("dest", F.regexp_extract("stem", numbered, 1).alias("stem"), "ext", F.regexp_extract("stem", numbered, 2).cast("int").alias("n")))
-    wanted = rows.select("dest", "stem", "ext").distinct()
-    taken = taken.join(wanted, ["dest", "stem", "ext"], "left_semi").groupBy("dest", "stem", "ext").agg(F.array_sort(F.collect_set("n")).alias("taken"))
-    alike = Window.partitionBy("dest", "stem", "ext").orderBy("id")
-    # turn: which of the free numbers a photo asks for. Photos of one name ask for one after another, in order of id.
-    state = rows.join(taken, ["dest", "stem", "ext"], "left").withColumn("turn", F.row_number().over(alike) - 1)
-    while True:
-        skipped = F.size(F.filter(F.transform(F.coalesce("taken", F.array().cast("array<int>")), lambda n, k: n - k), lambda free: free <= F.col("turn")))
-        number = F.col("turn") + skipped
-        name = F.concat("stem", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), "ext")
-        asked = written(state.withColumn("dest_name", name))
-        # Photos of other names may ask for the same; the lowest id has it, the others of its kind ask for the next.
-        met = asked.groupBy("dest", "dest_name").agg(F.min("id").alias("has"), F.count("*").alias("n")).where("n > 1")
-        if met.isEmpty():
-            return asked.select("id", "file_path", F.concat("dest", F.lit("/"), "dest_name").alias("dest_path"))
-        lost = asked.join(met, ["dest", "dest_name"]).where("id <> has").select("id", F.lit(1).alias("late"))
-        moved = asked.join(lost, "id", "left").withColumn("turn", F.col("turn") + F.coalesce("late", F.lit(0)))
-        # Later ones of the same name stay behind it: the turn less the place in the row never falls.
-        place = F.row_number().over(alike) - 1
-        moved = moved.withColumn("place", place)
-        ahead = F.max(F.col("turn") - F.col("place")).over(alike.rowsBetween(Window.unboundedPreceding, 0))
-        state = moved.withColumn("turn", F.col("place") + ahead).drop("place", "late", "dest_name")
+    rows = written(_named(rows))
+    families = _families(rows.select("dest", "ext", "stem", "parent").distinct())
+    photos = rows.select("id", "dest", "ext", "stem").join(families, ["dest", "ext", "stem"])
+    # A file is in the way of its own stem's photos and of those that may ask for its name with a number; where both are there, they are one family.
+    there = _named(existing.select(parent_folder(F.col("path")).alias("dest"), file_name(F.col("path")).alias("name")).distinct())
+    either = there.select("dest", "ext", F.col("stem").alias("own"), F.explode(F.array_compact(F.array("stem", "parent"))).alias("stem"))
+    files = either.join(families, ["dest", "ext", "stem"]).select("dest", "ext", "family", F.col("own").alias("stem")).distinct()
+    # Written, as a union of joins passes for dealt by their keys even where these joins become broadcasts later.
+    both = written(photos.select("dest", "ext", "family", "id", "stem").unionByName(files.withColumn("id", F.lit(None).cast(photos.schema["id"].dataType))))
+    alone = both.groupBy("dest", "ext", "family").agg(F.count("*").alias("n")).where("n = 1").select("dest", "ext", "family")
+    contested = both.join(alone, ["dest", "ext", "family"], "left_anti").repartition("dest", "ext", "family")
+    contested = contested.sortWithinPartitions("dest", "ext", "family", F.col("id").asc_nulls_first())
+    renamed = contested.select("dest", "ext", "family", F.col("id").cast("long").alias("id"), "stem").mapInArrow(_first_free, "id bigint, dest_name string")
+    return rows.join(renamed, "id", "left").select("id", "file_path", F.concat("dest", F.lit("/"), F.coalesce("dest_name", "name")).alias("dest_path"))

@@ -12,6 +12,7 @@ from shutterloom.config import FEATURES
 from shutterloom.operators import dashboard, decide, learn
 from shutterloom.plans import views
 from shutterloom.sources import catalog
+from shutterloom.storage import written
 from shutterloom.streaming import watch
 
 
@@ -108,6 +109,27 @@ def test_move_plan_numbers_collisions(spark):
     assert got == {1: "/k/x_2.jpg", 2: "/k/x_3.jpg", 4: "/d/_Keeps/n"}
 
 
+def test_move_plan_writes_no_more_for_more_collisions(spark, monkeypatch):
+    """A name behind a number behind a number: as many tables are written however many names collide."""
+    counts = []
+    for n in (2, 60):
+        rows = [(10 * k + j, f"/s{k}/IMG{'_1' * j}.jpg", f"/s{k}") for k in range(n) for j in range(3)]
+        images = spark.createDataFrame(rows, "id long, file_path string, source_folder string")
+        decided = images.select(F.col("id").alias("image_id"), F.lit("keep").alias("decision"))
+        settings = images.select("source_folder").distinct().select("source_folder", F.lit("keep").alias("decision"), F.lit("/k").alias("dest_folder"))
+        made = []
+        monkeypatch.setattr(catalog, "written", lambda df, made=made: made.append(1) or written(df))
+        got = {r.id: r.dest_path for r in catalog.move_plan(images, decided, settings, spark.createDataFrame([("/k/IMG_1_1.jpg",), ("/k/other.jpg",)], "path string")).collect()}
+        taken = {"IMG_1_1"}
+        for id, path, _ in sorted(rows):
+            stem = path.rsplit("/", 1)[1][:-4]
+            own = next(x for x in itertools.chain([stem], (f"{stem}_{k}" for k in itertools.count(1))) if x not in taken)
+            taken.add(own)
+            assert got[id] == f"/k/{own}.jpg"
+        counts.append(len(made))
+    assert counts[0] == counts[1]
+
+
 def test_move_plan_equals_moving_one_by_one(spark):
     """Names that meet a numbered name of another photo, free numbers below taken ones, names that look numbered; a file is never written over."""
     rng = random.Random(6)
