@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from ..config import FEATURES, SCENES
 from ..functions import scalars
 from ..operators import browse, decide, learn, similarity
-from ..sources import catalog
+from ..sources import buckets, catalog
 from ..storage import written
 from ..streaming import watch
 from . import views
@@ -60,6 +63,73 @@ def w4_progress(spark, sf_dir):
     return found[-1].select("status", F.col("count").alias("n"))
 
 
+def _bitmap(body: bytes) -> bytes:
+    """A grey BMP of 64 columns of the bytes, padded with zeros to whole rows."""
+    rows = max(1, -(-len(body) // 64))
+    body = body.ljust(64 * rows, b"\0")
+    palette = b"".join(bytes((v, v, v, 0)) for v in range(256))
+    head = struct.pack("<2sIII", b"BM", 1078 + len(body), 0, 1078) + struct.pack("<IiiHHIIiiII", 40, 64, rows, 1, 8, 0, len(body), 0, 0, 256, 0)
+    return head + palette + b"".join(body[64 * y : 64 * y + 64] for y in reversed(range(rows)))
+
+
+def _frame_files(docs, folder: str) -> None:
+    """Writes an image file for each of docs (doc_id, text), named by its id; of every fiftieth only the beginning."""
+
+    def write(batches):
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        n = 0
+        for batch in batches:
+            for id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data = _bitmap((text or "").encode())
+                with files.open_output_stream(f"{root}/_{id}") as out:
+                    out.write(data[:40] if id % 50 == 7 else data)
+                files.move(f"{root}/_{id}", f"{root}/doc-{id}.png")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    docs.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
+def _documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def s2_images(spark, sf_dir):
+    """Every document's bytes as the file of a grey image, read back; the ones that are cut off have no size."""
+    folder = f"{_folder(spark)}/frames"
+    _frame_files(_documents(spark, sf_dir), folder)
+    found = catalog.load_images(spark, folder).select(F.regexp_extract("image.origin", r"doc-(\d+)\.png", 1).cast("long").alias("doc_id"), "image")
+    known = lambda c: F.when(F.col("image.height") > 0, F.col(f"image.{c}"))
+    return found.select("doc_id", known("height").alias("height"), known("width").alias("width"), F.when(known("height").isNotNull(), F.octet_length("image.data")).cast("long").alias("bytes"))
+
+
+def w1_watched_folder(spark, sf_dir):
+    """Images of the documents put into a folder in two lots, each followed by a run of one checkpoint: a row for each file, those that are cut off as errors."""
+    folder, docs = _folder(spark), _documents(spark, sf_dir)
+    empty = spark.createDataFrame([], "file_path string, filename string, uuid string, overall_score double, analysis_status string")
+    images = buckets.BucketTable(spark, f"{folder}/images", empty.schema, "file_path", 16)
+    images.create(empty)
+    log = buckets.BucketTable(spark, f"{folder}/log", spark.createDataFrame([], "sample_uuid string, overall_score double").schema, "sample_uuid", 16)
+    log.create(spark.createDataFrame([], log.schema))
+
+    def score(rows):
+        return rows.select("file_path", scalars.file_name(F.col("file_path")).alias("filename"), F.sha1("file_path").alias("uuid"), F.round("pixels.mean", 4).alias("overall_score"))
+
+    for lot in range(2):
+        _frame_files(docs.where(F.col("doc_id") % 2 == lot), f"{folder}/in")
+        listing = lambda: catalog.scan_photos(spark, f"{folder}/in", False)
+        watch.watch_into(spark, f"{folder}/in", images, log, score, listing, f"{folder}/state", True).awaitTermination()
+    logged = log.read().select(F.col("sample_uuid").alias("uuid"), F.lit(True).alias("logged"))
+    name = F.regexp_extract("file_path", r"doc-(\d+)\.png", 1).cast("long")
+    return images.read().join(logged, "uuid", "left").select(name.alias("doc_id"), "analysis_status", "overall_score", F.coalesce("logged", F.lit(False)).alias("logged"))
+
+
+_SIZES = "SELECT doc_id, doc_id % 50 = 7 AS cut, CAST(GREATEST(1, CEIL(STRLEN(COALESCE(text, '')) / 64.0E0)) AS INT) AS h FROM documents"
+_W1 = f"""WITH d AS ({_SIZES}), c AS (SELECT doc_id, SUM(CAST('0x' || SUBSTR(x, CAST(2 * k + 1 AS BIGINT), 2) AS INT)) AS s FROM (SELECT doc_id, HEX(ENCODE(text)) AS x, UNNEST(RANGE(STRLEN(text))) AS k FROM documents) t GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN cut THEN 'error' ELSE 'done' END AS analysis_status, CASE WHEN NOT cut THEN ROUND(COALESCE(s, 0) / (64.0E0 * h), 4) END AS overall_score, NOT cut AS logged FROM d LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+
 def w6_retrain(spark, sf_dir):
     """When decisions of twenty owners, every seventh a keep, call for a training."""
     owner = F.concat(F.lit("owner-"), (F.col("id") % 20).cast("string")).alias("owner")
@@ -158,6 +228,8 @@ QUERIES = {
     "w2_deletes": (w2_deletes, "SELECT id, file_path FROM photos WHERE id % 3 > 0"),
     "w3_failures": (w3_failures, "SELECT file_path, CASE WHEN id % 5 > 0 AND value IS NOT NULL THEN 'measured' ELSE 'error' END AS outcome FROM photos WHERE (id % 5 > 0 AND value IS NOT NULL) OR id % 2 = 0"),
     "w4_progress": (w4_progress, "SELECT analysis_status AS status, COUNT(*) AS n FROM photos GROUP BY analysis_status"),
+    "s2_images": (s2_images, f"SELECT doc_id, CASE WHEN NOT cut THEN h END AS height, CASE WHEN NOT cut THEN 64 END AS width, CASE WHEN NOT cut THEN CAST(64 * h AS BIGINT) END AS bytes FROM ({_SIZES}) d"),
+    "w1_watched_folder": (w1_watched_folder, _W1),
     "w6_retrain": (
         w6_retrain,
         "SELECT owner, CAST(UNNEST(GENERATE_SERIES(30, n, 10)) AS BIGINT) AS samples FROM (SELECT 'owner-' || CAST(id % 20 AS VARCHAR) AS owner, COUNT(*) AS n FROM photos WHERE id % 7 < 3 GROUP BY 1) t",
