@@ -331,16 +331,20 @@ def collapse_near_duplicates(members: DataFrame, threshold: float = 0.97) -> Dat
     schema, order = "group_id bigint, id bigint, leader_id bigint", Window.partitionBy("group_id").orderBy("pos", "id")
     rows = members.select("group_id", "id", "pos", "embedding")
     found = rows.where("embedding is null").select("group_id", "id", F.col("id").alias("leader_id"))
-    rest = rows.where("embedding is not null")
+    # Numbered once: a round takes the first blocks of places whose open photos are BLOCK together at most, one block at least.
+    placed = rows.where("embedding is not null").withColumn("__place", F.row_number().over(order) - 1)
+    rest = written(placed.withColumn("__block", F.floor(F.col("__place") / BLOCK)))
     while True:
-        placed = written(rest.withColumn("__place", F.row_number().over(order)))
-        now, later = placed.where(F.col("__place") <= BLOCK), placed.where(F.col("__place") > BLOCK)
+        upto = F.sum("count").over(Window.partitionBy("group_id").orderBy("__block"))
+        sizes = rest.groupBy("group_id", "__block").count().withColumn("__now", upto <= BLOCK)
+        sized = written(rest.join(sizes.drop("count"), ["group_id", "__block"]))
+        now, later = sized.where("__now"), sized.where("not __now")
         if later.isEmpty():
             return found.unionByName(now.groupBy("group_id").applyInPandas(lead, schema))
         led = written(now.groupBy("group_id").applyInPandas(lead, schema))
         heads = now.join(led.where("id = leader_id").select("group_id", "id"), ["group_id", "id"]).groupBy("group_id")
         heads = heads.agg(F.sort_array(F.collect_list(F.struct("__place", "id", "embedding"))).alias("leaders"))
-        blocks = later.groupBy("group_id", F.floor((F.col("__place") - 1) / BLOCK)).agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
+        blocks = later.groupBy("group_id", "__block").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
         claimed = written(blocks.select("group_id", "rows").join(heads, "group_id").mapInArrow(claim, schema))
         found = found.unionByName(led).unionByName(claimed)
-        rest = later.join(claimed, ["group_id", "id"], "left_anti").drop("__place")
+        rest = later.drop("__now").join(claimed, ["group_id", "id"], "left_anti")
