@@ -120,9 +120,10 @@ def learn(labelled: DataFrame) -> tuple[bytes, bytes, tuple[float, float, float]
 
     dictionaries = {}
     for label in (1, 0):
-        chosen = labelled.where(~for_curve & (F.col("label") == label)).orderBy("key", "text").limit(DICTIONARY_TEXTS)
-        rows = chosen.select("key", F.arrow_udf(cut, "array<binary>")("text").alias("w")).collect()
-        dictionaries[label] = build_dictionary([bytes(w) for row in sorted(rows) for w in row.w])
+        # Cut before they are chosen, so that long texts weigh no more than their windows where the chosen ones meet.
+        pieces = labelled.where(~for_curve & (F.col("label") == label)).select("key", F.xxhash64("text").alias("mark"), F.arrow_udf(cut, "array<binary>")("text").alias("w"))
+        rows = pieces.orderBy("key", "mark").limit(DICTIONARY_TEXTS).collect()
+        dictionaries[label] = build_dictionary([bytes(w) for row in rows for w in row.w])
     found = labelled.where(for_curve).select(measures(F.col("text"), dictionaries[1], dictionaries[0]).alias("m"), "label").select("m.lean", "m.density", "label")
     return dictionaries[1], dictionaries[0], fit_curve([tuple(r) for r in found.collect()])
 
