@@ -53,6 +53,7 @@ STANDS_FOR = 0.9
 FOLDS = 5
 
 _FOLD = str.maketrans(LOOKALIKES, LATIN)
+_LOOKALIKE = re.compile(f"[{LOOKALIKES}]")
 _DIGITS = str.maketrans(SUBSTITUTES, LETTERS)
 #: Zero-width characters, soft hyphens and accents that combine: they part no word.
 _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff\u0300-\u036f]+")
@@ -61,6 +62,8 @@ _SIGNS = re.compile(r"[@$]+(?=[^\W\d_])|(?<=[^\W\d_])[@$]+|(?<=[^\W_])[!|]+(?=[^
 _WITH_DIGIT = re.compile(r"[^\W_]*[01345-9][^\W_]*")
 _DIGIT = re.compile("[01345-9]")
 _WORD = re.compile(r"[^\W\d_]+")
+#: The same, of texts in ASCII, which are in lower case by then.
+_ASCII_WORD = re.compile("[a-z]+")
 
 
 def _letters(m: re.Match) -> str:
@@ -70,8 +73,10 @@ def _letters(m: re.Match) -> str:
 def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFC", text).translate(_FOLD))
-    text = _SIGNS.sub(_letters_of_sign, text)
+        text = unicodedata.normalize("NFC", text)
+        text = _UNSEEN.sub("", text.translate(_FOLD) if _LOOKALIKE.search(text) else text)
+    if any(sign in text for sign in "@$!|"):
+        text = _SIGNS.sub(_letters_of_sign, text)
     return _WITH_DIGIT.sub(_letters, text) if _DIGIT.search(text) else text
 
 
@@ -80,7 +85,8 @@ def _letters_of_sign(m: re.Match) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(fold(text or ""))
+    folded = fold(text or "")
+    return (_ASCII_WORD if folded.isascii() else _WORD).findall(folded)
 
 
 def terms(text: str | None) -> set[str]:
