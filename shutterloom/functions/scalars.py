@@ -82,9 +82,12 @@ def normalize_exif(plain: Column, grouped: Column) -> Column:
     values are never mixed. Empty tags are missing ones. The first tag that is there decides: one that can't be read isn't
     made good by the next. In the second map names may carry a group of TAG_GROUPS, and numbers are plain.
     """
-    first, second = _plain_tags(plain), _grouped_tags(grouped)
-    bare = first[0].isNull() & first[1].isNull() & first[5].isNull() & grouped.isNotNull()
-    return F.struct(*(F.when(bare, b).otherwise(a).alias(n) for n, a, b in zip(EXIF_COLUMNS, first, second, strict=True)))
+    named = lambda values: F.struct(*(v.alias(n) for n, v in zip(EXIF_COLUMNS, values, strict=True)))
+    # Each step binds what it has made, so that a long expression for a map stands in the plan once.
+    maps = F.array(F.struct(plain.alias("plain"), grouped.alias("grouped")))
+    both = F.transform(maps, lambda x: F.struct(named(_plain_tags(x["plain"])).alias("a"), named(_grouped_tags(x["grouped"])).alias("b"), x["grouped"].isNotNull().alias("more")))
+    bare = lambda x: x["more"] & x["a"]["camera"].isNull() & x["a"]["shot_at"].isNull() & x["a"]["iso"].isNull()
+    return F.transform(both, lambda x: F.when(bare(x), x["b"]).otherwise(x["a"]))[0]
 
 
 def file_name(path: Column) -> Column:
