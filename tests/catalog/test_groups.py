@@ -232,8 +232,8 @@ def _unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("spread", [0.05, 3.0])
-def test_tiles_lose_no_link(spark, spread):
+@pytest.mark.parametrize(("spread", "thresholds"), [(0.05, (0.9, -0.2)), (3.0, (0.3,))])
+def test_tiles_lose_no_link(spark, spread, thresholds):
     """One segment of many tiles, some rows not of unit length, and small segments; all pairs by one product each."""
     rng = np.random.default_rng(8)
     x = np.repeat(_unit(rng.standard_normal((30, 12))), 20, 0) + spread * rng.standard_normal((600, 12)) / 12**0.5
@@ -243,7 +243,7 @@ def test_tiles_lose_no_link(spark, spread):
     frame = spark.createDataFrame([(i, x[i].tolist(), int(segment[i])) for i in range(600)] + [(900, None, 7)], "id long, embedding array<float>, segment long")
     y = x.astype(np.float64)
     scores = y @ y.T
-    for threshold in (0.9, 0.3, -0.2):
+    for threshold in thresholds:
         want = {(i, j) for i in range(600) for j in range(i + 1, 600) if segment[i] == segment[j] and scores[i, j] >= threshold}
         found = similarity.similarity_links(frame, threshold, 32).collect()
         assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
