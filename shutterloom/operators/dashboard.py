@@ -80,7 +80,8 @@ def feature_deltas(samples: DataFrame, start: str | None = None, at: str = "deci
     a column for each feature; exact medians of all features come from a few scans of it that count, and no value is shuffled.
     """
     values = F.from_json("features_json", "map<string,double>")
-    rows = since(samples, at, start).where(F.col("decision").isin("keep", "reject")).select("decision", values.alias("m")).where("m is not null")
+    # Without a condition on the map, which would read each text once more; a text that is no JSON has no value for any feature.
+    rows = since(samples, at, start).where(F.col("decision").isin("keep", "reject")).select("decision", values.alias("m"))
     flat = written(rows.select("decision", *(F.col("m")[f].cast("float").alias(f) for f in FEATURES)))
     found = refined_medians(flat, FEATURES, "decision", ("keep", "reject"))
     listed = [(f, *(found[f, d][1] for d in ("keep", "reject")), *(found[f, d][0] for d in ("keep", "reject"))) for f in FEATURES]
