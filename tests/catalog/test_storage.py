@@ -20,3 +20,29 @@ def test_scratch_is_deleted_and_nothing_else(spark):
             storage.written(spark.range(1))
             1 / 0
     assert not pathlib.Path(folder).exists() and storage.open_scratch() is None
+
+
+def test_folder_of_small_files_is_read_by_few_tasks(spark, tmp_path):
+    """A thousand files are a task for each core, not one for every thirty; the settings are as before afterwards."""
+    for n in range(1000):
+        (tmp_path / f"{n}.png").write_bytes(b"x")
+    read = lambda: spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()
+    usual, name = read(), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with storage.settings(spark, storage.small_files(spark)):
+        assert read() <= spark.sparkContext.defaultParallelism + 1 < usual
+        assert int(spark.conf.get(name)) == 8 * spark.sparkContext.defaultParallelism
+    assert read() == usual and spark.conf.get(name) == before
+
+
+def test_watched_folder_lists_in_few_tasks(spark, tmp_path):
+    """What the stream has seen is listed by a bounded number of tasks, however many files came."""
+    from shutterloom.plans import live
+
+    rows = [(n, "some text") for n in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    store, first = spark.sparkContext._jsc.sc().statusStore(), scheduler.nextJobId()
+    assert live.w1_watched_folder(spark, str(tmp_path)).count() == 300
+    tasks = [store.job(n).numTasks() for n in range(first, scheduler.nextJobId())]
+    assert max(tasks) <= 8 * spark.sparkContext.defaultParallelism
