@@ -100,9 +100,10 @@ def s2_images(spark, sf_dir):
     """Every document's bytes as the file of a grey image, read back; the ones that are cut off have no size."""
     folder = f"{_folder(spark)}/frames"
     _frame_files(_documents(spark, sf_dir), folder)
-    found = catalog.load_images(spark, folder).select(F.regexp_extract("image.origin", r"doc-(\d+)\.png", 1).cast("long").alias("doc_id"), "image")
     known = lambda c: F.when(F.col("image.height") > 0, F.col(f"image.{c}"))
-    return found.select("doc_id", known("height").alias("height"), known("width").alias("width"), F.when(known("height").isNotNull(), F.octet_length("image.data")).cast("long").alias("bytes"))
+    with settings(spark, small_files(spark)):
+        found = catalog.load_images(spark, folder).select(F.regexp_extract("image.origin", r"doc-(\d+)\.png", 1).cast("long").alias("doc_id"), "image")
+        return written(found.select("doc_id", known("height").alias("height"), known("width").alias("width"), F.when(known("height").isNotNull(), F.octet_length("image.data")).cast("long").alias("bytes")))
 
 
 def w1_watched_folder(spark, sf_dir):
