@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import burst_score
+from ..storage import written
+from .skew import beside
 
 
 def time_runs(photos: DataFrame, gap: float, at: str = "shot_at", by: tuple[str, ...] = ()) -> DataFrame:
@@ -55,13 +57,12 @@ def detect_bursts(photos: DataFrame, gap: float = 2.0, by: tuple[str, ...] = ())
     """
     shake = F.col("shake_score") if "shake_score" in photos.columns else None
     scored = photos.withColumn("score", burst_score(F.col("sharpness_score"), F.col("exposure_score"), shake))
-    runs = time_runs(scored.select("id", "shot_at", "score", *by), gap, by=by)
+    runs = written(time_runs(scored.select("id", "shot_at", "score", *by), gap, by=by))
     second = F.unix_micros(F.col("shot_at").cast("timestamp")) / 1_000_000
     sums = runs.groupBy(*by, "run").agg(F.count("*").alias("size"), (F.max(second) - F.min(second)).alias("duration"), F.max_by("id", F.struct("score", (-second).alias("t"), (-F.col("id")).alias("i"))).alias("hero")).where("size > 1")
     # Bursts are numbered with one row a run; runs come in blocks so that no task sorts them all.
-    numbered = _dense(sums, by)
-    met = [*by, "run"]
-    grouped = runs.join(numbered, met)
+    numbered = written(_dense(sums, by))
+    grouped = beside(runs, numbered, [*by, "run"])
     single = scored.select("id", "score").join(grouped.select("id", "burst_id", "hero", "size", "duration"), "id", "left")
     role = F.when(F.col("burst_id").isNull(), "single").when(F.col("id") == F.col("hero"), "hero").otherwise("burst_alternative")
     return single.select("id", "burst_id", role.alias("role"), F.bround("score", 1).alias("score"), F.coalesce("size", F.lit(1)).cast("long").alias("size"), F.coalesce("duration", F.lit(0.0)).alias("duration"))

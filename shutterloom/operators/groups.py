@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hero_key, members_hash
+from ..functions.scalars import hero_key, joined_ids, members_hash
 from ..functions.scores import uncertainty, zero
 from ..storage import written
 from .ranks import numbered
+from .skew import beside, parted, placed
 
 #: New photos between two that come again, at least and at most.
 LEAST_GAP, MOST_GAP = 5, 25
 #: Gaps that one task adds up.
 RESHOW_BLOCK = 1 << 16
+#: Ids of a large group that are joined to one text.
+HASH_BLOCK = 1024
 
 
 def member_rows(groups: DataFrame, images: DataFrame) -> DataFrame:
     """Groups (group_id, id) with the photos' current columns and `pos`, the place by id in the group."""
-    rows = groups.select("group_id", "id").join(images, "id")
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("group_id").orderBy("id")))
+    known = written(groups.select("group_id", "id").join(images.select("id"), "id", "left_semi"))
+    rest = [c for c in images.columns if c != "id"]
+    return placed(known).join(images, "id").select("id", "group_id", *rest, "pos")
 
 
 def group_hero(members: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -38,7 +46,9 @@ def group_hero(members: DataFrame, overrides: DataFrame | None = None) -> DataFr
 
 def best_reason(members: DataFrame, heroes: DataFrame) -> DataFrame:
     """(group_id, hero, reason): the first thing in which the hero beats all other members."""
-    rows = members.join(heroes.select("group_id", "hero", "overridden"), "group_id")
+    if "size" not in heroes.columns:
+        heroes = heroes.join(members.groupBy("group_id").agg(F.count("*").alias("size")), "group_id")
+    rows = beside(members, written(heroes.select("group_id", "hero", "overridden", "size")))
     is_hero = F.col("id") == F.col("hero")
     of_hero = lambda c: F.max(F.when(is_hero, F.col(c)))
     face = zero(F.col("face_detected")) == 1
@@ -82,10 +92,12 @@ def candidate_order() -> list[Column]:
 
 def top_n_candidates(members: DataFrame, n: int) -> DataFrame:
     """Members with `rank`: the n best of larger groups in order of candidate_order(); groups of n or fewer stay in order of place."""
-    sized = members.withColumn("__size", F.count("*").over(Window.partitionBy("group_id")))
+    # One more than asked for tells larger groups; tasks leave out the others before they meet.
     by_key = F.row_number().over(Window.partitionBy("group_id").orderBy(*candidate_order()))
-    ranked = sized.withColumn("rank", F.when(F.col("__size") <= n, F.col("pos")).otherwise(by_key))
-    return ranked.where(F.col("rank") <= n).drop("__size")
+    best = members.withColumn("__key", by_key).where(F.col("__key") <= n + 1)
+    sized = best.withColumn("__size", F.count("*").over(Window.partitionBy("group_id")))
+    ranked = sized.withColumn("rank", F.when(F.col("__size") <= n, F.col("pos")).otherwise(F.col("__key")))
+    return ranked.where(F.col("rank") <= n).drop("__size", "__key")
 
 
 def prefilter_burst(members: DataFrame, most: int = 8) -> DataFrame:
@@ -94,8 +106,35 @@ def prefilter_burst(members: DataFrame, most: int = 8) -> DataFrame:
 
 
 def group_keys(members: DataFrame) -> DataFrame:
-    """(group_id, ids, members_hash, size)."""
-    return members.groupBy("group_id").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("size")).withColumn("members_hash", members_hash(F.col("ids")))
+    """(group_id, members_hash, size). The ids of a large group pass one task as texts of HASH_BLOCK, some bytes an id, as a digest has an order."""
+    rows = written(members.select("group_id", "id"))
+    small, large = parted(rows)
+    keys = small.groupBy("group_id").agg(F.collect_list("id").alias("ids"), F.count("*").alias("size")).select("group_id", members_hash(F.col("ids")).alias("members_hash"), "size")
+    if large is None:
+        return keys
+    blocks = large.groupBy("group_id", F.floor((F.col("pos") - 1) / HASH_BLOCK).alias("block")).agg(joined_ids(F.collect_list("id")).alias("text"), F.count("*").alias("n"))
+    dealt = blocks.repartition("group_id").sortWithinPartitions("group_id", "block")
+    schema = f"group_id {rows.schema['group_id'].dataType.simpleString()}, members_hash string, size bigint"
+    return keys.unionByName(dealt.mapInArrow(_hashed, schema))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group_id, block, text, n) in order as one row (group_id, members_hash, size) a group."""
+    group, digest, size, kind = None, None, 0, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([digest.hexdigest()]), pa.array([size], pa.int64())], ["group_id", "members_hash", "size"])
+    for batch in batches:
+        kind = batch.column("group_id").type
+        for key, text, n in zip(*(batch.column(c).to_pylist() for c in ("group_id", "text", "n")), strict=True):
+            if digest is not None and key == group:
+                digest.update(b",")
+            else:
+                if digest is not None:
+                    yield row()
+                group, digest, size = key, hashlib.sha1(), 0
+            digest.update(text.encode())
+            size += n
+    if digest is not None:
+        yield row()
 
 
 def ranking_outcome(members: DataFrame, leaders: DataFrame, cache: DataFrame) -> DataFrame:
@@ -249,5 +288,5 @@ def training_queue(images: DataFrame, decided: DataFrame, reshow: float = 0.3, s
 
 def burst_pick_batch(members: DataFrame, heroes: DataFrame, rest: str = "reject") -> DataFrame:
     """(id, decision): the hero is kept, the others are `rest`."""
-    rows = members.join(heroes.select("group_id", "hero"), "group_id")
+    rows = beside(members.select("group_id", "id"), written(heroes.select("group_id", "hero", "size")))
     return rows.select("id", F.when(F.col("id") == F.col("hero"), "keep").otherwise(rest).alias("decision"))

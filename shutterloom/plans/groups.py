@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import members_hash
 from ..operators import bursts, groups, similarity
 from ..storage import written
 from . import views
@@ -135,7 +134,7 @@ def g19_picks(spark, sf_dir):
 
 
 def x9_hashes(spark, sf_dir):
-    return groups.group_keys(_members(spark, sf_dir)).select("group_id", members_hash(F.col("ids")).alias("members_hash"), "size")
+    return groups.group_keys(_members(spark, sf_dir)).select("group_id", "members_hash", "size")
 
 
 QUERIES = {
