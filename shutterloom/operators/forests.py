@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import spread, written
 
 DEPTH, BINS = 3, 32
 #: Trees after which the scores so far are written beside the rows, so that no row meets more trees than these a level.
@@ -47,6 +47,8 @@ class Plan:
 
     def left_out(self, key: np.ndarray) -> np.ndarray:
         """[row, model]: whether the model never sees the row."""
+        if self.out <= 0:
+            return np.zeros((len(key), len(self.salts)), bool)
         return np.stack([mixed(key, salt * 0x9E3779B97F4A7C15) < self.out for salt in self.salts], 1)
 
     def seen(self, key: np.ndarray, tree: int) -> np.ndarray:
@@ -75,15 +77,12 @@ class Forests:
 
     def scores(self, bins: np.ndarray, start: int = 0) -> np.ndarray:
         """[row, model]: the sum of the trees from `start` on, with the base if that is 0."""
-        out = np.tile(self.base if start == 0 else np.zeros_like(self.base), (len(bins), 1))
-        rows = np.arange(len(bins))
+        out = np.tile(self.base if start == 0 else np.zeros_like(self.base), (len(bins), 1)).T.copy()
+        columns = np.ascontiguousarray(bins.T)
         for split, bound, leaf in zip(self.splits[start:], self.bounds[start:], self.leaves[start:], strict=True):
             for m in range(len(self.base)):
-                node = np.zeros(len(bins), np.int64)
-                for _ in range(DEPTH):
-                    node = 2 * node + 1 + (bins[rows, split[m, node]] > bound[m, node])
-                out[:, m] += leaf[m, node - (2**DEPTH - 1)]
-        return out
+                out[m] += leaf[m].take(places(columns, split[m], bound[m], DEPTH))
+        return out.T
 
     def predictions(self, columns: list[Column]) -> Column:
         """An array of one raw score for each model; columns are the features in order, NaN or null where missing."""
@@ -95,6 +94,21 @@ class Forests:
         return F.pandas_udf(predict, "array<double>")(*columns)
 
 
+def places(columns: np.ndarray, split: np.ndarray, bound: np.ndarray, depth: int) -> np.ndarray:
+    """The node of its level, from 0 on, that each row of columns [feature, row] reaches in `depth` steps.
+
+    Every node's comparison is made of whole columns, and a row takes the ones on its way.
+    """
+    at = np.zeros(columns.shape[1], np.uint8)
+    for level in range(depth):
+        first, step = 2**level - 1, np.zeros(columns.shape[1], bool)
+        for n in range(2**level):
+            above = columns[split[first + n]] > bound[first + n]
+            step |= above & (at == n) if level else above
+        at = 2 * at + step
+    return at
+
+
 def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
 
@@ -110,7 +124,8 @@ def train(rows: DataFrame, features: tuple[str, ...], plan: Plan) -> Forests:
     level, two sums for every model, node, feature and bin that occurs: some megabytes for 20 models, whatever the rows.
     """
     nan = [F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features]
-    known = written(rows.select("label", F.col("weight").cast("double").alias("weight"), F.col("key").cast("long").alias("key"), *nan))
+    # Each level reads all rows, so they are spread over all cores.
+    known = written(spread(rows.select("label", F.col("weight").cast("double").alias("weight"), F.col("key").cast("long").alias("key"), *nan), "key"))
     means = known.agg(*(F.avg(f) for f in features)).first()
     at = [k / BINS for k in range(1, BINS)]
     cuts = [np.unique(q) for q in known.approxQuantile(list(features), at, 0.001)]
@@ -180,22 +195,26 @@ def _sums(table: DataFrame, found: Forests, plan: Plan, tree: int, done: int, to
     """[model, node of the level, feature, bin, (weight, weight x residual)]."""
     known = Forests(found.features, found.cuts, found.fills, found.base, found.splits[done:], found.bounds[done:], found.leaves[done:])
     split, bound = tops
-    models, nodes, first = len(found.base), 2**level, 2**level - 1
+    models, nodes = len(found.base), 2**level
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((models, 2, nodes * width * BINS))
         for batch in batches:
             bins = _matrix(batch, width)
-            rows = np.arange(len(bins))
+            columns = np.ascontiguousarray(bins.T)
+            cells = columns.astype(np.int64)
             left = batch.column("label").to_numpy()[:, None] - _listed(batch.column("scores"), models) - known.scores(bins)
-            weight = batch.column("weight").to_numpy()[:, None] * plan.seen(batch.column("key").to_numpy(), tree)
+            weights, seen = batch.column("weight").to_numpy(), plan.seen(batch.column("key").to_numpy(), tree)
             for m in range(models):
-                node = np.zeros(len(bins), np.int64)
-                for _ in range(level):
-                    node = 2 * node + 1 + (bins[rows, split[m, node]] > bound[m, node])
-                cell = (((node - first)[:, None] * width + np.arange(width)) * BINS + bins).ravel()
-                sums[m, 0] += np.bincount(cell, np.repeat(weight[:, m], width), nodes * width * BINS)
-                sums[m, 1] += np.bincount(cell, np.repeat(weight[:, m] * left[:, m], width), nodes * width * BINS)
+                own = np.flatnonzero(seen[:, m])
+                node = places(columns, split[m], bound[m], level)[own] * np.int64(BINS)
+                w = weights[own]
+                wr = w * left[own, m]
+                both = sums[m].reshape(2, nodes, width, BINS)
+                for n, cell in enumerate(cells):
+                    cell = cell[own] + node
+                    both[0, :, n] += np.bincount(cell, w, nodes * BINS).reshape(nodes, BINS)
+                    both[1, :, n] += np.bincount(cell, wr, nodes * BINS).reshape(nodes, BINS)
         m, cell = np.nonzero(sums[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(cell, pa.int32()), pa.array(sums[m, 0, cell]), pa.array(sums[m, 1, cell])], ["model", "cell", "w", "wr"])
 

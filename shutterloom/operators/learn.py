@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURES, SCENES, SCHEMA_VERSION
 from ..functions.scores import clamp, zero
-from ..storage import written
+from ..storage import spread, written
 from .dashboard import pairwise_tallies
 from .forests import Forests, Plan, train
 
@@ -97,7 +97,8 @@ def _pipeline(rows: DataFrame, trees: int, rate: float, share: float, seed: int,
 
 def train_personal(corpus: DataFrame, trees: int = 200, rate: float = 0.05, share: float = 0.8, seed: int = 42, weighted: bool = True) -> PipelineModel:
     """M6: boosted trees on labels 1, 0 and -1."""
-    rows = written(labelled(corpus))
+    rows = labelled(corpus)
+    rows = written(spread(rows.withColumn("key", F.xxhash64(*rows.columns)), "key"))
     return _pipeline(rows, trees, rate, share, seed, weighted).fit(rows)
 
 

@@ -63,6 +63,11 @@ def open_scratch() -> str | None:
     return _open.get()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key to as many partitions as there are cores, for small tables that are read very often; within a partition in order of key."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key).sortWithinPartitions(key)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the open scratch() or the checkpoint folder, read back: lineage ends, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -46,3 +46,8 @@ def test_watched_folder_lists_in_few_tasks(spark, tmp_path):
     assert live.w1_watched_folder(spark, str(tmp_path)).count() == 300
     tasks = [store.job(n).numTasks() for n in range(first, scheduler.nextJobId())]
     assert max(tasks) <= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_small_table_is_spread_over_all_cores(spark):
+    rows = storage.written(storage.spread(spark.range(1000).coalesce(1), "id"))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 1000
