@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, scores
 from ..operators import browse, dashboard, decide, groups, pixels, similarity
 from ..sources import buckets, catalog
+from ..storage import settings, written
 from . import views
 from .tables import _table
 
@@ -324,10 +325,12 @@ def p_frames(spark, sf_dir):
     rows = pixels.pixel_features(_frames(spark, sf_dir))
     x = F.col("pixels")
     tones = pixels.tonal_distribution(x["lum"])
-    return rows.select(
+    found = rows.select(
         "doc_id", x["width"].alias("width"), x["height"].alias("height"), F.round(x["mean"], 4).alias("mean"), F.round(x["std"], 4).alias("std"), F.round(x["shadow_pct"] * 64 * x["height"] / 100).cast("long").alias("black"),
         x["r"][32].alias("spaces"), F.round(tones["shadows"], 1).alias("shadows"), tones["kind"].alias("tones"),
     )
+    with settings(spark, views.FRAMES):
+        return written(found)
 
 
 def p_measures(spark, sf_dir):
@@ -336,10 +339,12 @@ def p_measures(spark, sf_dir):
     boxes = frames.where("doc_id % 2 = 0").select(F.col("image.origin").alias("origin"), F.lit(0).alias("face_index"), F.lit(8).alias("x0"), F.lit(2).alias("y0"), F.lit(40).alias("x1"), F.lit(18).alias("y1"))
     x = F.col("pixels")
     roots = ("p90_laplacian", "p90_tenengrad", "p90_mlap", "normalized_score", "consistency")
-    return pixels.pixel_features(pixels.with_boxes(frames, boxes)).select(
+    found = pixels.pixel_features(pixels.with_boxes(frames, boxes)).select(
         "doc_id", *(F.round(F.sqrt(x[n]), 4).alias(f"{n}_root") for n in roots), *(F.round(x["hist64"][21 * k], 6).alias(f"hist_{k}") for k in range(4)),
         x["clip_lo"]["r"].alias("black_pct"), x["clip_lo"]["visible"].alias("dark_pct"), x["clip_hi"]["visible"].alias("light_pct"), x["faces"][0]["sharpness"].alias("face_sharpness"),
     )
+    with settings(spark, views.FRAMES):
+        return written(found)
 
 
 #: Neighbours by their distance in the row of pixels; beyond an edge the one on the other side of it counts.

@@ -51,3 +51,14 @@ def test_watched_folder_lists_in_few_tasks(spark, tmp_path):
 def test_small_table_is_spread_over_all_cores(spark):
     rows = storage.written(storage.spread(spark.range(1000).coalesce(1), "id"))
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 1000
+
+
+def test_frames_are_measured_in_small_batches(spark, sf_dir, monkeypatch):
+    from shutterloom.plans import coverage
+
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(coverage, "written", lambda df: seen.append(spark.conf.get(name)) or df)
+    coverage.p_frames(spark, sf_dir)
+    coverage.p_measures(spark, sf_dir)
+    assert seen == ["64", "64"] and spark.conf.get(name) == before
