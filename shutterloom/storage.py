@@ -74,3 +74,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{open_scratch() or checkpoint_folder(spark)}/groups-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes the files of a table that written() gave and that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

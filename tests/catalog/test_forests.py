@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.config import FEATURES
-from shutterloom.operators import learn
+from shutterloom.operators import forests, learn
 from shutterloom.operators.forests import BINS, NO_CUT, Plan, mixed, train
 
 
@@ -110,3 +110,37 @@ def test_spread(spark):
     assert got[1].personal_std == pytest.approx(scores.std()) and got[1].personal_std > 0 and got[3].personal_score is None
     same = learn.predict_with_uncertainty(model, learn.uncertainty_ensemble(corpus, 1, 3), images).collect()
     assert all(r.personal_std == 0 for r in same if r.id < 3)
+
+
+def test_a_level_reads_blocks_and_old_scores_are_dropped(spark, monkeypatch):
+    """A level's scan has a row for thousands of samples, and of the tables with scores none is left."""
+    rows, tables, written = frame(spark, rows_of(20_000)), [], forests.written
+    monkeypatch.setattr(forests, "written", lambda df: tables.append(written(df)) or tables[-1])
+    counts, dropped = [], forests.dropped
+    monkeypatch.setattr(forests, "dropped", lambda df: counts.append(df.count()) or dropped(df))
+    train(rows, ("a", "b", "c"), Plan((1, 2), 5, 0.1))
+    assert len(counts) == len(tables) - 1 >= 2 and max(counts) <= 20_000 // forests.BLOCK + 8
+
+
+def test_draws_are_those_of_the_slow_hash():
+    key = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 10_000)
+    for share in (0.0, 0.2, 0.7, 1.0):
+        salts = [0, 1, 42 * 0x9E3779B97F4A7C15, 12345678901234567890123]
+        assert (forests._below(key, salts, share) == np.stack([mixed(key, salt) < share for salt in salts], 1)).all()
+
+
+def test_features_are_counted_together_and_apart_again(spark):
+    """Many features of few and many bins, some the same as others: trees are the slow ones', and of equal features the first is taken."""
+    rng = np.random.default_rng(4)
+    few, many = rng.integers(0, 2, (300, 9)).astype(float), rng.normal(size=(300, 3))
+    x = np.concatenate([few, many, many, few[:, :1] * 0], 1)
+    y = many[:, 0] + (few[:, 3] - 0.5) * (many[:, 1] > 0) + few[:, 8]
+    names = tuple(f"f{n}" for n in range(x.shape[1]))
+    rows = spark.createDataFrame([(*map(float, r), float(t), n, 1.0 + n % 3) for n, (r, t) in enumerate(zip(x, y, strict=True))], ", ".join(f"{n} double" for n in names) + ", label double, key long, weight double")
+    found = train(rows, names, Plan((1,), 6, 0.3))
+    bins, weight = found.bins(x), 1.0 + np.arange(300) % 3
+    scores = np.full(300, np.average(y, weights=weight))
+    for _ in range(6):
+        scores = scores + 0.3 * slow_tree(bins, y - scores, weight)
+    assert np.abs(found.scores(bins)[:, 0] - scores).max() < 1e-4
+    assert all((split < 12).all() for split in found.splits)
