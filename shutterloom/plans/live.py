@@ -18,6 +18,10 @@ from ..streaming import watch
 from . import views
 
 
+#: Files of a folder of images that the driver is to list, some.
+FOLDER_FILES = 10_000
+
+
 def _folder(spark) -> str:
     """A new folder beside the written tables."""
     return f"{written(spark.range(1)).inputFiles()[0].rsplit('/', 2)[0]}/stream-{uuid.uuid4().hex}"
@@ -72,16 +76,19 @@ def _bitmap(body: bytes) -> bytes:
     return head + palette + b"".join(body[64 * y : 64 * y + 64] for y in reversed(range(rows)))
 
 
-def _frame_files(docs, folder: str) -> None:
-    """Writes an image file for each of docs (doc_id, text), named by its id; of every fiftieth only the beginning."""
+def _frame_files(docs, folder: str, parts: int = 0) -> None:
+    """Writes an image file for each of docs (doc_id, text), named by its id; of every fiftieth only the beginning. With parts, into that many folders by the id."""
 
     def write(batches):
-        files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
+        files, top = fs.FileSystem.from_uri(folder)
+        for n in range(parts):
+            files.create_dir(f"{top}/{n}", recursive=True)
+        files.create_dir(top, recursive=True)
         n = 0
         for batch in batches:
             for id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = _bitmap((text or "").encode())
+                root = f"{top}/{id % parts}" if parts else top
                 with files.open_output_stream(f"{root}/_{id}") as out:
                     out.write(data[:40] if id % 50 == 7 else data)
                 files.move(f"{root}/_{id}", f"{root}/doc-{id}.png")
@@ -98,12 +105,15 @@ def _documents(spark, sf_dir):
 
 def s2_images(spark, sf_dir):
     """Every document's bytes as the file of a grey image, read back; the ones that are cut off have no size."""
-    folder = f"{_folder(spark)}/frames"
-    _frame_files(_documents(spark, sf_dir), folder)
+    folder, docs = _folder(spark), _documents(spark, sf_dir)
+    _frame_files(docs, f"{folder}/frames", -(-docs.count() // FOLDER_FILES))
     known = lambda c: F.when(F.col("image.height") > 0, F.col(f"image.{c}"))
     with settings(spark, small_files(spark)):
-        found = catalog.load_images(spark, folder).select(F.regexp_extract("image.origin", r"doc-(\d+)\.png", 1).cast("long").alias("doc_id"), "image")
-        return written(found.select("doc_id", known("height").alias("height"), known("width").alias("width"), F.when(known("height").isNotNull(), F.octet_length("image.data")).cast("long").alias("bytes")))
+        for images in catalog.load_image_folders(spark, f"{folder}/frames"):
+            found = images.select(F.regexp_extract("image.origin", r"doc-(\d+)\.png", 1).cast("long").alias("doc_id"), "image")
+            rows = found.select("doc_id", known("height").alias("height"), known("width").alias("width"), F.when(known("height").isNotNull(), F.octet_length("image.data")).cast("long").alias("bytes"))
+            rows.write.mode("append").parquet(f"{folder}/rows")
+    return spark.read.schema("doc_id bigint, height int, width int, bytes bigint").parquet(f"{folder}/rows")
 
 
 def w1_watched_folder(spark, sf_dir):

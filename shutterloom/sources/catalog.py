@@ -62,11 +62,28 @@ def scan_photos(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     return photo_paths(files, recursive, root)
 
 
-def load_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images (image.origin, height, width, nChannels, mode, data; samples in order blue, green, red)."""
+def load_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Decoded images (image.origin, height, width, nChannels, mode, data; samples in order blue, green, red) of one folder, or of some.
+
+    The driver holds the list of all files of these folders: load_image_folders() bounds it.
+    """
     return spark.read.format("image").option("dropInvalid", "false").load(path)
 
 
+def load_image_folders(spark: SparkSession, path: str, at_once: int = 4) -> Iterator[DataFrame]:
+    """load_images() of the folder itself and of the folders in it, a few at once, so that the driver holds the files of these only.
+
+    Each frame is to be written before the next is asked for. Folders further down aren't read. A folder's own files are held as a whole.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    folders = [x.getPath().toString() for x in found if x.isDirectory() and not x.getPath().getName().startswith(("_", "."))]
+    if len(folders) < len(found) or not found:
+        yield load_images(spark, path)
+    for start in range(0, len(folders), at_once):
+        yield load_images(spark, folders[start : start + at_once])
+
+
 def skip_done(candidates: DataFrame, images: DataFrame) -> DataFrame:
     """S3: candidates (path) without a finished row."""
     return candidates.join(images.where("analysis_status = 'done'").select(F.col("file_path").alias("path")), "path", "left_anti")

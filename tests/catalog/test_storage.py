@@ -62,3 +62,35 @@ def test_frames_are_measured_in_small_batches(spark, sf_dir, monkeypatch):
     coverage.p_frames(spark, sf_dir)
     coverage.p_measures(spark, sf_dir)
     assert seen == ["64", "64"] and spark.conf.get(name) == before
+
+
+def test_images_are_read_a_few_folders_at_once(spark, tmp_path, monkeypatch):
+    """The driver never has the files of all folders; all of them are read once."""
+    from shutterloom.plans import live
+    from shutterloom.sources import catalog
+
+    spark.createDataFrame([(n, "some text") for n in range(90)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen, load = [], catalog.load_images
+    monkeypatch.setattr(catalog, "load_images", lambda spark, path: seen.append(load(spark, path)) or seen[-1])
+    monkeypatch.setattr(live, "FOLDER_FILES", 10)
+    got = {r.doc_id: (r.height, r.width, r.bytes) for r in live.s2_images(spark, str(tmp_path)).collect()}
+    assert got == {n: (None, None, None) if n % 50 == 7 else (1, 64, 64) for n in range(90)}
+    assert len(seen) == 3 and max(len(df.inputFiles()) for df in seen) <= 40
+
+
+def test_images_beside_folders_are_read(spark, tmp_path):
+    from shutterloom.plans import live
+    from shutterloom.sources import catalog
+
+    for name in ("a.png", "x/b.png", "y/c.png", "x/deeper/d.png", "_aside/e.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(live._bitmap(b"abc"))
+    origins = [r[0] for df in catalog.load_image_folders(spark, str(tmp_path), 1) for r in df.select("image.origin").collect()]
+    assert sorted(x.rsplit("/", 1)[1] for x in origins) == ["a.png", "b.png", "c.png"]
+
+
+def test_dropped_tables_are_gone(spark):
+    kept, gone = storage.written(spark.range(5)), storage.written(spark.range(5))
+    files = [pathlib.Path(f.removeprefix("file:").replace("///", "/")) for f in gone.inputFiles()]
+    storage.dropped(gone)
+    assert files and not any(f.exists() or f.parent.exists() for f in files) and kept.count() == 5
